@@ -26,7 +26,7 @@ from assaygrid.llm import ragged
 from assaygrid.llm.tables import arrow_batches, without
 
 #: A unit begins at one in so many words.
-UNIT_WORDS = 6
+UNIT_WORDS = 4
 #: Words of the context that decides where a unit begins.
 CONTEXT = 3
 #: A word whose context hash is the least of so many before and after begins a unit too.
