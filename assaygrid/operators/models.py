@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaygrid.functions.stats import adf, chi2_sf, f_sf, shapiro, t_sf2
+from assaygrid.operators.profile import safe_corr
 from assaygrid.operators.screening import Fit, Gram, complete, gram, solve
 
 
@@ -74,9 +75,9 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, least_within
     df_e = max(n - groups - k, 1)
     within_r2 = float(1 - sse / sums["yy"]) if sums["yy"] > 0 else 0.0
     line = sum((F.lit(v) * F.col(f"m{i}") for i, v in enumerate(b.tolist())), F.lit(0.0))
-    between = scores.agg(F.corr(line, F.col("my")).alias("r")).first()["r"]
+    between = scores.agg(safe_corr(line, F.col("my")).alias("r")).first()["r"]
     full = sum((F.lit(v) * F.col(c) for c, v in zip(keep, b.tolist(), strict=True)), F.lit(0.0))
-    overall = rows.agg(F.corr(full, F.col(y)).alias("r")).first()["r"]
+    overall = rows.agg(safe_corr(full, F.col(y)).alias("r")).first()["r"]
     f = (within_r2 / k) / ((1 - within_r2) / df_e) if within_r2 < 1 else math.inf
     p = [t_sf2(float(v / s) if s > 0 else math.inf, groups - 1) for v, s in zip(b, se, strict=True)]
     named = lambda v: dict(zip(keep, [float(q) for q in v], strict=True))

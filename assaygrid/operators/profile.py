@@ -18,6 +18,13 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson's r over rows that have both; null where either is constant (F.corr divides by zero there)."""
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """AG1: a row for each column: dtype, n_unique, n_missing, missing_pct, min, max, mean, std, sample_values, is_numeric, is_categorical.
 
@@ -57,13 +64,13 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """AG2: a, b, r, n of all pairs, over rows that have both; one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: _col(a).isNotNull() & _col(b).isNotNull()
-    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(_col(a).cast("double"), _col(b).cast("double")).alias("r"), F.count_if(both(a, b)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(_col(a), _col(b)).alias("r"), F.count_if(both(a, b)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
 
 
 def correlation_with_outcome(df: DataFrame, features: list[str], outcome: str, least: int = 3) -> DataFrame:
     """AG3, TK13: feature, r and importance_rank by |r|; features with fewer than least joint rows have no r and rank last."""
-    rows = [F.struct(F.lit(c).alias("feature"), F.corr(_col(c).cast("double"), _col(outcome).cast("double")).alias("r"), F.count_if(_col(c).isNotNull() & _col(outcome).isNotNull()).alias("n")).alias(f"p{i}") for i, c in enumerate(features)]
+    rows = [F.struct(F.lit(c).alias("feature"), safe_corr(_col(c), _col(outcome)).alias("r"), F.count_if(_col(c).isNotNull() & _col(outcome).isNotNull()).alias("n")).alias(f"p{i}") for i, c in enumerate(features)]
     long = df.agg(*rows).select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(features))])).alias("p")).select("p.*")
     long = long.withColumn("r", F.when(F.col("n") >= least, F.col("r")))
     return long.withColumn("importance_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs("r")), "feature")))
