@@ -202,11 +202,13 @@ def ref_chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", tx.is_reference_chunk(text).alias("listed"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN length(text) ELSE length(text || chr(10) || 'tail') END AS n FROM documents WHERE text NOT ILIKE '%references%' AND text NOT ILIKE '%bibliography%' AND text NOT ILIKE '%works%cited%'")
+@query(r"""
+WITH t AS (SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'REFERENCES ' || chr(10) || '[1] a' ELSE 'tail' END AS x FROM documents)
+SELECT doc_id, length(string_split_regex(x, '(?i)\n(?:References|Bibliography|Works\s+Cited)\s*\n')[1]) AS n FROM t
+""")
 def truncate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("NOT text ILIKE '%references%' AND NOT text ILIKE '%bibliography%' AND NOT text ILIKE '%works%cited%'")
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\nREFERENCES \n[1] a"))).otherwise(F.concat("text", F.lit("\ntail")))
-    return d.select("doc_id", F.length(tx.truncate_references(text)).cast("long").alias("n"))
+    text = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 4 == 0, "REFERENCES \n[1] a").otherwise("tail"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(tx.truncate_references(text)).cast("long").alias("n"))
 
 
 @query("""
@@ -342,14 +344,13 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id % 20 AS query_id, doc_id AS rank, substring(text, 1, 900) AS t, 'doc ' || doc_id AS title FROM documents),
-s AS (SELECT *, '[Source: ' || title || ' | File: f | Similarity: 0.50]' || chr(10) || t AS section FROM c), r AS (SELECT *, sum(length(section)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM s)
+WITH s AS (SELECT conv_id AS query_id, turn AS rank, '[Source: ' || substring(role, 1, 80) || ' | File: f | Similarity: 0.50]' || chr(10) || text AS section FROM conversations),
+r AS (SELECT *, sum(length(section)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM s)
 SELECT query_id, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_chunks FROM r WHERE used <= 4000 GROUP BY 1
 """)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    found = d.select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("rank"), F.substring("text", 1, 900).alias("text"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("f").alias("source_file"), F.lit(0.5).alias("similarity"))
-    return retrieval.pack_context(found)
+    c = table(spark, sf_dir, "conversations")
+    return retrieval.pack_context(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text", F.col("role").alias("title"), F.lit("f").alias("source_file"), F.lit(0.5).alias("similarity")))
 
 
 @query("SELECT doc_id, substring(md5(source || '_' || doc_id), 1, 12) AS short_id, sha256(doc_id || ':0:' || text) AS chunk_hash, 'user_' || substring(sha256(source), 1, 24) AS tenant FROM documents")
