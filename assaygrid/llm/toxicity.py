@@ -57,6 +57,15 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return data, s, e, ragged.hashes(data, s, e) if len(s) else np.zeros(0, np.uint64)
 
 
+#: Words taken at a time where many are, to bound memory.
+CHUNK = 8192
+
+
+def _all_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_grams(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    return np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of 3 to 5 bytes of each word between marks, and each word's number of them."""
     marked = [b"\x02" + w + b"\x03" for w in words]
@@ -106,6 +115,8 @@ class Model:
 
     def inputs(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         """The network's input of each word."""
+        if len(words) > CHUNK:
+            return np.concatenate([self.inputs(hashes[i : i + CHUNK], words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)])
         word = _find(self.words, hashes)
         codes, count = _grams(words)
         gram = _find(self.grams, codes)
@@ -239,7 +250,7 @@ class Texts:
         self.names, self.hashes = names, np.array(list(words), np.uint64)
 
 
-def _odds(keys: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _odds(keys: Iterator[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each key 0..size-1: in how many texts it is, and the log-odds of a text with it being toxic (little for few texts)."""
     n = np.zeros((2, size))
     for k, y in zip(keys, toxic, strict=True):
@@ -259,12 +270,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(none, none, np.zeros(1), np.zeros(1), {}, (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))), share)
     data = Texts(texts)
     held = rng.random(len(y)) < 0.2  # for calibration
-    codes, count = _grams(data.names)
+    codes, count = _all_grams(data.names)
     gram_names, gram_of = np.unique(codes, return_inverse=True)
+    gram_of = gram_of.astype(np.int32)
     heads = np.cumsum(count) - count
     fit = np.flatnonzero(~held)
-    n_word, word_odds = _odds([data.rows[i] for i in fit], y[fit], len(data.names))
-    n_gram, gram_odds = _odds([gram_of[ragged.expand(heads[u], count[u])] for u in (np.unique(data.rows[i]) for i in fit)], y[fit], len(gram_names))
+    n_word, word_odds = _odds((data.rows[i] for i in fit), y[fit], len(data.names))
+    n_gram, gram_odds = _odds((gram_of[ragged.expand(heads[u], count[u])] for u in (np.unique(data.rows[i]) for i in fit)), y[fit], len(gram_names))
     keep_word = np.flatnonzero(n_word >= LEAST_TEXTS)
     keep_word = keep_word[np.argsort(data.hashes[keep_word])]
     keep_gram = np.flatnonzero(n_gram >= LEAST_TEXTS)
@@ -277,7 +289,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     p["word"][0] = p["gram"][0] = 0
     model = Model(data.hashes[keep_word], gram_names[keep_gram], np.append(0.0, word_odds[keep_word]), np.append(0.0, gram_odds[keep_gram]), p, (1.0, 0.0), share)
     word = _find(model.words, data.hashes)
-    gram = _find(model.grams, codes)
+    del gram_of, gram_names
+    gram = np.concatenate([_find(model.grams, codes[i : i + 1_000_000]).astype(np.int32) for i in range(0, max(len(codes), 1), 1_000_000)])
+    del codes
     odds, top = model.fixed(word, gram, count)
     strength = np.maximum(odds, top)
 
