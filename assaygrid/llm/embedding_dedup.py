@@ -31,7 +31,8 @@ from assaygrid.llm.tiles import deal, grouped
 BLOCK = 8
 #: Axes of a block that its grid lies on.
 AXES = 2
-TILE = 2048
+#: Own vectors of a cell, and vectors that they are held against, in a group at most.
+TILE, RUN = 16_384, 49_152
 #: Added to budgets against rounding; candidates are verified anyway.
 SLACK = 1e-9
 
@@ -181,7 +182,7 @@ def _join(classes: DataFrame, width: int, cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[joined_to]), pa.array(names[root[joined_to]]), pa.array(np.zeros(len(joined_to), np.int64))], ["a", "b", "n"])
 
     keys = units.mapInArrow(keyed, "bucket long, own boolean, block int, number long, copies long, turned array<double>")
-    found, _ = written(deal(keys, "number", TILE).mapInArrow(joined, "a long, b long, n long"), "links")
+    found, _ = written(deal(keys, "number", TILE, RUN).mapInArrow(joined, "a long, b long, n long"), "links")
     return found
 
 
