@@ -166,9 +166,10 @@ def read_back(turns: DataFrame) -> DataFrame:
     ordered = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_id, state = None, None
+        open_id, state, kind = None, None, None
         done: list[tuple] = []
         for batch in batches:
+            kind = batch.column(0).type
             for conv, formatted, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if state is None or conv != open_id:
                     if state is not None:
@@ -176,18 +177,16 @@ def read_back(turns: DataFrame) -> DataFrame:
                     open_id, state = conv, Digests()
                 state.add(formatted, a, b)
             if len(done) > 1000:
-                yield table(done)
+                yield table(done, kind)
                 done = []
         if state is not None:
             done.append((open_id, *state.close()))
         if done:
-            yield table(done)
+            yield table(done, kind)
 
-    def table(done: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True))
-        kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        first = pa.array(columns[0]) if any(c is not None for c in columns[0]) else pa.nulls(len(done), pa.int64())
-        return pa.RecordBatch.from_arrays([first, *[pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True)]], schema.names)
+    def table(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], schema.names)
 
     return ordered.mapInArrow(read, schema)
 
