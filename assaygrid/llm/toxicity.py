@@ -61,19 +61,23 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 CHUNK = 8192
 
 
-def _all_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_grams(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    return np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+SIZES = (3, 4, 5)
 
 
-def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _all_grams(words: list[bytes], places) -> tuple[np.ndarray, np.ndarray]:
+    """places(codes) of all words' n-grams, by chunks of words, and each word's number of them."""
+    parts = [_grams(words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+    return np.concatenate([places(c) for c, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _grams(words: list[bytes], lengths: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of 3 to 5 bytes of each word between marks, and each word's number of them."""
     marked = [b"\x02" + w + b"\x03" for w in words]
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     heads = np.cumsum(sizes) - sizes
     codes, owner = [], []
-    for n in (3, 4, 5):
+    for n in lengths:
         count = np.maximum(sizes - n + 1, 0)
         at = ragged.expand(heads, count)
         code = np.full(len(at), n, np.uint64)
@@ -270,28 +274,36 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(none, none, np.zeros(1), np.zeros(1), {}, (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))), share)
     data = Texts(texts)
     held = rng.random(len(y)) < 0.2  # for calibration
-    codes, count = _all_grams(data.names)
-    gram_names, gram_of = np.unique(codes, return_inverse=True)
-    gram_of = gram_of.astype(np.int32)
-    heads = np.cumsum(count) - count
     fit = np.flatnonzero(~held)
     n_word, word_odds = _odds((data.rows[i] for i in fit), y[fit], len(data.names))
-    n_gram, gram_odds = _odds((gram_of[ragged.expand(heads[u], count[u])] for u in (np.unique(data.rows[i]) for i in fit)), y[fit], len(gram_names))
     keep_word = np.flatnonzero(n_word >= LEAST_TEXTS)
     keep_word = keep_word[np.argsort(data.hashes[keep_word])]
-    keep_gram = np.flatnonzero(n_gram >= LEAST_TEXTS)
-    keep_gram = np.sort(keep_gram[np.argsort(-np.abs(gram_odds[keep_gram]), kind="stable")[:MOST_GRAMS]])
+    known, known_odds = [], []
+    for n in SIZES:  # one length at a time, to bound memory
+        codes, count = _grams(data.names, (n,))
+        heads = np.cumsum(count) - count
+        names, of = np.unique(codes, return_inverse=True)
+        of = of.astype(np.int32)
+        del codes
+        n_gram, gram_odds = _odds((of[ragged.expand(heads[u], count[u])] for u in (np.unique(data.rows[i]) for i in fit)), y[fit], len(names))
+        often = n_gram >= LEAST_TEXTS
+        known.append(names[often])
+        known_odds.append(gram_odds[often])
+        del names, of
+    known, known_odds = np.concatenate(known), np.concatenate(known_odds)
+    best = np.argsort(-np.abs(known_odds), kind="stable")[:MOST_GRAMS]
+    best = best[np.argsort(known[best])]
+    known, known_odds = known[best], known_odds[best]
     wide = 2 * VECTOR + 2
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    p = {"word": rng.normal(0, 0.1, (len(keep_word) + 1, VECTOR)), "gram": rng.normal(0, 0.1, (len(keep_gram) + 1, VECTOR))}
+    p = {"word": rng.normal(0, 0.1, (len(keep_word) + 1, VECTOR)), "gram": rng.normal(0, 0.1, (len(known) + 1, VECTOR))}
     p |= {"wf": draw(wide, 3 * HIDDEN), "uf": draw(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "wb": draw(wide, 3 * HIDDEN), "ub": draw(HIDDEN, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN)}
     p |= {"wa": draw(2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND), "va": draw(ATTEND), "wo": draw(2 * HIDDEN), "bo": np.zeros(1)}
     p["word"][0] = p["gram"][0] = 0
-    model = Model(data.hashes[keep_word], gram_names[keep_gram], np.append(0.0, word_odds[keep_word]), np.append(0.0, gram_odds[keep_gram]), p, (1.0, 0.0), share)
+    model = Model(data.hashes[keep_word], known, np.append(0.0, word_odds[keep_word]), np.append(0.0, known_odds), p, (1.0, 0.0), share)
     word = _find(model.words, data.hashes)
-    del gram_of, gram_names
-    gram = np.concatenate([_find(model.grams, codes[i : i + 1_000_000]).astype(np.int32) for i in range(0, max(len(codes), 1), 1_000_000)])
-    del codes
+    gram, count = _all_grams(data.names, lambda codes: _find(model.grams, codes).astype(np.int32))
+    heads = np.cumsum(count) - count
     odds, top = model.fixed(word, gram, count)
     strength = np.maximum(odds, top)
 
