@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,34 +81,50 @@ class Units:
         self.head = np.searchsorted(self.row, np.arange(len(offsets)))
 
 
+def copy_of(text: str):
+    """Tells rows of one doc_id apart by their texts."""
+    return (F.xxhash64(F.col(f"`{text}`")) % 2**15).cast("short")
+
+
 def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, unit (its place), digest, repeated. Rows of one digest: at most one a slice, and those it repeats (repeated, any digest)."""
+    """doc_id, copy, unit (its place), digest, repeated. Rows of one digest: at most one a slice, and those it repeats (repeated, any digest)."""
     arrow_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("unit", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("repeated", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("copy", T.ShortType()), T.StructField("unit", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("repeated", T.BooleanType())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # rank order inside the slice, so that its first occurrence is the earliest ranked
-            batch = batch.sort_by(batch.schema.names[0])
-            ids = batch.column(0)
-            for a, _, data, offsets in ragged.slices(batch.column(1)):
+            batch = batch.sort_by([("doc_id", "ascending"), ("copy", "ascending")])
+            ids, copies = batch.column(0), batch.column(1)
+            # rows of equal doc_id and copy are one document
+            same = pc.and_(pc.equal(ids[1:], ids[:-1]), pc.equal(copies[1:], copies[:-1])).to_numpy(zero_copy_only=False)
+            document = np.cumsum(np.append(0, ~same.astype(bool)))
+            for a, b, data, offsets in ragged.slices(batch.column(2)):
                 u = Units(data, offsets)
                 place = (np.arange(len(u.row)) - u.head[u.row]).astype(np.int32)
-                _, first = np.unique(u.digest, return_index=True)
-                repeated = np.ones(len(u.row), bool)
+                found = np.arange(len(u.row))
+                if document[a] + b - a - 1 > document[b - 1]:  # a document stands here twice: each of its units counts once
+                    of = np.stack([document[a + u.row], place, u.digest.view(np.int64)])
+                    found = np.sort(np.unique(of, axis=1, return_index=True)[1])
+                    found = found[np.lexsort((place[found], document[a + u.row[found]]))]
+                _, first = np.unique(u.digest[found], return_index=True)
+                repeated = np.ones(len(found), bool)
                 repeated[first] = False
+                place, row, own = place[found], u.row[found], u.digest[found]
                 # a flagged row needs no group: any digest does, and its own spreads them no worse than others
-                digest = np.where(repeated, ragged.mixed(u.digest + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + u.row.astype(np.uint64)), u.digest)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + u.row)), pa.array(place), pa.array(digest.view(np.int64)), pa.array(repeated)], schema.names)
+                digest = np.where(repeated, ragged.mixed(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)), own)
+                at = pa.array(a + row)
+                yield pa.RecordBatch.from_arrays([ids.take(at), copies.take(at), pa.array(place), pa.array(digest.view(np.int64)), pa.array(repeated)], schema.names)
 
-    return docs.select(doc_id, text).where(F.col(doc_id).isNotNull()).mapInArrow(made, schema)
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(text).alias("copy"), F.col(text).alias("text")).mapInArrow(made, schema)
 
 
 def flagged(found: DataFrame) -> DataFrame:
-    """doc_id, units: the places of units that an earlier ranked text, or an earlier place, has."""
-    earliest = F.min(F.when(~F.col("repeated"), F.struct("doc_id", "unit"))).over(Window.partitionBy("digest"))
-    later = F.col("repeated") | (F.struct("doc_id", "unit") > F.col("earliest"))
-    return found.withColumn("earliest", earliest).where(later).groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
+    """doc_id, copy, units: the places of units that an earlier ranked text, or an earlier place, has."""
+    rank = F.struct("doc_id", "copy", "unit")
+    earliest = F.min(F.when(~F.col("repeated"), rank)).over(Window.partitionBy("digest"))
+    later = F.col("repeated") | (rank > F.col("earliest"))
+    return found.withColumn("earliest", earliest).where(later).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25) -> DataFrame:
@@ -118,12 +135,13 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     of at least min_words words goes, whole with the white space and signs up to the next word; shorter
     runs stay. A passage that two documents share is cut but for the pieces of units at its ends.
     Null texts stay null, empty ones empty; rows with a null doc_id are kept as they are and are not
-    compared; rows that repeat a doc_id are one document and lose the same. Exact copies of a text of
+    compared; rows that repeat a doc_id and its text are one document and lose the same, those of another
+    text are documents of their own. Exact copies of a text of
     min_words words or more end up empty. Columns of docs named as a result's are replaced.
     """
-    base = without(docs, "n_words", "n_removed", "removed", "_units")
-    flags = flagged(units(base, text, doc_id)).select(F.col("doc_id").alias("_id"), F.col("units").alias("_units"))
-    both = base.join(flags, base[doc_id] == flags["_id"], "left").drop("_id")
+    base = without(docs, "n_words", "n_removed", "removed", "_units", "_id", "_copy")
+    flags = flagged(units(base, text, doc_id)).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("units").alias("_units"))
+    both = base.join(flags, (base[doc_id] == flags["_id"]) & (copy_of(text) == flags["_copy"]), "left").drop("_id", "_copy")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*base.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span)])
 

@@ -197,6 +197,19 @@ def test_dedup_of_odd_tables(odd, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_repeated_rows_keep_their_text(spark, parts):
+    rnd = random.Random(11)
+    passage, other = (" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(80)) for c in "pq")
+    # 1 twice with one text; 2 with that text and with others, of which one has a passage of the other at another place
+    docs = [(1, passage), (1, passage), (2, passage), (3, f"{other} {other[::-1]}"), (3, f"{other[::-1]} {passage}"), (9, passage)]
+    rows = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).repartition(parts)).collect()
+    by = {i: sorted(r["text"] for r in rows if r["doc_id"] == i) for i in (1, 2, 3, 9)}
+    assert by[1] == [passage, passage] and by[2] == [""] and by[9] == [""]
+    words = " ".join(by[3]).split()
+    assert set(words) >= {*other.split(), *other[::-1].split()} and len(words) < 200
+
+
 # embeddings
 
 
