@@ -4,12 +4,13 @@ A text's words (ASCII letters and digits, A-Z lower-cased, and anything outside
 normal form. Units are pieces of paragraphs that begin where the words themselves say so: a unit
 ends where a hash of three words falls into one of some classes or is the least around, so a passage is cut alike wherever
 it is pasted, in the middle of a line too, which cutting at line ends would miss. A unit's digest
-also covers the two words after it, so that no unit is shorter than three words.
+also covers the two words after it, so that no unit is shorter than three words. Whole lines are
+units beside these, with digests of their own.
 
 A first pass over the texts gives each digest's earliest occurrence in a slice (what a slice repeats
 it flags at once, so a frequent unit leaves one row a slice, not one an occurrence). One shuffle
 by digest then flags all but the earliest ranked. A run of flagged units of at least min_words words
-is cut out of the text; the spans kept are of the original text.
+is cut out of the text, and a flagged line of any length; the spans kept are of the original text.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ from assaygrid.llm.tables import arrow_batches, without
 UNIT_WORDS = 4
 #: Words of the context that decides where a unit begins.
 CONTEXT = 3
+#: The places of lines begin here, so that they are told from those of pieces.
+LINES = 1 << 30
 #: A word whose context hash is the least of so many before and after begins a unit too.
 REACH = 12
 
+_LINE = np.uint64(0x5851F42D4C957F2D)
 _WORD = np.zeros(256, np.uint8)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -59,14 +63,15 @@ class Units:
     """The words and units of the rows of a slice."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = _LOWER[data]
+        data, self.offsets = _LOWER[data], offsets
         s, e, k = ragged.runs(_WORD[data], offsets)
         self.start, self.end = s[k == 1], e[k == 1]
         row = ragged.row_of(self.start, offsets)
         n = len(row)
         self.words = np.bincount(row, minlength=len(offsets) - 1)
+        self.word_ends = np.cumsum(self.words)
         word = ragged.hashes(data, self.start, self.end) if n else np.zeros(0, np.uint64)
-        last = np.cumsum(self.words)[row]  # the word after the row's last
+        last = self.word_ends[row]  # the word after the row's last
         at = np.arange(n)
         first = np.ones(n, bool)
         first[1:] = row[1:] != row[:-1]
@@ -79,6 +84,41 @@ class Units:
         self.digest = ragged.span_hashes(word, self.first, reach)
         # where a row's units begin
         self.head = np.searchsorted(self.row, np.arange(len(offsets)))
+        # a line begins at a row's first word and at each first word after a line end
+        ends = np.flatnonzero(data == 10)
+        line = np.searchsorted(ends, self.start)
+        fresh = first.copy()
+        fresh[1:] |= line[1:] != line[:-1]
+        self.line_first = np.flatnonzero(fresh)  # of words, by line
+        self.line_row = row[self.line_first]
+        self.line_last = np.append(self.line_first[1:], n)
+        self.line_digest = ragged.mixed(ragged.span_hashes(word, self.line_first, self.line_last) ^ _LINE)
+        self.line_head = np.searchsorted(self.line_row, np.arange(len(offsets)))
+        # the byte after the line end before it, or where its row begins
+        before = line[self.line_first] - 1
+        begin = np.where(before >= 0, ends[before] + 1, 0) if len(ends) else np.zeros(len(before), np.int64)
+        self.line_start = np.maximum(begin, offsets[self.line_row])
+
+
+    def pieces_at(self, row: int, at: np.ndarray, least: int) -> np.ndarray:
+        """First word, word after the last, first byte, byte after the last of each run of pieces at these places of a row, of least words or more."""
+        at = at[at < self.head[row + 1] - self.head[row]]
+        if not len(at):
+            return np.zeros((0, 4), np.int64)
+        heads = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+        tails = np.append(heads[1:], len(at)) - 1
+        first, last = self.first[self.head[row] + at[heads]], self.last[self.head[row] + at[tails]]
+        long = last - first >= least
+        first, last = first[long], last[long]
+        end = self.offsets[row + 1]
+        return np.stack([first, last, self.start[first], np.where(last < self.word_ends[row], np.append(self.start, end)[last], end)], 1)
+
+    def lines_at(self, row: int, at: np.ndarray, least: int) -> np.ndarray:
+        """The same of each line."""
+        at = self.line_head[row] + at[at < self.line_head[row + 1] - self.line_head[row]]
+        at = at[self.line_last[at] - self.line_first[at] >= least]
+        end = self.offsets[row + 1]
+        return np.stack([self.line_first[at], self.line_last[at], self.line_start[at], np.where(at + 1 < self.line_head[row + 1], np.append(self.line_start, end)[at + 1], end)], 1)
 
 
 def copy_of(text: str):
@@ -101,16 +141,17 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             document = np.cumsum(np.append(0, ~same.astype(bool)))
             for a, b, data, offsets in ragged.slices(batch.column(2)):
                 u = Units(data, offsets)
-                place = (np.arange(len(u.row)) - u.head[u.row]).astype(np.int32)
-                found = np.arange(len(u.row))
+                row, own = np.append(u.row, u.line_row), np.append(u.digest, u.line_digest)
+                place = np.append(np.arange(len(u.row)) - u.head[u.row], np.arange(len(u.line_row)) - u.line_head[u.line_row] + LINES).astype(np.int32)
+                found = np.arange(len(row))
                 if document[a] + b - a - 1 > document[b - 1]:  # a document stands here twice: each of its units counts once
-                    of = np.stack([document[a + u.row], place, u.digest.view(np.int64)])
+                    of = np.stack([document[a + row], place, own.view(np.int64)])
                     found = np.sort(np.unique(of, axis=1, return_index=True)[1])
-                    found = found[np.lexsort((place[found], document[a + u.row[found]]))]
-                _, first = np.unique(u.digest[found], return_index=True)
+                    found = found[np.lexsort((place[found], document[a + row[found]]))]
+                _, first = np.unique(own[found], return_index=True)
                 repeated = np.ones(len(found), bool)
                 repeated[first] = False
-                place, row, own = place[found], u.row[found], u.digest[found]
+                place, row, own = place[found], row[found], own[found]
                 # a flagged row needs no group: any digest does, and its own spreads them no worse than others
                 digest = np.where(repeated, ragged.mixed(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)), own)
                 at = pa.array(a + row)
@@ -127,13 +168,14 @@ def flagged(found: DataFrame) -> DataFrame:
     return found.withColumn("earliest", earliest).where(later).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25, min_line_words: int = 1) -> DataFrame:
     """docs with repeated passages cut out of text, n_words (before), n_removed (words) and removed.
 
     removed: array<struct<start int, end int>>, the spans cut, in code points of the original text.
     Of equal units, the one of the smallest doc_id, there the first, stays; any run of later ones
     of at least min_words words goes, whole with the white space and signs up to the next word; shorter
-    runs stay. A passage that two documents share is cut but for the pieces of units at its ends.
+    runs stay. Of equal lines (by their words) of min_line_words words or more all but the first go as
+    well, whatever min_words is, with their line ends and the lines without words that follow. A passage that two documents share is cut but for the pieces of units at its ends.
     Null texts stay null, empty ones empty; rows with a null doc_id are kept as they are and are not
     compared; rows that repeat a doc_id and its text are one document and lose the same, those of another
     text are documents of their own. Exact copies of a text of
@@ -161,26 +203,23 @@ def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     if not lists[i].is_valid:
                         continue
                     at = np.sort(np.array(lists[i].as_py(), np.int64))
-                    at = at[at < u.head[i - a + 1] - u.head[i - a]]
-                    if not len(at):
-                        continue
-                    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
-                    tails = np.append(heads[1:], len(at)) - 1
-                    first, last = u.first[u.head[i - a] + at[heads]], u.last[u.head[i - a] + at[tails]]
-                    long = last - first >= min_words
-                    if not long.any():
+                    found = [x for x in (u.pieces_at(i - a, at[at < LINES], min_words), u.lines_at(i - a, at[at >= LINES] - LINES, min_line_words)) if len(x)]
+                    if not found:
                         continue
+                    first, last, x, y = np.concatenate(found).T
+                    order = np.argsort(x, kind="stable")
+                    x, y = x[order], np.maximum.accumulate(y[order])
+                    heads = np.flatnonzero(np.append(True, x[1:] > y[:-1]))
+                    gone = np.zeros(int(last.max() - first.min()), bool)
+                    gone[ragged.expand(first - first.min(), last - first)] = True
+                    n_removed[i] = gone.sum()
                     raw = data[offsets[i - a] : offsets[i - a + 1]].tobytes()
-                    row_end = int(np.cumsum(u.words)[i - a])
                     kept, done, points = [], 0, 0
-                    for f, t in zip(first[long].tolist(), last[long].tolist(), strict=True):
-                        x = int(u.start[f] - offsets[i - a])
-                        y = int(u.start[t] - offsets[i - a]) if t < row_end else len(raw)
+                    for x, y in zip((x[heads] - offsets[i - a]).tolist(), (y[np.append(heads[1:], len(y)) - 1] - offsets[i - a]).tolist(), strict=True):
                         kept.append(raw[done:x])
                         s = points + len(raw[done:x].decode("utf-8", "replace"))
                         points = s + len(raw[x:y].decode("utf-8", "replace"))
                         spans[i].append({"start": s, "end": points})
-                        n_removed[i] += t - f
                         done = y
                     kept.append(raw[done:])
                     changed[i] = b"".join(kept).decode("utf-8", "replace")

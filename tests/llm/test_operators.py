@@ -210,6 +210,24 @@ def test_repeated_rows_keep_their_text(spark, parts):
     assert set(words) >= {*other.split(), *other[::-1].split()} and len(words) < 200
 
 
+def test_later_copies_of_lines_go(spark):
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    shared = [line(n) for n in (1, 2, 5, 9, 24, 40)]
+    docs = [(0, "\n".join([line(30), *shared]))]
+    for i in range(1, 9):
+        docs.append((i, "\r\n".join(x for s in shared for x in (line(rnd.randrange(1, 40)), "", f"- {s.upper()}!", "---", s))))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == docs[0][1] and got[0]["n_removed"] == 0
+    for i, t in docs[1:]:
+        own = [x for x in t.split("\r\n") if x and x != "---" and x.lower().strip("- !") not in shared]
+        assert [x for x in got[i]["text"].split("\r\n") if x] == own
+        assert got[i]["n_removed"] == 2 * sum(len(s.split()) for s in shared)
+        assert sum(s["end"] - s["start"] for s in got[i]["removed"]) == len(t) - len(got[i]["text"])
+    longer = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), min_line_words=9).where("doc_id = 8").first()
+    assert longer["n_removed"] == 2 * (9 + 24 + 40)
+
+
 # embeddings
 
 
