@@ -307,56 +307,94 @@ def grouped_fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, time
     return best
 
 
-def mixture(df: DataFrame, y: str, x: list[str], most: int = 5, rounds: int = 30, seed: int = 42) -> dict:
+def mixture(df: DataFrame, y: str, x: list[str], time: str, most: int = 5, rounds: int = 100, seed: int = 42, tol: float = 1e-4) -> dict:
     """MD17: a mixture of linear regressions by expectation-maximization; K of 2 to most by the least BIC.
 
-    A round is one pass: responsibilities and weighted Grams are summed in the workers and solved on the driver.
+    Regimes have a softmax gate on the inputs, slopes (least squares at each time, averaged by weight) and an effect of
+    each time. Inputs are standardized. A K ends when the log-likelihood moves by less than tol, or after rounds; one
+    whose regime loses all its weight is left out. A round is one pass for every K: responsibilities and weighted
+    Grams by time are summed in the workers and solved on the driver.
     """
     import pyarrow as pa
 
-    rows = df.select(*[_d(c).alias(c) for c in (*x, y)]).na.drop()
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (*x, y)], *[F.stddev_pop(c).alias(f"s_{c}") for c in (*x, y)]).first()
-    n, p = stats["n"], len(x) + 1
-    scaled = rows.select(*[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(c) for c in (*x, y)])
-    best: dict = {}
+    rows = df.select(*[_d(c).alias(f"_v{i}") for i, c in enumerate((*x, y, time))]).na.drop()
+    p = len(x)
+    stats = rows.agg(F.count("*").alias("n"), *[F.avg(f"_v{i}").alias(f"m{i}") for i in range(p)], *[F.stddev_pop(f"_v{i}").alias(f"s{i}") for i in range(p)]).first()
+    n = stats["n"]
+    if n < 20:
+        raise ValueError(f"{n} complete rows, 20 are needed")
+    times = np.array([r[0] for r in rows.select(f"_v{p + 1}").distinct().collect()])
+    times.sort()
+    scaled = rows.select(*[((F.col(f"_v{i}") - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0)).alias(f"_v{i}") for i in range(p)], f"_v{p}", f"_v{p + 1}").persist()
     rng = np.random.default_rng(seed)
-    for k in range(2, most + 1):
-        if n < 10 * k:
+    q, tiny = p + 2, 1e-10
+    # of each K: gate, slopes, effects of times, variances
+    now = {k: (rng.normal(0, 0.1, (k, p)), rng.normal(0, 0.1, (k, p)), np.zeros((k, len(times))), np.ones(k)) for k in range(2, most + 1)}
+    last, done = dict.fromkeys(now, -math.inf), {}
+
+    def sums(batches, now):
+        total = {k: (np.zeros((len(times), k, q * q)), np.zeros(k * p + 1)) for k in now}
+        for batch in batches:
+            v = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(q)])
+            if not len(v):
+                continue
+            v = v[np.argsort(v[:, -1], kind="stable")]
+            t = np.searchsorted(times, v[:, -1])
+            heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            a = v[:, :p]
+            z = np.column_stack([np.ones(len(v)), v[:, : p + 1]])
+            zz = (z[:, :, None] * z[:, None, :]).reshape(len(v), -1)
+            for k, (gate, slopes, effects, variances) in now.items():
+                logits = a @ gate.T
+                logits -= logits.max(1, keepdims=True)
+                share = np.exp(logits)
+                share /= share.sum(1, keepdims=True)
+                e = v[:, p : p + 1] - a @ slopes.T - effects[:, t].T
+                density = -0.5 * np.log(2 * np.pi * variances) - 0.5 * e * e / variances
+                with np.errstate(divide="ignore"):
+                    total[k][1][-1] += np.logaddexp(np.logaddexp.reduce(np.log(share) + density, axis=1), math.log(tiny)).sum()
+                r = np.log(share + tiny) + density
+                r = np.exp(r - r.max(1, keepdims=True))
+                r /= r.sum(1, keepdims=True)
+                total[k][0][t[heads]] += np.add.reduceat(r[:, :, None] * zz[:, None, :], heads)
+                total[k][1][:-1] += ((r * np.log(r + tiny)).T @ a).ravel()
+        flat = np.concatenate([part.ravel() for k in now for part in total[k]])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "v"])
+
+    for turn in range(rounds + 1):
+        if not now:
             break
-        b, s2, w = rng.normal(0, 0.5, (k, p)), np.ones(k), np.full(k, 1 / k)
-        last = -math.inf
-        for _ in range(rounds):
-            def partial(batches, b=b, s2=s2, w=w):
-                total, ll = np.zeros((k, p + 1, p + 1)), 0.0
-                for batch in batches:
-                    v = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)])
-                    z = np.column_stack([np.ones(len(v)), v])
-                    e = z[:, -1:] - z[:, :-1] @ b.T
-                    lp = np.log(w) - 0.5 * np.log(2 * np.pi * s2) - e * e / (2 * s2)
-                    top = lp.max(1, keepdims=True)
-                    r = np.exp(lp - top)
-                    ll += float((top[:, 0] + np.log(r.sum(1))).sum())
-                    r /= r.sum(1, keepdims=True)
-                    total += np.einsum("nk,ni,nj->kij", r, z, z)
-                flat = np.append(total.ravel(), ll)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["at", "v"])
-
-            got = np.zeros(k * (p + 1) ** 2 + 1)
-            for r in scaled.mapInArrow(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # k (p + 1)^2 numbers
-                got[r["at"]] = r["v"]
-            m, ll = got[:-1].reshape(k, p + 1, p + 1), got[-1]
-            for j in range(k):
-                b[j] = np.linalg.pinv(m[j, :p, :p]) @ m[j, :p, p]
-                c = np.append(-b[j], 1.0)
-                s2[j] = max(float(c @ m[j] @ c) / max(m[j, 0, 0], 1e-9), 1e-6)
-                w[j] = max(m[j, 0, 0] / n, 1e-9)
-            if abs(ll - last) < 1e-6 * n:
-                break
-            last = ll
-        bic = -2 * ll + (k * (p + 1) + k - 1) * math.log(n)
-        if not best or bic < best["bic"]:
-            best = {"k": k, "bic": float(bic), "weights": w.tolist(), "coefficients": b.tolist(), "log_likelihood": float(ll)}
-    return best
+        got = np.zeros(sum(len(times) * k * q * q + k * p + 1 for k in now))
+        for r in scaled.mapInArrow(lambda batches, now=now: sums(batches, now), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # (p + 2)^2 numbers a time and regime
+            got[r["at"]] = r["v"]
+        following = {}
+        for k, (gate, slopes, effects, variances) in now.items():
+            m, rest, got = got[: len(times) * k * q * q].reshape(-1, k, q, q), got[len(times) * k * q * q :][: k * p + 1], got[len(times) * k * q * q + k * p + 1 :]
+            ll, w = float(rest[-1]), m[:, :, 0, 0]
+            if not math.isfinite(ll):
+                continue
+            # the first pass sees the starting values, whose likelihood counts for nothing
+            if turn and abs(ll - last[k]) < tol or turn == rounds:
+                done[k] = {"k": k, "bic": -2 * ll + (2 * k * p + k * len(times) + k) * math.log(n), "aic": -2 * ll + 2 * (2 * k * p + k * len(times) + k), "log_likelihood": ll, "converged": abs(ll - last[k]) < tol, "n_iterations": turn, "weights": (w.sum(0) / n).tolist(), "gate": gate.tolist(), "coefficients": slopes.tolist(), "time_effects": [dict(zip(times.tolist(), e, strict=True)) for e in effects.tolist()]}
+                continue
+            if turn:
+                last[k] = ll
+            if not (w.sum(0) > 0).all():
+                continue
+            small = 1e-6 * np.eye(p)
+            gate = np.stack([np.linalg.solve(m[:, j, 1:-1, 1:-1].sum(0) + small, rest[j * p : (j + 1) * p]) for j in range(k)])
+            each = np.linalg.solve(m[:, :, 1:-1, 1:-1] + small, m[:, :, 1:-1, -1:])[..., 0]  # time, regime, input
+            slopes = (each * w[..., None]).sum(0) / (w.sum(0)[:, None] + tiny)
+            effects = np.divide(m[:, :, 0, -1] - (m[:, :, 0, 1:-1] * each).sum(-1), w, out=np.zeros_like(w), where=w > 0).T
+            c = np.concatenate([-effects.T[..., None], np.broadcast_to(-slopes, (len(times), k, p)), np.ones((len(times), k, 1))], -1)
+            variances = np.maximum(np.einsum("tki,tkij,tkj->k", c, m, c) / w.sum(0), 1e-12)
+            following[k] = gate, slopes, effects, variances
+        now = following
+    scaled.unpersist()
+    if not done:
+        raise ValueError("no K could be fitted")
+    return min(done.values(), key=lambda f: f["bic"])
 
 
 def anova(df: DataFrame, y: str, group: str, least: int = 3) -> DataFrame:

@@ -507,7 +507,7 @@ def grouped_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mixture_of_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = models.mixture(daily(spark, sf_dir), "total", ["c1", "c2"], most=3, rounds=12)
+    f = models.mixture(daily(spark, sf_dir), "total", ["c1", "c2"], "day")
     return spark.createDataFrame([(f["k"], f["bic"], f["log_likelihood"], f["weights"])], "k int, bic double, log_likelihood double, weights array<double>")
 
 

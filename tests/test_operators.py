@@ -124,3 +124,47 @@ def test_results_store(spark):
     assert m == {"a": 0.0, "b": 1.0}
     for name, ddl in results.SCHEMAS.items():
         assert spark.createDataFrame([], ddl).count() == 0, name
+
+
+def test_mixture_has_gate_time_effects_and_four_regimes(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1200):
+        a, t, g = rng.normal(), i % 3, i % 4
+        # a gate on a: the sign of a tells regimes 0, 1 from 2, 3
+        a = abs(a) * (1 if g < 2 else -1)
+        rows.append((float(a), float(t), float([3, -3, 3, -3][g] * a + [0, 8, 16, 24][g] + [0, 2, -2][t] * (g + 1) + rng.normal(0, 0.3))))
+    df = spark.createDataFrame(rows, "a double, t double, y double").repartition(3)
+    f = models.mixture(df, "y", ["a"], "t", most=4, rounds=15, seed=1)
+    # the same rounds over all rows at once
+    v = np.array(rows)
+    z, t, y = (v[:, :1] - v[:, :1].mean()) / v[:, :1].std(), v[:, 1].astype(int), v[:, 2]
+    rnd, fits = np.random.default_rng(1), []
+    for k in (2, 3, 4):
+        w, b, e, s = rnd.normal(0, 0.1, (k, 1)), rnd.normal(0, 0.1, (k, 1)), np.zeros((k, 3)), np.ones(k)
+        last = -np.inf
+        for _ in range(15):
+            pi = np.exp(z @ w.T) / np.exp(z @ w.T).sum(1, keepdims=True)
+            r = np.log(pi + 1e-10) - 0.5 * np.log(2 * np.pi * s) - 0.5 * (y[:, None] - z @ b.T - e.T[t]) ** 2 / s
+            r = np.exp(r - r.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+            for j in range(k):
+                g = r[:, j]
+                w[j] = (z[:, 0] * g * np.log(g + 1e-10)).sum() / ((z[:, 0] ** 2 * g).sum() + 1e-6)
+                b[j] = 0
+                for i in range(3):
+                    at = t == i
+                    bt = (z[at, 0] * g[at] * y[at]).sum() / ((z[at, 0] ** 2 * g[at]).sum() + 1e-6)
+                    e[j, i] = np.average(y[at] - z[at, 0] * bt, weights=g[at])
+                    b[j] += bt * g[at].sum() / (g.sum() + 1e-10)
+                s[j] = np.average((y - z[:, 0] * b[j] - e[j, t]) ** 2, weights=g)
+            pi = np.exp(z @ w.T) / np.exp(z @ w.T).sum(1, keepdims=True)
+            ll = np.log((pi * np.exp(-0.5 * (y[:, None] - z @ b.T - e.T[t]) ** 2 / s) / np.sqrt(2 * np.pi * s)).sum(1) + 1e-10).sum()
+            if abs(ll - last) < 1e-4:
+                break
+            last = ll
+        fits.append((-2 * ll + (3 * k + 3 * k) * np.log(len(y)), k, ll, w.copy(), b.copy(), e.copy()))
+    bic, k, ll, w, b, e = min(fits, key=lambda f: f[0])
+    assert f["k"] == k and abs(f["bic"] - bic) < 1e-3 and abs(f["log_likelihood"] - ll) < 1e-3
+    assert np.allclose(f["gate"], w, atol=1e-4) and np.allclose(f["coefficients"], b, atol=1e-4)
+    assert np.allclose([[d[i] for i in range(3)] for d in f["time_effects"]], e, atol=1e-4)
