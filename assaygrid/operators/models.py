@@ -8,9 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaygrid.functions.stats import adf, chi2_sf, f_sf, shapiro, t_sf2
 from assaygrid.operators.profile import safe_corr
@@ -264,46 +266,68 @@ def elastic_net(df: DataFrame, y: str, x: list[str], alpha: float = 0.01, l1: fl
     return {"coefficients": dict(zip(x, m.coefficients.toArray().tolist(), strict=True)), "intercept": m.intercept, "r_squared": m.summary.r2}
 
 
+def _profiles(residual: DataFrame, n_times: int) -> DataFrame:
+    """e, features: the means of u by entity over all times (ti: 0 to n_times - 1); missing ones take the time's mean."""
+    import pyarrow as pa
+
+    means = np.zeros(n_times)
+    for r in residual.groupBy("ti").agg(F.avg("u").alias("m")).collect():  # a number a time
+        means[r["ti"]] = r["m"]
+    cells = residual.groupBy("e", "ti").agg(F.avg("u").alias("u")).groupBy("e").agg(F.collect_list("ti").alias("ti"), F.collect_list("u").alias("u"))
+
+    def dense(batches):
+        for batch in batches:
+            at, u = batch.column(1), batch.column(2)
+            v = np.tile(means, (batch.num_rows, 1))
+            v[np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = u.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], ["e", "p"])
+
+    wide = cells.mapInArrow(dense, T.StructType([residual.schema["e"], T.StructField("p", T.ArrayType(T.DoubleType()))]))
+    return wide.select("e", array_to_vector("p").alias("features"))
+
+
 def grouped_fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, time: str, most: int = 5, rounds: int = 20, seed: int = 42) -> dict:
     """MD16: entities in K groups with time effects of their own: fit, cluster residual profiles, fit with group and time means, until groups stay.
 
-    K of 2 to most by the least BIC. Profiles are means by entity and time; missing times take the time's mean.
+    K of 2 to most by the least BIC. Profiles are means by entity and time, over all times; missing times take the time's mean.
     """
     rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{time}`").alias("t"), *[_d(c).alias(c) for c in (*x, y)]).na.drop()
-    times = [r[0] for r in rows.select("t").distinct().orderBy("t").limit(200).collect()]  # of a panel's design
+    times = rows.select("t").distinct()
+    # few values beside the rows: one task ranks them
+    rows = rows.join(F.broadcast(times.select("t", (F.row_number().over(Window.orderBy("t")) - 1).alias("ti"))), "t").persist()
+    n_times = times.count()
     entities = rows.select("e").distinct().count()
     n = rows.count()
     best: dict = {}
+    start = solve(gram(rows, [*x, y]), y, tuple(x))
     for k in range(2, min(most, entities - 1) + 1):
-        fit = solve(gram(rows, [*x, y]), y, tuple(x))
+        fit = start
         if fit is None:
             break
-        line = sum((F.lit(fit.coefficients[c]) * F.col(c) for c in x), F.lit(0.0))
-        groups, before = None, None
-        for _ in range(rounds):
-            residual = rows.withColumn("u", F.col(y) - line)
-            wide = residual.groupBy("e").pivot("t", times).agg(F.avg("u"))
-            means = {str(t): v for t, v in residual.groupBy("t").agg(F.avg("u").alias("m")).collect()}
-            names = [c for c in wide.columns if c != "e"]
-            filled = wide.select("e", *[F.coalesce(F.col(f"`{c}`"), F.lit(means.get(c, 0.0))).alias(f"p{i}") for i, c in enumerate(names)])
-            data = VectorAssembler(inputCols=[f"p{i}" for i in range(len(names))], outputCol="features").transform(filled)
+        before, settled, turn = None, False, 0
+        for turn in range(1, rounds + 1):
+            line = sum((F.lit(fit.coefficients[c]) * F.col(c) for c in x), F.lit(0.0))
+            data = _profiles(rows.withColumn("u", F.col(y) - line), n_times).persist()
             groups = KMeans(k=k, seed=seed).fit(data).transform(data).select("e", F.col("prediction").alias("g"))
             joined = rows.join(groups, "e")
             over = Window.partitionBy("g", "t")
             flat = joined.select(*[(F.col(c) - F.avg(c).over(over)).alias(c) for c in (*x, y)])
             fit = solve(gram(flat, [*x, y]), y, tuple(x))
+            data.unpersist()
             if fit is None:
                 break
-            line = sum((F.lit(fit.coefficients[c]) * F.col(c) for c in x), F.lit(0.0))
+            # equal groups give equal slopes
             now = [round(v, 6) for v in fit.coefficients.values()]
-            if now == before:
+            settled = now == before
+            if settled:
                 break
             before = now
         if fit is None:
             continue
-        bic = n * math.log(max(fit.sse, 1e-300) / n) + (k * len(times) + len(x) + entities) * math.log(n)
+        bic = n * math.log(max(fit.sse, 1e-300) / n) + (k * n_times + len(x) + entities) * math.log(n)
         if not best or bic < best["bic"]:
-            best = {"k": k, "bic": bic, "coefficients": {c: fit.coefficients[c] for c in x}, "sse": fit.sse}
+            best = {"k": k, "bic": bic, "coefficients": {c: fit.coefficients[c] for c in x}, "sse": fit.sse, "n_times": n_times, "converged": settled, "n_iterations": turn}
+    rows.unpersist()
     return best
 
 

@@ -168,3 +168,13 @@ def test_mixture_has_gate_time_effects_and_four_regimes(spark):
     assert f["k"] == k and abs(f["bic"] - bic) < 1e-3 and abs(f["log_likelihood"] - ll) < 1e-3
     assert np.allclose(f["gate"], w, atol=1e-4) and np.allclose(f["coefficients"], b, atol=1e-4)
     assert np.allclose([[d[i] for i in range(3)] for d in f["time_effects"]], e, atol=1e-4)
+
+
+def test_groups_that_differ_after_200_times(spark):
+    rng = np.random.default_rng(4)
+    # four groups that only differ at the last of 230 times
+    rows = [(e, t, a, float(2 * a + (30 * (e % 4) if t >= 205 else 0) + rng.normal(0, 0.1))) for e in range(16) for t in range(230) for a in [float(rng.normal())] if (e + t) % 7]
+    df = spark.createDataFrame(rows, "e long, t long, a double, y double")
+    f = models.grouped_fixed_effects(df, "y", ["a"], "e", "t", most=4, rounds=4)
+    assert f["n_times"] == 230 and f["k"] == 4 and f["converged"]
+    assert abs(f["coefficients"]["a"] - 2) < 0.01 and f["sse"] < 0.02 * len(rows)
