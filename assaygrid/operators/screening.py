@@ -261,6 +261,58 @@ def auxiliary_tests(df: DataFrame, fit: Fit) -> dict:
     return out
 
 
+def auxiliary_batch(df: DataFrame, fits: list[Fit], g: Gram) -> list[dict]:
+    """auxiliary_tests of many fits from one pass: a Gram matrix of 1, x, residual, its square and the squared fit for each."""
+    if not fits:
+        return []
+    variables = sorted({v for f in fits for v in (*f.x, f.y)})
+    of = {v: (g.shift[g.variables.index(v)], g.scale[g.variables.index(v)]) for v in variables}
+    shared = [(f.y, f.x, np.array([f.coefficients[k] for k in ("const", *f.x)]), math.sqrt(f.sse / f.n) or 1.0) for f in fits]
+    rows = df.select(*[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(x) + 4, len(x) + 4)) for _, x, _, _ in shared]
+        for batch in batches:
+            data = {v: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
+            for m, (y, x, b, s) in zip(total, shared, strict=True):
+                z = np.column_stack([data[v] for v in (*x, y)])
+                z = z[np.isfinite(z).all(1)]
+                fitted = b[0] + z[:, :-1] @ b[1:]
+                e = (z[:, -1] - fitted) / s
+                # a shift of the fit changes nothing: x spans what it adds
+                w = np.column_stack([np.ones(len(z)), *[(z[:, i] - of[v][0]) / of[v][1] for i, v in enumerate(x)], e, e**2, ((fitted - of[y][0]) / of[y][1]) ** 2])
+                m += w.T @ w
+        flat = [m.ravel() for m in total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(flat), dtype=np.int32), [len(m) for m in flat])), pa.array(np.concatenate([np.arange(len(m), dtype=np.int32) for m in flat])), pa.array(np.concatenate(flat))], ["fit", "at", "v"])
+
+    sums = [np.zeros((len(f.x) + 4) ** 2) for f in fits]
+    for r in rows.mapInArrow(summed, "fit int, at int, v double").groupBy("fit", "at").agg(F.sum("v").alias("v")).toLocalIterator():  # (k + 4)^2 numbers a fit
+        sums[r["fit"]][r["at"]] = r["v"]
+
+    def least(m: np.ndarray, x: list[int], y: int) -> tuple[int, float, float]:
+        """Rank, squared errors and squares about the mean of a fit with an intercept."""
+        c = m - np.outer(m[0], m[0]) / m[0, 0]
+        sxx, sxy = c[np.ix_(x, x)], c[x, y]
+        values, axes = np.linalg.eigh(sxx)
+        good = values > 1e-10 * max(values.max(), 1e-300)
+        along = axes[:, good].T @ sxy
+        return int(good.sum()), max(float(c[y, y] - (along**2 / values[good]).sum()), 0.0), float(c[y, y])
+
+    out = []
+    for f, v in zip(fits, sums, strict=True):
+        k = len(f.x)
+        m, x = v.reshape(k + 4, k + 4), list(range(1, k + 1))
+        n, e, e2, f2 = m[0, 0], k + 1, k + 2, k + 3
+        _, sse, sst = least(m, x, e2)
+        d = {"breusch_pagan_p": chi2_sf(n * (1 - sse / sst), k) if sst > 1e-12 * n else None, "reset_p": None}
+        rank, sse, sst = least(m, [*x, f2], e)
+        d2 = n - rank - 1
+        if rank > f.rank and sse > 0 and d2 > 0:
+            d["reset_p"] = f_sf(max(sst - sse, 0.0) / (sse / d2), 1, d2)
+        out.append(d)
+    return out
+
+
 def composite(bp: float | None, dw: float | None, vif: float | None, jb: float | None, reset: float | None) -> float:
     """DG9: the weight of passed tests among those there are; 0.5 without any."""
     checks = ((bp, lambda v: v > 0.05, 0.28), (dw, lambda v: 1.5 < v < 2.5, 0.22), (vif, lambda v: v < 5, 0.22), (jb, lambda v: v > 0.05, 0.15), (reset, lambda v: v > 0.05, 0.13))
@@ -310,7 +362,7 @@ def screen(df: DataFrame, inputs: list[str], outcomes: list[str], row_id: str, t
     """SE4: the best models of each regime: regime, rank, y_col, x_cols, model_class, n, r_squared, adj_r_squared, max_vif, coefficients, p_values, diagnostic_score, score.
 
     FL5, FL7: regimes of 12 or more rows, fits of R2 0.06 or more. One Gram pass for all candidates of all regimes;
-    with_residuals adds a pass over each regime's survivors for the composite of their diagnostics.
+    with_residuals adds two passes over each regime's survivors for the composite of their diagnostics.
     """
     spark = df.sparkSession
     variables = list(dict.fromkeys([*inputs, *([time] if time else []), *outcomes]))
@@ -322,9 +374,10 @@ def screen(df: DataFrame, inputs: list[str], outcomes: list[str], row_id: str, t
         fits = [f for c in candidates([*inputs, *([time] if time else [])], outcomes, time=time) if not correlated(g, tuple(v for v in c.x if v != time), group) and (f := solve(g, c.y, c.x, group)) and f.r_squared >= MIN_R2]
         part = df.where(F.col(f"`{regime}`").cast("string") == group[0]) if regime else df
         tests = residual_tests(part, fits, row_id) if with_residuals and fits else [None] * len(fits)
+        more = auxiliary_batch(part, fits, g) if with_residuals else [None] * len(fits)
         rows = []
-        for f, t in zip(fits, tests, strict=True):
-            score = composite(None, t["durbin_watson"], f.max_vif, t["jarque_bera_p"], None) if t else 0.5
+        for f, t, a in zip(fits, tests, more, strict=True):
+            score = composite(a["breusch_pagan_p"], t["durbin_watson"], f.max_vif, t["jarque_bera_p"], a["reset_p"]) if t else 0.5
             rows.append({"y_col": f.y, "x_cols": list(f.x), "fit": f, "diagnostic_score": score, "score": f.r_squared * score})
         for rank, r in enumerate(quota_rank(rows, time, top), 1):
             f = r["fit"]

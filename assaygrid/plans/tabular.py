@@ -362,7 +362,7 @@ def quota_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def regime_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = experiment(spark, sf_dir).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
-    return screening.screen(e, ["l_quantity", "l_tax", "p_size", "p_retailprice"], ["response"], "row_id", regime="l_returnflag", with_residuals=False)
+    return screening.screen(e, ["l_quantity", "l_tax", "p_size", "p_retailprice"], ["response"], "row_id", regime="l_returnflag")
 
 
 @query("SELECT round(regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 1), 6) + 0.0 AS slope FROM lineitem")

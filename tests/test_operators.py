@@ -178,3 +178,27 @@ def test_groups_that_differ_after_200_times(spark):
     f = models.grouped_fixed_effects(df, "y", ["a"], "e", "t", most=4, rounds=4)
     assert f["n_times"] == 230 and f["k"] == 4 and f["converged"]
     assert abs(f["coefficients"]["a"] - 2) < 0.01 and f["sse"] < 0.02 * len(rows)
+
+
+def test_candidates_are_scored_by_all_five_tests(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(50, 3, 500), rng.normal(size=500)
+    # errors that spread with a, and a curve in b: no fit with a passes Breusch-Pagan, no fit with b RESET
+    y = a + 2 * b + 1.5 * b**2 + rng.normal(size=500) * np.exp((a - 50) / 4)
+    rows = [(i, float(p), float(q) if i % 9 else None, float(r)) for i, (p, q, r) in enumerate(zip(a, b, y, strict=True))]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, y double").repartition(3)
+    g = screening.gram(df, ["a", "b", "y"])
+    fits = [screening.solve(g, "y", x) for x in (("a",), ("b",), ("a", "b"))]
+    for f, got in zip(fits, screening.auxiliary_batch(df, fits, g), strict=True):
+        want = screening.auxiliary_tests(df, f)
+        assert got["breusch_pagan_p"] == pytest.approx(want["breusch_pagan_p"], rel=1e-5, abs=1e-12)
+        assert got["reset_p"] == pytest.approx(want["reset_p"], rel=1e-5, abs=1e-12)
+    residual = screening.residual_tests(df, fits, "row_id")
+    want = {}
+    for f, t in zip(fits, residual, strict=True):
+        aux = screening.auxiliary_tests(df, f)
+        want[f.x] = screening.composite(aux["breusch_pagan_p"], t["durbin_watson"], f.max_vif, t["jarque_bera_p"], aux["reset_p"])
+    out = {tuple(r["x_cols"]): r["diagnostic_score"] for r in screening.screen(df, ["a", "b"], ["y"], "row_id").collect()}
+    assert out == {x: want[x] for x in out} and len(out) == 3
+    old = {f.x: screening.composite(None, t["durbin_watson"], f.max_vif, t["jarque_bera_p"], None) for f, t in zip(fits, residual, strict=True)}
+    assert out != old
