@@ -202,3 +202,17 @@ def test_candidates_are_scored_by_all_five_tests(spark):
     assert out == {x: want[x] for x in out} and len(out) == 3
     old = {f.x: screening.composite(None, t["durbin_watson"], f.max_vif, t["jarque_bera_p"], None) for f, t in zip(fits, residual, strict=True)}
     assert out != old
+
+
+def test_trees_fit_all_rows_whatever_their_layout(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    rows = [(float(a), float(b), float(3 * (a > 0) + b + rng.normal(0, 0.2))) for a, b in x]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    one, many = (models.tree_model(d, "y", ["a", "b"], "gbt", maxIter=3, maxDepth=2, stepSize=1.0) for d in (df.coalesce(1), df.repartition(7, "b")))
+    assert abs(one["cv_r2"] - many["cv_r2"]) < 1e-6 and abs(one["r_squared"] - many["r_squared"]) < 1e-6
+    data = models._assembled(df, "y", ["a", "b"])
+    got = np.array([(r["label"], r["prediction"]) for r in models.GBTRegressor(seed=42, maxIter=3, maxDepth=2, stepSize=1.0).fit(data).transform(data).collect()])
+    y, e = got[:, 0], got[:, 0] - got[:, 1]
+    assert len(y) == 300 and abs(one["r_squared"] - (1 - (e**2).sum() / ((y - y.mean()) ** 2).sum())) < 1e-6
+    assert one["gap"] == one["r_squared"] - one["cv_r2"]
