@@ -78,6 +78,8 @@ class Ids:
         if end > len(self.ids):
             self.ids = np.resize(self.ids, 2 * end)
         self.ids[self.filled : end] = ids
+        if at + len(units) > len(self.heads):
+            self.heads, self.sizes = (np.resize(x, 2 * (at + len(units))) for x in (self.heads, self.sizes))
         self.sizes[at : at + len(units)] = sizes
         self.heads[at : at + len(units)] = self.filled + np.cumsum(sizes) - sizes
         self.filled = end

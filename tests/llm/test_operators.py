@@ -300,6 +300,16 @@ def test_closest_fill_is_closest():
         assert all(c <= counts[lengths.index(n)] for n, c in used.items())
 
 
+def test_units_beyond_the_room_for_them(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10 - (1 << 19))
+    ids = packing.Ids(queries.tokenizer_path("word_bpe_49k.json"))
+    units = [f"u{i}".encode() for i in range(40)]
+    for part in (units[:25], units):
+        numbers = ids.look(part, [True] * len(part))
+        got = [ids.ids[ids.heads[i] : ids.heads[i] + ids.sizes[i]].tolist() for i in numbers]
+        assert got == [ids.library.encode(u.decode(), add_special_tokens=False).ids for u in part]
+
+
 def test_pieces_hold_the_ids(odd, empty):
     from tokenizers import Tokenizer
 
