@@ -3,7 +3,10 @@
 A page is cut into flat blocks of text at block-level tags. A block's features are its number of words
 and link density, those of the blocks before and after, whether it is a heading, and the container it
 stands in (none, an article, page furniture, an article's own header). The tree is grown from the
-labelled table below. Blocks that it takes for main text are joined by line ends.
+labelled table below and nothing else. Blocks that it takes for main text are joined by line ends.
+
+A container counts as furniture by its tag or by names in its class, id or role. A name alone proves
+little: a container that holds the page's only article, or its headline and most of its words, is none.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 
 from assaygrid.llm.tables import arrow_batches, without
 
-NONE, ARTICLE, FURNITURE, HEADER = range(4)
+NONE, ARTICLE, FURNITURE, HEADER, HIDDEN = range(5)
 
 # Names of HTML elements by what they mean here.
 BLOCKS = frozenset(
@@ -34,13 +37,19 @@ RAW = frozenset(["script", "style", "textarea", "title", "noscript", "template",
 FURNITURE_TAGS = frozenset("nav aside footer form head button select dialog menu search audio video fieldset datalist".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark page furniture, and those that mark the article.
+#: Names of page furniture, as a whole class, id or role or as the last part of one (site-footer); of these, some as the first part too (ad-slot).
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright "
     "dialog disclaimer disqus feedback footer foot form gdpr header login masthead menu menubar modal nav navbar navigation navigations newsletter notice notices notification overlay "
     "pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored "
     "subscribe subscription tags teaser toc toolbar topbar widget widgets complementary contentinfo alert alertdialog".split()
 )
+FIRST_WORDS = frozenset(
+    "ad ads advert advertisement breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer gdpr login masthead menu nav navbar navigation newsletter notice "
+    "pagination paywall popup promo related share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser topbar".split()
+)
+#: First parts of names that say something about what a container holds, not what it is (has-sidebar).
+ABOUT = frozenset("has with without no is not hide show".split())
 #: Whole class names and ids that mark the article.
 ARTICLE_NAMES = frozenset(
     "article article-body article-content article-text articlebody body-content content entry entry-content main main-content page-content post post-body post-content story story-body".split()
@@ -60,12 +69,20 @@ LABELLED = """
 12 0.60 20 0.10 18 0.00 1 0 1 1
 70 0.02  8 0.00  4 1.00 1 0 1 1
  3 1.00  2 1.00  2 1.00 1 0 1 1
+14 0.00  0 0.00  0 0.00 1 0 1 1
+ 9 0.00  1 1.00 60 0.00 1 1 1 1
+ 6 0.00 90 0.00  7 0.00 1 0 1 1
+35 1.00 40 0.00 45 0.00 1 0 1 1
  1 1.00  1 1.00  1 1.00 2 0 1 0
  9 0.00  1 1.00 11 0.00 2 0 1 0
 30 0.00 40 0.00 28 0.00 2 0 1 0
 60 0.05 20 0.00 30 0.00 2 0 1 0
  6 0.00 10 0.00 30 0.00 2 1 1 0
 14 0.20 50 0.00  0 0.00 2 0 1 0
+ 8 0.00  1 1.00 12 0.00 2 0 1 0
+12 0.00 70 0.00  0 0.00 2 0 1 0
+ 2 1.00 45 0.00  3 1.00 2 0 1 0
+40 0.00 35 0.00 50 0.00 2 0 1 0
  7 0.00  5 1.00 30 0.00 3 1 1 1
  6 0.00  7 0.00 30 0.00 3 0 1 0
  4 0.50  7 0.00 30 0.00 3 0 1 0
@@ -79,6 +96,7 @@ LABELLED = """
 40 0.00  3 1.00  8 0.00 0 0 1 0
 25 0.10 12 0.00 20 0.00 0 1 1 0
  2 1.00  2 1.00  2 1.00 0 0 1 0
+ 8 0.00  0 0.00 30 0.00 0 0 1 0
 45 0.00 38 0.00 42 0.00 0 0 0 1
 60 0.05  7 0.00 55 0.02 0 0 0 1
 25 0.10 40 0.00 30 0.10 0 0 0 1
@@ -110,6 +128,8 @@ LABELLED = """
 10 0.00 60 0.00  5 0.00 2 0 0 0
 40 0.00 60 0.00 30 0.00 2 0 0 0
 25 0.10  8 0.00 12 0.00 2 1 0 0
+30 0.00 25 0.00 45 0.00 2 0 0 0
+ 7 0.00  0 0.00  1 1.00 2 0 0 0
 """
 
 
@@ -151,11 +171,6 @@ def decide(node: Node, row: list[float]) -> bool:
 @lru_cache
 def tree() -> Node:
     table = np.array([line.split() for line in LABELLED.strip().splitlines()], float)
-    # inside an article or page furniture the label holds whatever the shape: the same rows at every shape of the grid
-    shapes = [(w, d) for w in (1, 4, 16, 64, 256) for d in (0, 0.4, 1)]
-    around = [(1, 1), (6, 0), (40, 0), (0, 0)]
-    sure = [[*a, *b, *c, kind, h, 1, kind == ARTICLE] for a in shapes for b in around for c in around for kind in (ARTICLE, FURNITURE) for h in (0, 1)]
-    table = np.concatenate([table, np.array(sure, float)])
     # containers are kinds, not amounts: a column for each
     kinds = table[:, 6:7] == np.arange(4)
     return grow(np.column_stack([table[:, :6], kinds, table[:, 7:9]]), table[:, 9] > 0)
@@ -170,48 +185,104 @@ class Block:
     heading: bool
 
 
-def _kind(tag: str, attributes: str, inside: int) -> int:
-    """What a container of the tag is, inside one of a kind."""
-    words: set[str] = set()
-    names: set[str] = set()
-    role = ""
+def _furniture(name: str) -> bool:
+    """Whether a whole class, id or role names page furniture."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    return name.lower() in FURNITURE_WORDS or bool(parts) and parts[0] not in ABOUT and (parts[-1] in FURNITURE_WORDS or parts[0] in FIRST_WORDS)
+
+
+def _kind(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
+    """What a container of the tag is, inside one of a kind; and whether it claims to be the article."""
+    names: list[str] = []
+    role, part = "", ""
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id", "role", "itemprop", "data-component"):
-                words |= {w.lower() for w in _PART.findall(value)} | {value.lower()}
-                names |= set(value.lower().split()) if name in ("class", "id") else set()
-                role = value.lower() if name == "role" else role
+            if name in ("class", "id"):
+                names += value.split()
+            elif name == "role":
+                role = value.lower()
+            elif name == "itemprop":
+                part = value.lower()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return FURNITURE
-    if inside == FURNITURE and (tag not in ("article", "main") or words & FURNITURE_WORDS):
-        return FURNITURE
-    if tag in ("article", "main", "body", "html") or role in ("main", "article") or "articlebody" in words:
-        if tag in ("article", "main") and words & {"comment", "comments", "reply", "teaser", "related", "promo"}:
-            return FURNITURE
-        return inside if tag in ("body", "html") and not role else ARTICLE
-    if tag == "header" or role == "banner":
-        return HEADER if inside in (ARTICLE, HEADER) else FURNITURE
-    if tag in FURNITURE_TAGS or words & FURNITURE_WORDS:
-        return FURNITURE
-    return ARTICLE if names & ARTICLE_NAMES else inside
+                return HIDDEN, False
+    marked = any(map(_furniture, names)) or role in FURNITURE_WORDS
+    claims = tag in ("article", "main") or role in ("main", "article") or part == "articlebody"
+    if inside in (FURNITURE, HIDDEN) or marked and claims:
+        return max(inside, FURNITURE), False
+    if claims:
+        return ARTICLE, True
+    if tag in ("body", "html"):
+        return inside, False
+    if tag == "header" or role == "banner" or marked and any(_PART.findall(n)[-1:] == ["header"] for n in names):
+        return (HEADER if inside in (ARTICLE, HEADER) else FURNITURE), False
+    if tag in FURNITURE_TAGS or marked:
+        return FURNITURE, False
+    return (ARTICLE, True) if {n.lower() for n in names} & ARTICLE_NAMES else (inside, False)
 
 
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks of a page, in its order."""
+    """Flat text blocks of a page, in its order.
+
+    Where all articles lie in containers that look like furniture, those around the first are not; and where there is no
+    article, one that holds a headline and over half of the words outside of links is not.
+    """
+    found, suspects, articles = _cut(page, frozenset())
+    if not articles:
+        plain = sum(b.words - b.linked for b in found if b.container != HIDDEN)
+        wrong = {i for i, s in suspects.items() if s["article"]} or {i for i, s in suspects.items() if s["headline"] and 2 * s["plain"] > plain}
+        if wrong:
+            found = _cut(page, frozenset(wrong))[0]
+    return [b for b in found if b.container != HIDDEN]
+
+
+def _cut(page: str, cleared: frozenset[int]) -> tuple[list[Block], dict[int, dict], int]:
+    """Blocks; by number what the outermost furniture containers hold; the number of articles outside. cleared: numbers of those that are none."""
     out: list[Block] = []
+    suspects: dict[int, dict] = {}
     stack: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
     kind, heading, link, at, n = NONE, False, 0, 0, len(page)
+    count, articles = 0, 0
+    open_: list[tuple[int, int]] = []  # depth and number of furniture containers that stand open
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
-                out.append(Block(text, text.count(" ") + 1, linked, kind, heading))
+                words = text.count(" ") + 1
+                out.append(Block(text, words, linked, kind, heading))
+                for _, i in open_:
+                    suspects[i]["plain"] += max(words - linked, 0)
             parts.clear()
 
+    def enter(name: str, attributes: str) -> int:
+        nonlocal count, articles
+        inside = stack[-1][1] if stack else NONE
+        count += 1
+        found, claims = _kind(name, attributes, NONE if inside == FURNITURE and name in ("article", "main") else inside)
+        if found == FURNITURE and count in cleared:
+            found = inside
+        elif claims and inside == FURNITURE:
+            # an article inside furniture: the page's, if the first of them, or else a comment
+            if not any(s["article"] for s in suspects.values()):
+                for _, i in open_:
+                    suspects[i]["article"] = True
+            found = FURNITURE
+        elif claims:
+            articles += 1
+        if found == FURNITURE:
+            suspects[count] = {"article": False, "headline": False, "plain": 0}
+            open_.append((len(stack), count))
+        stack.append((name, found))
+        return found
+
+    def leave() -> str:
+        if open_ and open_[-1][0] == len(stack) - 1:
+            open_.pop()
+        return stack.pop()[0]
+
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -241,34 +312,38 @@ def blocks(page: str) -> list[Block]:
         close()
         if name in HEADINGS:
             heading = not closing
+            if name == "h1" and heading:
+                for _, i in open_:
+                    suspects[i]["headline"] = True
         elif name in ("p", "div", "section", "article"):
             heading = False
         if name == "p" or name in HEADINGS:
-            if not closing and attributes and _kind(name, attributes, kind) == FURNITURE != kind:
+            if not closing and attributes and (own := _kind(name, attributes, kind)[0]) in (FURNITURE, HIDDEN) and own != kind:
                 # a marked paragraph is furniture up to its end or the next block
-                stack.append((name, FURNITURE))
-                kind = FURNITURE
+                stack.append((name, own))
+                kind = own
             elif stack and stack[-1][0] in ("p", *HEADINGS):
-                stack.pop()
+                leave()
                 kind = stack[-1][1] if stack else NONE
             continue
         if stack and stack[-1][0] in ("p", *HEADINGS):
-            stack.pop()
+            leave()
             kind = stack[-1][1] if stack else NONE
         if name in CONTAINERS or name == "li":
             if closing:
                 if any(t == name for t, _ in stack):
-                    while stack.pop()[0] != name:
+                    while leave() != name:
                         pass
                     link = 0
             elif name == "body":
-                stack = [s for s in stack if s[0] not in ("head", "html")]
-                stack.append((name, _kind(name, attributes, NONE)))
+                while stack and stack[-1][0] in ("head", "html"):
+                    leave()
+                enter(name, attributes)
             elif name != "li" and name not in VOID and not (attributes.endswith("/") and name in ("svg",)):
-                stack.append((name, _kind(name, attributes, stack[-1][1] if stack else NONE)))
+                enter(name, attributes)
             kind = stack[-1][1] if stack else NONE
     close()
-    return out
+    return out, suspects, articles
 
 
 def main_text(page: str | None) -> str:
