@@ -1,16 +1,16 @@
-"""Substring dedup: hashing of normalised units, grouped globally.
+"""Substring dedup: hashing of lines, and of pieces of lines, grouped globally.
 
 A text's words (ASCII letters and digits, A-Z lower-cased, and anything outside ASCII) are its
-normal form. Units are pieces of paragraphs that begin where the words themselves say so: a unit
-ends where a hash of three words falls into one of some classes or is the least around, so a passage is cut alike wherever
-it is pasted, in the middle of a line too, which cutting at line ends would miss. A unit's digest
-also covers the two words after it, so that no unit is shorter than three words. Whole lines are
-units beside these, with digests of their own.
+normal form. Units are of two levels. The first is the line: its digest is of its words, and every
+later copy of a line goes. The second is for passages pasted into the middle of lines, which no hash
+of whole lines can see: pieces that begin where the words themselves say so (where a hash of three
+words falls into one of some classes or is the least around), so a passage is cut alike wherever it
+stands. A piece's digest also covers the two words after it, so that none is shorter than three words.
 
 A first pass over the texts gives each digest's earliest occurrence in a slice (what a slice repeats
 it flags at once, so a frequent unit leaves one row a slice, not one an occurrence). One shuffle
-by digest then flags all but the earliest ranked. A run of flagged units of at least min_words words
-is cut out of the text, and a flagged line of any length; the spans kept are of the original text.
+by digest then flags all but the earliest ranked. A flagged line is cut out of the text, and a run of
+flagged pieces of at least min_words words; the spans kept are of the original text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,11 +161,35 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def flagged(found: DataFrame) -> DataFrame:
-    """doc_id, copy, units: the places of units that an earlier ranked text, or an earlier place, has."""
-    rank = F.struct("doc_id", "copy", "unit")
-    earliest = F.min(F.when(~F.col("repeated"), rank)).over(Window.partitionBy("digest"))
-    later = F.col("repeated") | (rank > F.col("earliest"))
-    return found.withColumn("earliest", earliest).where(later).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
+    """doc_id, copy, units: the places of units that an earlier ranked text, or an earlier place, has.
+
+    Rows lie in the order of digest and rank, so a row is a later one if a row before has its digest and another rank (a row
+    that repeats a document has its rank): no group is held.
+    """
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_earliest = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            # as the row before, by digest and by rank too
+            same = pc.equal(batch.column(3)[1:], batch.column(3)[:-1]).to_numpy(zero_copy_only=False)
+            again = same.copy()
+            for i in range(3):
+                again &= pc.equal(batch.column(i)[1:], batch.column(i)[:-1]).to_numpy(zero_copy_only=False)
+            heads = np.append(True, ~again)
+            earliest = np.append(held_earliest, ~same)[np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))]
+            gone = ~earliest | batch.column(4).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(gone if held is None else np.append(False, gone[1:]))
+            held, held_earliest = batch.slice(batch.num_rows - 1), bool(earliest[-1])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in range(3)], ["doc_id", "copy", "unit"])
+
+    dealt = found.repartition("digest").sortWithinPartitions("digest", "doc_id", "copy", "unit")
+    kind = T.StructType([f for f in found.schema.fields if f.name in ("doc_id", "copy", "unit")])
+    return dealt.mapInArrow(later, kind).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25, min_line_words: int = 1) -> DataFrame:

@@ -1,13 +1,12 @@
 """WARC archives as a PySpark data source: spark.read.format("warc"), df.write.format("warc").
 
-Reading: a partition is a file or a run of records of one (a writer leaves an index of where runs begin
-beside each file; other files are read whole). Predicates on record type, id, URI, date, digest and
+Reading: a partition is a file, found by one listing. Predicates on record type, id, URI, date, digest and
 reference are pushed down. A record's headers are parsed first; of one that a predicate rejects, or
 whose payload is not wanted, the block is passed over without being decoded.
 
 Writing: gzip members, one a record, in files of bounded size, through pyarrow's file systems, so any
-store they reach will do. A task writes under a name of its own attempt; files of attempts that did not
-commit are removed.
+store they reach will do. Names tell the job and the attempt of a task; a job that commits removes what
+its other attempts left.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,9 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from assaygrid.llm.tables import arrow_batches, fresh_path, without
 
 SCHEMA = "record_id string, record_type string, uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
-#: Bytes after which a writer begins another file, and apart of which it notes where records begin.
-FILE_BYTES = 256 << 20
-RUN_BYTES = 16 << 20
+#: Bytes after which a writer begins another file; a file is what a task reads.
+FILE_BYTES = 64 << 20
 #: Columns that headers alone give, with their headers (fixed values of the format).
 HEADERS = {
     "record_id": "warc-record-id",
@@ -67,23 +64,11 @@ def record(row: dict) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
-@dataclass
-class Run(InputPartition):
-    path: str
-    start: int
-    end: int | None
-
-    def __init__(self, path: str, start: int, end: int | None):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
-
-
 class Stream(io.RawIOBase):
-    """Bytes of a run, inflated member by member if they are gzip. Knows where records of the file begin."""
+    """Bytes of a file, inflated member by member if they are gzip."""
 
-    def __init__(self, raw, start: int, end: int | None):
-        raw.seek(start)
-        self.raw, self.at, self.end = raw, start, end
+    def __init__(self, raw):
+        self.raw = raw
         self.held = b""
         self.first = self._more()
         self.zip = self.first[:2] == b"\x1f\x8b"
@@ -92,10 +77,7 @@ class Stream(io.RawIOBase):
         self.done = False
 
     def _more(self) -> bytes:
-        n = 1 << 20 if self.end is None else min(1 << 20, self.end - self.at)
-        got = self.raw.read(n) if n > 0 else b""
-        self.at += len(got)
-        return got
+        return self.raw.read(1 << 20)
 
     def fill(self) -> bool:
         """More bytes in held; False at the end."""
@@ -135,9 +117,9 @@ class Stream(io.RawIOBase):
         return b"".join(parts)
 
 
-def records(raw, start: int, end: int | None, wanted: dict[str, frozenset], payloads: bool) -> Iterator[dict]:
-    """Records of a run that meet wanted (column: values)."""
-    stream = Stream(raw, start, end)
+def records(raw, wanted: dict[str, frozenset], payloads: bool) -> Iterator[dict]:
+    """Records of a file that meet wanted (column: values)."""
+    stream = Stream(raw)
     while True:
         line = stream.line()
         while line is not None and not line.startswith(b"WARC/"):
@@ -193,29 +175,20 @@ class Reader(DataSourceReader):
             name, found = f.attribute[0], frozenset(values(f)) - {None}
             self.wanted[name] = self.wanted.get(name, found) & found
 
-    def partitions(self) -> list[Run]:
+    def partitions(self) -> list[InputPartition]:
         store, path = open_store(self.path)
         info = store.get_file_info(path)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        names = {f.path for f in files}
-        out = []
-        for f in sorted(files, key=lambda f: f.path):
-            if f.type != fs.FileType.File or not f.path.endswith((".warc", ".warc.gz")):
-                continue
-            starts = [0]
-            if f"{f.path}.runs" in names:
-                with store.open_input_stream(f"{f.path}.runs") as s:
-                    starts = json.loads(s.read())
-            out += [Run(f.path, a, b) for a, b in zip(starts, [*starts[1:], None], strict=True)]
-        return out or [Run("", 0, 0)]
-
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
+        found = sorted(f.path for f in files if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz")))
+        return [InputPartition(p) for p in found] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
             return
         store, _ = open_store(self.path)
         held, size = [], 0
-        with store.open_input_file(partition.path) as raw:
-            for row in records(raw, partition.start, partition.end, self.wanted, self.payloads):
+        with store.open_input_stream(partition.value, compression=None) as raw:
+            for row in records(raw, self.wanted, self.payloads):
                 held.append(row)
                 size += len(row["payload"] or b"") + 200
                 if size > 4 << 20:
@@ -236,7 +209,7 @@ class Wrote(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.job = options["path"], uuid.uuid4().hex
         store, path = open_store(self.path)
         if overwrite and store.get_file_info(path).type == fs.FileType.Directory:
             store.delete_dir_contents(path)
@@ -246,60 +219,43 @@ class Writer(DataSourceArrowWriter):
         store, path = open_store(self.path)
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        done = Wrote([])
-        out, starts, at = None, [], 0
+        done, attempt = Wrote([]), uuid.uuid4().hex[:8]
+        out, at = None, 0
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is not None and at > FILE_BYTES:
-                        self._close(store, out, done.paths[-1], starts)
+                        out.close()
                         out = None
                     if out is None:
-                        done.paths.append(f"{path}/{task:06d}-{len(done.paths):03d}-{uuid.uuid4().hex}.warc.gz")
-                        out, starts, at = store.open_output_stream(done.paths[-1], compression=None), [0], 0
-                    if at - starts[-1] > RUN_BYTES:
-                        starts.append(at)
+                        done.paths.append(f"{path}/{self.job}-{task:06d}-{len(done.paths):03d}-{attempt}.warc.gz")
+                        out, at = store.open_output_stream(done.paths[-1], compression=None), 0
                     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = squeeze.compress(record(row)) + squeeze.flush()
                     out.write(data)
                     at += len(data)
             if out is not None:
-                self._close(store, out, done.paths[-1], starts)
+                out.close()
         except BaseException:
             self._remove(done.paths)
             raise
         return done
 
-    @staticmethod
-    def _close(store: fs.FileSystem, out, path: str, starts: list[int]) -> None:
-        out.close()
-        with store.open_output_stream(f"{path}.runs") as s:
-            s.write(json.dumps(starts).encode())
-
     def commit(self, messages: list[Wrote | None]) -> None:
-        """What attempts left that did not commit goes."""
+        """What attempts of this job left that did not commit goes."""
         store, path = open_store(self.path)
-        kept = {p for m in messages if m is not None for p in m.paths}
-        written = {p for p in kept} | {f"{p}.runs" for p in kept}
-        marker = f"{path}/_kept"
-        before = set()
-        if store.get_file_info(marker).type == fs.FileType.File:
-            with store.open_input_stream(marker) as s:
-                before = set(json.loads(s.read()))
-        names = {f.path.rpartition("/")[2]: f.path for f in store.get_file_info(fs.FileSelector(path))}
-        good = {p.rpartition("/")[2] for p in written} | before | {"_kept"}
-        for name, full in names.items():
-            if name not in good and name.endswith((".warc.gz", ".runs")):
-                store.delete_file(full)
-        with store.open_output_stream(marker) as s:
-            s.write(json.dumps(sorted(good - {"_kept"})).encode())
+        kept = {p.rpartition("/")[2] for m in messages if m is not None for p in m.paths}
+        for f in store.get_file_info(fs.FileSelector(path)):
+            name = f.path.rpartition("/")[2]
+            if name.startswith(self.job) and name not in kept:
+                store.delete_file(f.path)
 
     def abort(self, messages: list[Wrote | None]) -> None:
         self._remove([p for m in messages if m is not None for p in m.paths])
 
     def _remove(self, paths: list[str]) -> None:
         store, _ = open_store(self.path)
-        for p in [x for path in paths for x in (path, f"{path}.runs")]:
+        for p in paths:
             if store.get_file_info(p).type == fs.FileType.File:
                 store.delete_file(p)
 
@@ -338,7 +294,8 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"),
     )
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long"))
-    # payloads do not pass through a shuffle: the table of firsts is by digest, and only digests seen twice are in it
+    # only digests seen twice are in the table of firsts; where it is too large to broadcast, payloads are shuffled by digest,
+    # and adaptive execution splits a digest that very many pages share
     firsts = rows.where(f"payload_bytes >= {least}").groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(firsts, ["sha1", "payload_bytes"], "left")
     revisits = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))

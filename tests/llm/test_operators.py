@@ -228,6 +228,74 @@ def test_later_copies_of_lines_go(spark):
     assert longer["n_removed"] == 2 * (9 + 24 + 40)
 
 
+def deduped(docs, min_words=25):
+    """Whole lines, and runs of pieces of min_words words: all but the earliest copy go. text, n_removed and spans, by words and dictionaries."""
+    rx = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    seen, out = {}, []
+    for _, text in docs:
+        raw = text.encode()
+        words = [(m.start(), m.end(), m[0].lower()) for m in rx.finditer(raw)]
+        u = substring_dedup.Units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        borders = [*u.first.tolist(), len(words)]
+        flags = []
+        for a, b in zip(borders, borders[1:], strict=False):
+            key = ("piece", *(w for *_, w in words[a : min(b + 2, len(words))]))
+            flags.append((a, b, key in seen))
+            seen.setdefault(key, True)
+        gone, run = [], []
+        for a, b, again in [*flags, (0, 0, False)]:
+            if again:
+                run.append((a, b))
+                continue
+            if run and run[-1][1] - run[0][0] >= min_words:
+                last = run[-1][1]
+                gone.append((run[0][0], last, words[run[0][0]][0], words[last][0] if last < len(words) else len(raw)))
+            run = []
+        begin, lines = 0, []
+        for line in raw.split(b"\n"):
+            at = [i for i, (s, *_) in enumerate(words) if begin <= s < begin + len(line) + 1]
+            if at:
+                lines.append((begin, at[0], at[-1] + 1))
+            begin += len(line) + 1
+        for (x, a, b), (y, *_) in zip(lines, [*lines[1:], (len(raw), 0, 0)], strict=True):
+            key = ("line", *(w for *_, w in words[a:b]))
+            if key in seen:
+                gone.append((a, b, x if lines[0][0] != x else (0 if not text[:x].strip() and x == 0 else x), y))
+            seen.setdefault(key, True)
+        bytes_gone = sorted({i for *_, x, y in gone for i in range(x, y)})
+        keep = bytes(c for i, c in enumerate(raw) if i not in set(bytes_gone)).decode()
+        spans = []
+        for x, y in sorted((x, y) for *_, x, y in gone):
+            if spans and x <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], y)
+            else:
+                spans.append([x, y])
+        out.append((keep, len({i for a, b, *_ in gone for i in range(a, b)}), [(len(raw[:x].decode()), len(raw[:y].decode())) for x, y in spans]))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_dedup_as_brute_force(spark, parts):
+    rnd = random.Random(11)
+    passages = [" ".join(rnd.choice(WORDS) + rnd.choice(["", str(rnd.randrange(9))]) for _ in range(n)) for n in (8, 30, 60, 90)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rnd.randrange(1, 6)):
+            w = [f"{rnd.choice(WORDS)}{rnd.randrange(40)}" for _ in range(rnd.randrange(1, 30))]
+            if rnd.random() < 0.5:
+                w.insert(rnd.randrange(len(w) + 1), rnd.choice(passages))
+            lines.append(" ".join(w))
+        if rnd.random() < 0.4:
+            lines.insert(rnd.randrange(len(lines) + 1), rnd.choice(["Seen before: É!", "once more", passages[1]]))
+        docs.append((i, "\n".join(lines)))
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).orderBy("doc_id").collect()
+    want = deduped(docs)
+    for r, (text, n, spans) in zip(got, want, strict=True):
+        assert (r["text"], r["n_removed"], [(s["start"], s["end"]) for s in r["removed"]]) == (text, n, spans), r["doc_id"]
+    assert sum(n for _, n, _ in want) > 500
+
+
 # embeddings
 
 
@@ -347,6 +415,29 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_names_alone_do_not_make_furniture():
+    long = "word " * 40
+    text = lambda page: html_text.main_text(page).split("\n")
+    assert text(f'<div class="layout has-sidebar"><article><h1>Head</h1><p>{long}</p></article><div class="sidebar">s</div></div>') == ["Head", long.strip()]
+    assert text(f'<div class="container with-comments"><h1>Head</h1><p>{long}</p><p>Short one.</p><div class="comments"><p>nice {long}</p></div></div>') == ["Head", long.strip(), "Short one."]
+    assert text(f'<div class="search sidebar-open"><h1>Head</h1><p>{long}</p><p>{long}</p></div><div class="ad-slot">buy {long}</div>') == ["Head", long.strip(), long.strip()]
+    assert text(f'<article><div class="post-header"><h1>Headline</h1><span>by me</span></div><p>{long}</p><div class="search-history"><p>{long}</p></div></article>') == ["Headline", long.strip(), long.strip()]
+    assert text(f'<form id="f"><div class="nav"><a>x</a></div><main><h1>H</h1><p>{long}</p></main><div class="comments"><article>no {long}</article></div></form>') == ["H", long.strip()]
+    assert text(f'<article><p>{long}</p></article><section class="comments"><article><p>{long} no</p></article></section>') == [long.strip()]
+    assert text(f'<article><p>{long}</p><div style="display: none">gone</div></article>') == [long.strip()]
+
+
+def test_shapes_decide_where_no_container_tells():
+    """Without marks, word counts and link densities decide: a tree that does not see them (all blocks of one shape) takes no link list from text."""
+    long = "word " * 40
+    page = "<div><a href=x>one</a> <a href=y>two</a></div><div><a>three</a></div>" + f"<div>{long}</div><div>Short.</div><div>{long}</div>" + "<div><a>four</a></div><div><a>five six</a></div>"
+    assert html_text.main_text(page).split("\n") == [long.strip(), "Short.", long.strip()]
+    kinds = [1.0, 0.0, 0.0, 0.0]
+    assert len({html_text.decide(html_text.tree(), [w, d, *b, *a, *kinds, 0.0, 0.0]) for w, d in ((40, 0), (3, 1)) for b, a in (((40, 0), (40, 0)), ((2, 1), (2, 1)))}) == 2
+    flat = [html_text.decide(html_text.tree(), [1.0, 0.0, 1.0, 0.0, 1.0, 0.0, *kinds, 0.0, 0.0]) for _ in html_text.blocks(page)]
+    assert len(set(flat)) == 1
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, None, "x"), (3, "v", "<article>" + "<p>very long text</p>" * 5000, "x")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string"))
@@ -355,7 +446,7 @@ def test_pages(spark):
     data = spark.read.parquet(f"{SF}/pages.parquet")
     import html
 
-    for r in html_text.extract_text(data).limit(20).collect():
+    for r in html_text.extract_text(data).collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         parts = [" ".join(html.unescape(re.sub("</?b>", "", p).replace("<br>", " ")).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(p for p in parts if p)
@@ -471,7 +562,9 @@ def test_simhash_of_nothing(empty):
     assert simhash.fingerprint_components(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [0, 50, 1_000_000])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr("assaygrid.llm.components.FINISH", finish)
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
     chain = np.arange(1000, 1040)
