@@ -8,11 +8,12 @@ labelled texts that were kept out of training.
 
 Labels are of whole texts, so training picks windows: of a toxic text those that score highest so far,
 of others their highest too and some at random. It takes a bounded sample of labelled rows (MOST_TOXIC,
-MOST_CLEAN), the same for the same table; everything else is over all rows.
+MOST_CLEAN, MOST_BYTES), the same for the same table, in one task of an executor; everything else is over all rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +30,16 @@ from assaygrid.llm.tables import arrow_batches, without
 REJECT = 0.7
 #: Bounds of the training sample, in rows of either label.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: Characters of all texts of the sample together; bytes of a piece of a model on its way to the driver.
+MOST_BYTES, PART = 32 << 20, 1 << 20
 #: Words of a window, and from one window to the next.
 WINDOW, STRIDE = 48, 32
 #: Sizes: trained vectors of a word and of an n-gram, hidden units of a direction, attention.
 VECTOR, HIDDEN, ATTEND = 8, 12, 12
 #: Words and n-grams in fewer training texts have no vector; most n-grams kept.
 LEAST_TEXTS, MOST_GRAMS = 3, 40_000
-EPOCHS = 5
+#: Epochs of training, and more until so many steps are done.
+EPOCHS, STEPS = 5, 60
 #: Words whose inputs a worker remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 300_000
 
@@ -108,15 +112,6 @@ class Model:
     scale: tuple[float, float]  # calibration of a text's highest window
     none: float  # the score of a text without words
 
-    def fixed(self, word: np.ndarray, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of words given by places: their own log-odds, and the largest of their n-grams'."""
-        top = np.zeros(len(word))
-        has = count > 0
-        if has.any():
-            heads = np.cumsum(count) - count
-            top[has] = np.maximum.reduceat(self.gram_odds[gram], heads[has])
-        return self.word_odds[word], top
-
     def inputs(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         """The network's input of each word."""
         if len(words) > CHUNK:
@@ -124,10 +119,20 @@ class Model:
         word = _find(self.words, hashes)
         codes, count = _grams(words)
         gram = _find(self.grams, codes)
-        odds, top = self.fixed(word, gram, count)
+        odds, top = _fixed(self.word_odds, self.gram_odds, word, gram, count)
         return np.column_stack([self.p["word"][word], _mean(self.p["gram"][gram], count), odds / 4, top / 4]).astype(np.float32)
 
 
+def _fixed(word_odds: np.ndarray, gram_odds: np.ndarray, word: np.ndarray, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words given by places: their own log-odds, and the largest of their n-grams'."""
+    top = np.zeros(len(word))
+    has = count > 0
+    if has.any():
+        heads = np.cumsum(count) - count
+        top[has] = np.maximum.reduceat(gram_odds[gram], heads[has])
+    return word_odds[word], top
+
+
 def _mean(x: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.zeros((len(count), x.shape[1]), x.dtype)
     has = count > 0
@@ -255,13 +260,23 @@ class Texts:
 
 
 def _odds(keys: Iterator[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key 0..size-1: in how many texts it is, and the log-odds of a text with it being toxic (little for few texts)."""
+    """Of each key 0..size-1: in how many texts it is, and the log-odds of a text with it being toxic (little for few texts).
+
+    The log-odds come three times: without one clean text that has the key, without one toxic text that has it, and of all texts.
+    What a training text is given leaves that text's own label out, or the network would learn to trust its own answers.
+    """
     n = np.zeros((2, size))
     for k, y in zip(keys, toxic, strict=True):
         n[int(y), np.unique(k)] += 1
-    share = (n + 0.5) / (np.bincount(toxic.astype(int), minlength=2)[:, None] + 1)
-    total = n.sum(0)
-    return total, (np.log(share[1]) - np.log(share[0])) * total / (total + 3)
+    texts = np.bincount(toxic.astype(int), minlength=2).astype(float)
+
+    def odds(less: tuple[int, int]) -> np.ndarray:
+        left = [np.maximum(n[y] - less[y], 0) for y in (0, 1)]
+        share = [(left[y] + 0.5) / (texts[y] - less[y] + 1) for y in (0, 1)]
+        total = left[0] + left[1]
+        return (np.log(share[1]) - np.log(share[0])) * total / (total + 3)
+
+    return n.sum(0), np.stack([odds((1, 0)), odds((0, 1)), odds((0, 0))])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -288,24 +303,25 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         n_gram, gram_odds = _odds((of[ragged.expand(heads[u], count[u])] for u in (np.unique(data.rows[i]) for i in fit)), y[fit], len(names))
         often = n_gram >= LEAST_TEXTS
         known.append(names[often])
-        known_odds.append(gram_odds[often])
+        known_odds.append(gram_odds[:, often])
         del names, of
-    known, known_odds = np.concatenate(known), np.concatenate(known_odds)
-    best = np.argsort(-np.abs(known_odds), kind="stable")[:MOST_GRAMS]
+    known, known_odds = np.concatenate(known), np.concatenate(known_odds, 1)
+    best = np.argsort(-np.abs(known_odds[2]), kind="stable")[:MOST_GRAMS]
     best = best[np.argsort(known[best])]
-    known, known_odds = known[best], known_odds[best]
+    known, known_odds = known[best], np.pad(known_odds[:, best], ((0, 0), (1, 0)))
+    word_odds = np.pad(word_odds[:, keep_word], ((0, 0), (1, 0)))
     wide = 2 * VECTOR + 2
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"word": rng.normal(0, 0.1, (len(keep_word) + 1, VECTOR)), "gram": rng.normal(0, 0.1, (len(known) + 1, VECTOR))}
     p |= {"wf": draw(wide, 3 * HIDDEN), "uf": draw(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "wb": draw(wide, 3 * HIDDEN), "ub": draw(HIDDEN, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN)}
     p |= {"wa": draw(2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND), "va": draw(ATTEND), "wo": draw(2 * HIDDEN), "bo": np.zeros(1)}
     p["word"][0] = p["gram"][0] = 0
-    model = Model(data.hashes[keep_word], known, np.append(0.0, word_odds[keep_word]), np.append(0.0, known_odds), p, (1.0, 0.0), share)
+    model = Model(data.hashes[keep_word], known, word_odds[2], known_odds[2], p, (1.0, 0.0), share)
     word = _find(model.words, data.hashes)
     gram, count = _all_grams(data.names, lambda codes: _find(model.grams, codes).astype(np.int32))
     heads = np.cumsum(count) - count
-    odds, top = model.fixed(word, gram, count)
-    strength = np.maximum(odds, top)
+    odds, top = (np.stack(x) for x in zip(*(_fixed(word_odds[y], known_odds[y], word, gram, count) for y in (0, 1, 2)), strict=True))
+    strength = np.maximum(odds[2], top[2])
 
     windows = [(i, s) for i in range(len(y)) if len(data.rows[i]) for s in _starts(len(data.rows[i]))]
     owner = np.array([i for i, _ in windows])
@@ -319,7 +335,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     rank = np.append(strength, -9.0)[place].max(1)  # before the network knows: the strongest word
     moment: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epoch = -1
+    while (epoch := epoch + 1) < EPOCHS or step < STEPS:
         if epoch:
             rank = _scored(model, data, place, size)
         order = np.lexsort((-rank, owner))
@@ -334,12 +351,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         for at in range(0, len(chosen), 128):
             step += 1
             j = chosen[at : at + 128]
-            used, back = np.unique(place[j], return_inverse=True)
-            used = used[used < pad]
+            # a word of a toxic and of a clean text are told apart: their log-odds leave out another text
+            used, back = np.unique(np.where(place[j] < pad, place[j] + y[owner[j], None] * pad, 2 * pad), return_inverse=True)
+            used = used[used < 2 * pad]
+            label, used = used // pad, used % pad
             dropped = rng.random(len(used)) < 0.1  # single words must not decide all
             w = np.where(dropped, 0, word[used])
             pairs, c = ragged.expand(heads[used], count[used]), count[used]
-            vectors = np.column_stack([p["word"][w], _mean(p["gram"][gram[pairs]], c), np.where(dropped, 0, odds[used]) / 4, top[used] / 4])
+            vectors = np.column_stack([p["word"][w], _mean(p["gram"][gram[pairs]], c), np.where(dropped, 0, odds[label, used]) / 4, top[label, used] / 4])
             x = np.concatenate([vectors, np.zeros((1, wide))])[back.reshape(len(j), WINDOW).T]
             mask = (place[j] < pad).T
             out, state = _logits(p, x, None if mask.all() else mask, keep=True)
@@ -359,6 +378,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 v *= 0.99
                 v += 0.01 * d * d
                 p[k] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    p.update({k: v.astype(np.float32) for k, v in p.items()})
     high = np.full(len(y), -9.0)
     np.maximum.at(high, owner, _scored(model, data, place, size))
     model.scale = _calibrate(high[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, -1.0)
@@ -455,15 +475,34 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """A model of labelled documents: at most MOST_TOXIC rows of label 1 and MOST_CLEAN of 0, the first by a hash of their id.
 
-    Rows without a label, an id or a document are left out. Repeated labels are taken once.
+    Of these, texts that would bring the sample beyond MOST_BYTES are left out (none is shortened). One task trains, so that
+    neither texts nor what training holds pass through the driver; only the model comes back.
+    Rows without a label, an id or a document are left out. Repeated labels, and rows that repeat an id and its text, are taken once.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").distinct()
     pick = lambda y, most: known.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
     sample = pick(1, MOST_TOXIC).unionByName(pick(0, MOST_CLEAN))
     # bounded by the two limits above
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_label")
-    found = sorted(((r["_doc"], r["_text"] or "", r["_label"]) for r in rows.collect()), key=str)
-    return train([t for _, t, _ in found], [y for *_, y in found])
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    rows = rows.select(F.xxhash64("_id").alias("_rank"), F.col("_id").cast("string").alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"), "_label")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, size, last = [], [], 0, None
+        for batch in batches:
+            for key, content, mark in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                fresh, last = (key, content, mark) != last, (key, content, mark)
+                if fresh and size + len(content) <= MOST_BYTES:
+                    size += len(content)
+                    texts.append(content)
+                    marks.append(mark)
+        data = pickle.dumps(train(texts, marks))
+        parts = [data[i : i + PART] for i in range(0, len(data), PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "model"])
+
+    arrow_batches(docs.sparkSession)
+    one = rows.repartition(1).sortWithinPartitions("_rank", "_id", "_text", "_label").mapInArrow(trained, "part int, model binary")
+    parts = sorted((r["part"], bytes(r["model"])) for r in one.collect())  # a model is of bounded size
+    return pickle.loads(b"".join(p for _, p in parts)) if parts else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
