@@ -58,6 +58,18 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(word, r"""^[.,!?;:()\[\]"']+|[.,!?;:()\[\]"']+$""", "")
 
 
+def _longest_run(sorted_words: Column) -> Column:
+    """How often the most frequent of sorted strings is there; 0 of none."""
+    kind = "struct<word:string,run:int,best:int>"
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["word"] == x, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("word"), run.alias("run"), F.greatest(s["best"], run).alias("best")).cast(kind)
+
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best")).cast(kind)
+    return F.coalesce(F.aggregate(sorted_words, start, step, lambda s: s["best"]), F.lit(0))
+
+
 def is_clean_sentence(text: Column, alpha_min: float = 0.65) -> Column:
     """TX2: prose that shows no sign of leaked reasoning, markup, noise or loops. Null is not clean.
 
@@ -66,7 +78,7 @@ def is_clean_sentence(text: Column, alpha_min: float = 0.65) -> Column:
     n, low, w = F.length(text), F.lower(text), words(text)
     total = F.size(w)
     significant = F.filter(F.transform(w, lambda x: F.lower(_core(x))), lambda x: (F.length(x) >= 4) & ~F.array_contains(_array(PROSE_STOPWORDS), x))
-    top = F.coalesce(F.array_max(F.transform(F.array_distinct(significant), lambda x: F.size(F.filter(significant, lambda y: y == x)))), F.lit(0))
+    top = _longest_run(F.array_sort(significant))
     starts = F.lit(False)
     for s in BAD_STARTS:
         starts = starts | low.startswith(s)

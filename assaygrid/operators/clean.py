@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaygrid.operators.order import numbered
+
 # Cells that mean "missing", compared trimmed and without case.
 PLACEHOLDERS = (
     "-", "--", "---", "na", "n/a", "n.a.", "nan", "none", "null", "nd", "n.d.", "nr", "n.r.", "bdl", "bl", "<dl", "<bdl", "not detected", "not measured",
@@ -85,7 +89,7 @@ def label_dictionary(df: DataFrame, column: str, nan_as_category: bool = False)
     """PJ6: (column, class, code) of a column's distinct strings in codepoint order."""
     value = F.col(f"`{column}`").cast("string")
     values = df.select((F.coalesce(value, F.lit("nan")) if nan_as_category else value).alias("class")).where("class is not null").distinct()
-    return values.select(F.lit(column).alias("column"), "class", (F.dense_rank().over(Window.orderBy("class")) - 1).cast("double").alias("code"))
+    return numbered(values, ["class"], "code").select(F.lit(column).alias("column"), "class", F.col("code").cast("double").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: list[str], nan_as_category: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -167,5 +171,33 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 def factorize(df: DataFrame, column: str, row_id: str) -> DataFrame:
     """PJ19: c_code, numbered by first appearance; nulls stay null."""
     firsts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("_v")).agg(F.min(row_id).alias("_first"))
-    codes = firsts.select("_v", (F.row_number().over(Window.orderBy("_first")) - 1).cast("double").alias(f"{column}_code"))
+    codes = numbered(firsts, ["_first"], "_n").select("_v", F.col("_n").cast("double").alias(f"{column}_code"))
     return df.join(codes, F.col(f"`{column}`") == F.col("_v"), "left").drop("_v")
+
+
+def capitalise_no(df: DataFrame, columns: list[str]) -> DataFrame:
+    """PJ7: a cell that is exactly no becomes No."""
+    return df.withColumns({c: F.when(F.col(f"`{c}`") == "no", "No").otherwise(F.col(f"`{c}`")) for c in columns})
+
+
+def drop_missing_outcome(df: DataFrame, outcome: str) -> DataFrame:
+    """PJ11: rows that have the outcome."""
+    return df.where(F.col(f"`{outcome}`").isNotNull())
+
+
+class Steps:
+    """PJ14: a table under a chain of steps, with what each did to its rows and columns."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.log: list[tuple[str, DataFrame]] = [("read", df)]
+
+    def then(self, name: str, step, *args) -> Steps:
+        self.df = step(self.df, *args)
+        self.log.append((name, self.df))
+        return self
+
+    def audit(self) -> DataFrame:
+        """step (its number), name, n_rows and n_columns after it; each step's rows are counted."""
+        parts = [df.agg(F.lit(i).alias("step"), F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns")) for i, (name, df) in enumerate(self.log)]
+        return reduce(DataFrame.unionByName, parts)

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaygrid.functions.stats import adf, chi2_sf, f_sf, shapiro, t_sf2
+from assaygrid.functions.stats import adf_lags, adf_of, adf_rows, chi2_sf, f_sf, shapiro, t_sf2
+from assaygrid.operators.order import in_blocks, numbered
+from assaygrid.operators.panel import first_values
 from assaygrid.operators.profile import safe_corr
 from assaygrid.operators.screening import Fit, Gram, complete, gram, solve
 
@@ -450,24 +452,45 @@ def anova(df: DataFrame, y: str, group: str, least: int = 3) -> DataFrame:
     return t.where("n_groups >= 2").select("n_groups", "n", F.try_divide(F.col("ssb") / (k - 1), F.col("ssw") / (n - k)).alias("f"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta_squared"))
 
 
-def stationarity(df: DataFrame, columns: list[str], entity: str, order: list[str]) -> DataFrame:
-    """DG12: column, statistic and p of an augmented Dickey-Fuller test on each entity-demeaned series, at ten or more values.
+def stationarity(df: DataFrame, columns: list[str], entity: str, order: list[str], block: int = 100_000) -> DataFrame:
+    """DG12: column, n, statistic and p of an augmented Dickey-Fuller test on each entity-demeaned series, at ten or more values.
 
-    The test takes a series in order; a column is one group of applyInPandas, so panels must fit a worker (a screening design's do).
+    A series runs through entities and, in each, through order, as these columns' types sort. It is cut into blocks of so
+    many values, each with the few values before it that its lags need; a block passes on one Gram matrix of all lags.
     """
-    over = Window.partitionBy(F.col(f"`{entity}`"))
-    parts = [F.struct(F.lit(c).alias("column"), (_d(c) - F.avg(_d(c)).over(over)).alias("v")) for c in columns]
-    long = df.select(F.struct(F.col(f"`{entity}`"), *[F.col(f"`{o}`") for o in order]).alias("o"), F.array(*parts).alias("p")).select("o", F.explode("p").alias("p")).select("o", "p.*").where("v is not null")
+    out = []
+    keys = list(dict.fromkeys([entity, *order]))
+    for c in columns:
+        means = df.groupBy(F.col(f"`{entity}`").alias("_e")).agg(F.avg(_d(c)).alias("_m"))
+        series = df.join(means, F.col(f"`{entity}`").eqNullSafe(F.col("_e"))).select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], (_d(c) - F.col("_m")).alias("v")).where("v is not null")
+        seen = series.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_pop("v").alias("s")).first()
+        n = seen["n"]
+        most = adf_lags(n)
+        if n < 10 or most < 0 or seen["low"] == seen["high"]:
+            out.append((c, n, math.nan, math.nan))
+            continue
+        placed = numbered(series, [f"_k{i}" for i in range(len(keys))], "t").select("t", (F.col("v") / F.lit(seen["s"] or 1.0)).alias("v"))
+        head = [r["v"] for r in placed.where(F.col("t") <= most + 1).orderBy("t").collect()]  # some tens of values
+        width = most + 3
+        cells = in_blocks(placed, "t", block, most + 1).groupBy("b").applyInPandas(_lag_sums(most, block), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+        cross = np.zeros(width * width)
+        for r in cells.collect():  # (lags + 3)^2 numbers
+            cross[r["at"]] = r["x"]
+        out.append((c, n, *map(float, adf_of(cross.reshape(width, width), np.array(head), n))))
+    return df.sparkSession.createDataFrame(out, "column string, n long, statistic double, p double")
+
 
-    def test(pdf):
+def _lag_sums(most: int, block: int):
+    """Of a block of a series: the Gram matrix of adf_rows with the most lags."""
+
+    def summed(key, pdf):
         import pandas as pd
 
-        v = pdf.sort_values("o", key=lambda s: s.map(lambda r: tuple(map(str, r.values())) if isinstance(r, dict) else str(r)))["v"].to_numpy()
-        stat, p = adf(v) if len(v) >= 10 else (math.nan, math.nan)
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(v)], "statistic": [stat], "p": [p]})
+        v = pdf.sort_values("t")
+        m = adf_rows(v["v"].to_numpy(), int(v["t"].iloc[0]), most, max(most + 1, int(key[0]) * block))
+        return pd.DataFrame({"at": np.arange(m.shape[1] ** 2, dtype=np.int32), "x": (m.T @ m).ravel()})
 
-    flat = long.select("column", "v", F.to_json("o").alias("o"))
-    return flat.groupBy("column").applyInPandas(test, "column string, n long, statistic double, p double")
+    return summed
 
 
 def shapiro_test(df: DataFrame, column: str, row_id: str, most: int = 5000) -> dict:
@@ -475,3 +498,47 @@ def shapiro_test(df: DataFrame, column: str, row_id: str, most: int = 5000) -> d
     rows = df.where(F.col(f"`{column}`").isNotNull()).orderBy(F.xxhash64(row_id)).limit(most).select(_d(column).alias("v")).collect()
     w, p = shapiro(np.array([r["v"] for r in rows]))
     return {"n": len(rows), "w": w, "p": p}
+
+
+def two_stage_kinetics(df: DataFrame, y: str, entity: str, time: str, least: int = 20) -> PanelFit | None:
+    """MD12: the within fit on time alone, at least least complete rows."""
+    rows = df.select(F.col(f"`{entity}`").alias(entity), _d(time).alias(time), _d(y).alias(y)).na.drop()
+    return fixed_effects(rows, y, [time], entity) if rows.count() >= least else None
+
+
+def two_stage_intercepts(df: DataFrame, y: str, entity: str, time: str, treatments: list[str], row_id: str) -> Fit | None:
+    """MD14: each entity's intercept of y on time (two different times at least), fitted on the entity's first treatments; None of too few entities."""
+    first = first_values(df, treatments, entity, row_id)
+    line = df.where(_d(y).isNotNull() & _d(time).isNotNull()).groupBy(F.col(f"`{entity}`").alias("entity")).agg(F.count_distinct(_d(time)).alias("_n"), F.regr_intercept(_d(y), _d(time)).alias("intercept")).where("_n >= 2")
+    frame = line.join(first, "entity").select("intercept", *[_d(c).alias(c) for c in treatments]).na.drop()
+    if frame.count() <= len(treatments) + 2:
+        return None
+    return solve(gram(frame, ["intercept", *treatments]), "intercept", tuple(treatments))
+
+
+FAMILIES = ("ols", "ridge", "fixed_effects", "random_effects", "lasso")
+
+
+def fit_family(df: DataFrame, family: str, y: str, x: list[str], entity: str | None = None, row_id: str | None = None) -> dict:
+    """MD18: a model of a family as model_type, success, error_message, n, r_squared and coefficients.
+
+    Fewer complete rows than inputs and two more: an error. Families without their columns, and unknown ones: least squares. A fit that
+    fails is an error with its message, never an exception.
+    """
+    out = {"model_type": family, "success": False, "error_message": None, "n": 0, "r_squared": 0.0, "coefficients": {}}
+    try:
+        g = gram(df, [*x, y])
+        n = int(round(complete(g, [*x, y])[0, 0]))
+        if n < len(x) + 3:
+            return out | {"error_message": f"{n} complete rows for {len(x)} inputs"}
+        if family == "fixed_effects" and entity and (fe := fixed_effects(df, y, x, entity)):
+            return out | {"success": True, "n": fe.n, "r_squared": fe.within_r2, "coefficients": fe.coefficients}
+        if family == "random_effects" and entity and (re := random_effects(df, y, x, entity)):
+            return out | {"success": True, "n": re.n, "r_squared": re.r_squared, "coefficients": re.coefficients}
+        if family == "lasso" and row_id:
+            path = lasso_cv(df, y, x, row_id)
+            return out | {"success": True, "n": n, "r_squared": path["cv_r2"], "coefficients": path["coefficients"]}
+        f = solve(g, y, tuple(x), ridge=1.0 if family == "ridge" else 0.0)
+        return out | ({"success": True, "n": f.n, "r_squared": f.r_squared, "coefficients": f.coefficients} if f else {"error_message": f"{n} complete rows for {len(x)} inputs"})
+    except Exception as e:  # noqa: BLE001  a model that cannot be fitted is a result
+        return out | {"error_message": str(e)[:200]}

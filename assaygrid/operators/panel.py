@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaygrid.operators.order import numbered
+
 #: What a missing input counts as in a derived entity.
 MISSING = "__NA__"
 # Names of composition columns, with "_" and "-" taken out.
@@ -22,7 +24,7 @@ def derive_entity(df: DataFrame, inputs: list[str], row_id: str, name: str = "_d
     key = F.struct(*[F.coalesce(_col(c).cast("string"), F.lit(MISSING)).alias(f"k{i}") for i, c in enumerate(inputs)])
     keyed = df.withColumn("_key", key)
     firsts = keyed.groupBy("_key").agg(F.min(row_id).alias("_first"))
-    ids = firsts.select(F.col("_key").alias("_k"), (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias(name))
+    ids = numbered(firsts, ["_first"], name).select(F.col("_key").alias("_k"), name)
     return keyed.drop(*[c for c in df.columns if c == name]).join(ids, F.col("_key") == F.col("_k")).drop("_key", "_k")
 
 
@@ -190,3 +192,37 @@ def augment(df: DataFrame, columns: list[str], entity: str, time: str, row_id: s
 def group_label(n: Column) -> Column:
     """PN15."""
     return F.when(n >= 3, "composition").when(n >= 1, "species").otherwise("response")
+
+
+def detect(df: DataFrame, inputs: list[str], features: list[str], time: str | None, row_id: str) -> dict:
+    """PN13: what a table is: entities derived from its inputs, panel, times, composition with its parent and inflection, kinds of predictors, active outputs."""
+    placed = derive_entity(df, inputs, row_id)
+    entity = "_derived_entity_id"
+    r = placed.agg(F.count_distinct(entity).alias("e"), F.count("*").alias("n"), *([F.count_distinct(_col(time)).alias("t")] if time else [])).first()
+    parts = composition_columns(df.columns)
+    index = {c: int(re.search(r"\d+$", c)[0]) for c in parts}
+    middle = (min(index.values()) + max(index.values())) / 2 if parts else 0
+    series = len(parts) >= 2
+    kinds = {s["column"]: s["class"] for s in split_predictors(placed, features, entity).collect()}  # a row a column
+    parent = parent_component(df, parts, [time or row_id, row_id]).first() if series else None
+    turn = inflection(df, parts, time).first() if series and time else None
+    return {
+        "n_rows": r["n"],
+        "n_entities": r["e"],
+        "n_timepoints": r["t"] if time else 1,
+        "is_panel": bool(time) and r["n"] > r["e"] and r["t"] >= 2,
+        "composition": parts,
+        "has_high_index": any(i > middle for i in index.values()),
+        "has_low_index": any(i <= middle for i in index.values()),
+        "parent": parent["column"] if parent else None,
+        "inflection": turn["time"] if turn else None,
+        "predictors": kinds,
+        "active_outputs": sorted(a["column"] for a in active_outputs(df, parts).collect()) if series else [],
+    }
+
+
+def time_structure(within: DataFrame, significant: DataFrame, top: int = 5) -> DataFrame:
+    """PN14: of (output, within_r2) and (output, time) one row: time_explains_pct (mean within R2 in percent, one digit) and the top times that are significant most often, in order of time."""
+    share = within.agg(F.round(F.coalesce(F.avg("within_r2"), F.lit(0.0)) * 100, 1).alias("time_explains_pct"))
+    often = significant.groupBy("time").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "time").limit(top)
+    return share.join(F.broadcast(often.agg(F.array_sort(F.collect_list("time")).alias("dominant_times"))))  # one row each

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ def safe_corr(a: Column, b: Column) -> Column:
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """AG1: a row for each column: dtype, n_unique, n_missing, missing_pct, min, max, mean, std, sample_values, is_numeric, is_categorical.
 
-    One aggregate over the table, unpivoted. sample_values: the least distinct values as strings.
+    One aggregate over the table, unpivoted. sample_values: the least distinct values as strings, from a second pass.
     """
     numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
     kinds = dict(df.dtypes)
@@ -55,8 +57,22 @@ def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     out = long.withColumn("is_categorical", ~F.col("is_numeric") | (F.col("n_unique") < 15))
     if not samples:
         return out
-    values = [df.select(F.lit(c).alias("_name"), _col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(samples) for c in df.columns]
-    found = reduce(DataFrame.unionByName, values).groupBy("_name").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
+    names = df.columns
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[] for _ in names]
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                # binary, so that order is by UTF-8 as the engine's is
+                fresh = pc.unique(column.cast(pa.binary())).drop_null()
+                at = pc.select_k_unstable(fresh, samples, [("", "ascending")]) if len(fresh) > samples else None
+                held[i] = sorted({*held[i], *(fresh if at is None else fresh.take(at)).to_pylist()})[:samples]
+        rows = [(n, v.decode()) for n, values in zip(names, held, strict=True) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["_name", "v"])
+
+    # some values a column and task
+    found = df.select(*[_col(c).cast("string").alias(f"_{i}") for i, c in enumerate(names)]).mapInArrow(least, "_name string, v string")
+    found = found.groupBy("_name").agg(F.slice(F.array_sort(F.collect_set("v")), 1, samples).alias("sample_values"))
     return out.join(found, out["name"] == found["_name"], "left").drop("_name").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
 
 
@@ -227,3 +243,13 @@ def segment_summary(df: DataFrame, regime: str, row_id: str, condition: str, ind
     ids = df.select(key, _col(row_id).alias("v")).withColumn("r", F.row_number().over(Window.partitionBy("regime").orderBy("v"))).where(F.col("r") <= indexes).groupBy("regime").agg(F.array_sort(F.collect_list("v")).alias("index_sample"))
     conditions = df.select(key, _col(condition).alias("v")).where("v is not null").distinct().withColumn("r", F.row_number().over(Window.partitionBy("regime").orderBy("v"))).where(F.col("r") <= values).groupBy("regime").agg(F.array_sort(F.collect_list("v")).alias("condition_sample"))
     return rows.join(ids, "regime", "left").join(conditions, "regime", "left")
+
+
+def resolve_outcome(columns: list[str], configured: str | None, override: str | None = None) -> str:
+    """RD13: the column of the outcome's name, by its letters and digits alone; ValueError where there is none."""
+    plain = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    wanted = override or configured or ""
+    found = [c for c in columns if plain(c) == plain(wanted)]
+    if not wanted or not found:
+        raise ValueError(f"no column for the outcome {wanted!r}")
+    return found[0]

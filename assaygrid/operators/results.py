@@ -182,3 +182,129 @@ def markdown_report(run: dict, models: list[dict], series: list[dict], citations
             "## Citations\n\n" + table(["source", "title", "similarity"], [(c["source"], c["title"], f"{c['similarity_score'] or 0:.2f}") for c in citations]),
         ]
     )
+
+
+def firsts(hypotheses: DataFrame, models: DataFrame, validations: DataFrame, citations: DataFrame, run: str) -> DataFrame:
+    """JN6: of each hypothesis of a run its first model by id with that model's validation, and all citations of it; one row a hypothesis."""
+    mine = hypotheses.where(F.col("run_id") == run)
+    first = models.groupBy("hypothesis_id").agg(F.min("id").alias("model_id"), F.min_by("r_squared", "id").alias("r_squared"))
+    passed = validations.groupBy("model_result_id").agg(F.bool_or("overall_passed").alias("validation_passed"))
+    cited = citations.groupBy("model_result_id").agg(F.count("*").alias("n_citations"), F.max("similarity_score").alias("best_similarity"))
+    out = mine.select(F.col("id").alias("hypothesis_id")).join(first, "hypothesis_id", "left")
+    for part in (passed, cited):
+        out = out.join(part, out["model_id"] == part["model_result_id"], "left").drop("model_result_id")
+    return out.withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
+
+
+def with_grounding(summaries: DataFrame, grounding: DataFrame, key: str = "hypothesis_id", order: str = "id") -> DataFrame:
+    """JN10: summaries with the first grounding of their hypothesis (a map); an empty map where there is none."""
+    first = grounding.groupBy(key).agg(F.min_by("grounding", order).alias("grounding"))
+    return summaries.join(first, key, "left").withColumn("grounding", F.coalesce("grounding", F.create_map().cast("map<string,double>")))
+
+
+def resolve(hypotheses: DataFrame, models: DataFrame) -> DataFrame:
+    """JN11: id and hypothesis (null if there is none) of each model: the hypothesis of the id that it names, or else of that label."""
+    by_id = hypotheses.select(F.col("id").cast("string").alias("_id"), F.col("id").alias("_by_id"))
+    by_label = hypotheses.groupBy(F.col("label").alias("_label")).agg(F.min("id").alias("_by_label"))
+    out = models.join(by_id, F.col("hypothesis") == F.col("_id"), "left").join(by_label, F.col("hypothesis") == F.col("_label"), "left")
+    return out.select("id", F.coalesce("_by_id", "_by_label").alias("hypothesis_id"))
+
+
+def match_means(findings: DataFrame) -> DataFrame:
+    """AG23: of (round, hypothesis_id, match_score): each hypothesis's mean and, of these, its round's."""
+    per = findings.groupBy("round", "hypothesis_id").agg(F.avg("match_score").alias("global_match"))
+    return per.withColumn("round_match", F.avg("global_match").over(Window.partitionBy("round")))
+
+
+def distinct_citations(citations: DataFrame, by: list[str], n: int) -> DataFrame:
+    """TK9: of each group the n most similar citations, one a url."""
+    one = citations.groupBy(*by, "url").agg(F.max("similarity_score").alias("similarity_score"))
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity_score"), "url"))).where(F.col("rank") <= n)
+
+
+def last_by_url(citations: DataFrame, by: list[str], order: str) -> DataFrame:
+    """DD5: of each group's citations of one url, the last in order."""
+    rest = [c for c in citations.columns if c not in (*by, "url")]
+    return citations.groupBy(*by, "url").agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*by, "url", "_last.*")
+
+
+def round_grounding(findings: DataFrame, citations: DataFrame, threshold: float = 0.75, top: int = 15) -> DataFrame:
+    """VR12: round, global_match (mean of hypotheses' means), n_hypotheses, n_citations (different urls among the top ones), convergence_ready."""
+    per = findings.groupBy("round", "hypothesis_id").agg(F.avg("match_score").alias("m")).groupBy("round").agg(F.avg("m").alias("m"), F.count("*").alias("n_hypotheses"))
+    cited = distinct_citations(citations, ["round"], top).groupBy("round").agg(F.count("*").alias("n_citations"))
+    return per.join(cited, "round", "left").select("round", F.round("m", 4).alias("global_match"), "n_hypotheses", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), (F.col("m") >= threshold).alias("convergence_ready"))
+
+
+def run_status(runs: DataFrame, hypotheses: DataFrame, models: DataFrame) -> DataFrame:
+    """A row for each run: rounds seen, hypotheses, models, and pending, running or completed by how many hypotheses have a model."""
+    h = hypotheses.select(F.col("id").alias("hypothesis_id"), "run_id", "round")
+    m = models.groupBy("hypothesis_id").agg(F.count("*").alias("n"))
+    per = h.join(m, "hypothesis_id", "left").groupBy("run_id").agg(F.count_distinct("round").alias("n_rounds"), F.count("*").alias("n_hypotheses"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_models"), F.count("n").alias("n_fitted"))
+    out = runs.select("id").join(per, runs["id"] == per["run_id"], "left").drop("run_id").na.fill(0)
+    state = F.when(F.col("n_fitted") == 0, "pending").when(F.col("n_fitted") < F.col("n_hypotheses"), "running").otherwise("completed")
+    return out.withColumn("status", state)
+
+
+def same_request(df: DataFrame, kind: str, regime: str | None, filename: str | None) -> DataFrame:
+    """FL12: stored payloads of a kind, regime and file; null equals null."""
+    return df.where((F.col("kind") == kind) & F.col("regime").eqNullSafe(F.lit(regime)) & F.col("filename").eqNullSafe(F.lit(filename)))
+
+
+def key_coalesce(m: Column, key: Column) -> Column:
+    """The value of a string-keyed map under a key as it is, or else as a whole number is written; null without."""
+    text = key.cast("string")
+    return F.coalesce(F.try_element_at(m, text), F.try_element_at(m, text.try_cast("bigint").cast("string")))
+
+
+def finding_text(variable: Column, outcome: Column, coefficient: Column) -> Column:
+    """What a coefficient says in words."""
+    verb = F.when(coefficient > 0, "increases").otherwise("decreases")
+    return F.format_string("%s %s %s (coefficient=%.4f)", variable, verb, outcome, coefficient)
+
+
+def overall(passed: Column, run: Column) -> Column:
+    """DG26: all tests but one, and one at least."""
+    return passed >= F.greatest(F.lit(1), run - 1)
+
+
+def best_of_round(models: DataFrame, validations: DataFrame) -> DataFrame:
+    """MD19: of each hypothesis its best model (by R2 among those that passed, or else that succeeded) and whether it passed."""
+    v = validations.select(F.col("model_result_id").alias("_m"), "overall_passed")
+    joined = models.where("success").join(v, F.col("id") == F.col("_m"), "left").withColumn("passed", F.coalesce("overall_passed", F.lit(False)))
+    ranked = joined.withColumn("_n", F.row_number().over(Window.partitionBy("hypothesis_id").orderBy(F.desc("passed"), F.desc("r_squared"), "id")))
+    return ranked.where("_n = 1").select("hypothesis_id", F.col("id").alias("model_id"), "r_squared", "passed")
+
+
+def round_summary(hypotheses: DataFrame, models: DataFrame, validations: DataFrame) -> DataFrame:
+    """MD19: run_id, round, n_hypotheses, n_passed, n_failed, best_r_squared (0 without a model), pass_rate."""
+    best = best_of_round(models, validations)
+    h = hypotheses.select(F.col("id").alias("hypothesis_id"), "run_id", "round").join(best, "hypothesis_id", "left")
+    passed = F.count_if(F.coalesce("passed", F.lit(False)))
+    return h.groupBy("run_id", "round").agg(F.count("*").alias("n_hypotheses"), passed.alias("n_passed"), (F.count("*") - passed).alias("n_failed"), F.coalesce(F.max("r_squared"), F.lit(0.0)).alias("best_r_squared"), (passed / F.count("*")).alias("pass_rate"))
+
+
+def top_third(importance: DataFrame, by: str = "model") -> DataFrame:
+    """TK12: of (model, variable, importance) the first third of a model's variables, one at least; the first half of these, one at least, are highly so."""
+    n = F.count("*").over(Window.partitionBy(by))
+    k = F.greatest(F.lit(1), F.floor(n / 3))
+    ranked = importance.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("importance"), "variable"))).withColumn("_k", k)
+    return ranked.where(F.col("rank") <= F.col("_k")).withColumn("highly", F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_k") / 2))).drop("_k")
+
+
+def segmentation(rows: DataFrame, regime: str, row_id: str, columns: list[str], batch: str) -> dict[str, DataFrame]:
+    """SK8: rows under their regimes as five tables: batch, regimes, rows, column statistics, regression specifications."""
+    code = F.col(f"`{regime}`").cast("string")
+    ident = F.concat(F.lit(f"{batch}:"), code)
+    kinds = dict(rows.dtypes)
+    numeric = [c for c in columns if kinds[c] in ("int", "bigint", "float", "double", "smallint", "tinyint") or kinds[c].startswith("decimal")]
+    stats = [F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"), F.count_distinct(F.col(f"`{c}`")).cast("int").alias("n_distinct")).alias(f"c{i}") for i, c in enumerate(columns)]
+    per = rows.groupBy(ident.alias("segmented_regime_id"), code.alias("regime_code")).agg(F.count("*").cast("int").alias("n_rows"), *stats)
+    long = per.select("segmented_regime_id", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("c")).select("segmented_regime_id", "c.*")
+    strings = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return {
+        "experiment_segmentation_batches": rows.agg(F.lit(batch).alias("id"), F.lit(regime).alias("segmentation_method"), F.count("*").alias("n_rows")),
+        "experiment_segmented_regimes": per.select(F.col("segmented_regime_id").alias("id"), F.lit(batch).alias("batch_id"), "regime_code", "n_rows"),
+        "experiment_regime_rows": rows.select(ident.alias("segmented_regime_id"), F.col(row_id).cast("long").alias("source_row_index")),
+        "experiment_regime_column_stats": long.withColumn("is_constant_in_regime", F.col("n_distinct") <= 1),
+        "experiment_regime_regression_specs": per.select("segmented_regime_id", strings(columns).alias("candidate_inputs"), strings([c for c in columns if c not in numeric]).alias("categorical_inputs"), strings(numeric).alias("numeric_inputs")),
+    }

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaygrid.functions import text as tx
@@ -153,7 +153,8 @@ def grounding_score(df: DataFrame, rag: str, papers: str, pass_rate: str, name:
 def rank_grounded(df: DataFrame, top: int = 6) -> DataFrame:
     """TK2: by lit * R2 * diagnostics, then lit, then R2; of the strong ones if there are two or more, else of all."""
     key = F.col("lit_score") * F.col("r_squared") * F.col("diagnostic_score")
-    ranked = df.withColumn("key", key).withColumn("_strong", F.count_if(F.col("lit_score") >= STRONG_MIN).over(Window.partitionBy(F.lit(1))))
+    strong = df.agg(F.count_if(F.col("lit_score") >= STRONG_MIN).alias("_strong"))
+    ranked = df.withColumn("key", key).join(F.broadcast(strong))  # one row
     chosen = ranked.where((F.col("_strong") < 2) | (F.col("lit_score") >= STRONG_MIN))
     return chosen.orderBy(F.desc("key"), F.desc("lit_score"), F.desc("r_squared"), "id").limit(top).drop("_strong")
 
@@ -203,3 +204,41 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(w, lambda x: F.pmod(F.xxhash64(x), F.lit(width)) == i)).cast("double"))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)).cast("float"))
+
+
+def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
+    """The chunker as a table function for SQL: chunk_text(text, size, overlap) gives chunk_index, start and chunk."""
+
+    @F.udtf(returnType="chunk_index int, start int, chunk string")
+    class Chunker:
+        def eval(self, text: str, size: int, overlap: int):
+            for i, (start, piece) in enumerate(split_chunks(text or "", size, overlap)):
+                yield i, start, piece
+
+    spark.udtf.register(name, Chunker)
+
+
+def corpus_citations(found: DataFrame, chunks: DataFrame, floor: float = QUERY_MIN) -> DataFrame:
+    """VR8: of each query its nearest chunk, if near enough, as a citation: query_id, source, title, url, similarity_score, snippet (500 characters)."""
+    best = found.where((F.col("rank") == 1) & (F.col("similarity") >= floor))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cited = best.join(chunks, "doc_id").select("query_id", F.lit("corpus").alias("source"), F.coalesce("title", "source_file").alias("title"), F.col("source_file").alias("url"), F.round("similarity", 4).alias("similarity_score"), F.trim(F.substring(text, 1, 500)).alias("snippet"))
+    return cited
+
+
+def rerank(found: DataFrame, relevance: DataFrame | None, k: int) -> DataFrame:
+    """VR6: each query's documents by relevance (query_id, doc_id, relevance) from outside, those without by similarity after them; without any as they are."""
+    if relevance is None:
+        return found.where(F.col("rank") <= k)
+    joined = found.join(relevance, ["query_id", "doc_id"], "left")
+    over = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("relevance"), F.desc("similarity"), "doc_id")
+    return joined.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).select("query_id", "doc_id", "similarity", "rank")
+
+
+def backfill_embeddings(chunks: DataFrame, fresh: DataFrame, model: str) -> DataFrame:
+    """SK7: chunks with the embeddings (chunk_id, embedding) of those that had none or another model's."""
+    new = fresh.select("chunk_id", F.col("embedding").alias("_fresh"))
+    out = chunks.join(new, "chunk_id", "left")
+    stale = F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model))
+    use = stale & F.col("_fresh").isNotNull()
+    return out.withColumns({"embedding_model": F.when(use, F.lit(model)).otherwise(F.col("embedding_model")), "embedding": F.when(use, F.col("_fresh")).otherwise(F.col("embedding"))}).drop("_fresh")

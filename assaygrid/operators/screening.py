@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaygrid.functions.stats import chi2_sf, f_sf, t_quantile, t_sf2
+from assaygrid.operators.order import in_blocks, numbered
 
 SIZES = (1, 2, 3, 4)
 CAP, MIN_R2, MAX_CORRELATION, TOP = 36, 0.06, 0.95, 12
+MIN_LITERATURE = 0.30
 QUOTAS = {"time_only": 2, "time_plus_parameter": 5, "parameter_only": 5}
 
 
@@ -67,25 +70,30 @@ def gram(df: DataFrame, variables: list[str], by: list[str] | None = None) -> Gr
         for batch in batches:
             v = np.column_stack([batch.column(groups + i).to_numpy(zero_copy_only=False).astype(float) for i in range(n - 1)])
             have = ~np.isnan(v)
+            if not len(v):
+                continue
             z = np.column_stack([np.ones(len(v)), np.where(have, (v - shift) / scale, 0.0)])
-            mask = (have.astype(np.int64) << np.arange(n - 1)).sum(1)
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(groups)], mask.tolist(), strict=True))
-            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-            which = np.array([names[k] for k in keys])
-            for k, i in names.items():
+            mask = np.packbits(have, axis=1, bitorder="little")
+            coded = [batch.column(i).cast(pa.string()).dictionary_encode() for i in range(groups)]
+            code = np.column_stack([mask, *[c.indices.fill_null(-1).to_numpy() for c in coded]]).astype(np.int64)
+            patterns, which = np.unique(code, axis=0, return_inverse=True)
+            which = which.ravel()
+            for i, found in enumerate(patterns):
+                values = (c.dictionary[j].as_py() if j >= 0 else None for c, j in zip(coded, found[mask.shape[1] :].tolist(), strict=True))
+                k = (*values, found[: mask.shape[1]].astype(np.uint8).tobytes())
                 part = z[which == i]
                 total[k] = total.get(k, 0) + part.T @ part
         rows = list(total.items())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([list(map(str, k[:-1])) if groups else [] for k, _ in rows], pa.list_(pa.string())), pa.array([k[-1] for k, _ in rows], pa.int64()), pa.array([m.ravel() for _, m in rows], pa.list_(pa.float64()))],
+            [pa.array([list(map(str, k[:-1])) if groups else [] for k, _ in rows], pa.list_(pa.string())), pa.array([k[-1] for k, _ in rows], pa.binary()), pa.array([m.ravel() for _, m in rows], pa.list_(pa.float64()))],
             ["g", "mask", "m"],
         )
 
-    parts = clean.mapInArrow(summed, "g array<string>, mask long, m array<double>")
+    parts = clean.mapInArrow(summed, "g array<string>, mask binary, m array<double>")
     cells = parts.select("g", "mask", F.posexplode("m").alias("at", "x")).groupBy("g", "mask", "at").agg(F.sum("x").alias("x"))
     sums: dict[tuple, dict[int, np.ndarray]] = {}
     for r in cells.groupBy("g", "mask").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).toLocalIterator():  # (k + 1)^2 numbers a pattern
-        sums.setdefault(tuple(r["g"]), {})[r["mask"]] = np.array([c["x"] for c in r["m"]]).reshape(n, n)
+        sums.setdefault(tuple(r["g"]), {})[int.from_bytes(r["mask"], "little")] = np.array([c["x"] for c in r["m"]]).reshape(n, n)
     return Gram(variables, shift, scale, sums)
 
 
@@ -193,53 +201,110 @@ def confidence(fit: Fit) -> dict[str, tuple[float, float]]:
     return {k: (b - q * fit.errors[k], b + q * fit.errors[k]) for k, b in fit.coefficients.items()}
 
 
+@dataclass
+class Residuals:
+    """What is known of the residuals e of a run of rows in their order; runs that follow each other are put together by then()."""
+
+    n: int
+    mean: np.ndarray  # of e, e * e, fitted values and y
+    cross: np.ndarray  # sums of products about those means
+    cubes: float
+    fourths: float
+    steps: float  # squared differences from row to row
+    absolute: float
+    relative: float  # |e / y| where y is not zero
+    zeros: int
+    cook: float
+    n_cook: int
+    first: float
+    last: float
+
+    @classmethod
+    def of(cls, y: np.ndarray, fitted: np.ndarray, cook: np.ndarray, limit: float) -> Residuals:
+        e = y - fitted
+        w = np.stack([e, e * e, fitted, y])
+        mean = w.mean(1)
+        c = w - mean[:, None]
+        return cls(len(e), mean, c @ c.T, float((e**3).sum()), float((e**4).sum()), float((np.diff(e) ** 2).sum()), float(np.abs(e).sum()), float(np.abs(e[y != 0] / y[y != 0]).sum()), int((y == 0).sum()), float(cook.max()), int((cook > limit).sum()), float(e[0]), float(e[-1]))
+
+    def then(self, o: Residuals) -> Residuals:
+        n, d = self.n + o.n, o.mean - self.mean
+        cross = self.cross + o.cross + np.outer(d, d) * self.n * o.n / n
+        steps = self.steps + o.steps + (o.first - self.last) ** 2
+        return Residuals(n, self.mean + d * o.n / n, cross, self.cubes + o.cubes, self.fourths + o.fourths, steps, self.absolute + o.absolute, self.relative + o.relative, self.zeros + o.zeros, max(self.cook, o.cook), self.n_cook + o.n_cook, self.first, o.last)
+
+    def flat(self) -> list[float]:
+        return [self.n, *self.mean, *self.cross.ravel(), self.cubes, self.fourths, self.steps, self.absolute, self.relative, self.zeros, self.cook, self.n_cook, self.first, self.last]
+
+    @classmethod
+    def back(cls, v) -> Residuals:
+        v = list(v)
+        return cls(int(v[0]), np.array(v[1:5], float), np.array(v[5:21], float).reshape(4, 4), *map(float, v[21:26]), int(v[26]), float(v[27]), int(v[28]), *map(float, v[29:]))
+
+    def summary(self) -> dict:
+        n, m = self.n, float(self.mean[0])
+        squares = float(self.cross[0, 0]) + n * m * m
+        var = float(self.cross[0, 0]) / n
+        third = self.cubes / n - 3 * m * squares / n + 2 * m**3
+        fourth = self.fourths / n - 4 * m * self.cubes / n + 6 * m * m * squares / n - 3 * m**4
+        bp = float(self.cross[1, 2] ** 2 / (self.cross[1, 1] * self.cross[2, 2])) if self.cross[1, 1] > 0 and self.cross[2, 2] > 0 else None
+        return {
+            "durbin_watson": self.steps / squares if squares > 0 else None,
+            "skew": third / var**1.5 if var > 0 else None,
+            "kurt": fourth / var**2 - 3 if var > 0 else None,
+            "bp_lite_r2": bp,
+            "rmse": math.sqrt(squares / n),
+            "mae": self.absolute / n,
+            "mape": 100 * self.relative / n if not self.zeros else None,
+            "y_std": math.sqrt(self.cross[3, 3] / (n - 1)) if n > 1 else None,
+            "max_cooks_d": self.cook,
+            "n_influential": self.n_cook,
+            "n": n,
+        }
+
+
 def residual_tests(df: DataFrame, fits: list[Fit], row_id: str) -> list[dict]:
-    """DG2-DG5, DG8, DG17, DG19: of each fit, from one pass over rows and one ordered aggregate for autocorrelation."""
+    """DG2-DG5, DG8, DG17, DG19: of each fit, from one pass over rows in the order of row_id (null ones first).
+
+    Rows are sorted by ranges of row_id; a task passes on one summary a fit, and these are put together in order.
+    """
     if not fits:
         return []
     variables = sorted({v for f in fits for v in (*f.x, f.y)})
     shared = [(f.y, f.x, np.array([f.coefficients[k] for k in ("const", *f.x)]), f.inverse, f.sse / max(f.n - f.rank - 1, 1), f.n) for f in fits]
-    rows = df.select(F.col(row_id).cast("long").alias("_row"), *[F.col(f"`{v}`").cast("double").alias(v) for v in variables])
+    rows = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("_row"), *[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, Residuals]] = {}
         for batch in batches:
             data = {v: batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
-            row = batch.column(0).to_numpy(zero_copy_only=False)
-            out = []
+            row = batch.column(0).to_numpy()
             for c, (y, x, b, inverse, s2, n) in enumerate(shared):
                 z = np.column_stack([np.ones(len(row)), *[data[v] for v in x]])
                 ok = np.isfinite(z).all(1) & np.isfinite(data[y])
+                if not ok.any():
+                    continue
                 z, t = z[ok], data[y][ok]
                 fitted = z @ b
-                e = t - fitted
                 h = np.einsum("ij,jk,ik->i", z, inverse, z)
-                cook = e**2 / (z.shape[1] * max(s2, 1e-300)) * h / np.maximum(1 - h, 1e-12) ** 2
-                out.append((np.full(ok.sum(), c, np.int32), row[ok], t, fitted, e, h, cook, np.full(ok.sum(), n)))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["fit", "row", "y", "fitted", "e", "h", "cook", "n"])
-
-    long = rows.mapInArrow(pieces, "fit int, row long, y double, fitted double, e double, h double, cook double, n long")
-    from pyspark.sql import Window
-
-    lagged = long.withColumn("before", F.lag("e").over(Window.partitionBy("fit").orderBy("row")))
-    found = lagged.groupBy("fit").agg(
-        F.try_divide(F.sum((F.col("e") - F.col("before")) ** 2), F.sum(F.col("e") ** 2)).alias("durbin_watson"),
-        F.skewness("e").alias("skew"),
-        F.kurtosis("e").alias("kurt"),
-        F.regr_r2(F.col("e") ** 2, "fitted").alias("bp_lite_r2"),
-        F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"),
-        F.avg(F.abs("e")).alias("mae"),
-        F.when(F.count_if(F.col("y") == 0) == 0, 100 * F.avg(F.abs(F.try_divide("e", "y")))).alias("mape"),
-        F.stddev_samp("y").alias("y_std"),
-        F.max("cook").alias("max_cooks_d"),
-        F.count_if(F.col("cook") > 4 / F.col("n")).alias("n_influential"),
-        F.count("*").alias("n"),
-    )
+                cook = (t - fitted) ** 2 / (z.shape[1] * max(s2, 1e-300)) * h / np.maximum(1 - h, 1e-12) ** 2
+                found = Residuals.of(t, fitted, cook, 4 / n)
+                total[c] = (total[c][0], total[c][1].then(found)) if c in total else (int(row[ok][0]), found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r for r, _ in total.values()], pa.int64()), pa.array([s.flat() for _, s in total.values()], pa.list_(pa.float64()))], ["fit", "row", "s"])
+
+    def joined(pdf):
+        import pandas as pd
+
+        runs = [Residuals.back(s) for s in pdf.sort_values("row", kind="stable")["s"]]
+        return pd.DataFrame({"fit": [pdf["fit"].iloc[0]], "s": [reduce(Residuals.then, runs).flat()]})
+
+    ordered = rows.repartitionByRange("_row").sortWithinPartitions("_row")
+    found = ordered.mapInArrow(pieces, "fit int, row long, s array<double>").groupBy("fit").applyInPandas(joined, "fit int, s array<double>")
     out = []
     for r in sorted(found.collect(), key=lambda r: r["fit"]):  # a row a fit
-        d = r.asDict()
+        d = Residuals.back(r["s"]).summary()
         jb = d["n"] / 6 * (d["skew"] ** 2 + d["kurt"] ** 2 / 4) if d["skew"] is not None else None
-        d |= {"y_col": fits[d["fit"]].y, "x_cols": list(fits[d["fit"]].x), "jarque_bera": jb, "jarque_bera_p": math.exp(-jb / 2) if jb is not None else None}
+        d |= {"fit": r["fit"], "y_col": fits[r["fit"]].y, "x_cols": list(fits[r["fit"]].x), "jarque_bera": jb, "jarque_bera_p": math.exp(-jb / 2) if jb is not None else None}
         d["bp_lite_p"] = chi2_sf(d["n"] * d["bp_lite_r2"], 1) if d["bp_lite_r2"] is not None else None
         out.append(d)
     return out
@@ -388,15 +453,16 @@ def screen(df: DataFrame, inputs: list[str], outcomes: list[str], row_id: str, t
 
 def kfold_r2(df: DataFrame, y: str, x: tuple[str, ...], row_id: str, folds: int = 5) -> list[float]:
     """DG18: R2 on each contiguous block of rows (by row_id) of a fit on the others: total less fold Grams, one pass."""
-    from pyspark.sql import Window
-
     rows = df.select(F.col(row_id).alias("_r"), *[F.col(f"`{v}`").cast("double").alias(v) for v in (*x, y)]).na.drop()
     n = rows.count()
     folds = min(folds, n // 5)
     if folds < 2:
         return []
-    # contiguous blocks by approximate quantiles of row_id would move borders; exact ones come from a global rank
-    ranked = rows.withColumn("fold", F.ntile(folds).over(Window.orderBy("_r")))
+    # contiguous blocks, the first n % folds of one row more
+    size, longer = divmod(n, folds)
+    at = F.col("_n")
+    first = longer * (size + 1)
+    ranked = numbered(rows, ["_r"], "_n").withColumn("fold", F.when(at < first, F.floor(at / (size + 1))).otherwise(longer + F.floor((at - first) / size)))
     g = gram(ranked, [*x, y], ["fold"])
     out = []
     for held in sorted(g.sums):
@@ -418,3 +484,154 @@ def kfold_r2(df: DataFrame, y: str, x: tuple[str, ...], row_id: str, folds: int
         sst = raw[-1, -1] - raw[0, -1] ** 2 / raw[0, 0]
         out.append(float(1 - (w @ raw @ w) / sst) if sst > 0 else math.nan)
     return out
+
+
+def influence(df: DataFrame, fit: Fit) -> dict:
+    """DG19: n_influential (Cook's distance above 4 / n), n_high_leverage (hat value above 2 k / n), max_studentized (residuals, each by the others' deviation)."""
+    names = ["const", *fit.x]
+    rows = df.select(*[F.col(f"`{v}`").cast("double").alias(v) for v in (*fit.x, fit.y)]).na.drop().withColumn("const", F.lit(1.0))
+    hat, fitted = F.lit(0.0), F.lit(0.0)
+    for i, a in enumerate(names):
+        fitted = fitted + F.lit(fit.coefficients[a]) * F.col(f"`{a}`")
+        for j, b in enumerate(names):
+            hat = hat + F.lit(float(fit.inverse[i, j])) * F.col(f"`{a}`") * F.col(f"`{b}`")
+    p = fit.rank + 1
+    s2 = fit.sse / max(fit.n - p, 1)
+    e, h = F.col("_e"), F.col("_h")
+    cook = e**2 / (p * max(s2, 1e-300)) * h / F.greatest(1 - h, F.lit(1e-12)) ** 2
+    others = ((fit.n - p) * s2 - e**2 / F.greatest(1 - h, F.lit(1e-12))) / max(fit.n - p - 1, 1)
+    studentized = F.abs(e) / F.sqrt(F.greatest(others * (1 - h), F.lit(1e-300)))
+    r = rows.withColumn("_h", hat).withColumn("_e", F.col(f"`{fit.y}`") - fitted).agg(F.count_if(cook > 4 / fit.n).alias("c"), F.count_if(h > 2 * len(fit.x) / fit.n).alias("h"), F.max(studentized).alias("s")).first()
+    return {"n_influential": r["c"], "n_high_leverage": r["h"], "max_studentized": r["s"]}
+
+
+def serial_correlation(df: DataFrame, fit: Fit, row_id: str, block: int = 100_000) -> float | None:
+    """DG20: the p-value of Breusch and Godfrey's test with two lags, in the order of row_id; before the first row residuals count as 0."""
+    rows = df.select(F.col(row_id).alias("_r"), *[F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(fit.x)], F.col(f"`{fit.y}`").cast("double").alias("_y")).na.drop()
+    fitted = F.lit(fit.coefficients["const"])
+    for i, v in enumerate(fit.x):
+        fitted = fitted + F.lit(fit.coefficients[v]) * F.col(f"x{i}")
+    scale = math.sqrt(fit.sse / fit.n) or 1.0
+    placed = in_blocks(numbered(rows.withColumn("e", (F.col("_y") - fitted) / scale), ["_r"], "t"), "t", block, 2)
+    names = [f"x{i}" for i in range(len(fit.x))]
+    lagged = placed.groupBy("b").applyInPandas(lambda key, pdf: _two_lags(pdf, key[0] * block, names), ", ".join(f"{n} double" for n in [*names, "before", "two", "e"]))
+    g = gram(lagged, [*names, "before", "two", "e"])
+    full = solve(g, "e", (*names, "before", "two"))
+    return chi2_sf(full.n * full.r_squared, 2) if full else None
+
+
+def _two_lags(pdf, start: int, names: list[str]):
+    """Rows of a block from place start on, with the residuals of the two rows before."""
+    pdf = pdf.sort_values("t")
+    e = pdf["e"].to_numpy()
+    out = pdf[names].copy()
+    out["before"], out["two"], out["e"] = np.append(0.0, e[:-1])[: len(e)], np.append([0.0, 0.0], e)[: len(e)], e
+    return out[pdf["t"].to_numpy() >= start]
+
+
+def heteroscedasticity(df: DataFrame, fit: Fit) -> float | None:
+    """DG20: the p-value of White's test: squared residuals on inputs, their squares and products."""
+    rows = df.select(*[F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(fit.x)], F.col(f"`{fit.y}`").cast("double").alias("_y")).na.drop()
+    fitted = F.lit(fit.coefficients["const"])
+    for i, v in enumerate(fit.x):
+        fitted = fitted + F.lit(fit.coefficients[v]) * F.col(f"x{i}")
+    k = len(fit.x)
+    m = rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(k)]).first()
+    z = [(F.col(f"x{i}") - F.lit(m[f"m{i}"])) / F.lit(m[f"s{i}"] or 1.0) for i in range(k)]  # spans the same products
+    parts = [*[z[i].alias(f"z{i}") for i in range(k)], *[(z[i] * z[j]).alias(f"z{i}_{j}") for i in range(k) for j in range(i, k)]]
+    wide = rows.select(*parts, (((F.col("_y") - fitted) ** 2) / (fit.sse / fit.n or 1.0)).alias("e2"))
+    names = tuple(c for c in wide.columns if c != "e2")
+    full = solve(gram(wide, [*names, "e2"]), "e2", names)
+    return chi2_sf(full.n * full.r_squared, full.rank) if full else None
+
+
+def standardized(g: Gram, fit: Fit) -> dict[str, float]:
+    """DG21: coefficients in deviations: b sd(x) / sd(y) over the fit's rows."""
+    m = complete(g, [*fit.x, fit.y])
+    n = m[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(m)[1:] / n - (m[0, 1:] / n) ** 2, 0)) * np.array([g.scale[g.variables.index(v)] for v in (*fit.x, fit.y)])
+    return {v: float(fit.coefficients[v] * (sd[i] or 1.0) / max(sd[-1], 1e-9)) for i, v in enumerate(fit.x)}
+
+
+#: DG10: what a ridge fit scores, whatever its residuals.
+RIDGE_SCORE = 0.40
+
+
+def fit_count(g: Gram, pool: list[str], outcomes: list[str], panel: bool = False, sizes: tuple[int, ...] = (2, 3, 5), least: int = 8) -> int:
+    """SE2: how many fits a screening makes: six a subset with enough complete rows, and one more where there is a panel design."""
+    total = 0
+    for c in candidates(pool, outcomes, sizes=sizes):
+        if not correlated(g, c.x) and complete(g, [*c.x, c.y])[0, 0] >= max(least, len(c.x) + 3):
+            total += 6 + panel
+    return total
+
+
+def panel_design(df: DataFrame, x: list[str], y: str, entity: str, time: str, row_id: str, least: int = 10) -> DataFrame | None:
+    """SE3: complete rows of x, time and a code of the entity by first appearance, with y; None if there are fewer than least."""
+    rows = df.select(F.col(row_id).alias("_r"), *[F.col(f"`{c}`").cast("double").alias(c) for c in (*x, time)], F.col(f"`{entity}`").alias("_e"), F.col(f"`{y}`").cast("double").alias(y)).na.drop()
+    if rows.limit(least).count() < least:
+        return None
+    codes = numbered(rows.groupBy(F.col("_e").alias("_k")).agg(F.min("_r").alias("_first")), ["_first"], "entity_code").select("_k", F.col("entity_code").cast("double").alias("entity_code"))
+    return rows.join(codes, F.col("_e") == F.col("_k")).select(F.col("_r").alias(row_id), *x, time, "entity_code", y)
+
+
+def best_by_r2(fits: list[Fit], top: int = 72) -> list[Fit]:
+    """TK1: the candidates that go on to the literature."""
+    return sorted(fits, key=lambda f: (-f.r_squared, f.y, f.x))[:top]
+
+
+def screening_warnings(n_rows: int, n_inputs: int, n_fits: int, strong: int, chosen: int) -> list[str]:
+    """SE11: why a screening found nothing, or found little."""
+    if not n_rows:
+        return ["The segment has no rows."]
+    if n_rows < 12:
+        return ["Fewer than 12 rows in the segment."]
+    if n_inputs < 2:
+        return ["Fewer than two numeric inputs that vary."]
+    if not n_fits:
+        return ["No fit of the segment passed."]
+    return ["The corpus says little about most fits; the best by statistics are shown."] if not strong and chosen else []
+
+
+def bundles(ranked: DataFrame, run: str) -> DataFrame:
+    """SE10: of fits (rank, y_col, x_cols, r_squared, lit_score, coefficients, p_values) a row each with ids that the same fit always gets.
+
+    id, hypothesis_id (H1 ... in order of rank), y_col, primary_variables (ten at most), r_squared (4 digits), coefficients and p_values (6), priority_score and
+    validation_passed (R2 and literature above their thresholds).
+    """
+    rounded = lambda c: F.transform_values(c, lambda k, v: F.round(v, 6))
+    return ranked.select(
+        F.substring(F.sha2(F.concat_ws("|", F.lit(run), "y_col", F.array_join("x_cols", ",")), 256), 1, 16).alias("id"),
+        F.concat(F.lit("H"), F.col("rank").cast("string")).alias("hypothesis_id"),
+        "y_col",
+        F.slice("x_cols", 1, 10).alias("primary_variables"),
+        F.round("r_squared", 4).alias("r_squared"),
+        rounded(F.col("coefficients")).alias("coefficients"),
+        rounded(F.col("p_values")).alias("p_values"),
+        F.round(F.least(F.lit(1.0), F.col("lit_score")), 4).alias("priority_score"),
+        ((F.col("r_squared") >= MIN_R2) & (F.col("lit_score") >= MIN_LITERATURE)).alias("validation_passed"),
+    )
+
+
+def screen_grounded(df: DataFrame, inputs: list[str], outcomes: list[str], literature: DataFrame, run: str, sizes: tuple[int, ...] = (2, 3, 5), top: int = 6) -> tuple[DataFrame, list[str]]:
+    """SE5: bundles of the best fits by literature, R2 and diagnostics, and warnings.
+
+    literature: y_col, x_key (inputs joined by commas) and lit_score of the candidates, from a search of the corpus; a candidate
+    that is not there scores 0. One Gram pass fits all candidates; TOP_POOL of them by R2 go on.
+    """
+    spark = df.sparkSession
+    g = gram(df, list(dict.fromkeys([*inputs, *outcomes])))
+    n = int(round(sum(m[0, 0] for m in g.sums.get((), {}).values())))
+    fits = [f for c in candidates(inputs, outcomes, sizes=sizes) if not correlated(g, c.x) and (f := solve(g, c.y, c.x)) and f.r_squared >= MIN_R2] if n >= 12 and len(inputs) >= 2 else []
+    kept = best_by_r2(fits)
+    more = auxiliary_batch(df, kept, g)
+    rows = [(i, f.y, ",".join(f.x), list(f.x), f.r_squared, composite(a["breusch_pagan_p"], None, f.max_vif, None, a["reset_p"]), f.coefficients, f.p_values) for i, (f, a) in enumerate(zip(kept, more, strict=True))]
+    table = spark.createDataFrame(rows, "i int, y_col string, x_key string, x_cols array<string>, r_squared double, diagnostic_score double, coefficients map<string,double>, p_values map<string,double>")
+    known = literature.select(F.col("y_col").alias("_y"), F.col("x_key").alias("_x"), "lit_score")
+    scored = table.join(known, (F.col("y_col") == F.col("_y")) & (F.col("x_key") == F.col("_x")), "left").withColumn("lit_score", F.coalesce("lit_score", F.lit(0.0)))
+    # 72 rows at most
+    ranked = sorted((r.asDict() for r in scored.collect()), key=lambda r: (-r["lit_score"] * r["r_squared"] * r["diagnostic_score"], -r["lit_score"], -r["r_squared"], r["i"]))
+    strong = [r for r in ranked if r["lit_score"] >= MIN_LITERATURE]
+    chosen = (strong if len(strong) >= 2 else ranked)[:top]
+    out = spark.createDataFrame([(i, r["y_col"], r["x_cols"], r["r_squared"], r["lit_score"], r["coefficients"], r["p_values"]) for i, r in enumerate(chosen, 1)], "rank int, y_col string, x_cols array<string>, r_squared double, lit_score double, coefficients map<string,double>, p_values map<string,double>")
+    return bundles(out, run), screening_warnings(n, len(inputs), len(fits), len(strong), len(chosen))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.operators import clean, models, panel, profile, screening
+from assaygrid.operators import clean, models, order, panel, profile, screening
 from assaygrid.plans.registry import query, table
 
 #: Events a user a day as a composition of event types; the type names are the test table's.
@@ -26,8 +26,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_types(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The first five event types by name: a fixed domain of few values."""
-    return [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(5).collect()]
+    """The event types by name: a fixed domain of five values, which the columns c1..c5 stand for."""
+    found = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(6).collect()]
+    if len(found) > 5:
+        raise ValueError("events of more than five types; c1..c5 would leave some out")
+    return found
 
 
 DAILY = """
@@ -180,6 +183,11 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(p, l["l_partkey"] == p["p_partkey"]).select("l_orderkey", "l_linenumber", "l_returnflag", *[F.col(c).cast("double").alias(c) for c in (*_INPUTS, "l_extendedprice")]).withColumn("response", F.col("l_extendedprice") / 1000 + F.col("l_quantity") + F.col("p_retailprice") / 20 + F.col("p_size"))
 
 
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """experiment with row_id: 0, 1, 2 ... by order and line."""
+    return order.numbered(experiment(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"], "row_id")
+
+
 @query(
     f"WITH e AS ({_JOINED}) "
     + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r, count(*) AS n FROM e" for i, a in enumerate(_INPUTS) for b in _INPUTS[i + 1 :])
@@ -355,13 +363,13 @@ def batch_ols_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def quota_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The screening engine end to end: candidates with time (discount's stand-in), Gram pass, residual pass, balanced quotas."""
-    e = experiment(spark, sf_dir).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    e = in_order(spark, sf_dir)
     return screening.screen(e, ["l_quantity", "l_tax", "p_size", "p_retailprice"], ["response"], "row_id", time="l_discount")
 
 
 @query()
 def regime_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = experiment(spark, sf_dir).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    e = in_order(spark, sf_dir)
     return screening.screen(e, ["l_quantity", "l_tax", "p_size", "p_retailprice"], ["response"], "row_id", regime="l_returnflag")
 
 
@@ -470,14 +478,14 @@ def value_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = experiment(spark, sf_dir).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    e = in_order(spark, sf_dir)
     f = models.lasso_cv(e, "response", _INPUTS, "row_id")
     return spark.createDataFrame([(f["alpha"], f["nonzero"], f["sparsity"], f["cv_r2"], f["coefficients"])], "alpha double, nonzero int, sparsity double, cv_r2 double, coefficients map<string,double>")
 
 
 @query()
 def ridge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = experiment(spark, sf_dir).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    e = in_order(spark, sf_dir)
     f = models.ridge_cv(e, "response", _INPUTS, "row_id")
     return spark.createDataFrame([(f["alpha"], f["effective_df"], f["shrinkage"], f["condition"], f["cv_r2"])], "alpha double, effective_df double, shrinkage double, condition double, cv_r2 double")
 

@@ -9,11 +9,12 @@ import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaygrid.operators.clean import drop_empty, trim_strings
+from assaygrid.operators.order import numbered_as_read
 
 # Words of role cells, and names of required columns.
 METADATA_WORDS = ("metadata", "meta", "identifier", "info")
@@ -189,13 +190,15 @@ def read_smart(spark: SparkSession, path: str) -> DataFrame:
     return trim_strings(drop_empty(_from_grid(spark, names_unified(grid[at]), grid[at + 1 :])))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", row_id: bool = True) -> DataFrame:
-    """SC1, SC2: a CSV or TSV as trimmed strings (types are for the profile to tell), with its line order as row_id."""
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"')
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", row_id: bool = True, multi_line: bool = True) -> DataFrame:
+    """SC1, SC2: a CSV or TSV as trimmed strings (types are for the profile to tell), with its line order as row_id.
+
+    multi_line: cells may hold line ends; a file is then read by one task. Without, large files are split.
+    """
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
     df = raw.toDF(*names_unified(raw.columns))
     if row_id:
-        # ids that grow with position in the files; made dense by a window over them, once, at ingest
-        df = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("row_id", F.row_number().over(Window.orderBy("_at")).cast("long") - 1).drop("_at")
+        df = numbered_as_read(df, "row_id")
     return trim_strings(drop_empty(df))
 
 
