@@ -14,14 +14,15 @@ BROADCAST_ROWS = 100_000
 KEY = ["bucket", "tile", "run"]
 
 
-def deal(keyed: DataFrame, by: str, tile: int, length: int | None = None) -> DataFrame:
+def deal(keyed: DataFrame, by: str, tile: int, length: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """keyed (bucket, own, by, ...) with tile, run and side, partitioned and sorted by them.
 
     A bucket of n own rows has ceil(n / tile) tiles of them (side 0); all its rows lie in runs of about
     length (tile by default; side 1), and each tile meets each run in one group. A row is copied once a
     tile or run, so both are as large as a task's memory allows. by: a column that spreads a bucket's rows.
+    members: keyed's bucket and own, where they are had for less.
     """
-    sizes = keyed.groupBy("bucket").agg(F.count_if("own").alias("own_n"), F.count("*").alias("all_n"))
+    sizes = (keyed if members is None else members).groupBy("bucket").agg(F.count_if("own").alias("own_n"), F.count("*").alias("all_n"))
     length = length or tile
     large = sizes.where(f"own_n > {tile} or all_n > {length}").select("bucket", F.greatest(F.ceil(F.col("own_n") / tile), F.lit(1)).cast("int").alias("tiles"), F.ceil(F.col("all_n") / length).cast("int").alias("runs"))
     few = len(large.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
