@@ -70,11 +70,8 @@ def _longest_run(sorted_words: Column) -> Column:
     return F.coalesce(F.aggregate(sorted_words, start, step, lambda s: s["best"]), F.lit(0))
 
 
-def is_clean_sentence(text: Column, alpha_min: float = 0.65) -> Column:
-    """TX2: prose that shows no sign of leaked reasoning, markup, noise or loops. Null is not clean.
-
-    alpha_min: least share of letters and blanks (the browser's twin of the rule, TX8, takes 0.60).
-    """
+def sentence_marks(text: Column) -> Column:
+    """What is_clean_sentence judges by: alpha (share of letters and blanks) and sound (all else). A column of it serves several judgements."""
     n, low, w = F.length(text), F.lower(text), words(text)
     total = F.size(w)
     significant = F.filter(F.transform(w, lambda x: F.lower(_core(x))), lambda x: (F.length(x) >= 4) & ~F.array_contains(_array(PROSE_STOPWORDS), x))
@@ -85,10 +82,9 @@ def is_clean_sentence(text: Column, alpha_min: float = 0.65) -> Column:
     holds = F.lit(False)
     for s in GARBAGE:
         holds = holds | text.contains(s)
-    good = (
+    sound = (
         (n >= 15)
         & (_share(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")), n) <= 0.015)
-        & (_share(F.length(F.regexp_replace(text, r"[^\p{L} ]", "")), n) >= alpha_min)
         & ~starts
         & ~holds
         & ~text.rlike(r"(?U)[^\w\s]{3,}")
@@ -96,14 +92,23 @@ def is_clean_sentence(text: Column, alpha_min: float = 0.65) -> Column:
         & (_share(F.size(F.filter(w, lambda x: _core(x).rlike(r"[*|\\@#{}_%]"))), total) <= 0.15)
         & (_share(top, total) <= 0.20)
     )
-    return F.coalesce(good, F.lit(False))
+    return F.struct(_share(F.length(F.regexp_replace(text, r"[^\p{L} ]", "")), n).alias("alpha"), sound.alias("sound"))
+
+
+def is_clean_sentence(text: Column, alpha_min: float = 0.65, marks: Column | None = None) -> Column:
+    """TX2: prose that shows no sign of leaked reasoning, markup, noise or loops. Null is not clean.
+
+    alpha_min: least share of letters and blanks (the browser's twin of the rule, TX8, takes 0.60). marks: a column of sentence_marks(text).
+    """
+    marks = sentence_marks(text) if marks is None else marks
+    return F.coalesce((marks["alpha"] >= alpha_min) & marks["sound"], F.lit(False))
 
 
-def is_clean_paragraph(text: Column) -> Column:
+def is_clean_paragraph(text: Column, marks: Column | None = None) -> Column:
     """TX3: a clean sentence with two colons at most, no reasoning label and no sentence of one or two words."""
     pieces = F.transform(F.split(text, r"(?<=[.!])\s+"), lambda p: F.trim(p))
     short = F.exists(pieces, lambda p: p.endswith(".") & F.size(words(p)).between(1, 2))
-    return is_clean_sentence(text) & (F.regexp_count(text, F.lit(":")) <= 2) & ~text.rlike(COT_LABEL) & ~short
+    return is_clean_sentence(text, marks=marks) & (F.regexp_count(text, F.lit(":")) <= 2) & ~text.rlike(COT_LABEL) & ~short
 
 
 def is_clean_title(text: Column) -> Column:
@@ -130,9 +135,11 @@ def strip_thinking(text: Column) -> Column:
     body = F.when(bare.rlike(COT_END) & (F.length(tail) > 20), tail).otherwise(bare)
     parts = F.transform(F.split(body, r"\.(?:\s+(?=[A-Z])|(?=[A-Z]))"), lambda p: F.trim(p))
     real = F.filter(parts, lambda p: (F.size(words(p)) >= 8) & ~p.rlike(COT_LABEL) & p.rlike(r"^\p{Lu}"))
-    first = F.filter(real, lambda p, i: ~F.exists(F.slice(real, F.lit(1), i), lambda q: F.lower(q) == F.lower(p)))
-    two = F.array_join(F.slice(first, F.greatest(F.size(first) - 1, F.lit(1)), 2), ". ")
-    return F.when(F.size(first) > 0, F.when(two.endswith("."), two).otherwise(F.concat(two, F.lit(".")))).otherwise(body)
+    # one pass over the sentences: what they are made of is not worked out again for each
+    once = lambda kept, p: F.when(F.exists(kept, lambda q: F.lower(q) == F.lower(p)), kept).otherwise(F.array_append(kept, p))
+    last_two = lambda kept: F.array_join(F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), 2), ". ")
+    answer = F.aggregate(real, F.array().cast("array<string>"), once, lambda kept: F.when(F.size(kept) > 0, F.concat(F.regexp_replace(last_two(kept), r"\.$", ""), F.lit("."))))
+    return F.coalesce(answer, body)
 
 
 def is_clean_domain(text: Column) -> Column:

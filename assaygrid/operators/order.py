@@ -18,14 +18,29 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     by range, and numbered inside their own: a range holds about a RANGES-th of the different keys. Rows that share a
     key fall into one range. An empty table stays empty.
     """
-    keys = df.select(*[F.col(f"`{c}`") for c in order])
     names = [f"k{i}" for i in range(len(order))]
-    # a bounded number of keys: RANGES - 1 of them
-    picked = keys.toDF(*names).distinct().orderBy(F.xxhash64(*names), *names).limit(RANGES - 1).orderBy(*names).collect()
-    place = F.lit(0)
-    for r in picked:
-        place = place + F.when(_reaches([F.col(f"`{c}`") for c in order], list(r), [f.dataType for f in keys.schema.fields]), 1).otherwise(0)
-    ranged = df.withColumn("_range", place)
+    keys = df.select(*[F.col(f"`{c}`") for c in order]).toDF(*names)
+    mark = F.xxhash64(*names)
+
+    def least(rows: DataFrame) -> list:
+        """A bounded number of keys: RANGES - 1 of them."""
+        return rows.distinct().orderBy(mark, *names).limit(RANGES - 1).orderBy(*names).collect()
+
+    # of a large table some hundredth of the keys is enough
+    picked = least(keys.where(F.pmod(mark, F.lit(256)) == 0))
+    picked = picked if len(picked) == RANGES - 1 else least(keys)
+    kinds = [f.dataType for f in keys.schema.fields]
+    borders = [F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in zip(names, r, kinds, strict=True)]) for r in picked]
+    key = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)])
+
+    def place(low: int, high: int) -> Column:
+        """How many borders a key reaches, of those from low up to high."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= borders[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    ranged = df.withColumn("_range", place(0, len(borders)))
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row a range
     before = [sum(n for k, n in counts.items() if k < i) for i in range(len(picked) + 1)]
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]))
@@ -33,18 +48,6 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn(name, inside.cast("long") - 1 + start).drop("_range")
 
 
-def _reaches(columns: list[Column], values: list, kinds: list) -> Column:
-    """Whether a row's key is this one or comes after it, nulls first."""
-    out = F.lit(True)
-    for c, v, kind in reversed(list(zip(columns, values, kinds, strict=True))):
-        if v is None:
-            out = c.isNotNull() | out
-        else:
-            value = F.lit(v).cast(kind)
-            out = F.coalesce((c > value) | ((c == value) & out), F.lit(False))
-    return out
-
-
 def numbered_as_read(df: DataFrame, name: str) -> DataFrame:
     """df, as a reader of files gives it, with name (long): 0, 1, 2 ... in the order of its files and their lines.
 

@@ -322,9 +322,9 @@ def provider_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_sentence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    t = F.col("text")
-    return c.select("conv_id", "turn", tx.is_clean_sentence(t).alias("sentence"), tx.is_clean_sentence(t, 0.60).alias("browser"), tx.is_clean_paragraph(t).alias("paragraph"), tx.strip_label(t).alias("label_free"), tx.strip_thinking(t).alias("answer"))
+    c = table(spark, sf_dir, "conversations").withColumn("marks", tx.sentence_marks(F.col("text")))
+    t, m = F.col("text"), F.col("marks")
+    return c.select("conv_id", "turn", tx.is_clean_sentence(t, marks=m).alias("sentence"), tx.is_clean_sentence(t, 0.60, m).alias("browser"), tx.is_clean_paragraph(t, m).alias("paragraph"), tx.strip_label(t).alias("label_free"), tx.strip_thinking(t).alias("answer"))
 
 
 @query("""
