@@ -48,45 +48,47 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, least_within
     """MD3: the within estimator on complete rows, errors clustered by entity.
 
     Regressors whose within variance is less than least_within of their total are left out; 12 rows and 3 entities at
-    least. The sandwich has the factor G / (G - 1). Two passes: within Grams, then scores by entity.
+    least. The sandwich has the factor G / (G - 1). One aggregate by entity holds its sums of products; rows of a large
+    entity are summed where they lie. All else is over entities.
     """
-    rows = df.select(F.col(f"`{entity}`").alias("_e"), *[_d(c).alias(c) for c in (*x, y)]).na.drop()
-    over = Window.partitionBy("_e")
-    within = rows.withColumns({f"w_{c}": F.col(c) - F.avg(c).over(over) for c in (*x, y)} | {f"m_{c}": F.avg(c).over(over) for c in (*x, y)})
-    r = within.agg(F.count("*").alias("n"), F.count_distinct("_e").alias("g"), *[F.sum(F.col(f"w_{c}") ** 2).alias(f"w{i}") for i, c in enumerate(x)], *[F.var_pop(c).alias(f"t{i}") for i, c in enumerate(x)]).first()
-    n, groups = r["n"], r["g"]
-    keep = [c for i, c in enumerate(x) if (r[f"t{i}"] or 0) > 0 and r[f"w{i}"] / n / r[f"t{i}"] >= least_within]
-    if n < 12 or groups < 3 or not keep:
-        return None
-    k = len(keep)
-    sums = within.agg(
-        *[F.sum(F.col(f"w_{a}") * F.col(f"w_{b}")).alias(f"x{i}_{j}") for i, a in enumerate(keep) for j, b in enumerate(keep) if i <= j],
-        *[F.sum(F.col(f"w_{a}") * F.col(f"w_{y}")).alias(f"y{i}") for i, a in enumerate(keep)],
-        F.sum(F.col(f"w_{y}") ** 2).alias("yy"),
-    ).first()
-    sxx = np.array([[sums[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    sxy = np.array([sums[f"y{i}"] for i in range(k)])
-    inv = np.linalg.pinv(sxx)
-    b = inv @ sxy
-    sse = max(float(sums["yy"] - b @ sxy), 0.0)
-    e = F.col(f"w_{y}")
-    for c, v in zip(keep, b.tolist(), strict=True):
-        e = e - F.lit(v) * F.col(f"w_{c}")
-    scores = within.withColumn("_u", e).groupBy("_e").agg(*[F.sum(F.col(f"w_{c}") * F.col("_u")).alias(f"s{i}") for i, c in enumerate(keep)], *[F.first(f"m_{c}").alias(f"m{i}") for i, c in enumerate(keep)], F.first(f"m_{y}").alias("my"))
-    meat = scores.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(k) if i <= j]).first()
+    names = [*x, y]
+    rows = df.select(F.col(f"`{entity}`").alias("_e"), *[_d(c).alias(f"v{i}") for i, c in enumerate(names)]).na.drop()
+    centre = rows.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
+    shifted = rows.select("_e", *[(F.col(f"v{i}") - F.lit(centre[f"v{i}"] or 0.0)).alias(f"v{i}") for i in range(len(names))])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    per = shifted.groupBy("_e").agg(F.count("*").alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(names))], *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    inside = lambda i, j: F.col(f"s{min(i, j)}_{max(i, j)}") - F.col("n") * F.col(f"m{i}") * F.col(f"m{j}")
+    per = per.persist()
+    try:
+        r = per.agg(F.sum("n").alias("n"), F.count("*").alias("g"), *[F.sum(inside(i, j)).alias(f"w{i}_{j}") for i, j in pairs], *[F.sum(f"s{i}_{j}").alias(f"t{i}_{j}") for i, j in pairs]).first()
+        n, groups = r["n"] or 0, r["g"]
+        matrix = lambda p: np.array([[float(r[f"{p}{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(len(names))] for i in range(len(names))])
+        within, total = matrix("w"), matrix("t")
+        keep = [i for i in range(len(x)) if total[i, i] > 0 and within[i, i] / total[i, i] >= least_within]
+        if n < 12 or groups < 3 or not keep:
+            return None
+        k, last = len(keep), len(x)
+        sxy, yy = within[keep, last], within[last, last]
+        inv = np.linalg.pinv(within[np.ix_(keep, keep)])
+        b = inv @ sxy
+        sse = max(float(yy - b @ sxy), 0.0)
+        # an entity's score: its products of regressors and residuals
+        score = [inside(i, last) - sum((F.lit(float(v)) * inside(i, j) for j, v in zip(keep, b, strict=True)), F.lit(0.0)) for i in keep]
+        line = sum((F.lit(float(v)) * F.col(f"m{i}") for i, v in zip(keep, b, strict=True)), F.lit(0.0))
+        meat = per.agg(*[F.sum(score[i] * score[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)], safe_corr(line, F.col(f"m{last}")).alias("r")).first()
+    finally:
+        per.unpersist()
     m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     covariance = inv @ m @ inv * groups / (groups - 1)
     se = np.sqrt(np.maximum(np.diag(covariance), 0))
     df_e = max(n - groups - k, 1)
-    within_r2 = float(1 - sse / sums["yy"]) if sums["yy"] > 0 else 0.0
-    line = sum((F.lit(v) * F.col(f"m{i}") for i, v in enumerate(b.tolist())), F.lit(0.0))
-    between = scores.agg(safe_corr(line, F.col("my")).alias("r")).first()["r"]
-    full = sum((F.lit(v) * F.col(c) for c, v in zip(keep, b.tolist(), strict=True)), F.lit(0.0))
-    overall = rows.agg(safe_corr(full, F.col(y)).alias("r")).first()["r"]
+    within_r2 = float(1 - sse / yy) if yy > 0 else 0.0
+    along, spread = float(b @ total[keep, last]), float(b @ total[np.ix_(keep, keep)] @ b) * total[last, last]
     f = (within_r2 / k) / ((1 - within_r2) / df_e) if within_r2 < 1 else math.inf
     p = [t_sf2(float(v / s) if s > 0 else math.inf, groups - 1) for v, s in zip(b, se, strict=True)]
-    named = lambda v: dict(zip(keep, [float(q) for q in v], strict=True))
-    return PanelFit(y, keep, n, groups, named(b), named(se), named(p), within_r2, (between or 0.0) ** 2, (overall or 0.0) ** 2, f, f_sf(f, k, df_e), inv * sse / df_e, sse / df_e)
+    kept = [x[i] for i in keep]
+    named = lambda v: dict(zip(kept, [float(q) for q in v], strict=True))
+    return PanelFit(y, kept, n, groups, named(b), named(se), named(p), within_r2, (meat["r"] or 0.0) ** 2, along**2 / spread if spread > 0 else 0.0, f, f_sf(f, k, df_e), inv * sse / df_e, sse / df_e)
 
 
 def random_effects(df: DataFrame, y: str, x: list[str], entity: str) -> Fit | None:
