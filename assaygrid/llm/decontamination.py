@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaygrid.llm import ragged
-from assaygrid.llm.tables import arrow_batches, without
+from assaygrid.llm.tables import arrow_batches, without, written
 
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 2 << 20
+#: Blocks that are looked for in a row before what was found is written.
+CHAIN = 4
 SHINGLE = 3
 
 #: A-Z in lower case; what is no word (ASCII other than letters and digits) becomes a blank.
@@ -219,6 +221,8 @@ def contamination(
         block = Block([(r["item"], (r["text"] or "").encode()) for r in part.toLocalIterator()], window)
         index = block.index(_counts(base, text, block) if block.shingles else {})
         current = current.mapInArrow(_scan(spark.sparkContext.broadcast(index), text, b == 0), state)
+        if b % CHAIN == CHAIN - 1 and b < blocks - 1:  # each is a Python worker of the task
+            current, _ = written(current, "scanned")
     hit = F.length(F.regexp_replace(F.hex("_hit"), "[^1]", ""))  # one byte 00 or 01 for each word
     out = current.select(
         *[F.col(f"`{c}`") for c in base.columns],
