@@ -13,6 +13,8 @@ from assaygrid.functions import text as tx
 
 #: Queries of a block that meets the corpus at a time, in rows.
 QUERY_BLOCK = 4096
+#: Rows of the corpus that a task holds against a block at a time.
+TILE = 1024
 # Thresholds and weights of grounding.
 QUERY_MIN, STRONG_MIN, EXTERNAL_MIN = 0.18, 0.30, 0.45
 WEIGHTS = {"rag": 0.5, "papers": 0.3, "pass_rate": 0.2}
@@ -68,40 +70,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+class _Nearest:
+    """The k best of each of n rows of similarities, ties by the least document, as flat arrays."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.row, self.s, self.d = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, s: np.ndarray, d: np.ndarray) -> None:
+        if not s.size:
+            return
+        # of the new ones, those not below their k-th best; ties stay in
+        least = np.partition(s, -self.k, axis=1)[:, -self.k] if s.shape[1] > self.k else np.full(self.n, -np.inf)
+        row, at = np.nonzero(s >= least[:, None])
+        row, s, d = np.append(self.row, row), np.append(self.s, s[row, at]), np.append(self.d, d[at])
+        order = np.lexsort((d, -s, row))
+        row = row[order]
+        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        nth = np.arange(len(row)) - np.repeat(heads, np.diff(np.append(heads, len(row))))
+        kept = nth < self.k
+        self.row, self.s, self.d = row[kept], s[order][kept], d[order][kept]
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, min_similarity: float | None = None, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """VR1, VR2: query_id, doc_id, similarity and rank of each query's k nearest, exact, ties by doc_id.
 
     Queries are taken in blocks of QUERY_BLOCK and broadcast; each task keeps k a query, so what is shuffled is
-    k rows a query and task. Vectors that are null or have no length match nothing.
+    k rows a query and task. Vectors that are null, have no length or hold null or non-finite components match
+    nothing; others match those of their number of components.
     """
-    named = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    base = corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    named = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where(sound(F.col("v")))
+    base = corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v")).where(sound(F.col("v")))
     parts = None
     block: list = []
 
     def against(rows: list) -> DataFrame:
-        names = np.array([r["q"] for r in rows], np.int64)
-        matrix = np.array([r["v"] for r in rows], float)
-        length = np.linalg.norm(matrix, axis=1)
-        names, matrix = names[length > 0], matrix[length > 0] / length[length > 0, None]
-        shared = corpus.sparkSession.sparkContext.broadcast((names, matrix))
+        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in {len(r["v"]) for r in rows} - {0}:
+            names = np.array([r["q"] for r in rows if len(r["v"]) == width], np.int64)
+            matrix = np.array([r["v"] for r in rows if len(r["v"]) == width], float)
+            length = np.linalg.norm(matrix, axis=1)
+            by_width[width] = names[length > 0], matrix[length > 0] / length[length > 0, None]
+        shared = corpus.sparkSession.sparkContext.broadcast(by_width)
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            best_s, best_d = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+            best = {w: _Nearest(len(names), k) for w, (names, _) in shared.value.items()}
             for batch in batches:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                if not batch.num_rows or not len(names):
-                    continue
-                v = flat.reshape(batch.num_rows, -1)
-                n = np.linalg.norm(v, axis=1)
-                d = np.asarray(batch.column(0))[n > 0]
-                s = matrix @ (v[n > 0] / n[n > 0, None]).T
-                s, d = np.concatenate([best_s, s], 1), np.concatenate([best_d, np.broadcast_to(d, s.shape)], 1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            q = np.repeat(names, best_s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_d.ravel()), pa.array(best_s.ravel())], ["q", "d", "s"])
+                sizes = np.asarray(batch.column(1).value_lengths())
+                flat, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+                for width, (names, matrix) in shared.value.items():
+                    at = np.flatnonzero(sizes == width)
+                    for i in range(0, len(at) if len(names) else 0, TILE):
+                        rows = at[i : i + TILE]
+                        v = flat[(ends[rows] - width)[:, None] + np.arange(width)]
+                        n = np.linalg.norm(v, axis=1)
+                        best[width].add(matrix @ (v[n > 0] / n[n > 0, None]).T, np.asarray(batch.column(0))[rows[n > 0]])
+            for width, (names, _) in shared.value.items():
+                row, s, d = best[width].row, best[width].s, best[width].d
+                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(d), pa.array(s)], ["q", "d", "s"])
 
         return base.mapInArrow(nearest, "q long, d long, s double")
 

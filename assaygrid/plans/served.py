@@ -256,7 +256,14 @@ def process_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(tx.process_terms(text), ",").alias("terms"))
 
 
-@query()
+@query(
+    f"""
+WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' removal water') AS x FROM part), w AS (SELECT *, regexp_extract_all(replace(x, '_', ' '), '[a-z][a-z0-9]{{2,}}') AS a FROM t),
+k AS (SELECT *, list_slice(list_filter(list_filter(a, lambda v, i: list_position(a, v) = i), lambda v: v NOT IN ({_STOP})), 1, 10) AS terms, list_filter(["""
+    + ", ".join(f"CASE WHEN {' OR '.join(f'contains(x, {chr(39)}{n}{chr(39)})' for n in needles)} THEN '{term}' END" for needles, term in tx.PROCESS_RULES)
+    + """], lambda v: v IS NOT NULL) AS process FROM w), q AS (SELECT p_partkey, list_concat(list_concat(terms, process), ['degradation', 'water treatment']) AS all_terms FROM k)
+SELECT p_partkey, array_to_string(list_filter(all_terms, lambda v, i: list_position(all_terms, v) = i), ' ') AS query FROM q"""
+)
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.search_query(F.concat_ws(" ", "p_name", "p_type", F.lit("removal water"))).alias("query"))
 
@@ -338,7 +345,7 @@ def clean_title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", tx.is_clean_title(title).alias("good"))
 
 
-@query()
+@query("SELECT p_partkey, len(string_split(p_type, ' ')) BETWEEN 2 AND 15 AS good, p_type AS label FROM part")
 def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.is_clean_domain(F.concat(F.lit("Domain: "), "p_type")).alias("good"), tx.humanize(F.col("p_type")).alias("label"))
 
