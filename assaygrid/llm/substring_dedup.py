@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,33 +163,12 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def flagged(found: DataFrame) -> DataFrame:
     """doc_id, copy, units: the places of units that an earlier ranked text, or an earlier place, has.
 
-    Rows lie in the order of digest and rank, so a row is a later one if a row before has its digest and another rank (a row
-    that repeats a document has its rank): no group is held.
+    A window holds a digest's rows, at most one for each slice of the texts, and spills them to disk beyond some thousands.
     """
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_earliest = None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            # as the row before, by digest and by rank too
-            same = pc.equal(batch.column(3)[1:], batch.column(3)[:-1]).to_numpy(zero_copy_only=False)
-            again = same.copy()
-            for i in range(3):
-                again &= pc.equal(batch.column(i)[1:], batch.column(i)[:-1]).to_numpy(zero_copy_only=False)
-            heads = np.append(True, ~again)
-            earliest = np.append(held_earliest, ~same)[np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))]
-            gone = ~earliest | batch.column(4).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(gone if held is None else np.append(False, gone[1:]))
-            held, held_earliest = batch.slice(batch.num_rows - 1), bool(earliest[-1])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in range(3)], ["doc_id", "copy", "unit"])
-
-    dealt = found.repartition("digest").sortWithinPartitions("digest", "doc_id", "copy", "unit")
-    kind = T.StructType([f for f in found.schema.fields if f.name in ("doc_id", "copy", "unit")])
-    return dealt.mapInArrow(later, kind).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
+    rank = F.struct("doc_id", "copy", "unit")
+    earliest = F.min(F.when(~F.col("repeated"), rank)).over(Window.partitionBy("digest"))
+    later = F.col("repeated") | (rank > F.col("earliest"))
+    return found.withColumn("earliest", earliest).where(later).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25, min_line_words: int = 1) -> DataFrame:
