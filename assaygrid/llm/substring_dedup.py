@@ -127,9 +127,12 @@ def copy_of(text: str):
 
 
 def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, copy, unit (its place), digest, repeated. Rows of one digest: at most one a slice, and those it repeats (repeated, any digest)."""
+    """doc_id, spot, digest. Rows of one digest: at most one a slice, and those it repeats (repeated, any digest).
+
+    spot holds copy, unit (its place) and repeated in one number, in this order, as each row is shuffled.
+    """
     arrow_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("copy", T.ShortType()), T.StructField("unit", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("repeated", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("spot", T.LongType()), T.StructField("digest", T.LongType())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +157,8 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 place, row, own = place[found], row[found], own[found]
                 # a flagged row needs no group: any digest does, and its own spreads them no worse than others
                 digest = np.where(repeated, ragged.mixed(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)), own)
-                at = pa.array(a + row)
-                yield pa.RecordBatch.from_arrays([ids.take(at), copies.take(at), pa.array(place), pa.array(digest.view(np.int64)), pa.array(repeated)], schema.names)
+                spot = copies.to_numpy()[a + row].astype(np.int64) * (1 << 33) + place.astype(np.int64) * 2 + repeated
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), pa.array(spot), pa.array(digest.view(np.int64))], schema.names)
 
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), copy_of(text).alias("copy"), F.col(text).alias("text")).mapInArrow(made, schema)
 
@@ -165,10 +168,11 @@ def flagged(found: DataFrame) -> DataFrame:
 
     A window holds a digest's rows, at most one for each slice of the texts, and spills them to disk beyond some thousands.
     """
-    rank = F.struct("doc_id", "copy", "unit")
-    earliest = F.min(F.when(~F.col("repeated"), rank)).over(Window.partitionBy("digest"))
-    later = F.col("repeated") | (rank > F.col("earliest"))
-    return found.withColumn("earliest", earliest).where(later).groupBy("doc_id", "copy").agg(F.collect_set("unit").alias("units"))
+    rank, repeated = F.struct("doc_id", "spot"), F.col("spot").bitwiseAND(F.lit(1)) == 1
+    earliest = F.min(F.when(~repeated, rank)).over(Window.partitionBy("digest"))
+    later = found.withColumn("earliest", earliest).where(repeated | (rank > F.col("earliest")))
+    unit = F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int")
+    return later.groupBy("doc_id", F.shiftright("spot", 33).cast("short").alias("copy")).agg(F.collect_set(unit).alias("units"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25, min_line_words: int = 1) -> DataFrame:

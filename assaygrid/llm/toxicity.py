@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters the network as a word (a trained vector of its own, and how much more often toxic texts
-have it) and by its characters (the mean of trained vectors of its n-grams of 3 to 5 bytes, and the
-largest log-odds among them), so that forms of a word that were never seen still count. Windows of
+have it) and by its characters: read one after the other, forwards and backwards, by gated recurrent
+layers of their own, and as n-grams of 3 to 5 bytes (the mean of their trained vectors, and the largest
+log-odds among them), so that forms of a word that were never seen still count. Windows of
 words overlap and cover the whole text; a text's score is that of its highest window, calibrated on
 labelled texts that were kept out of training.
 
@@ -36,12 +37,15 @@ MOST_BYTES, PART = 32 << 20, 1 << 20
 WINDOW, STRIDE = 48, 32
 #: Sizes: trained vectors of a word and of an n-gram, hidden units of a direction, attention.
 VECTOR, HIDDEN, ATTEND = 8, 12, 12
+#: Of the layers that read a word's bytes: trained vectors of a byte, hidden units of a direction; bytes of a window of a word, and from one window to the next.
+BYTE, SPELL = 6, 6
+LETTERS, STEP = 24, 16
 #: Words and n-grams in fewer training texts have no vector; most n-grams kept.
 LEAST_TEXTS, MOST_GRAMS = 3, 40_000
 #: Epochs of training, and more until so many steps are done.
 EPOCHS, STEPS = 5, 60
-#: Words whose inputs a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 300_000
+#: Words whose gates a worker remembers; beyond that it forgets all and starts anew.
+REMEMBERED = 200_000
 
 _WORD = np.zeros(256, np.uint8)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -120,7 +124,68 @@ class Model:
         codes, count = _grams(words)
         gram = _find(self.grams, codes)
         odds, top = _fixed(self.word_odds, self.gram_odds, word, gram, count)
-        return np.column_stack([self.p["word"][word], _mean(self.p["gram"][gram], count), odds / 4, top / 4]).astype(np.float32)
+        return np.column_stack([self.p["word"][word], _mean(self.p["gram"][gram], count), spelled(self.p, Letters(words)), odds / 4, top / 4]).astype(np.float32)
+
+    def gates(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """What each word adds to the gates of both directions."""
+        x, p = self.inputs(hashes, words), self.p
+        return np.concatenate([x @ p["wf"].astype(np.float32) + p["bf"].astype(np.float32), x @ p["wb"].astype(np.float32) + p["bb"].astype(np.float32)], 1)
+
+
+class Letters:
+    """Bytes of words in windows that overlap and cover each word; most words are one window."""
+
+    def __init__(self, words: list[bytes]):
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.count = np.where(sizes <= LETTERS, 1, -(-(sizes - LETTERS) // STEP) + 1)
+        self.head = np.cumsum(self.count) - self.count
+        owner = np.repeat(np.arange(len(words)), self.count)
+        begin = np.minimum(ragged.expand(np.zeros(len(words), np.int64), self.count) * STEP, np.maximum(sizes - LETTERS, 0)[owner])
+        at = (np.cumsum(sizes) - sizes)[owner] + begin
+        self.length = np.minimum(sizes, LETTERS)[owner]
+        self.codes = data[np.minimum(at[:, None] + np.arange(LETTERS), len(data) - 1)] if len(data) else np.zeros((len(owner), LETTERS), np.uint8)
+
+
+def _read(p: dict, letters: Letters, which: np.ndarray, keep: bool = False):
+    """Last states of both directions over windows of bytes."""
+    steps = int(letters.length[which].max(initial=1))
+    codes, mask = letters.codes[which, :steps].T, np.arange(steps)[:, None] < letters.length[which]
+    out, saved = [], []
+    for d, order in (("f", slice(None)), ("b", slice(None, None, -1))):
+        h, back = _pass((p["byte"] @ p[f"cw{d}"] + p[f"cb{d}"])[codes[order]], p[f"cu{d}"], mask[order], keep)
+        out.append(h[-1])
+        saved.append(back)
+    return np.concatenate(out, 1), (codes, mask, saved)
+
+
+def _alike(length: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
+    """Places in which, of windows of like lengths together."""
+    found = np.digitize(length[which], (7, 10, 13, 17))
+    return [at for i in range(5) if len(at := np.flatnonzero(found == i))]
+
+
+def _unread(p: dict, dout: np.ndarray, state) -> dict:
+    """Gradients of _read."""
+    codes, mask, saved = state
+    g: dict[str, np.ndarray] = {"byte": np.zeros_like(p["byte"])}
+    for i, (d, order) in enumerate((("f", slice(None)), ("b", slice(None, None, -1)))):
+        dh = np.zeros((*codes.shape, SPELL))
+        dh[-1] = dout[:, i * SPELL : (i + 1) * SPELL]
+        dx, g[f"cu{d}"] = _back(dh, p[f"cu{d}"], mask[order], saved[i])
+        each = _summed(codes[order].ravel().astype(np.int64), dx.reshape(-1, 3 * SPELL), 256)
+        g["byte"] += each @ p[f"cw{d}"].T
+        g[f"cw{d}"], g[f"cb{d}"] = p["byte"].T @ each, each.sum(0)
+    return g
+
+
+def spelled(p: dict, letters: Letters) -> np.ndarray:
+    """Of each word the mean of its windows' last states."""
+    q = {k: p[k].astype(np.float32) for k in ("byte", "cwf", "cwb", "cuf", "cub", "cbf", "cbb")}
+    out = np.zeros((len(letters.length), 2 * SPELL), np.float32)
+    for at in _alike(letters.length, np.arange(len(letters.length))):
+        out[at] = _read(q, letters, at)[0]
+    return np.add.reduceat(out, letters.head, axis=0) / letters.count[:, None] if len(letters.head) else out
 
 
 def _fixed(word_odds: np.ndarray, gram_odds: np.ndarray, word: np.ndarray, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,40 +207,52 @@ def _mean(x: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(index: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows of x by their index, 0 to size - 1."""
+    out = np.zeros((size, x.shape[1]))
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        heads = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+        out[index[heads]] = np.add.reduceat(x[order], heads, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _pass(x: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: bool) -> tuple[np.ndarray, list]:
-    """A gated recurrent layer over time-major gate inputs x (time, window, 3 * HIDDEN): all states, and what the way back needs."""
+    """A gated recurrent layer over time-major gate inputs x (time, window, 3 * units): all states, and what the way back needs."""
     steps, n, _ = x.shape
-    h = np.zeros((n, HIDDEN), x.dtype)
-    out = np.empty((steps, n, HIDDEN), x.dtype)
+    size = len(u)
+    h = np.zeros((n, size), x.dtype)
+    out = np.empty((steps, n, size), x.dtype)
     saved = []
     for t in range(steps):
         hu = h @ u
-        zr = x[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]
+        zr = x[t, :, : 2 * size] + hu[:, : 2 * size]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[t, :, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+        z, r = zr[:, :size], zr[:, size:]
+        c = np.tanh(x[t, :, 2 * size :] + r * hu[:, 2 * size :])
         fresh = c + z * (h - c)
         if mask is not None:
             fresh = np.where(mask[t][:, None], fresh, h)
         if keep:
-            saved.append((h, z, r, c, hu[:, 2 * HIDDEN :]))
+            saved.append((h, z, r, c, hu[:, 2 * size :]))
         h = fresh
         out[t] = h
     return out, saved
 
 
 def _back(dh_all: np.ndarray, u: np.ndarray, mask: np.ndarray | None, saved: list) -> tuple[np.ndarray, np.ndarray]:
-    steps, n, _ = dh_all.shape
-    dx = np.empty((steps, n, 3 * HIDDEN), dh_all.dtype)
+    steps, n, size = dh_all.shape
+    dx = np.empty((steps, n, 3 * size), dh_all.dtype)
     du = np.zeros_like(u)
-    carry = np.zeros((n, HIDDEN), dh_all.dtype)
+    carry = np.zeros((n, size), dh_all.dtype)
     for t in range(steps - 1, -1, -1):
         h, z, r, c, hn = saved[t]
         d = dh_all[t] + carry
@@ -183,7 +260,7 @@ def _back(dh_all: np.ndarray, u: np.ndarray, mask: np.ndarray | None, saved: lis
         dc = on * (1 - z) * (1 - c * c)
         g = np.concatenate([on * (h - c) * z * (1 - z), dc * hn * r * (1 - r), dc], 1)
         dx[t] = g
-        inner = np.concatenate([g[:, : 2 * HIDDEN], dc * r], 1)
+        inner = np.concatenate([g[:, : 2 * size], dc * r], 1)
         du += h.T @ inner
         carry = on * z + inner @ u.T
         if mask is not None:
@@ -192,10 +269,9 @@ def _back(dh_all: np.ndarray, u: np.ndarray, mask: np.ndarray | None, saved: lis
 
 
 def _logits(p: dict, x: np.ndarray, mask: np.ndarray | None, keep: bool = False):
-    """Of windows (time, window, input): their logits; with keep also what the way back needs."""
+    """Of windows (time, window, input): their logits; with keep also what the way back needs. Without keep, x is what inputs add to the gates."""
     steps = len(x)
-    gf = x @ p["wf"] + p["bf"]
-    gb = (x @ p["wb"] + p["bb"])[::-1]
+    gf, gb = (x @ p["wf"] + p["bf"], (x @ p["wb"] + p["bb"])[::-1]) if keep else (x[:, :, : 3 * HIDDEN], x[::-1, :, 3 * HIDDEN :])
     back_mask = None if mask is None else mask[::-1]
     hf, sf = _pass(gf, p["uf"], mask, keep)
     hb, sb = _pass(gb, p["ub"], back_mask, keep)
@@ -310,11 +386,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     best = best[np.argsort(known[best])]
     known, known_odds = known[best], np.pad(known_odds[:, best], ((0, 0), (1, 0)))
     word_odds = np.pad(word_odds[:, keep_word], ((0, 0), (1, 0)))
-    wide = 2 * VECTOR + 2
+    wide = 2 * VECTOR + 2 * SPELL + 2
+    letters = Letters(data.names)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     p = {"word": rng.normal(0, 0.1, (len(keep_word) + 1, VECTOR)), "gram": rng.normal(0, 0.1, (len(known) + 1, VECTOR))}
     p |= {"wf": draw(wide, 3 * HIDDEN), "uf": draw(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "wb": draw(wide, 3 * HIDDEN), "ub": draw(HIDDEN, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN)}
+    for k in ("wf", "wb"):  # words and n-grams speak first
+        p[k][2 * VECTOR : 2 * VECTOR + 2 * SPELL] *= 0.1
     p |= {"wa": draw(2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND), "va": draw(ATTEND), "wo": draw(2 * HIDDEN), "bo": np.zeros(1)}
+    p |= {"byte": rng.normal(0, 0.5, (256, BYTE)), "cbf": np.zeros(3 * SPELL), "cbb": np.zeros(3 * SPELL)}
+    p |= {"cwf": draw(BYTE, 3 * SPELL), "cuf": draw(SPELL, 3 * SPELL), "cwb": draw(BYTE, 3 * SPELL), "cub": draw(SPELL, 3 * SPELL)}
     p["word"][0] = p["gram"][0] = 0
     model = Model(data.hashes[keep_word], known, word_odds[2], known_odds[2], p, (1.0, 0.0), share)
     word = _find(model.words, data.hashes)
@@ -334,6 +415,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         place[j, : len(got)] = got
     rank = np.append(strength, -9.0)[place].max(1)  # before the network knows: the strongest word
     moment: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    mean = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
     epoch = -1
     while (epoch := epoch + 1) < EPOCHS or step < STEPS:
@@ -358,19 +440,27 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             dropped = rng.random(len(used)) < 0.1  # single words must not decide all
             w = np.where(dropped, 0, word[used])
             pairs, c = ragged.expand(heads[used], count[used]), count[used]
-            vectors = np.column_stack([p["word"][w], _mean(p["gram"][gram[pairs]], c), np.where(dropped, 0, odds[label, used]) / 4, top[label, used] / 4])
+            parts = letters.count[used]
+            wins = ragged.expand(letters.head[used], parts)
+            states, reading = np.zeros((len(wins), 2 * SPELL)), []
+            for rows in _alike(letters.length, wins):
+                states[rows], read = _read(p, letters, wins[rows], keep=True)
+                reading.append((rows, read))
+            spelt = np.add.reduceat(states, np.cumsum(parts) - parts, axis=0) / parts[:, None]
+            vectors = np.column_stack([p["word"][w], _mean(p["gram"][gram[pairs]], c), spelt, np.where(dropped, 0, odds[label, used]) / 4, top[label, used] / 4])
             x = np.concatenate([vectors, np.zeros((1, wide))])[back.reshape(len(j), WINDOW).T]
             mask = (place[j] < pad).T
             out, state = _logits(p, x, None if mask.all() else mask, keep=True)
             target = y[owner[j]]
             g, dx = _gradients(p, (_sigmoid(out) - target) * weight[j] / len(j), state)
-            dv = np.zeros((len(used) + 1, wide))
-            np.add.at(dv, back.reshape(len(j), WINDOW).T.ravel(), dx.reshape(-1, wide))
-            dv = dv[:-1]
-            gw, gg = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-            np.add.at(gw, w, dv[:, :VECTOR])
-            np.add.at(gg, gram[pairs], np.repeat(dv[:, VECTOR : 2 * VECTOR] / np.maximum(c, 1)[:, None], c, axis=0))
+            dv = _summed(back.reshape(len(j), WINDOW).T.ravel(), dx.reshape(-1, wide), len(used) + 1)[:-1]
+            gw = _summed(w, dv[:, :VECTOR], len(p["word"]))
+            gg = _summed(gram[pairs], np.repeat(dv[:, VECTOR : 2 * VECTOR] / np.maximum(c, 1)[:, None], c, axis=0), len(p["gram"]))
             gw[0] = gg[0] = 0
+            ds = np.repeat(dv[:, 2 * VECTOR : 2 * VECTOR + 2 * SPELL] / parts[:, None], parts, axis=0)
+            for rows, read in reading:
+                for k, d in _unread(p, ds[rows], read).items():
+                    g[k] = g[k] + d if k in g else d
             for k, d in (g | {"word": gw, "gram": gg}).items():
                 m, v = moment[k]
                 m *= 0.9
@@ -378,7 +468,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 v *= 0.99
                 v += 0.01 * d * d
                 p[k] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    p.update({k: v.astype(np.float32) for k, v in p.items()})
+            for k, v in p.items():  # the mean of late steps wavers less than the last one
+                mean[k] += (v - mean[k]) * max(1 / step, 0.03)
+    p.update({k: v.astype(np.float32) for k, v in mean.items()})
     high = np.full(len(y), -9.0)
     np.maximum.at(high, owner, _scored(model, data, place, size))
     model.scale = _calibrate(high[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, -1.0)
@@ -397,12 +489,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _scored(model: Model, data: Texts, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    table = np.concatenate([model.inputs(data.hashes, data.names), np.zeros((1, 2 * VECTOR + 2), np.float32)])
+    table = np.concatenate([model.gates(data.hashes, data.names), np.zeros((1, 6 * HIDDEN), np.float32)])
     return window_logits(model, table, place, size >= WINDOW)
 
 
 def window_logits(model: Model, table: np.ndarray, place: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Logits of windows of places in a table of inputs, whose last place is no word; full: has no such place."""
+    """Logits of windows of places in a table of gates, whose last place is no word; full: has no such place."""
     p = {k: v.astype(np.float32) for k, v in model.p.items() if k not in ("word", "gram")}
     out = np.zeros(len(place))
     pad = len(table) - 1
@@ -424,7 +516,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.table = np.zeros((1 << 16, 2 * VECTOR + 2), np.float32)
+        self.table = np.zeros((1 << 16, 6 * HIDDEN), np.float32)
 
     def places(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
@@ -435,7 +527,7 @@ class Scorer:
             a = len(self.known)
             while a + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[a : a + len(fresh)] = self.model.inputs(hashes[fresh], [words[i] for i in fresh])
+            self.table[a : a + len(fresh)] = self.model.gates(hashes[fresh], [words[i] for i in fresh])
             self.known.update((keys[i], a + n) for n, i in enumerate(fresh))
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
 

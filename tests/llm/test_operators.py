@@ -123,7 +123,7 @@ def test_gradients_match_differences():
     x = rng.normal(size=(4, 3, wide))
     mask = np.ones((4, 3), bool)
     mask[2:, 1] = False
-    loss = lambda: float((toxicity._logits(p, x, mask) * [1.0, -2.0, 0.5]).sum())
+    loss = lambda: float((toxicity._logits(p, x, mask, keep=True)[0] * [1.0, -2.0, 0.5]).sum())
     _, state = toxicity._logits(p, x, mask, keep=True)
     g, dx = toxicity._gradients(p, np.array([1.0, -2.0, 0.5]), state)
     for v, d in [*((p[k], g[k]) for k in p), (x, dx)]:
@@ -136,6 +136,29 @@ def test_gradients_match_differences():
             v[at] = old
 
 
+def test_letters_are_read_in_order():
+    """Gradients of the layers that read bytes against differences; long words whole; the order of bytes counts."""
+    rng = np.random.default_rng(1)
+    k = toxicity.SPELL
+    p = {"byte": rng.normal(size=(256, toxicity.BYTE))} | {f"cw{d}": rng.normal(size=(toxicity.BYTE, 3 * k)) for d in "fb"} | {f"cu{d}": rng.normal(size=(k, 3 * k)) for d in "fb"} | {f"cb{d}": rng.normal(size=3 * k) for d in "fb"}
+    letters = toxicity.Letters([b"abc", b"x", b"fool" * 20])
+    which = np.arange(len(letters.length))
+    assert letters.count.tolist() == [1, 1, 5] and letters.codes[-1].tobytes() == (b"fool" * 20)[-toxicity.LETTERS :]
+    weight = rng.normal(size=(len(which), 2 * k))
+    loss = lambda: float((toxicity._read(p, letters, which)[0] * weight).sum())
+    g = toxicity._unread(p, weight, toxicity._read(p, letters, which, keep=True)[1])
+    for name, d in g.items():
+        for at in [tuple(rng.integers(0, s) for s in d.shape) for _ in range(3)] + ([(ord("f"), 0)] if name == "byte" else []):
+            old = p[name][at]
+            p[name][at] = old + 1e-6
+            up = loss()
+            p[name][at] = old - 1e-6
+            assert (up - loss()) / 2e-6 == pytest.approx(d[at], rel=1e-3, abs=1e-5)
+            p[name][at] = old
+    one, other, same = toxicity.spelled(p, toxicity.Letters([b"abc", b"cab", b"abc"]))
+    assert np.allclose(one, same) and not np.allclose(one, other)
+
+
 def test_toxicity_of_odd_tables(spark, odd, empty):
     model = toxicity.train(*labelled(200, 3))
     got = toxicity.score(odd, model)
@@ -658,3 +681,32 @@ def test_every_query_reads_the_whole_table(spark):
         assert got.select("doc_id").distinct().count() == got.count() == n
     got = queries.op2_toxicity(spark, SF)
     assert got.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 3 == 1)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_packing", "op6_html_text", "op7_token_count", "op8_chat_format", "op10_warc"])
+def test_queries_on_tables_with_more_columns(spark, tmp_path, name):
+    """Columns in another order, and more of them: the same rows."""
+    used = {"op1_decontamination": ["documents", "benchmark"], "op5_packing": ["documents"], "op6_html_text": ["pages"], "op7_token_count": ["documents"], "op8_chat_format": ["conversations"], "op10_warc": ["pages"]}[name]
+    for t in used:
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        df.select(F.lit("x").alias("extra"), *reversed(df.columns), F.lit(1).alias("Score")).write.parquet(f"{tmp_path}/{t}.parquet")
+    query = queries.queries()[name]
+    plain, more = query(spark, SF), query(spark, str(tmp_path))
+    assert plain.columns == more.columns
+    key = [c for c in plain.columns if c not in ("sequence_id", "offset", "start", "length", "ids_crc32")]  # sequences depend on where rows lie
+    assert sorted(map(str, more.select(*key).distinct().collect())) == sorted(map(str, plain.select(*key).distinct().collect()))
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """Null ids, empty and repeated rows, and empty tables, through the stages that take only documents."""
+    import corpus_pipeline as p
+
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit("c").alias("N_Words"))
+    for stage in (p.drop_near_duplicates, p.cut_repeats, p.drop_contaminated):
+        out = stage(spark, docs, SF)
+        assert out.columns[:5] == p.COLUMNS and out.where("doc_id is null").count() == 1
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    cut = {r["doc_id"]: r for r in p.cut_repeats(spark, docs, SF).collect()}
+    assert cut[50]["n_chars"] == len(cut[50]["text"]) < len(cut[7]["text"]) and cut[0]["text"] is None
+    packed = p.pack(spark, docs, SF)
+    assert packed.where("doc_id is null").count() >= 1 and p.pack(spark, docs.limit(0), SF).count() == 0
