@@ -20,8 +20,8 @@ from assaygrid.operators.order import numbered_as_read
 METADATA_WORDS = ("metadata", "meta", "identifier", "info")
 OUTPUT_WORDS = ("dependent", "dep", "output", "response", "target", "outcome", "result", "measure")
 INPUT_WORDS = ("independent", "indep", "input", "predictor", "covariate", "explanatory", "feature", "variable")
-ID_NAMES = ("experiment_id", "condition", "experiment", "sample_id", "run_id", "id")
-TIME_NAMES = ("time_min", "time", "time_hours", "time_h", "t")
+ID_NAMES = ("experiment_id", "exp_id", "run_id", "sample_id", "condition", "cond")
+TIME_NAMES = ("time_min", "time_mins", "time_(min)", "time(min)", "time", "t_min", "timepoint", "time_point")
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
