@@ -44,7 +44,7 @@ LETTERS, STEP = 24, 16
 LEAST_TEXTS, MOST_GRAMS = 3, 40_000
 #: Epochs of training, and more until so many steps are done.
 EPOCHS, STEPS = 5, 60
-#: Words whose gates a worker remembers; beyond that it forgets all and starts anew.
+#: Words whose inputs a worker remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 200_000
 
 _WORD = np.zeros(256, np.uint8)
@@ -126,9 +126,9 @@ class Model:
         odds, top = _fixed(self.word_odds, self.gram_odds, word, gram, count)
         return np.column_stack([self.p["word"][word], _mean(self.p["gram"][gram], count), spelled(self.p, Letters(words)), odds / 4, top / 4]).astype(np.float32)
 
-    def gates(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """What each word adds to the gates of both directions."""
-        x, p = self.inputs(hashes, words), self.p
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What inputs of words add to the gates of both directions."""
+        p = self.p
         return np.concatenate([x @ p["wf"].astype(np.float32) + p["bf"].astype(np.float32), x @ p["wb"].astype(np.float32) + p["bb"].astype(np.float32)], 1)
 
 
@@ -489,7 +489,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _scored(model: Model, data: Texts, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    table = np.concatenate([model.gates(data.hashes, data.names), np.zeros((1, 6 * HIDDEN), np.float32)])
+    table = np.zeros((len(data.names) + 1, 6 * HIDDEN), np.float32)  # filled in place, to bound memory
+    for i in range(0, len(data.names), CHUNK):
+        table[i : min(i + CHUNK, len(data.names))] = model.gates(model.inputs(data.hashes[i : i + CHUNK], data.names[i : i + CHUNK]))
     return window_logits(model, table, place, size >= WINDOW)
 
 
@@ -516,7 +518,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.table = np.zeros((1 << 16, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((1 << 16, 2 * VECTOR + 2 * SPELL + 2), np.float32)
 
     def places(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
@@ -527,7 +529,7 @@ class Scorer:
             a = len(self.known)
             while a + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[a : a + len(fresh)] = self.model.gates(hashes[fresh], [words[i] for i in fresh])
+            self.table[a : a + len(fresh)] = self.model.inputs(hashes[fresh], [words[i] for i in fresh])
             self.known.update((keys[i], a + n) for n, i in enumerate(fresh))
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
 
@@ -543,7 +545,7 @@ class Scorer:
             u, at, back = np.unique(h, return_index=True, return_inverse=True)
             raw = data.tobytes()
             found = self.places(u, [raw[x:y] for x, y in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-            table = np.concatenate([self.table[found], np.zeros((1, self.table.shape[1]), np.float32)])
+            table = np.concatenate([model.gates(self.table[found]), np.zeros((1, 6 * HIDDEN), np.float32)])
             back = np.append(back, len(u))
             sizes = np.bincount(ragged.row_of(s, offsets), minlength=b - a)
             heads = np.cumsum(sizes) - sizes
