@@ -454,43 +454,52 @@ def anova(df: DataFrame, y: str, group: str, least: int = 3) -> DataFrame:
     return t.where("n_groups >= 2").select("n_groups", "n", F.try_divide(F.col("ssb") / (k - 1), F.col("ssw") / (n - k)).alias("f"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta_squared"))
 
 
-def stationarity(df: DataFrame, columns: list[str], entity: str, order: list[str], block: int = 100_000) -> DataFrame:
-    """DG12: column, n, statistic and p of an augmented Dickey-Fuller test on each entity-demeaned series, at ten or more values.
+def stationarity(df: DataFrame, columns: list[str], entity: str, order: list[str], block: int = 100_000, by: str | None = None) -> DataFrame:
+    """DG12: regime, column, n, statistic and p of an augmented Dickey-Fuller test on each entity-demeaned series, at ten or more values.
 
-    A series runs through entities and, in each, through order, as these columns' types sort. It is cut into blocks of so
-    many values, each with the few values before it that its lags need; a block passes on one Gram matrix of all lags.
+    A series runs through entities and, in each, through order, as these columns' types sort; each value of by has series of its own.
+    All series are numbered at once, one after the other, and cut into blocks of so many values, each with the few values before
+    it that its lags need; a block passes on one Gram matrix of all lags. Rows without an entity are a group of their own.
     """
-    out = []
     keys = list(dict.fromkeys([entity, *order]))
-    for c in columns:
-        means = df.groupBy(F.col(f"`{entity}`").alias("_e")).agg(F.avg(_d(c)).alias("_m"))
-        series = df.join(means, F.col(f"`{entity}`").eqNullSafe(F.col("_e"))).select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], (_d(c) - F.col("_m")).alias("v")).where("v is not null")
-        seen = series.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_pop("v").alias("s")).first()
-        n = seen["n"]
-        most = adf_lags(n)
-        if n < 10 or most < 0 or seen["low"] == seen["high"]:
-            out.append((c, n, math.nan, math.nan))
-            continue
-        placed = numbered(series, [f"_k{i}" for i in range(len(keys))], "t").select("t", (F.col("v") / F.lit(seen["s"] or 1.0)).alias("v"))
-        head = [r["v"] for r in placed.where(F.col("t") <= most + 1).orderBy("t").collect()]  # some tens of values
-        width = most + 3
-        cells = in_blocks(placed, "t", block, most + 1).groupBy("b").applyInPandas(_lag_sums(most, block), "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
-        cross = np.zeros(width * width)
-        for r in cells.collect():  # (lags + 3)^2 numbers
-            cross[r["at"]] = r["x"]
-        out.append((c, n, *map(float, adf_of(cross.reshape(width, width), np.array(head), n))))
-    return df.sparkSession.createDataFrame(out, "column string, n long, statistic double, p double")
-
-
-def _lag_sums(most: int, block: int):
+    regime = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("None")) if by else F.lit("all")
+    known = [F.when(~F.isnan(_d(c)) & (F.abs(_d(c)) != float("inf")), _d(c)) for c in columns]
+    wide = df.select(regime.alias("g"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *[x.alias(f"v{i}") for i, x in enumerate(known)])
+    means = wide.groupBy(F.col("g").alias("_g"), F.col("_k0").alias("_e")).agg(*[F.avg(f"v{i}").alias(f"_m{i}") for i in range(len(columns))])
+    both = wide.join(means, (F.col("g") == F.col("_g")) & F.col("_k0").eqNullSafe(F.col("_e")))
+    series = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), (F.col(f"v{i}") - F.col(f"_m{i}")).alias("v")) for i in range(len(columns))]))
+    long = both.select("g", *[f"_k{i}" for i in range(len(keys))], series.alias("s")).select("g", "s.c", "s.v", *[f"_k{i}" for i in range(len(keys))]).where("v is not null")
+    placed = numbered(long, ["g", "c", *[f"_k{i}" for i in range(len(keys))]], "at")
+    # a row a regime and column
+    seen = {(r["g"], r["c"]): r for r in placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_pop("v").alias("s")).collect()}
+    use = {k: (r["n"], r["first"], r["s"] or 1.0, adf_lags(r["n"])) for k, r in seen.items() if r["n"] >= 10 and adf_lags(r["n"]) >= 0 and r["low"] != r["high"]}
+    out = [(g, columns[c], r["n"], math.nan, math.nan) for (g, c), r in seen.items() if (g, c) not in use]
+    if use:
+        spark = df.sparkSession
+        about = spark.createDataFrame([(g, c, *u) for (g, c), u in use.items()], "_g string, _c int, n long, first long, s double, most int")
+        t = placed.join(F.broadcast(about), (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c"))).select("g", "c", (F.col("at") - F.col("first")).alias("t"), (F.col("v") / F.col("s")).alias("v"), "most")
+        heads: dict[tuple, list] = {}
+        for r in t.where(F.col("t") <= F.col("most") + 1).orderBy("g", "c", "t").collect():  # some tens of values a series
+            heads.setdefault((r["g"], r["c"]), []).append(r["v"])
+        cells = in_blocks(t, "t", block, max(u[3] for u in use.values()) + 1).groupBy("g", "c", "b").applyInPandas(_lag_sums(block), "g string, c int, at int, x double")
+        cross = {k: np.zeros((u[3] + 3) ** 2) for k, u in use.items()}
+        for r in cells.groupBy("g", "c", "at").agg(F.sum("x").alias("x")).toLocalIterator():  # (lags + 3)^2 numbers a series
+            cross[r["g"], r["c"]][r["at"]] = r["x"]
+        for (g, c), (n, _, _, most) in use.items():
+            out.append((g, columns[c], n, *map(float, adf_of(cross[g, c].reshape(most + 3, most + 3), np.array(heads[g, c]), n))))
+    return df.sparkSession.createDataFrame(sorted(out, key=lambda r: (r[0], columns.index(r[1]))), "regime string, column string, n long, statistic double, p double")
+
+
+def _lag_sums(block: int):
     """Of a block of a series: the Gram matrix of adf_rows with the most lags."""
 
     def summed(key, pdf):
         import pandas as pd
 
         v = pdf.sort_values("t")
-        m = adf_rows(v["v"].to_numpy(), int(v["t"].iloc[0]), most, max(most + 1, int(key[0]) * block))
-        return pd.DataFrame({"at": np.arange(m.shape[1] ** 2, dtype=np.int32), "x": (m.T @ m).ravel()})
+        most = int(v["most"].iloc[0])
+        m = adf_rows(v["v"].to_numpy(), int(v["t"].iloc[0]), most, max(most + 1, int(key[2]) * block))
+        return pd.DataFrame({"g": key[0], "c": np.int32(key[1]), "at": np.arange(m.shape[1] ** 2, dtype=np.int32), "x": (m.T @ m).ravel()})
 
     return summed
 

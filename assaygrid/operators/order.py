@@ -4,48 +4,40 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Ranges that rows are dealt to.
-RANGES = 64
+from assaygrid.shared import written
+
+#: Ranges that rows are dealt to; None: as many as the session's shuffle partitions.
+RANGES: int | None = None
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with name (long): 0, 1, 2 ... in the order of the columns, nulls first; rows of equal keys in any order.
 
-    Borders of ranges are keys with the least hashes, so they are the same whenever they are asked for. Rows are counted
-    by range, and numbered inside their own: a range holds about a RANGES-th of the different keys. Rows that share a
-    key fall into one range. An empty table stays empty.
+    Rows are dealt to as many ranges as the session has shuffle partitions, by their keys and then by a hash of the row, so
+    that a key that many rows share is cut too; they are sorted inside ranges and written, and a range starts where
+    those before it end. df is read twice (borders, rows) and what follows reads the written table, so the numbers stay the
+    same. Only rows that are equal in every column lie together. An empty table stays empty.
     """
-    names = [f"k{i}" for i in range(len(order))]
-    keys = df.select(*[F.col(f"`{c}`") for c in order]).toDF(*names)
-    mark = F.xxhash64(*names)
-
-    def least(rows: DataFrame) -> list:
-        """A bounded number of keys: RANGES - 1 of them."""
-        return rows.distinct().orderBy(mark, *names).limit(RANGES - 1).orderBy(*names).collect()
-
-    # of a large table some hundredth of the keys is enough
-    picked = least(keys.where(F.pmod(mark, F.lit(256)) == 0))
-    picked = picked if len(picked) == RANGES - 1 else least(keys)
-    kinds = [f.dataType for f in keys.schema.fields]
-    borders = [F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in zip(names, r, kinds, strict=True)]) for r in picked]
-    key = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)])
-
-    def place(low: int, high: int) -> Column:
-        """How many borders a key reaches, of those from low up to high."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= borders[middle], place(middle + 1, high)).otherwise(place(low, middle))
-
-    ranged = df.withColumn("_range", place(0, len(borders)))
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row a range
-    before = [sum(n for k, n in counts.items() if k < i) for i in range(len(picked) + 1)]
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]))
-    start = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_range") + 1)
-    return ranged.withColumn(name, inside.cast("long") - 1 + start).drop("_range")
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
+    keys = [*(F.col(f"`{c}`").asc_nulls_first() for c in order), F.col("_mark")]
+    marked = df.withColumn("_mark", F.xxhash64(*plain))
+    ranged = marked.repartitionByRange(RANGES, *keys) if RANGES else marked.repartitionByRange(*keys)
+    rows, _ = written(ranged.sortWithinPartitions(*keys).drop("_mark").withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    placed = rows.join(F.broadcast(starts), "_part")  # a row a range
+    return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
 
 
 def numbered_as_read(df: DataFrame, name: str) -> DataFrame:

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaygrid.functions import text as tx
-
-#: Queries of a block that meets the corpus at a time, in rows.
-QUERY_BLOCK = 4096
-#: Rows of the corpus that a task holds against a block at a time.
+from assaygrid.operators import grid
+
+#: Queries and rows of the corpus that meet in a group.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 8192
+#: Queries within so many bytes are broadcast.
+SMALL_BYTES = 32 << 20
+#: Similarities that agree to so many digits are ties, whatever the order of their sums.
+TIE = 12
+#: Rows of the corpus that are held against queries at a time.
 TILE = 1024
 # Thresholds and weights of grounding.
 QUERY_MIN, STRONG_MIN, EXTERNAL_MIN = 0.18, 0.30, 0.45
@@ -92,57 +97,78 @@ class _Nearest:
         self.row, self.s, self.d = row[kept], s[order][kept], d[order][kept]
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, min_similarity: float | None = None, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def _units(ids: np.ndarray, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of components: ids and unit vectors of those with a length. Ids may repeat."""
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    out = {}
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        v = flat[(ends[at] - width)[:, None] + np.arange(width)].astype(float)
+        n = np.linalg.norm(v, axis=1)
+        out[width] = ids[at[n > 0]], v[n > 0] / n[n > 0, None]
+    return out
+
+
+class _Search:
+    """The k nearest of queries, given the corpus batch by batch."""
+
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+        self.queries = queries
+        self.best = {width: _Nearest(len(names), k) for width, (names, _) in queries.items() if len(names)}
+
+    def add(self, ids: np.ndarray, column: pa.Array) -> None:
+        for width, (names, v) in _units(ids, column).items():
+            if width in self.best:
+                for i in range(0, len(names), TILE):
+                    self.best[width].add(np.round(self.queries[width][1] @ v[i : i + TILE].T, TIE), names[i : i + TILE])
+
+    def found(self) -> pa.RecordBatch:
+        each = [(self.queries[w][0][b.row], b.d, b.s) for w, b in self.best.items()] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*each, strict=True)], ["q", "d", "s"])
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, min_similarity: float | None = None, query_id: str = "query_id", doc_id: str = "doc_id", vector: str = "embedding", small: int = SMALL_BYTES) -> DataFrame:
     """VR1, VR2: query_id, doc_id, similarity and rank of each query's k nearest, exact, ties by doc_id.
 
-    Queries are taken in blocks of QUERY_BLOCK and broadcast; each task keeps k a query, so what is shuffled is
-    k rows a query and task. Vectors that are null, have no length or hold null or non-finite components match
-    nothing; others match those of their number of components.
+    Queries whose vectors take less than small bytes are counted first, and then meet the corpus where it lies, as a broadcast. More
+    of them are cut into tiles, as is the corpus, and a tile of each meets in a group (operators/grid.py): neither side
+    goes through the driver, and the corpus is read once. Tasks keep k a query, and Spark limits a query's rows to k again before
+    it shuffles them. Vectors that are null, have no length or hold null or non-finite components match nothing; others
+    match those of their number of components. Queries that repeat an id are one query with all their rows. Null ids match nothing.
     """
     sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    named = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where(sound(F.col("v")))
-    base = corpus.select(F.col(doc_id).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v")).where(sound(F.col("v")))
-    parts = None
-    block: list = []
-
-    def against(rows: list) -> DataFrame:
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width in {len(r["v"]) for r in rows} - {0}:
-            names = np.array([r["q"] for r in rows if len(r["v"]) == width], np.int64)
-            matrix = np.array([r["v"] for r in rows if len(r["v"]) == width], float)
-            length = np.linalg.norm(matrix, axis=1)
-            by_width[width] = names[length > 0], matrix[length > 0] / length[length > 0, None]
-        shared = corpus.sparkSession.sparkContext.broadcast(by_width)
+    kind = lambda df: df.schema[vector].dataType.elementType.typeName()
+    typed = "array<float>" if kind(queries) == kind(corpus) == "float" else "array<double>"
+    named = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
+    base = corpus.select(F.col(doc_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
+    schema = "q long, d long, s double"
+    size = named.agg(F.coalesce(F.sum(F.size("v") * F.lit(8) + 16), F.lit(0))).first()[0] if small else 1
+    if size <= small:
+        rows = named.toArrow().combine_chunks()  # within small bytes
+        shared = corpus.sparkSession.sparkContext.broadcast(_units(rows["id"].to_numpy(), rows["v"].combine_chunks()) if rows.num_rows else {})
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {w: _Nearest(len(names), k) for w, (names, _) in shared.value.items()}
+            search = _Search(shared.value, k)
             for batch in batches:
-                sizes = np.asarray(batch.column(1).value_lengths())
-                flat, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-                for width, (names, matrix) in shared.value.items():
-                    at = np.flatnonzero(sizes == width)
-                    for i in range(0, len(at) if len(names) else 0, TILE):
-                        rows = at[i : i + TILE]
-                        v = flat[(ends[rows] - width)[:, None] + np.arange(width)]
-                        n = np.linalg.norm(v, axis=1)
-                        best[width].add(matrix @ (v[n > 0] / n[n > 0, None]).T, np.asarray(batch.column(0))[rows[n > 0]])
-            for width, (names, _) in shared.value.items():
-                row, s, d = best[width].row, best[width].s, best[width].d
-                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(d), pa.array(s)], ["q", "d", "s"])
-
-        return base.mapInArrow(nearest, "q long, d long, s double")
-
-    for r in named.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts = against(block) if parts is None else parts.unionByName(against(block))
-            block = []
-    if block or parts is None:
-        found = against(block) if block else corpus.sparkSession.createDataFrame([], "q long, d long, s double")
-        parts = found if parts is None else parts.unionByName(found)
+                search.add(batch.column(0).to_numpy(), batch.column(1))
+            yield search.found()
+
+        parts = base.mapInArrow(nearest, schema)
+    else:
+
+        def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for left, right in grid.cells(batches):
+                if left.num_rows and right.num_rows:
+                    search = _Search(_units(left["id"].to_numpy(), left["v"].combine_chunks()), k)
+                    search.add(right["id"].to_numpy(), right["v"].combine_chunks())
+                    yield search.found()
+
+        parts = grid.met(named, base, "id", QUERY_BLOCK, CORPUS_BLOCK).mapInArrow(tiled, schema)
     if min_similarity is not None:
         parts = parts.where(F.col("s") >= min_similarity)
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "d")))
+    order = [F.desc("s"), F.col("d")]
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("d").alias("doc_id"), F.round("s", 4).alias("similarity"), "rank")
 
 

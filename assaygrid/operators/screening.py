@@ -263,25 +263,42 @@ class Residuals:
         }
 
 
-def residual_tests(df: DataFrame, fits: list[Fit], row_id: str) -> list[dict]:
+def _regime(regime: str | None):
+    """The regime of a row as text, as gram() groups it."""
+    return F.coalesce(F.col(f"`{regime}`").cast("string"), F.lit("None")) if regime else F.lit("")
+
+
+def _members(column: pa.Array, groups: list[str]) -> dict[str, np.ndarray]:
+    """The rows of a batch that belong to each group."""
+    found = column.cast(pa.string()).dictionary_encode()
+    code = found.indices.to_numpy(zero_copy_only=False)
+    names = {v: i for i, v in enumerate(found.dictionary.to_pylist())}
+    return {g: code == names[g] if g in names else np.zeros(len(code), bool) for g in set(groups)}
+
+
+def residual_tests(df: DataFrame, fits: list[Fit], row_id: str, regime: str | None = None, groups: list[str] | None = None) -> list[dict]:
     """DG2-DG5, DG8, DG17, DG19: of each fit, from one pass over rows in the order of row_id (null ones first).
 
-    Rows are sorted by ranges of row_id; a task passes on one summary a fit, and these are put together in order.
+    Rows are sorted by ranges of row_id, in the order of its type; a task passes on one summary a fit, and these are put together in order.
+    groups: the regime (a column's value as text) that each fit is of; all regimes share the pass.
     """
     if not fits:
         return []
     variables = sorted({v for f in fits for v in (*f.x, f.y)})
     shared = [(f.y, f.x, np.array([f.coefficients[k] for k in ("const", *f.x)]), f.inverse, f.sse / max(f.n - f.rank - 1, 1), f.n) for f in fits]
-    rows = df.select(F.coalesce(F.col(row_id).cast("long"), F.lit(-(2**63))).alias("_row"), *[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
+    of = groups or [""] * len(fits)
+    rows = df.select(F.col(f"`{row_id}`").alias("_row"), _regime(regime).alias("_g"), *[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
+    ordered = rows.repartitionByRange(F.col("_row").asc_nulls_first()).sortWithinPartitions(F.col("_row").asc_nulls_first()).drop("_row").withColumn("_part", F.spark_partition_id())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, tuple[int, Residuals]] = {}
         for batch in batches:
             data = {v: batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
-            row = batch.column(0).to_numpy()
+            row = batch.column(len(variables) + 1).to_numpy()
+            members = _members(batch.column(0), of)
             for c, (y, x, b, inverse, s2, n) in enumerate(shared):
                 z = np.column_stack([np.ones(len(row)), *[data[v] for v in x]])
-                ok = np.isfinite(z).all(1) & np.isfinite(data[y])
+                ok = members[of[c]] & np.isfinite(z).all(1) & np.isfinite(data[y])
                 if not ok.any():
                     continue
                 z, t = z[ok], data[y][ok]
@@ -298,7 +315,6 @@ def residual_tests(df: DataFrame, fits: list[Fit], row_id: str) -> list[dict]:
         runs = [Residuals.back(s) for s in pdf.sort_values("row", kind="stable")["s"]]
         return pd.DataFrame({"fit": [pdf["fit"].iloc[0]], "s": [reduce(Residuals.then, runs).flat()]})
 
-    ordered = rows.repartitionByRange("_row").sortWithinPartitions("_row")
     found = ordered.mapInArrow(pieces, "fit int, row long, s array<double>").groupBy("fit").applyInPandas(joined, "fit int, s array<double>")
     out = []
     for r in sorted(found.collect(), key=lambda r: r["fit"]):  # a row a fit
@@ -326,22 +342,24 @@ def auxiliary_tests(df: DataFrame, fit: Fit) -> dict:
     return out
 
 
-def auxiliary_batch(df: DataFrame, fits: list[Fit], g: Gram) -> list[dict]:
-    """auxiliary_tests of many fits from one pass: a Gram matrix of 1, x, residual, its square and the squared fit for each."""
+def auxiliary_batch(df: DataFrame, fits: list[Fit], g: Gram, regime: str | None = None, groups: list[str] | None = None) -> list[dict]:
+    """auxiliary_tests of many fits (of regimes: groups) from one pass: a Gram matrix of 1, x, residual, its square and the squared fit for each."""
     if not fits:
         return []
     variables = sorted({v for f in fits for v in (*f.x, f.y)})
     of = {v: (g.shift[g.variables.index(v)], g.scale[g.variables.index(v)]) for v in variables}
     shared = [(f.y, f.x, np.array([f.coefficients[k] for k in ("const", *f.x)]), math.sqrt(f.sse / f.n) or 1.0) for f in fits]
-    rows = df.select(*[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
+    regimes = groups or [""] * len(fits)
+    rows = df.select(_regime(regime).alias("_g"), *[F.col(f"`{v}`").cast("double").alias(f"_v{i}") for i, v in enumerate(variables)])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(x) + 4, len(x) + 4)) for _, x, _, _ in shared]
         for batch in batches:
-            data = {v: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
-            for m, (y, x, b, s) in zip(total, shared, strict=True):
+            data = {v: batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
+            members = _members(batch.column(0), regimes)
+            for m, (y, x, b, s), group in zip(total, shared, regimes, strict=True):
                 z = np.column_stack([data[v] for v in (*x, y)])
-                z = z[np.isfinite(z).all(1)]
+                z = z[members[group] & np.isfinite(z).all(1)]
                 fitted = b[0] + z[:, :-1] @ b[1:]
                 e = (z[:, -1] - fitted) / s
                 # a shift of the fit changes nothing: x spans what it adds
@@ -423,32 +441,117 @@ def quota_rank(rows: list[dict], time: str | None, top: int = TOP) -> list[dict]
     return chosen
 
 
-def screen(df: DataFrame, inputs: list[str], outcomes: list[str], row_id: str, time: str | None = None, regime: str | None = None, with_residuals: bool = True, top: int = TOP) -> DataFrame:
-    """SE4: the best models of each regime: regime, rank, y_col, x_cols, model_class, n, r_squared, adj_r_squared, max_vif, coefficients, p_values, diagnostic_score, score.
+@dataclass
+class Screened:
+    """A candidate with its scores; fit is None for a fixed effects fit, which has its own."""
+
+    group: str
+    y: str
+    x: list[str]
+    fit: Fit | None
+    panel_fit: object | None
+    ols_score: float
+    panel_score: float | None
+
+    @property
+    def r_squared(self) -> float:
+        return self.fit.r_squared if self.fit else self.panel_fit.overall_r2
+
+    @property
+    def adjusted(self) -> float:
+        return self.fit.adj_r_squared if self.fit else self.panel_fit.within_r2
+
+    @property
+    def diagnostic(self) -> float:
+        return effective(self.ols_score, self.panel_score)
+
+    @property
+    def score(self) -> float:
+        return (self.fit.r_squared if self.fit else self.panel_fit.within_r2) * self.diagnostic
+
+    @property
+    def model_type(self) -> str:
+        return "screening_linear" if self.fit else "panel_fixed_effects"
+
+    @property
+    def n(self) -> int:
+        return (self.fit or self.panel_fit).n
+
+    def maps(self) -> tuple[dict[str, float], dict[str, float]]:
+        found = self.fit or self.panel_fit
+        rounded = lambda d: {k: round(v, 6) for k, v in d.items() if k != "const" and math.isfinite(v)}
+        return rounded(found.coefficients), rounded(found.p_values)
+
+
+def _scored(df: DataFrame, fits: list[Fit], groups: list[str], g: Gram, row_id: str, regime: str | None, parts: dict, with_residuals: bool = True) -> list[Screened]:
+    """Fits with their diagnostics: two passes over the rows for all regimes."""
+    of = groups if regime else None
+    tests = residual_tests(df, fits, row_id, regime, of) if with_residuals else [None] * len(fits)
+    more = auxiliary_batch(df, fits, g, regime, of) if with_residuals else [None] * len(fits)
+    out = []
+    for f, group, t, a in zip(fits, groups, tests, more, strict=True):
+        ols = composite(a["breusch_pagan_p"], t["durbin_watson"], f.max_vif, t["jarque_bera_p"], a["reset_p"]) if t else 0.5
+        part = parts.get(group)
+        within = [v for v in f.x if part and v in part.within]
+        panel = panel_composite(part.adf_fraction(within), part.icc.get(f.y), None, None, None) if within else None
+        out.append(Screened(group, f.y, list(f.x), f, None, ols, panel))
+    return out
+
+
+def _panel_fits(df: DataFrame, inputs: list[str], outcomes: list[str], groups: list[str], entity: str, time: str, regime: str | None, parts: dict) -> list[Screened]:
+    """A fixed effects fit for each regime and outcome: time and all inputs that vary within entities."""
+    from assaygrid.operators import within
+
+    names = lambda group: list(dict.fromkeys([*([] if time in parts[group].within else [time]), *[c for c in inputs if c in parts[group].within]]))
+    specs = [(group, y, names(group)) for group in groups if group in parts for y in outcomes if y not in names(group)]
+    if not specs:
+        return []
+    moments = within.entity_moments(df, list(dict.fromkeys([time, *inputs, *outcomes])), entity, regime)
+    out = []
+    for i, fit in within.within_fits(moments, specs, always=(time,)).items():
+        group, y, x = specs[i]
+        part = parts[group]
+        tested = list(dict.fromkeys([time, *fit.x]))
+        score = panel_composite(part.adf_fraction(tested), part.icc.get(y), fit.within_r2, round(fit.f_p, 6), fit.n_entities)
+        out.append(Screened(group, y, x, None, fit, score, None))
+    return out
+
+
+def screen(df: DataFrame, inputs: list[str], outcomes: list[str], row_id: str, time: str | None = None, regime: str | None = None, with_residuals: bool = True, top: int = TOP, entity: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """SE4: the best models of each regime: regime, rank, y_col, x_cols, model_class, model_type, n, r_squared, adj_r_squared, max_vif, coefficients, p_values, diagnostic_score, panel_score, score.
 
     FL5, FL7: regimes of 12 or more rows, fits of R2 0.06 or more. One Gram pass for all candidates of all regimes;
-    with_residuals adds two passes over each regime's survivors for the composite of their diagnostics.
+    with_residuals adds two passes for the composites of all survivors. With entity and time there is the panel half: a score of
+    the columns that vary within entities (SE9 joins the two), and a fixed effects fit for each outcome, which is
+    ranked by what it explains within. order: what orders an entity's rows (default: time and row_id).
     """
+    from assaygrid.operators import within
+
     spark = df.sparkSession
     variables = list(dict.fromkeys([*inputs, *([time] if time else []), *outcomes]))
     g = gram(df, variables, [regime] if regime else [])
+    groups = [k for k in sorted(g.sums, key=str) if sum(m[0, 0] for m in g.sums[k].values()) >= 12]
+    fits, of = [], []
+    for group in groups:
+        for c in candidates([*inputs, *([time] if time else [])], outcomes, time=time):
+            if not correlated(g, tuple(v for v in c.x if v != time), group) and (f := solve(g, c.y, c.x, group)) and f.r_squared >= MIN_R2:
+                fits.append(f)
+                of.append(group[0] if group else "all")
+    names = [k[0] if k else "all" for k in groups]
+    panel = bool(entity and time)
+    parts = within.panel_parts(df, inputs, outcomes, entity, order or [time, row_id], regime, (time,)) if panel else {}
+    found = _scored(df, fits, of, g, row_id, regime, parts, with_residuals)
+    effects = _panel_fits(df, inputs, outcomes, names, entity, time, regime, parts) if panel else []
     out = []
-    for group in sorted(g.sums, key=str):
-        if sum(m[0, 0] for m in g.sums[group].values()) < 12:
-            continue
-        fits = [f for c in candidates([*inputs, *([time] if time else [])], outcomes, time=time) if not correlated(g, tuple(v for v in c.x if v != time), group) and (f := solve(g, c.y, c.x, group)) and f.r_squared >= MIN_R2]
-        part = df.where(F.col(f"`{regime}`").cast("string") == group[0]) if regime else df
-        tests = residual_tests(part, fits, row_id) if with_residuals and fits else [None] * len(fits)
-        more = auxiliary_batch(part, fits, g) if with_residuals else [None] * len(fits)
-        rows = []
-        for f, t, a in zip(fits, tests, more, strict=True):
-            score = composite(a["breusch_pagan_p"], t["durbin_watson"], f.max_vif, t["jarque_bera_p"], a["reset_p"]) if t else 0.5
-            rows.append({"y_col": f.y, "x_cols": list(f.x), "fit": f, "diagnostic_score": score, "score": f.r_squared * score})
+    for name in names:
+        first = sorted((c for c in effects if c.group == name), key=lambda c: -c.adjusted)
+        rest = [c for c in found if c.group == name]
+        rows = [{"y_col": c.y, "x_cols": c.x, "score": c.score, "c": c} for c in [*first, *(sorted(rest, key=lambda c: -c.score) if panel else rest)]]
         for rank, r in enumerate(quota_rank(rows, time, top), 1):
-            f = r["fit"]
-            rounded = lambda d: {k: round(v, 6) for k, v in d.items() if k != "const" and math.isfinite(v)}
-            out.append((group[0] if group else "all", rank, f.y, list(f.x), model_class(f.x, time), f.n, round(f.r_squared, 4), round(f.adj_r_squared, 4), round(f.max_vif, 4), rounded(f.coefficients), rounded(f.p_values), r["diagnostic_score"], round(r["score"], 6)))
-    return spark.createDataFrame(out, "regime string, rank int, y_col string, x_cols array<string>, model_class string, n long, r_squared double, adj_r_squared double, max_vif double, coefficients map<string,double>, p_values map<string,double>, diagnostic_score double, score double")
+            c = r["c"]
+            vif = round(c.fit.max_vif, 4) if c.fit else None
+            out.append((name, rank, c.y, c.x, model_class(c.x, time), c.model_type, c.n, round(c.r_squared, 4), round(c.adjusted, 4), vif, *c.maps(), c.diagnostic, c.panel_score if c.fit else c.ols_score, round(c.score, 6)))
+    return spark.createDataFrame(out, "regime string, rank int, y_col string, x_cols array<string>, model_class string, model_type string, n long, r_squared double, adj_r_squared double, max_vif double, coefficients map<string,double>, p_values map<string,double>, diagnostic_score double, panel_score double, score double")
 
 
 def kfold_r2(df: DataFrame, y: str, x: tuple[str, ...], row_id: str, folds: int = 5) -> list[float]:
@@ -610,28 +713,39 @@ def bundles(ranked: DataFrame, run: str) -> DataFrame:
         rounded(F.col("p_values")).alias("p_values"),
         F.round(F.least(F.lit(1.0), F.col("lit_score")), 4).alias("priority_score"),
         ((F.col("r_squared") >= MIN_R2) & (F.col("lit_score") >= MIN_LITERATURE)).alias("validation_passed"),
+        *[c for c in ("model_type", "diagnostic_score") if c in ranked.columns],
     )
 
 
-def screen_grounded(df: DataFrame, inputs: list[str], outcomes: list[str], literature: DataFrame, run: str, sizes: tuple[int, ...] = (2, 3, 5), top: int = 6) -> tuple[DataFrame, list[str]]:
+def screen_grounded(df: DataFrame, inputs: list[str], outcomes: list[str], corpus: DataFrame, run: str, row_id: str, entity: str | None = None, time: str | None = None, embed=None, sizes: tuple[int, ...] = (2, 3, 5), top: int = 6) -> tuple[DataFrame, list[str]]:
     """SE5: bundles of the best fits by literature, R2 and diagnostics, and warnings.
 
-    literature: y_col, x_key (inputs joined by commas) and lit_score of the candidates, from a search of the corpus; a candidate
-    that is not there scores 0. One Gram pass fits all candidates; TOP_POOL of them by R2 go on.
+    corpus: doc_id, embedding; embed: makes a text's vector of that kind (default: hashed words). One Gram pass fits all candidates, and
+    with entity and time a fixed effects fit an outcome joins them; those of the greatest R2 (TK1) get diagnostics and a score
+    by what the corpus holds nearest to a text of their columns.
     """
+    from assaygrid.operators import within
+    from assaygrid.operators.literature import literature_scores
+    from assaygrid.operators.retrieval import hashed_embedding
+
     spark = df.sparkSession
     g = gram(df, list(dict.fromkeys([*inputs, *outcomes])))
     n = int(round(sum(m[0, 0] for m in g.sums.get((), {}).values())))
-    fits = [f for c in candidates(inputs, outcomes, sizes=sizes) if not correlated(g, c.x) and (f := solve(g, c.y, c.x)) and f.r_squared >= MIN_R2] if n >= 12 and len(inputs) >= 2 else []
+    some = n >= 12 and len(inputs) >= 2
+    fits = [f for c in candidates(inputs, outcomes, sizes=sizes) if not correlated(g, c.x) and (f := solve(g, c.y, c.x)) and f.r_squared >= MIN_R2] if some else []
+    panel = bool(entity and time) and some
+    parts = within.panel_parts(df, inputs, outcomes, entity, [time, row_id], None, (time,)) if panel else {}
+    effects = _panel_fits(df, inputs, outcomes, ["all"], entity, time, None, parts) if panel else []
     kept = best_by_r2(fits)
-    more = auxiliary_batch(df, kept, g)
-    rows = [(i, f.y, ",".join(f.x), list(f.x), f.r_squared, composite(a["breusch_pagan_p"], None, f.max_vif, None, a["reset_p"]), f.coefficients, f.p_values) for i, (f, a) in enumerate(zip(kept, more, strict=True))]
-    table = spark.createDataFrame(rows, "i int, y_col string, x_key string, x_cols array<string>, r_squared double, diagnostic_score double, coefficients map<string,double>, p_values map<string,double>")
-    known = literature.select(F.col("y_col").alias("_y"), F.col("x_key").alias("_x"), "lit_score")
-    scored = table.join(known, (F.col("y_col") == F.col("_y")) & (F.col("x_key") == F.col("_x")), "left").withColumn("lit_score", F.coalesce("lit_score", F.lit(0.0)))
+    found = _scored(df, kept, ["all"] * len(kept), g, row_id, None, parts) + effects
+    found = sorted(found, key=lambda c: -c.r_squared)[:72]
+    rows = [(i, c.y, c.x, c.model_type, c.r_squared, c.diagnostic, *c.maps()) for i, c in enumerate(found)]
+    table = spark.createDataFrame(rows, "i int, y_col string, x_cols array<string>, model_type string, r_squared double, diagnostic_score double, coefficients map<string,double>, p_values map<string,double>")
+    scored = literature_scores(table, corpus, embed=embed or hashed_embedding) if rows else table.withColumn("lit_score", F.lit(0.0))
     # 72 rows at most
     ranked = sorted((r.asDict() for r in scored.collect()), key=lambda r: (-r["lit_score"] * r["r_squared"] * r["diagnostic_score"], -r["lit_score"], -r["r_squared"], r["i"]))
     strong = [r for r in ranked if r["lit_score"] >= MIN_LITERATURE]
     chosen = (strong if len(strong) >= 2 else ranked)[:top]
-    out = spark.createDataFrame([(i, r["y_col"], r["x_cols"], r["r_squared"], r["lit_score"], r["coefficients"], r["p_values"]) for i, r in enumerate(chosen, 1)], "rank int, y_col string, x_cols array<string>, r_squared double, lit_score double, coefficients map<string,double>, p_values map<string,double>")
-    return bundles(out, run), screening_warnings(n, len(inputs), len(fits), len(strong), len(chosen))
+    schema = "rank int, y_col string, x_cols array<string>, model_type string, r_squared double, lit_score double, diagnostic_score double, coefficients map<string,double>, p_values map<string,double>"
+    out = spark.createDataFrame([(i, r["y_col"], r["x_cols"], r["model_type"], r["r_squared"], r["lit_score"], r["diagnostic_score"], r["coefficients"], r["p_values"]) for i, r in enumerate(chosen, 1)], schema)
+    return bundles(out, run), screening_warnings(n, len(inputs), len(fits) + len(effects), len(strong), len(chosen))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +10,15 @@ from assaygrid.operators import clean, models, panel, profile, results, retrieva
 from assaygrid.plans.registry import query, table
 from assaygrid.plans.served import MODELS, store
 from assaygrid.plans.tabular import _INPUTS, _JOINED, DAILY, daily, experiment, r6
+from assaygrid.shared import fresh_path
 from assaygrid.sources import feeds, tables
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where it is unset, a temporary one of a local session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='assaygrid-')).rstrip('/')}/intake-{uuid.uuid4().hex}"
-
-
 _NATIONS = "SELECT n_nationkey AS row_id, CAST(n_nationkey AS VARCHAR) AS n_nation_key, n_name AS name_and_more FROM nation"
 
 
 def _delimited(spark: SparkSession, sf_dir: str, sep: str) -> str:
-    path = scratch(spark)
+    path = fresh_path(spark, "intake")
     n = table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(F.col("n_nationkey").alias("N Nation-Key"), F.concat(F.lit("  "), "n_name", F.lit(" ")).alias("Name (and, more)"), F.lit(None).cast("string").alias("Empty"))
     n.write.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
@@ -54,7 +44,7 @@ def parquet_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.append(path)
         return spark.read.parquet(path)
 
-    cache = scratch(spark)
+    cache = fresh_path(spark, "intake")
     path = f"{sf_dir}/region.parquet"
     first, second = (tables.cached(spark, path, cache, read) for _ in range(2))
     return first.agg(F.count("*").alias("n")).join(second.agg(F.lit(1 + len(made)).alias("files")))  # one row each
@@ -63,7 +53,7 @@ def parquet_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(o_orderkey % 3 AS VARCHAR) AS run_id, count(*) AS n FROM orders GROUP BY 1")
 def run_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of three runs persisted as partitions, one of them twice."""
-    path = scratch(spark)
+    path = fresh_path(spark, "intake")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     for run in ("0", "1", "2", "1"):
         results.persist(o.where(F.col("o_orderkey") % 3 == int(run)), path, run)

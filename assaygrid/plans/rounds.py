@@ -264,14 +264,6 @@ def candidates_by_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(",".join(f.x), round(f.r_squared, 5)) for f in screening.best_by_r2(fits, 3)], "x string, r_squared double")
 
 
-@query()
-def grounded_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates scored by literature, the best as bundles."""
-    inputs = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
-    literature = spark.createDataFrame([("response", "l_quantity,p_size", 0.6), ("response", "l_quantity,l_tax", 0.4)], "y_col string, x_key string, lit_score double")
-    return screening.screen_grounded(experiment(spark, sf_dir), inputs, ["response"], literature, "run")[0]
-
-
 @query("SELECT substring(sha256('run|y|a,b'), 1, 16) AS id, 'H1' AS hypothesis_id, CAST(0.1235 AS DOUBLE) AS r_squared, CAST(0.5 AS DOUBLE) AS priority_score, TRUE AS validation_passed UNION ALL SELECT substring(sha256('run|y|c'), 1, 16), 'H2', 0.05, 0.1, FALSE")
 def bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = spark.createDataFrame([(1, "y", ["a", "b"], 0.12345678, 0.5, {"a": 1.0}, {"a": 0.01}), (2, "y", ["c"], 0.05, 0.1, {"c": 1.0}, {"c": 0.5})], "rank int, y_col string, x_cols array<string>, r_squared double, lit_score double, coefficients map<string,double>, p_values map<string,double>")

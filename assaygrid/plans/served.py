@@ -272,18 +272,18 @@ _COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding A
 _TOP = f"WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_COS} AS s FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s) "
 
 
-def _found(spark: SparkSession, sf_dir: str, k: int = 9) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str, k: int = 9, **how: int) -> DataFrame:
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "embeddings")
-    found = retrieval.top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, k, doc_id="vec_id").where("query_id <> doc_id")
+    found = retrieval.top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, k, doc_id="vec_id", **how).where("query_id <> doc_id")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
 @query(_TOP + "SELECT query_id, doc_id, round(s, 4) + 0.0 AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row whose id is divisible by 50 against all rows."""
-    return _found(spark, sf_dir).where("rank <= 5").select("query_id", "doc_id", r6(F.col("similarity"), 4).alias("similarity"), "rank")
+    """Every row whose id is divisible by 50 against all rows, neither side through the driver."""
+    return _found(spark, sf_dir, small=0).where("rank <= 5").select("query_id", "doc_id", r6(F.col("similarity"), 4).alias("similarity"), "rank")
 
 
 @query(_TOP + ", f AS (SELECT doc_id, arg_min(s, query_id) AS s FROM (SELECT * FROM r WHERE rank <= 8) GROUP BY 1) SELECT doc_id, round(s, 4) + 0.0 AS similarity FROM f ORDER BY round(s, 4) DESC, doc_id LIMIT 10")
