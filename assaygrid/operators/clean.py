@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaygrid.operators.order import numbered
+from assaygrid.operators.quantiles import exact_quantiles
 
 # Cells that mean "missing", compared trimmed and without case.
 PLACEHOLDERS = (
@@ -116,15 +117,15 @@ def drop_high_missing(df: DataFrame, columns: list[str], most: float = 0.5) -> D
 
 
 def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
-    """PJ10: nulls of numeric columns by exact median, mean, or mode (of equally frequent values the least)."""
+    """PJ10: nulls of numeric columns by exact median (quantiles.py), mean, or mode (of equally frequent values the least), of all columns at once."""
     if how == "mode":
-        values = {}
-        for c in columns:
-            top = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).count().orderBy(F.desc("count"), "v").first()
-            values[c] = top["v"] if top else None
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])).alias("s")
+        counts = df.select(each).select("s.c", "s.v").where("v is not null").groupBy("c", "v").count()
+        values = {columns[r["c"]]: r["v"] for r in counts.groupBy("c").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v")).collect()}  # a row a column
+    elif how == "median":
+        values = {c: q[0] for c, q in exact_quantiles(df, columns, [0.5]).items()}
     else:
-        f = {"median": F.median, "mean": F.avg}[how]
-        r = df.agg(*[f(F.col(f"`{c}`")).alias(c) for c in columns]).first()
+        r = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in columns]).first()
         values = {c: r[c] for c in columns}
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(v))) for c, v in values.items() if v is not None})
 
@@ -143,9 +144,12 @@ def scale_units(df: DataFrame, units: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`") * F.lit(UNIT_FACTORS[u]) for c, u in units.items() if u in UNIT_FACTORS})
 
 
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """PJ15: 0/1 columns c_value for all but the first of a column's sorted values. Nulls: all 0."""
-    values = [r[0] for r in df.select(column).where(F.col(f"`{column}`").isNotNull()).distinct().orderBy(column).toLocalIterator()]
+def one_hot(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """PJ15: 0/1 columns c_value for all but the first of a column's sorted values. Nulls: all 0. More than most values raise."""
+    distinct = df.select(column).where(F.col(f"`{column}`").isNotNull()).distinct()
+    values = sorted(r[0] for r in distinct.limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values, each of which would be a column")
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(f"`{column}`") == F.lit(v)).cast("int"), F.lit(0)) for v in values[1:]}).drop(column)
 
 

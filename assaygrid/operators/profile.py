@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaygrid.operators.quantiles import exact_quantiles
+
 # Names that a range check goes by, with their bounds.
 RANGES = (("ph", 0.0, 14.0), ("temperature", -10.0, 100.0), ("uv_intensity", 0.0, None), ("concentration", 0.0, None), ("time", 0.0, None), ("dose", 0.0, None))
 ID_WORDS = ("id", "entity", "sample", "unit", "experiment")
@@ -97,9 +99,9 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
     distribution: normal if D'Agostino's K2 does not reject at 0.05, else skewed, heavy_tailed or non_normal.
     """
-    first = df.agg(*[F.struct(F.lit(c).alias("name"), F.count(_col(c)).alias("n"), F.skewness(_col(c)).alias("skew"), F.kurtosis(_col(c)).alias("kurt"), F.min(_col(c)).cast("double").alias("low"), F.percentile(_col(c), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias(f"m{i}") for i, c in enumerate(columns)])
+    first = df.agg(*[F.struct(F.lit(c).alias("name"), F.count(_col(c)).alias("n"), F.skewness(_col(c)).alias("skew"), F.kurtosis(_col(c)).alias("kurt"), F.min(_col(c)).cast("double").alias("low")).alias(f"m{i}") for i, c in enumerate(columns)])
     stats = first.select(F.explode(F.array(*[F.col(f"m{i}") for i in range(len(columns))])).alias("p")).select("p.*").collect()  # a row a column
-    fences = {r["name"]: (r["q"][0] - 1.5 * (r["q"][1] - r["q"][0]), r["q"][1] + 1.5 * (r["q"][1] - r["q"][0])) if r["q"] else (None, None) for r in stats}
+    fences = {c: (q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])) if q[0] is not None else (None, None) for c, q in exact_quantiles(df, columns, [0.25, 0.75]).items()}
     counts = df.agg(*[F.count_if((_col(c) < F.lit(fences[c][0])) | (_col(c) > F.lit(fences[c][1]))).alias(c) for c in columns]).first()
     from assaygrid.functions.stats import normal_test
 
@@ -116,13 +118,14 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
 def panel_shape(df: DataFrame, entity: str, time: str | None = None) -> DataFrame:
     """AG9, AG10: one row: n_entities, least, most and mean rows an entity, balanced, median_timepoints."""
     per = df.groupBy(_col(entity)).agg(F.count("*").alias("n"), (F.count_distinct(_col(time)) if time else F.lit(None).cast("long")).alias("t"))
+    middle = exact_quantiles(per, ["t"], [0.5])["t"][0] if time else None
     return per.agg(
         F.count("*").alias("n_entities"),
         F.min("n").alias("min_obs"),
         F.max("n").alias("max_obs"),
         F.avg("n").alias("mean_obs"),
         (F.min("n") == F.max("n")).alias("balanced"),
-        F.median("t").alias("median_timepoints"),
+        F.lit(middle).cast("double").alias("median_timepoints"),
     )
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.operators import clean, models, order, panel, profile, screening
+from assaygrid.operators import clean, models, order, panel, profile, quantiles, screening
 from assaygrid.plans.registry import query, table
 
 #: Events a user a day as a composition of event types; the type names are the test table's.
@@ -60,6 +60,17 @@ def univariate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("regime", "predictor", "n", r6(F.col("slope"), 4).alias("slope"), r6(F.col("intercept"), 4).alias("intercept"), r6(F.col("r2")).alias("r_squared"))
 
 
+_QUANTILES = {"l_quantity": 0.5, "l_extendedprice": 0.25, "l_discount": 0.9, "l_tax": 0.333, "l_orderkey": 0.75}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({p} AS DOUBLE) AS p, round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) + 0.0 AS value FROM lineitem" for c in _QUANTILES for p in sorted({0.5, *_QUANTILES.values()})))
+def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of five columns from the same passes."""
+    asked = sorted({0.5, *_QUANTILES.values()})
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), list(_QUANTILES), asked)
+    return spark.createDataFrame([(c, p, round(v, 6) + 0.0) for c, vs in found.items() for p, v in zip(asked, vs, strict=True)], "name string, p double, value double")
+
+
 _PROFILED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
 
 
