@@ -11,7 +11,7 @@ from assaygrid.operators import results, retrieval
 from assaygrid.plans.registry import query, table
 from assaygrid.plans.tabular import r6
 from assaygrid.sources import feeds
-from assaygrid.streaming import ingest
+from assaygrid.streaming import activity
 
 
 def store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -384,7 +384,7 @@ def literature_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def windowed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ingest.windowed_activity(table(spark, sf_dir, "events"))
+    w = activity.windowed_activity(table(spark, sf_dir, "events"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6(F.col("total"), 4).alias("total"))
 
 
