@@ -66,8 +66,8 @@ def _binned(wanted: dict[int, list[int]], known: int):
     return counted
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
-    """For each column its quantiles, linear between the two values around a rank, as median() and percentile() have them.
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], linear: bool = True) -> dict[str, list[float | None]]:
+    """For each column its quantiles, linear between the two values around a rank, as median() and percentile() have them; or else the lower of the two.
 
     Nulls and NaN are left out; a column without values has no quantiles (None). Columns are read as doubles. Two passes
     where values have few digits, four at most.
@@ -85,7 +85,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         if not known:
             sizes = {r["c"]: r["n"] for r in bins.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row a column
             for c, n in sizes.items():
-                ranks[c] = sorted({f(p * (n - 1)) for p in probabilities for f in (math.floor, math.ceil)})
+                ranks[c] = sorted({f(p * (n - 1)) for p in probabilities for f in ((math.floor, math.ceil) if linear else (math.floor,))})
             names = [(c, k) for c in ranks for k in ranks[c]]
             open_ = [(c, 0, k) for c, k in names]
         if not open_:
@@ -119,6 +119,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         out[c] = []
         for p in probabilities:
             at = p * (sizes[i] - 1)
-            low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
+            low = found[i, math.floor(at)]
+            high = found[i, math.ceil(at)] if linear else low
             out[c].append(low if low == high else low + (at - math.floor(at)) * (high - low))
     return out

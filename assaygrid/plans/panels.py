@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaygrid.operators import screening, within
+from assaygrid.operators import boosting, screening, within
 from assaygrid.plans.registry import query
 from assaygrid.plans.tabular import DAILY, daily, r6
 
@@ -58,3 +58,34 @@ def panel_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The screening with its panel half, all regimes in the same passes."""
     return screening.screen(user_panel(spark, sf_dir), ["c1", "c2", "c3"], ["total"], "row_id", time="day", regime="regime", entity="user_id").withColumn("score", r6(F.col("score")))
+
+
+_BOOSTED = ["c1", "c2", "c3", "day"]
+
+
+@query(
+    _PANEL
+    + """, base AS (SELECT avg(total) AS m FROM panel WHERE total IS NOT NULL), rows AS (SELECT m - total AS g, c1, c2, c3, day FROM panel, base WHERE total IS NOT NULL),
+long AS (SELECT g, unnest([0, 1, 2, 3]) AS f, unnest([c1, c2, c3, day]) AS v FROM rows), sizes AS (SELECT f, count(v) AS n, min(v) AS low FROM long GROUP BY f),
+ranked AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS k FROM long WHERE v IS NOT NULL),
+cuts AS (SELECT DISTINCT r.f, r.v AS cut FROM ranked r JOIN (SELECT f, low, CAST(floor(CAST(i AS DOUBLE) / 255 * (n - 1)) AS BIGINT) AS k FROM sizes, range(1, 255) t(i)) s ON s.f = r.f AND s.k = r.k AND r.v > s.low),
+known AS (SELECT c.f, cut, sum(g) AS a, count(*) AS b FROM cuts c JOIN long l ON l.f = c.f AND l.v < c.cut GROUP BY 1, 2),
+missing AS (SELECT f, coalesce(sum(g) FILTER (WHERE v IS NULL), 0) AS mg, count(*) FILTER (WHERE v IS NULL) AS mh, sum(g) AS tg, count(*) AS th FROM long GROUP BY f),
+sides AS (SELECT k.f, cut, side, a + side * mg AS a, b + side * mh AS b, tg, th FROM known k JOIN missing USING (f), (SELECT unnest([1, 0]) AS side)),
+worth AS (SELECT *, sign(a) * greatest(abs(a) - 0.1, 0) AS sa, sign(tg - a) * greatest(abs(tg - a) - 0.1, 0) AS sb, sign(tg) * greatest(abs(tg) - 0.1, 0) AS st FROM sides WHERE b >= 3 AND th - b >= 3),
+gains AS (SELECT *, 0.5 * (sa * sa / (b + 1) + sb * sb / (th - b + 1) - st * st / (th + 1)) AS gain FROM worth)
+SELECT ['c1', 'c2', 'c3', 'day'][f + 1] AS input, cut AS threshold, side = 1 AS missing_left, round(gain, 3) + 0.0 AS gain, round(-0.05 * sa / (b + 1), 6) + 0.0 AS left_value, round(-0.05 * sb / (th - b + 1), 6) + 0.0 AS right_value
+FROM gains ORDER BY round(gain, 6) DESC, f, cut, side DESC LIMIT 1"""
+)
+def boosted_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of boosted trees over inputs with gaps: where it cuts, which way missing values go, what it gains."""
+    m = boosting.boost(user_panel(spark, sf_dir), "total", _BOOSTED, rounds=1, depth=1, rows=1.0, columns=1.0)
+    s, tree = m.trees[0].nodes[0], m.trees[0].nodes
+    return spark.createDataFrame([(_BOOSTED[s.feature], s.threshold, s.missing_left, round(s.gain, 3) + 0.0, round(tree[s.left], 6) + 0.0, round(tree[s.right], 6) + 0.0)], "input string, threshold double, missing_left boolean, gain double, left_value double, right_value double")
+
+
+@query()
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees over inputs with gaps, and what each input is worth."""
+    m = boosting.boost(user_panel(spark, sf_dir), "total", _BOOSTED, rounds=30)
+    return spark.createDataFrame([(m.n, m.r_squared, m.adj_r_squared, m.importances(), m.significant())], "n long, r_squared double, adj_r_squared double, importances map<string,double>, significant array<string>")
