@@ -55,6 +55,7 @@ ARTICLE_NAMES = frozenset(
     "article article-body article-content article-text articlebody body-content content entry entry-content main main-content page-content post post-body post-content story story-body".split()
 )
 
+_REPLIES = re.compile(r"comment|disqus|repl(?:y|ies)|respon[ds]", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -224,12 +225,17 @@ def _kind(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
 def blocks(page: str) -> list[Block]:
     """Flat text blocks of a page, in its order.
 
-    Where all articles lie in containers that look like furniture, those around the first are not; and where there is no
-    article, one that holds a headline and over half of the words outside of links is not.
+    Where all articles lie in containers that look like furniture, those around the first are not; where there is no
+    article, one that holds a headline and over half of the words outside of links is not; and where articles have no text but
+    headings outside of such containers, the one inside an article with the most words outside of links is not, if it is not comments.
     """
     found, suspects, articles = _cut(page, frozenset())
+    plain = sum(b.words - b.linked for b in found if b.container != HIDDEN)
+    if articles and not any(b.container == ARTICLE and not b.heading for b in found):
+        inner = {i: s["plain"] for i, s in suspects.items() if s["inner"] and s["plain"] > 0}
+        if inner:
+            found = _cut(page, frozenset([max(inner, key=lambda i: (inner[i], -i))]))[0]
     if not articles:
-        plain = sum(b.words - b.linked for b in found if b.container != HIDDEN)
         wrong = {i for i, s in suspects.items() if s["article"]} or {i for i, s in suspects.items() if s["headline"] and 2 * s["plain"] > plain}
         if wrong:
             found = _cut(page, frozenset(wrong))[0]
@@ -273,7 +279,9 @@ def _cut(page: str, cleared: frozenset[int]) -> tuple[list[Block], dict[int, dic
         elif claims:
             articles += 1
         if found == FURNITURE:
-            suspects[count] = {"article": False, "headline": False, "plain": 0}
+            # furniture by its name alone, inside an article and not of comments
+            inner = inside == ARTICLE and name not in FURNITURE_TAGS and not _REPLIES.search(attributes)
+            suspects[count] = {"article": False, "headline": False, "plain": 0, "inner": inner}
             open_.append((len(stack), count))
         stack.append((name, found))
         return found
