@@ -8,7 +8,8 @@ words falls into one of some classes or is the least around), so a passage is cu
 stands. A piece's digest also covers the two words after it, so that none is shorter than three words.
 
 A first pass over the texts gives each digest's earliest occurrence in a slice (what a slice repeats
-it flags at once, so a frequent unit leaves one row a slice, not one an occurrence). One shuffle
+it flags at once). What a slice repeats is remembered by its task, which flags it in later slices too where an
+earlier ranked one has gone by: so a very frequent unit leaves a few rows a task, not one a slice or an occurrence. One shuffle
 by digest then flags all but the earliest ranked. A flagged line is cut out of the text, and a run of
 flagged pieces of at least min_words words; the spans kept are of the original text.
 """
@@ -33,6 +34,8 @@ UNIT_WORDS = 4
 CONTEXT = 3
 #: The places of lines begin here, so that they are told from those of pieces.
 LINES = 1 << 30
+#: Digests that a task remembers, those that a slice repeated.
+FREQUENT = 200_000
 #: A word whose context hash is the least of so many before and after begins a unit too.
 REACH = 12
 
@@ -122,12 +125,42 @@ class Units:
 
 
 def copy_of(text: str):
-    """Tells rows of one doc_id apart by their texts."""
-    return (F.xxhash64(F.col(f"`{text}`")) % 2**15).cast("short")
+    """Tells rows of one doc_id apart by their texts: 30 bits of a hash, as many as a row's number has room for."""
+    return F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(2**30)).cast("int")
+
+
+class Frequent:
+    """Of digests that some slice of a task repeated, the earliest rank that has gone by."""
+
+    def __init__(self) -> None:
+        self.least: dict[int, tuple] = {}
+        self.known = np.zeros(0, np.uint64)
+
+    def later(self, digests: np.ndarray, rank_of) -> np.ndarray:
+        """Places of digests that have an earlier rank than theirs; the ranks of others are remembered. digests: sorted, once each."""
+        if not len(self.known):
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.known, digests)
+        hit = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == digests)
+        out = []
+        for k in hit.tolist():
+            d, rank = int(digests[k]), rank_of(k)
+            if self.least[d] < rank:
+                out.append(k)
+            else:
+                self.least[d] = rank
+        return np.array(out, np.int64)
+
+    def add(self, digests: np.ndarray, places: np.ndarray, rank_of) -> None:
+        """Remembers digests (at these places of the slice's) that it did not, as many as there is room for."""
+        fresh = [(int(d), k) for d, k in zip(digests.tolist(), places.tolist(), strict=True) if d not in self.least][: FREQUENT - len(self.least)]
+        if fresh:
+            self.least |= {d: rank_of(k) for d, k in fresh}
+            self.known = np.sort(np.fromiter(self.least, np.uint64, len(self.least)))
 
 
 def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, spot, digest. Rows of one digest: at most one a slice, and those it repeats (repeated, any digest).
+    """doc_id, spot, digest. Rows of one digest: at most one a slice, a few a task if it is frequent, and those that are repeated (any digest).
 
     spot holds copy, unit (its place) and repeated in one number, in this order, as each row is shuffled.
     """
@@ -135,6 +168,7 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("spot", T.LongType()), T.StructField("digest", T.LongType())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent()
         for batch in batches:
             # rank order inside the slice, so that its first occurrence is the earliest ranked
             batch = batch.sort_by([("doc_id", "ascending"), ("copy", "ascending")])
@@ -151,10 +185,18 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     of = np.stack([document[a + row], place, own.view(np.int64)])
                     found = np.sort(np.unique(of, axis=1, return_index=True)[1])
                     found = found[np.lexsort((place[found], document[a + row[found]]))]
-                _, first = np.unique(own[found], return_index=True)
+                digests, first, times = np.unique(own[found], return_index=True, return_counts=True)
                 repeated = np.ones(len(found), bool)
                 repeated[first] = False
                 place, row, own = place[found], row[found], own[found]
+
+                def rank_of(k: int, a=a, row=row, place=place, first=first) -> tuple:
+                    i = a + int(row[first[k]])
+                    return ids[i].as_py(), copies[i].as_py(), int(place[first[k]])
+
+                repeated[first[frequent.later(digests, rank_of)]] = True
+                twice = np.flatnonzero(times > 1)
+                frequent.add(digests[twice], twice, rank_of)
                 # a flagged row needs no group: any digest does, and its own spreads them no worse than others
                 digest = np.where(repeated, ragged.mixed(own + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64)), own)
                 spot = copies.to_numpy()[a + row].astype(np.int64) * (1 << 33) + place.astype(np.int64) * 2 + repeated
@@ -166,13 +208,13 @@ def units(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def flagged(found: DataFrame) -> DataFrame:
     """doc_id, copy, units: the places of units that an earlier ranked text, or an earlier place, has.
 
-    A window holds a digest's rows, at most one for each slice of the texts, and spills them to disk beyond some thousands.
+    A window holds a digest's rows, of a frequent one a few for each task that read texts, and spills them to disk beyond some thousands.
     """
     rank, repeated = F.struct("doc_id", "spot"), F.col("spot").bitwiseAND(F.lit(1)) == 1
     earliest = F.min(F.when(~repeated, rank)).over(Window.partitionBy("digest"))
     later = found.withColumn("earliest", earliest).where(repeated | (rank > F.col("earliest")))
     unit = F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int")
-    return later.groupBy("doc_id", F.shiftright("spot", 33).cast("short").alias("copy")).agg(F.collect_set(unit).alias("units"))
+    return later.groupBy("doc_id", F.shiftright("spot", 33).cast("int").alias("copy")).agg(F.collect_set(unit).alias("units"))
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 25, min_line_words: int = 1) -> DataFrame:

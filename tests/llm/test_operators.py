@@ -297,6 +297,27 @@ def deduped(docs, min_words=25):
     return out
 
 
+def test_a_line_of_every_text_leaves_few_rows(spark):
+    """A task remembers what its slices repeat: later slices flag it without a row for the group, whatever order texts come in."""
+    rnd = random.Random(4)
+    order = list(range(3000))
+    rnd.shuffle(order)
+    docs = spark.createDataFrame([(i, f"All rights are reserved by the owner.\nown {i} words {i * 7} here {i * 13}") for i in order], "doc_id long, text string").coalesce(1)
+    found = substring_dedup.units(docs, "text", "doc_id")
+    lines = found.where((F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 33) - 1)), 1) == substring_dedup.LINES))
+    fresh = lines.where(F.col("spot").bitwiseAND(F.lit(1)) == 0)
+    assert lines.count() == 3000 and 1 <= fresh.count() <= 6  # six Arrow batches; a smaller doc_id may come later
+    got = substring_dedup.dedup_substrings(docs)
+    assert {r["doc_id"] for r in got.where("text like 'All rights%'").collect()} == {0}
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Thousands of texts of one doc_id: none loses words that it alone has."""
+    rows = [(7, f"text {i} has its words {i * 31} alone {i * 17}") for i in range(3000)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert got.where("n_removed > 0").count() == 0 and sorted(r["text"] for r in got.collect()) == sorted(t for _, t in rows)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_dedup_as_brute_force(spark, parts):
     rnd = random.Random(11)
@@ -450,6 +471,18 @@ def test_names_alone_do_not_make_furniture():
     assert text(f'<article><p>{long}</p><div style="display: none">gone</div></article>') == [long.strip()]
 
 
+def test_an_article_is_not_lost_to_a_name():
+    body = " ".join(f"word{i}" for i in range(60))
+    for name in ("notice-text", "promo-story", "related-reading"):
+        page = f'<body><nav><a href="#">Home</a></nav><article class="post"><h1>Head</h1><div class="{name}"><p>{body}</p></div><div class="ad-slot"><p>Buy now</p></div></article></body>'
+        assert html_text.main_text(page) == f"Head\n{body}"
+    # what stands beside it keeps furniture out, and comments never are the text
+    page = f'<body><article><p>{body}</p><div class="notice-text"><p>We use cookies on this site, and so on and on.</p></div></article></body>'
+    assert html_text.main_text(page) == body
+    page = f'<body><article><h1>Head</h1><div class="comments-list"><p>{body}</p></div></article></body>'
+    assert body not in html_text.main_text(page)
+
+
 def test_shapes_decide_where_no_container_tells():
     """Without marks, word counts and link densities decide: a tree that does not see them (all blocks of one shape) takes no link list from text."""
     long = "word " * 40
