@@ -527,29 +527,40 @@ def two_stage_intercepts(df: DataFrame, y: str, entity: str, time: str, treatmen
     return solve(gram(frame, ["intercept", *treatments]), "intercept", tuple(treatments))
 
 
-FAMILIES = ("ols", "ridge", "fixed_effects", "random_effects", "lasso")
+FAMILIES = ("ols", "ridge", "fixed_effects", "random_effects", "lasso", "gradient_boosting")
 
 
 def fit_family(df: DataFrame, family: str, y: str, x: list[str], entity: str | None = None, row_id: str | None = None) -> dict:
-    """MD18: a model of a family as model_type, success, error_message, n, r_squared and coefficients.
+    """MD18: one model of a family as model_type, success, error_message, n, r_squared and coefficients (rounds.py fits whole rounds).
 
-    Fewer complete rows than inputs and two more: an error. Families without their columns, and unknown ones: least squares. A fit that
+    An error: fewer complete rows than inputs and two more, families without the columns they need, and unknown ones. A fit that
     fails is an error with its message, never an exception.
     """
     out = {"model_type": family, "success": False, "error_message": None, "n": 0, "r_squared": 0.0, "coefficients": {}}
     try:
+        if family not in FAMILIES:
+            return out | {"error_message": f"unknown family {family}"}
+        needs = {"fixed_effects": entity, "random_effects": entity, "lasso": row_id}
+        if family in needs and needs[family] is None:
+            return out | {"error_message": f"{family} needs {'a row_id' if family == 'lasso' else 'an entity'} column"}
         g = gram(df, [*x, y])
         n = int(round(complete(g, [*x, y])[0, 0]))
+        few = {"error_message": f"{n} complete rows for {len(x)} inputs"}
         if n < len(x) + 3:
-            return out | {"error_message": f"{n} complete rows for {len(x)} inputs"}
-        if family == "fixed_effects" and entity and (fe := fixed_effects(df, y, x, entity)):
-            return out | {"success": True, "n": fe.n, "r_squared": fe.within_r2, "coefficients": fe.coefficients}
-        if family == "random_effects" and entity and (re := random_effects(df, y, x, entity)):
-            return out | {"success": True, "n": re.n, "r_squared": re.r_squared, "coefficients": re.coefficients}
-        if family == "lasso" and row_id:
+            return out | few
+        if family == "fixed_effects":
+            fe = fixed_effects(df, y, x, entity)
+            return out | ({"success": True, "n": fe.n, "r_squared": fe.within_r2, "coefficients": fe.coefficients} if fe else few)
+        if family == "random_effects":
+            re = random_effects(df, y, x, entity)
+            return out | ({"success": True, "n": re.n, "r_squared": re.r_squared, "coefficients": re.coefficients} if re else few)
+        if family == "lasso":
             path = lasso_cv(df, y, x, row_id)
             return out | {"success": True, "n": n, "r_squared": path["cv_r2"], "coefficients": path["coefficients"]}
+        if family == "gradient_boosting":
+            t = tree_model(df, y, x)
+            return out | {"success": True, "n": n, "r_squared": t["r_squared"], "coefficients": t["importances"]}
         f = solve(g, y, tuple(x), ridge=1.0 if family == "ridge" else 0.0)
-        return out | ({"success": True, "n": f.n, "r_squared": f.r_squared, "coefficients": f.coefficients} if f else {"error_message": f"{n} complete rows for {len(x)} inputs"})
+        return out | ({"success": True, "n": f.n, "r_squared": f.r_squared, "coefficients": f.coefficients} if f else few)
     except Exception as e:  # noqa: BLE001  a model that cannot be fitted is a result
         return out | {"error_message": str(e)[:200]}

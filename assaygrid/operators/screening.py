@@ -128,14 +128,14 @@ class Fit:
     inverse: np.ndarray  # of X'X in original units, intercept first
 
 
-def solve(g: Gram, y: str, x: tuple[str, ...], group: tuple = (), ridge: float = 0.0) -> Fit | None:
-    """FL3, MD1, MD2, SE7: least squares on complete rows (the least-norm fit if singular); None if there are too few rows.
+def solve(g: Gram, y: str, x: tuple[str, ...], group: tuple = (), ridge: float = 0.0, least: int = 8, more: int = 3) -> Fit | None:
+    """FL3, MD1, MD2, SE7: least squares on complete rows (the least-norm fit if singular); None if there are fewer than least rows, or than inputs and so many more.
 
     ridge: a penalty on coefficients but the intercept; p-values are then 0.5 and adjusted R2 is R2.
     """
     m = complete(g, [*x, y], group)
     n, k = int(round(m[0, 0])), len(x)
-    if n < max(8, k + 3):
+    if n < max(least, k + more):
         return None
     s = np.array([g.scale[g.variables.index(v)] for v in (*x, y)])
     shift = np.array([g.shift[g.variables.index(v)] for v in (*x, y)])
@@ -335,10 +335,11 @@ def auxiliary_tests(df: DataFrame, fit: Fit) -> dict:
     rows = rows.withColumn("_e2", (F.col(fit.y) - F.col("_fitted")) ** 2).withColumn("_f2", F.col("_fitted") ** 2)
     g = gram(rows, [*fit.x, fit.y, "_e2", "_f2"])
     bp, reset = solve(g, "_e2", fit.x), solve(g, fit.y, (*fit.x, "_f2"))
-    out = {"breusch_pagan_p": chi2_sf(bp.n * bp.r_squared, len(fit.x)) if bp else None, "reset_p": None}
+    out = {"breusch_pagan": bp.n * bp.r_squared if bp else None, "breusch_pagan_p": chi2_sf(bp.n * bp.r_squared, len(fit.x)) if bp else None, "reset": None, "reset_p": None}
     if reset and reset.rank > fit.rank and reset.sse > 0:
         d2 = reset.n - reset.rank - 1
-        out["reset_p"] = f_sf(max(fit.sse - reset.sse, 0) / (reset.sse / d2), 1, d2)
+        out["reset"] = max(fit.sse - reset.sse, 0) / (reset.sse / d2)
+        out["reset_p"] = f_sf(out["reset"], 1, d2)
     return out
 
 
@@ -387,11 +388,13 @@ def auxiliary_batch(df: DataFrame, fits: list[Fit], g: Gram, regime: str | None
         m, x = v.reshape(k + 4, k + 4), list(range(1, k + 1))
         n, e, e2, f2 = m[0, 0], k + 1, k + 2, k + 3
         _, sse, sst = least(m, x, e2)
-        d = {"breusch_pagan_p": chi2_sf(n * (1 - sse / sst), k) if sst > 1e-12 * n else None, "reset_p": None}
+        bp = n * (1 - sse / sst) if sst > 1e-12 * n else None
+        d = {"breusch_pagan": None if bp is None else float(bp), "breusch_pagan_p": chi2_sf(bp, k) if bp is not None else None, "reset": None, "reset_p": None}
         rank, sse, sst = least(m, [*x, f2], e)
         d2 = n - rank - 1
         if rank > f.rank and sse > 0 and d2 > 0:
-            d["reset_p"] = f_sf(max(sst - sse, 0.0) / (sse / d2), 1, d2)
+            d["reset"] = float(max(sst - sse, 0.0) / (sse / d2))
+            d["reset_p"] = f_sf(d["reset"], 1, d2)
         out.append(d)
     return out
 
@@ -609,7 +612,13 @@ def influence(df: DataFrame, fit: Fit) -> dict:
 
 
 def serial_correlation(df: DataFrame, fit: Fit, row_id: str, block: int = 100_000) -> float | None:
-    """DG20: the p-value of Breusch and Godfrey's test with two lags, in the order of row_id; before the first row residuals count as 0."""
+    """DG20: the p-value of Breusch and Godfrey's test with two lags."""
+    found = breusch_godfrey(df, fit, row_id, block)
+    return found[1] if found else None
+
+
+def breusch_godfrey(df: DataFrame, fit: Fit, row_id: str, block: int = 100_000) -> tuple[float, float] | None:
+    """DG20: statistic and p-value with two lags, in the order of row_id; before the first row residuals count as 0."""
     rows = df.select(F.col(row_id).alias("_r"), *[F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(fit.x)], F.col(f"`{fit.y}`").cast("double").alias("_y")).na.drop()
     fitted = F.lit(fit.coefficients["const"])
     for i, v in enumerate(fit.x):
@@ -620,7 +629,7 @@ def serial_correlation(df: DataFrame, fit: Fit, row_id: str, block: int = 100_00
     lagged = placed.groupBy("b").applyInPandas(lambda key, pdf: _two_lags(pdf, key[0] * block, names), ", ".join(f"{n} double" for n in [*names, "before", "two", "e"]))
     g = gram(lagged, [*names, "before", "two", "e"])
     full = solve(g, "e", (*names, "before", "two"))
-    return chi2_sf(full.n * full.r_squared, 2) if full else None
+    return (full.n * full.r_squared, chi2_sf(full.n * full.r_squared, 2)) if full else None
 
 
 def _two_lags(pdf, start: int, names: list[str]):
@@ -633,7 +642,13 @@ def _two_lags(pdf, start: int, names: list[str]):
 
 
 def heteroscedasticity(df: DataFrame, fit: Fit) -> float | None:
-    """DG20: the p-value of White's test: squared residuals on inputs, their squares and products."""
+    """DG20: the p-value of White's test."""
+    found = white(df, fit)
+    return found[1] if found else None
+
+
+def white(df: DataFrame, fit: Fit) -> tuple[float, float] | None:
+    """DG20: White's statistic and p-value: squared residuals on inputs, their squares and products."""
     rows = df.select(*[F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(fit.x)], F.col(f"`{fit.y}`").cast("double").alias("_y")).na.drop()
     fitted = F.lit(fit.coefficients["const"])
     for i, v in enumerate(fit.x):
@@ -645,7 +660,7 @@ def heteroscedasticity(df: DataFrame, fit: Fit) -> float | None:
     wide = rows.select(*parts, (((F.col("_y") - fitted) ** 2) / (fit.sse / fit.n or 1.0)).alias("e2"))
     names = tuple(c for c in wide.columns if c != "e2")
     full = solve(gram(wide, [*names, "e2"]), "e2", names)
-    return chi2_sf(full.n * full.r_squared, full.rank) if full else None
+    return (full.n * full.r_squared, chi2_sf(full.n * full.r_squared, full.rank)) if full else None
 
 
 def standardized(g: Gram, fit: Fit) -> dict[str, float]:

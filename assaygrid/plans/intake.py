@@ -69,29 +69,19 @@ def empty_rows_and_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.trim_strings(clean.drop_empty(wide))
 
 
-_ROLES = [("Metadata", "metadata"), ("meta info", "metadata"), ("Independent variable", "input"), ("dependent", "output"), ("Response", "output"), ("Predictor", "input"), ("", "unknown"), ("Temperature", "unknown"), ("Target (%)", "output"), ("explanatory", "input")]
+_CELL = "CASE p_partkey % 7 WHEN 0 THEN ' Meta ' || p_name WHEN 1 THEN 'Dependent  ' || p_name WHEN 2 THEN 'INDEPENDENT: ' || p_name WHEN 3 THEN 'response/' || p_brand WHEN 4 THEN p_name || ' covariate' WHEN 5 THEN p_name END"
+_HAS = lambda words: " OR ".join(f"contains(x, '{w}')" for w in words)
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS cell, '{b}' AS role" for a, b in _ROLES))
+@query(
+    f"SELECT p_partkey, CASE WHEN {' OR '.join(f'starts_with(x, {chr(39)}{w}{chr(39)})' for w in tables.METADATA_WORDS)} THEN 'metadata' WHEN ({_HAS(tables.OUTPUT_WORDS)}) AND NOT contains(x, 'independent') THEN 'output' WHEN {_HAS(tables.INPUT_WORDS)} THEN 'input' ELSE 'unknown' END AS role "
+    + f"FROM (SELECT p_partkey, trim(lower(coalesce({_CELL}, ''))) AS x FROM part)"
+)
 def role_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a, tables.role_of(a)) for a, _ in _ROLES], "cell string, role string")
-
-
-@query("SELECT 2 AS pair, 'input,input,output,output' AS roles, 'ph,ph__1,yield_%,col' AS names, 'run_id' AS entity, 'time_min' AS time")
-def header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of roles above the names, roles filled forward, names made unlike, required columns by name."""
-    grid = [["A study", None, None, None], [None] * 4, ["Input", None, "Output", None], ["pH", "PH", "Yield (%)", ""], [1, 2, 3, 4]]
-    names = tables.names_unified(["pH", "PH", "Yield %", ""])
-    row = (tables.find_header_pair(grid), ",".join(tables.fill_roles(grid[2])), ",".join(names), tables.required(["run_id", "time_min"], tables.ID_NAMES), tables.required(["run_id", "time_min"], tables.TIME_NAMES))
-    return spark.createDataFrame([row], "pair int, roles string, names string, entity string, time string")
-
-
-@query("SELECT 1 AS header, 'x1,x2' AS inputs, 'y' AS outputs, 'run_id' AS entity, 'time' AS time")
-def inferred_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = [["title", None, None, None], ["a", "b", "c", "d"], [1, 2, 3, 4], [2, 3, 4, 5]]
-    r = tables.roles_from(["run_id", "time", "x1", "condition_a", "x2", "y"], ["input", None, None, None, None, "output"])
-    row = (tables.infer_header(grid), ",".join(r.inputs), ",".join(r.outputs), r.entity, r.time)
-    return spark.createDataFrame([row], "header int, inputs string, outputs string, entity string, time string")
+    """Role cells made of part names, one by one."""
+    k = F.col("p_partkey") % 7
+    cell = F.when(k == 0, F.concat(F.lit(" Meta "), "p_name")).when(k == 1, F.concat(F.lit("Dependent  "), "p_name")).when(k == 2, F.concat(F.lit("INDEPENDENT: "), "p_name")).when(k == 3, F.concat(F.lit("response/"), "p_brand")).when(k == 4, F.concat("p_name", F.lit(" covariate"))).when(k == 5, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", tables.role_column(cell).alias("role"))
 
 
 _POOL = ["l_quantity", "l_tax", "l_one", "l_rare"]
@@ -112,10 +102,16 @@ def detected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(profile.detect_entity(p), profile.detect_time(p), ",".join(c for c in profile.infer_features(e.columns, "y") if c != "ts"))], "entity string, time string, features string")
 
 
-@query("SELECT 'event_id' AS first, list_aggregate(['c1', 'c2'], 'string_agg', ',') AS inputs, 'c3' AS outputs FROM (SELECT 1)")
+_BY_PLACE = {"metadata": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "input": ["l_quantity", "l_extendedprice", "l_discount"], "output": ["l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{role}' AS role, '{c}' AS name, count(DISTINCT {c}) AS n_unique FROM lineitem" for role, cs in _BY_PLACE.items() for c in cs))
 def column_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = tables.legacy_layout(["event_id", "c1", "c2", "c3"], (1, 3), 3)
-    return spark.createDataFrame([(r.metadata[0], ",".join(r.inputs), ",".join(r.outputs))], "first string, inputs string, outputs string")
+    """Columns by role from their places, with what each holds."""
+    l = table(spark, sf_dir, "lineitem")
+    r = tables.legacy_layout(l.columns, (4, 7), 7)
+    parts = [F.struct(F.lit(role).alias("role"), F.lit(c).alias("name"), F.count_distinct(F.col(c)).alias("n_unique")) for role, cs in (("metadata", r.metadata), ("input", r.inputs), ("output", r.outputs)) for c in cs]
+    return l.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 # panels
@@ -160,14 +156,13 @@ def atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.arxiv(p.select(entry.alias("body"))).select("source", "id", "title", "abstract", "year", F.array_join("authors", ",").alias("authors"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(w, 1, 20), ' ') AS text FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)")
+@query("SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS text FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text's first twenty words back from their places."""
-    words = F.slice(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]+"), 0), 1, 20)
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    names = F.array_distinct("w")
-    places = F.transform(names, lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.get("w", i - 1) == n))
-    return d.select("doc_id", F.coalesce(feeds.from_inverted(F.map_from_arrays(names, places)), F.lit("")).alias("text"))
+    """All words of each text back from their places."""
+    d = table(spark, sf_dir, "documents")
+    words = d.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("at", "w"))
+    index = words.groupBy("doc_id", "w").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
+    return d.select("doc_id").join(index, "doc_id", "left").select("doc_id", F.coalesce(feeds.from_inverted(F.col("m")), F.lit("")).alias("text"))
 
 
 # rules
@@ -203,10 +198,20 @@ def neighbour_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(f, "vec_id").select("vec_id", r6(retrieval.cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
 
 
-@query("SELECT 'time_only' AS a, 'time_plus_parameter' AS b, 'parameter_only' AS c, round(sqrt(0.5 * 0.8), 4) AS effective, CAST(0.5 AS DOUBLE) AS none, CAST(0.4 AS DOUBLE) AS ridge, CAST(round((1 - (0.2 - 0.05) / 0.25) * 1.0, 6) AS DOUBLE) AS tree, CAST(round((0.5 * 0.5 / 0.6 + 0.5) * 0.8, 6) AS DOUBLE) AS two_stage, CAST(round(0.6 * 0.5 + 0.4 * 0.25, 6) AS DOUBLE) AS lasso")
+@query(
+    """WITH f AS (SELECT o_orderpriority AS name, regr_r2(o_totalprice, o_custkey) AS a, regr_r2(o_totalprice, o_orderkey) AS b, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT *, 1000 * a AS p, 1000 * b AS q FROM f)
+SELECT name, CASE WHEN n % 3 = 0 THEN 'time_only' WHEN n % 3 = 1 THEN 'time_plus_parameter' ELSE 'parameter_only' END AS class, round(sqrt(least(1, p) * least(1, q)), 4) + 0.0 AS effective, round(1 - least(greatest((p - q - 0.05) / 0.25, 0), 1), 6) + 0.0 AS tree,
+  round((0.5 * least(1, p / 0.6) + 0.5 * least(1, q / 0.6)) * CASE WHEN n % 20 < 10 THEN 0.8 ELSE 1 END, 6) + 0.0 AS two_stage, round(0.6 * least(greatest(p, 0), 1) + 0.4 * least(1, q), 6) + 0.0 AS lasso, CAST(0.4 AS DOUBLE) AS ridge FROM s"""
+)
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = (screening.model_class(["t"], "t"), screening.model_class(["t", "x"], "t"), screening.model_class(["x"], "t"), screening.effective(0.5, 0.8), screening.effective(None, 0.8), screening.RIDGE_SCORE, round(models.tree_score(0.2, 0.5), 6), round(models.two_stage_score(0.5, 0.9, 5), 6), round(models.lasso_score(0.5, 0.25), 6))
-    return spark.createDataFrame([row], "a string, b string, c string, effective double, none double, ridge double, tree double, two_stage double, lasso double")
+    """Scores of models from what fits of orders say, by priority."""
+    o = table(spark, sf_dir, "orders")
+    rows = []
+    for r in o.groupBy("o_orderpriority").agg(F.regr_r2("o_totalprice", "o_custkey").alias("a"), F.regr_r2("o_totalprice", "o_orderkey").alias("b"), F.count("*").alias("n")).collect():  # a row a priority
+        p, q, n = 1000 * r["a"], 1000 * r["b"], r["n"]
+        x = (["t"], ["t", "x"], ["x"])[n % 3]
+        rows.append((r["o_orderpriority"], screening.model_class(x, "t"), screening.effective(min(1.0, p), min(1.0, q)), round(models.tree_score(p - q, q), 6), round(models.two_stage_score(p, q, n % 20), 6), round(models.lasso_score(p, min(1.0, q)), 6), screening.RIDGE_SCORE))
+    return spark.createDataFrame(rows, "name string, class string, effective double, tree double, two_stage double, lasso double, ridge double")
 
 
 @query(f"WITH e AS ({_JOINED}), r AS (SELECT regr_r2(response, l_quantity) AS r2, count(*) AS n, regr_syy(response, l_quantity) AS syy FROM e) SELECT n, round(r2 * (n - 2) / (1 - r2), 2) + 0.0 AS f, round(n * ln((1 - r2) * syy / n), 2) + 0.0 AS shape FROM r")
@@ -222,12 +227,11 @@ def overall_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH e AS ({_JOINED}), f AS (SELECT regr_slope(response, l_quantity) AS b, regr_intercept(response, l_quantity) AS a FROM e), u AS (SELECT l_quantity AS x, (response - a - b * l_quantity) ** 2 AS e2 FROM e, f) SELECT round(regr_r2(e2, x) * count(*), 4) + 0.0 AS koenker FROM u"
 )
 def koenker_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breusch and Pagan's statistic in Koenker's form, of one input."""
+    """Breusch and Pagan's statistic in Koenker's form, of one input, as the tests of many fits give it."""
     e = experiment(spark, sf_dir)
-    fit = screening.solve(screening.gram(e, ["l_quantity", "response"]), "response", ("l_quantity",))
-    u = e.withColumn("e2", (F.col("response") - F.lit(fit.coefficients["const"]) - F.lit(fit.coefficients["l_quantity"]) * F.col("l_quantity")) ** 2)
-    full = screening.solve(screening.gram(u, ["l_quantity", "e2"]), "e2", ("l_quantity",))
-    return spark.createDataFrame([(round(full.n * full.r_squared, 4),)], "koenker double")
+    g = screening.gram(e, ["l_quantity", "response"])
+    fit = screening.solve(g, "response", ("l_quantity",))
+    return spark.createDataFrame([(round(screening.auxiliary_batch(e, [fit], g)[0]["breusch_pagan"], 4),)], "koenker double")
 
 
 @query(f"WITH e AS ({_JOINED}) SELECT l_quantity > 25 AS heavy, round(regr_r2(response, p_size), 5) + 0.0 AS r_squared, count(*) AS n FROM e GROUP BY 1")
@@ -239,9 +243,9 @@ def regime_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k[0] == "true", round(f.r_squared, 5), f.n) for k, f in fits], "heavy boolean, r_squared double, n long")
 
 
-@query(MODELS + "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS run_name FROM nation WHERE n_nationkey = 8 AND n_regionkey % 2 = 0")
+@query(MODELS + "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS run_name FROM nation WHERE n_nationkey = 8 AND n_regionkey % 2 = 1")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.summary(store(spark, sf_dir)["runs"], "user_0", "8").select("id", "run_name")
+    return results.summary(store(spark, sf_dir)["runs"], "user_1", "8").select("id", "run_name")
 
 
 # text

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaygrid.operators import clean, models, order, panel, profile, results, retrieval, screening
+from assaygrid.operators import rounds as model_rounds
 from assaygrid.plans.registry import query, table
 from assaygrid.plans.served import _TOP, MODELS, _found, store
 from assaygrid.plans.tabular import _JOINED, DAILY, daily, experiment, r6
@@ -105,9 +106,9 @@ def key_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", results.key_coalesce(F.create_map(k.cast("string"), F.col("n_name")), key).alias("value"))
 
 
-@query("SELECT o_orderkey, 'price ' || CASE WHEN o_orderkey % 2 = 0 THEN 'increases' ELSE 'decreases' END || ' ' || o_orderstatus || ' (coefficient=' || printf('%.4f', CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_orderkey % 1000) / 8.0) || ')' AS finding FROM orders WHERE o_orderkey % 1000 > 0")
+@query("SELECT o_orderkey, 'price ' || CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 1000 > 0 THEN 'increases' ELSE 'decreases' END || ' ' || o_orderstatus || ' (coefficient=' || printf('%.4f', CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * (o_orderkey % 1000) / 8.0) || ')' AS finding FROM orders")
 def finding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 1000 > 0")
+    o = table(spark, sf_dir, "orders")
     b = F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1) * (F.col("o_orderkey") % 1000) / 8.0
     return o.select("o_orderkey", results.finding_text(F.lit("price"), F.col("o_orderstatus"), b).alias("finding"))
 
@@ -213,11 +214,9 @@ def influence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINE + ", p AS (SELECT regr_r2(e * e, x) AS r1, corr(x, e * e) AS a, corr(x * x, e * e) AS b, corr(x, x * x) AS c, count(*) AS n FROM e) SELECT round((a * a + b * b - 2 * a * b * c) / (1 - c * c) * n, 4) + 0.0 AS white_lm FROM p")
 def white_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """White's statistic, back from its p-value's own fit: n R2 of squared residuals on x and its square."""
+    """White's statistic of a fit of one input."""
     o, _, fit = _price_fit(spark, sf_dir)
-    e = o.withColumn("e2", (F.col("y") - F.lit(fit.coefficients["const"]) - F.lit(fit.coefficients["x"]) * F.col("x")) ** 2).withColumn("xx", F.col("x") ** 2)
-    full = screening.solve(screening.gram(e, ["x", "xx", "e2"]), "e2", ("x", "xx"))
-    return spark.createDataFrame([(round(full.n * full.r_squared, 4),)], "white_lm double")
+    return spark.createDataFrame([(round(screening.white(o, fit)[0], 4),)], "white_lm double")
 
 
 @query()
@@ -264,19 +263,43 @@ def candidates_by_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(",".join(f.x), round(f.r_squared, 5)) for f in screening.best_by_r2(fits, 3)], "x string, r_squared double")
 
 
-@query("SELECT substring(sha256('run|y|a,b'), 1, 16) AS id, 'H1' AS hypothesis_id, CAST(0.1235 AS DOUBLE) AS r_squared, CAST(0.5 AS DOUBLE) AS priority_score, TRUE AS validation_passed UNION ALL SELECT substring(sha256('run|y|c'), 1, 16), 'H2', 0.05, 0.1, FALSE")
+@query("""SELECT substring(sha256('run|' || p_type || '|' || replace(p_name, ' ', ',')), 1, 16) AS id, 'H' || (p_partkey + 1) AS hypothesis_id, round(p_retailprice / 7654, 4) + 0.0 AS r_squared, round(least(1, p_size / 40.0), 4) + 0.0 AS priority_score, p_retailprice / 7654 >= 0.06 AND p_size / 40.0 >= 0.3 AS validation_passed FROM part""")
 def bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = spark.createDataFrame([(1, "y", ["a", "b"], 0.12345678, 0.5, {"a": 1.0}, {"a": 0.01}), (2, "y", ["c"], 0.05, 0.1, {"c": 1.0}, {"c": 0.5})], "rank int, y_col string, x_cols array<string>, r_squared double, lit_score double, coefficients map<string,double>, p_values map<string,double>")
-    return screening.bundles(ranked, "run").select("id", "hypothesis_id", "r_squared", "priority_score", "validation_passed")
+    """Parts as ranked fits."""
+    none = F.create_map().cast("map<string,double>")
+    ranked = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("rank"), F.col("p_type").alias("y_col"), F.split("p_name", " ").alias("x_cols"), (F.col("p_retailprice") / 7654).alias("r_squared"), (F.col("p_size") / 40.0).alias("lit_score"), none.alias("coefficients"), none.alias("p_values"))
+    out = screening.bundles(ranked, "run")
+    return out.select("id", "hypothesis_id", r6(F.col("r_squared"), 4).alias("r_squared"), r6(F.col("priority_score"), 4).alias("priority_score"), "validation_passed")
+
+
+_WITHIN = lambda by: f"SELECT sum(x * y) * sum(x * y) / (sum(x * x) * sum(y * y)) AS r2, count(*) AS n FROM (SELECT day - avg(day) OVER e AS x, total - avg(total) OVER e AS y FROM daily WINDOW e AS (PARTITION BY {by}))"
 
 
 @query(
-    f"WITH e AS ({_JOINED}) SELECT 'ols' AS model_type, TRUE AS success, round(regr_r2(response, l_quantity), 5) + 0.0 AS r_squared FROM e UNION ALL SELECT 'unknown', TRUE, round(regr_r2(response, l_quantity), 5) + 0.0 FROM e UNION ALL SELECT 'two_stage', TRUE, round(regr_r2(response, l_quantity), 5) + 0.0 FROM e UNION ALL SELECT 'ols', FALSE, 0.0"
+    DAILY
+    + f""", a AS (SELECT c1, sum(a) AS auc, count(*) AS n FROM (SELECT c1, (day - lag(day) OVER w) * (total + lag(total) OVER w) / 2 AS a FROM daily WINDOW w AS (PARTITION BY c1 ORDER BY day, total)) GROUP BY 1)
+SELECT 'o_global' AS id, 'ols' AS model_type, TRUE AS success, round(regr_r2(total, day), 6) + 0.0 AS r_squared, count(*) AS n FROM daily
+UNION ALL SELECT 'o_even', 'ols', TRUE, round(regr_r2(total, day), 6) + 0.0, count(*) FROM daily WHERE user_id % 2 = 0 UNION ALL SELECT 'o_odd', 'ols', TRUE, round(regr_r2(total, day), 6) + 0.0, count(*) FROM daily WHERE user_id % 2 = 1
+UNION ALL SELECT 'f_global', 'fixed_effects', TRUE, round(r2, 6) + 0.0, n FROM ({_WITHIN("user_id")})
+UNION ALL SELECT 't_global_kinetics', 'two_stage_kinetics', TRUE, round(r2, 6) + 0.0, n FROM ({_WITHIN("c1")})
+UNION ALL SELECT 't_global_treatment', 'two_stage_treatment', TRUE, round(regr_r2(auc, c1), 6) + 0.0, count(*) FROM a WHERE n >= 2
+UNION ALL SELECT 'u_global', 'kernel', FALSE, 0.0, 0"""
 )
 def model_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = experiment(spark, sf_dir)
-    found = [models.fit_family(e, f, "response", ["l_quantity"]) for f in ("ols", "unknown", "two_stage")] + [models.fit_family(e.where("l_orderkey < 0"), "ols", "response", ["l_quantity"])]
-    return spark.createDataFrame([(f["model_type"], f["success"], round(f["r_squared"], 5)) for f in found], "model_type string, success boolean, r_squared double")
+    """A round of families: least squares over all rows and by regime, effects, two stages, and one that is unknown."""
+    d = daily(spark, sf_dir).withColumn("half", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")).withColumn("row_id", F.col("user_id") * 1_000_000 + F.col("day").cast("long"))
+    h = model_rounds.Hypothesis
+    linear, _, _ = model_rounds.fit_round(d, [h("o", "ols", "total", ("day",))], "row_id", regime="half")
+    others, _, _ = model_rounds.fit_round(d, [h("f", "fixed_effects", "total", ("day",)), h("t", "two_stage", "total", ("c1", "day")), h("u", "kernel", "total", ("day",))], "row_id", entity="user_id", time="day")
+    return spark.createDataFrame([(m.id, m.model_type, m.success, round(m.r_squared, 6) + 0.0, m.n) for m in linear + others], "id string, model_type string, success boolean, r_squared double, n long")
+
+
+@query(_LINE + ", p AS (SELECT regr_r2(e * e, x) AS r1, corr(x, e * e) AS a, corr(x * x, e * e) AS b, corr(x, x * x) AS c, count(*) AS n FROM e) SELECT round(r1 * n, 4) + 0.0 AS breusch_pagan, round(a * a * n, 4) + 0.0 AS spread_lm FROM p")
+def specification_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a fit's tests for spread, by inputs and by the fit."""
+    o, g, fit = _price_fit(spark, sf_dir)
+    a, r = screening.auxiliary_batch(o, [fit], g)[0], screening.residual_tests(o, [fit], "o_orderkey")[0]
+    return spark.createDataFrame([(round(a["breusch_pagan"], 4), round(r["n"] * r["bp_lite_r2"], 4))], "breusch_pagan double, spread_lm double")
 
 
 @query(
@@ -346,14 +369,27 @@ def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chunk_id", "embedding_model", r6(F.col("embedding")[0].cast("double")).alias("first"))
 
 
-@query("SELECT doc_id, 0 AS chunk_index, 0 AS start, trim(text, E' \\t\\n\\r\\f\\v') AS chunk FROM documents WHERE length(text) < 2048 AND trim(text, E' \\t\\n\\r\\f\\v') <> ''")
+_BREAK = lambda b: f"CASE WHEN strpos(reverse(w), reverse({b})) > 0 THEN lower_ + length(w) - strpos(reverse(w), reverse({b})) + 1 END"  # noqa: E731  the place after the last one in w
+
+
+@query(f"""
+WITH RECURSIVE walk AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS stop FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, CASE WHEN stop IS NULL THEN start ELSE greatest(start + 1, stop - 256) END, CASE WHEN stop IS NULL THEN cut END
+  FROM (SELECT *, CASE WHEN start + 2048 >= length(text) THEN length(text) ELSE coalesce({_BREAK("chr(10) || chr(10)")}, {_BREAK("'.' || chr(10)")}, {_BREAK("'. '")}, start + 2048) END AS cut
+    FROM (SELECT *, start + 1433 AS lower_, substring(text, start + 1433 + 1, 2048 - 1433) AS w FROM walk)) WHERE stop IS NULL OR stop < length(text)),
+cut AS (SELECT doc_id, start, trim(substring(text, start + 1, stop - start), E' \\t\\n\\r\\f' || chr(11)) AS chunk FROM walk WHERE stop IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, CAST(start AS INTEGER) AS start, sha256(chunk) AS chunk FROM cut WHERE chunk <> ''""")
 def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunker in SQL; texts that one chunk holds are one chunk."""
+    """The chunker in SQL over whole texts."""
     retrieval.register_chunker(spark)
-    table(spark, sf_dir, "documents").where("length(text) < 2048").createOrReplaceTempView("short_documents")
-    return spark.sql("SELECT doc_id, c.chunk_index, c.start, c.chunk FROM short_documents, LATERAL chunk_text(text, 512, 64) c")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("chunked_documents")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.start, sha2(c.chunk, 256) AS chunk FROM chunked_documents, LATERAL chunk_text(text, 512, 64) c")
 
 
-@query("SELECT 'o_totalprice' AS outcome")
+@query("SELECT 'o_totalprice' AS outcome, count(o_totalprice) AS n, round(avg(o_totalprice), 4) + 0.0 AS mean FROM orders")
 def outcome_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(profile.resolve_outcome(table(spark, sf_dir, "orders").columns, "O Total-Price"),)], "outcome string")
+    """The column that a loosely written outcome means, and what it holds."""
+    o = table(spark, sf_dir, "orders")
+    name = profile.resolve_outcome(o.columns, "O Total-Price")
+    return o.agg(F.lit(name).alias("outcome"), F.count(name).alias("n"), r6(F.avg(name), 4).alias("mean"))

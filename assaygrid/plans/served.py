@@ -178,10 +178,12 @@ def cross_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.merge_sources([("arxiv", p.where("id % 2 = 0")), ("s2", p.where("id % 2 = 1"))]).select("norm_title", "id", "sources")
 
 
-@query("SELECT min(page_id) AS id, lower(regexp_extract(url, '^(https?://[^/]+)')) AS url FROM pages WHERE regexp_extract(url, '^(https?://[^/]+)') <> '' GROUP BY 2")
+@query("SELECT min(page_id) AS id, lower(url) AS url FROM pages WHERE url <> '' GROUP BY 2")
 def citation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "^(https?://[^/]+)", 1)).alias("url"), F.col("page_id").alias("id"), F.lit("").alias("title")).where("url <> ''")
-    return retrieval.dedupe_citations(c, ["id"]).select("id", "url")
+    """Pages cited twice, once in capitals, by their whole addresses."""
+    c = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("id"), F.lit("").alias("title")).where("url <> ''")
+    again = c.select(F.upper("url").alias("url"), (F.col("id") + 1_000_000_000).alias("id"), "title")
+    return retrieval.dedupe_citations(c.unionByName(again), ["id"]).select("id", F.lower("url").alias("url"))
 
 
 @query()
@@ -235,14 +237,13 @@ _STOP = ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS)
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z0-9]{{2,}}') AS w FROM documents),
+WITH t AS (SELECT doc_id, regexp_extract_all(replace(lower(text), '_', ' '), '[a-z][a-z0-9]{{2,}}') AS w FROM documents),
 u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), f AS (SELECT doc_id, w[i] AS x, min(i) AS i FROM u WHERE w[i] NOT IN ({_STOP}) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
 SELECT d.doc_id, coalesce(string_agg(x, ' ' ORDER BY n), '') AS terms FROM documents d LEFT JOIN (SELECT * FROM k WHERE n <= 10) k USING (doc_id) GROUP BY 1
 """)
 def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace("text", "_", "¤")  # no terms of two words in these texts
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keyword_terms(text), " ").alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keyword_terms(F.col("text")), " ").alias("terms"))
 
 
 @query(

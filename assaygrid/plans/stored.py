@@ -58,7 +58,8 @@ def _books(spark: SparkSession, sf_dir: str) -> str:
     def written(key, frame):
         import pandas as pd
 
-        rows = [["Suppliers of a book"], ["Metadata", "Independent", "", "Dependent"], ["Condition", " Supplier-Name", "Nation (key)", "Balance"], [None, None, None, None]]
+        # some lines of text come first
+        rows = [*[["Suppliers of a book"]] * (1 + key[0] % 3), ["Metadata", "Independent", "", "Dependent"], ["Condition", " Supplier-Name", "Nation (key)", "Balance"], [None, None, None, None]]
         rows += [[float(r.s_suppkey), f" {r.s_name} ", float(r.s_nationkey), float(r.s_acctbal)] for r in frame.sort_values("s_suppkey").itertuples()]
         out, at = workbooks.open_store(folder)
         out.create_dir(at, recursive=True)
@@ -77,6 +78,23 @@ def workbook_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("file", "row_id", "condition", "supplier_name", F.col("nation_key").cast("int").alias("nation_key"), r6(F.col("balance").cast("double"), 2).alias("balance"))
 
 
+_BOOK = "SELECT DISTINCT s_suppkey % 200 AS book, 'book-' || lpad(CAST(s_suppkey % 200 AS VARCHAR), 4, '0') || '.xlsx' AS file FROM supplier"
+
+
+@query(f"SELECT file, CAST(1 + book % 3 AS INTEGER) AS pair, 'condition,supplier_name,nation_key,balance' AS names, 'metadata,input,input,output' AS roles, 'supplier_name,nation_key' AS inputs, 'balance' AS outputs, 'condition' AS entity FROM ({_BOOK})")
+def header_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each workbook of a folder declares, whatever lines stand above it."""
+    h = workbooks.headers(spark, _books(spark, sf_dir))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return h.select("file", "pair", text("names"), text("roles"), text("inputs"), text("outputs"), "entity")
+
+
+@query(f"SELECT file, CAST(2 + book % 3 AS INTEGER) AS smart, 'condition,supplier_name,nation_key,balance' AS smart_names FROM ({_BOOK})")
+def inferred_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header row of each workbook by its looks."""
+    return workbooks.headers(spark, _books(spark, sf_dir)).select("file", "smart", F.array_join("smart_names", ",").alias("smart_names"))
+
+
 _SUMS = "SELECT l_suppkey, CAST(count(*) AS DOUBLE) AS n, sum(l_discount) AS sx, sum(l_extendedprice) AS sy, sum(l_discount * l_discount) AS sxx, sum(l_discount * l_extendedprice) AS sxy, sum(l_extendedprice * l_extendedprice) AS syy FROM lineitem GROUP BY 1"
 
 

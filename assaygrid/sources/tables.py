@@ -9,7 +9,7 @@ import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,27 +44,41 @@ def names_basic(names: list[str], dashes: bool = False) -> list[str]:
 
 
 def names_unified(names: list[str]) -> list[str]:
-    """RD6, dialect N3: plain, no empty and no repeated names."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        x = str(n if n is not None else "").strip().lower().replace("°", "").replace("μ", "u").replace("µ", "u")
-        x = re.sub(r"_+", "_", re.sub(r"[\s\-()/,]", "_", x)).strip("_") or "col"
-        seen[x] = seen.get(x, -1) + 1
-        out.append(x if seen[x] == 0 else f"{x}__{seen[x]}")
-    return out
+    """RD6, dialect N3: plain, no empty and no repeated names; the n-th one more of a name ends in __n."""
+    text = ("" if n is None else str(n) for n in names)
+    plain = [re.sub(r"[\s\-()/,_]+", "_", t.strip().lower().replace("°", "").replace("μ", "u").replace("µ", "u")).strip("_") or "col" for t in text]
+    before = [plain[:i].count(n) for i, n in enumerate(plain)]
+    return [f"{n}__{k}" if k else n for n, k in zip(plain, before, strict=True)]
+
+
+#: RD1: what a role cell says, the first rule that holds; begins, contains, and lacks are words of the trimmed lower-case cell.
+ROLE_RULES = (
+    ("metadata", "begins", METADATA_WORDS, None),
+    ("output", "contains", OUTPUT_WORDS, "independent"),
+    ("input", "contains", INPUT_WORDS, None),
+)
 
 
 def role_of(cell: object) -> str:
     """RD1: metadata, output, input or unknown."""
-    x = re.sub(r"\s+", " ", str(cell if cell is not None else "").strip().lower())
-    if not x:
-        return "unknown"
-    if any(x == w or x.startswith(w) for w in METADATA_WORDS):
-        return "metadata"
-    if any(w in x for w in OUTPUT_WORDS) and "independent" not in x:
-        return "output"
-    return "input" if any(w in x for w in INPUT_WORDS) else "unknown"
+    text = " ".join(str("" if cell is None else cell).lower().split())
+    for role, how, words, lacks in ROLE_RULES:
+        found = [w for w in words if (text.startswith(w) if how == "begins" else w in text)]
+        if found and not (lacks and lacks in text):
+            return role
+    return "unknown"
+
+
+def role_column(cell: Column) -> Column:
+    """role_of of every row."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(cell, F.lit(""))), r"\s+", " "))
+    out = F.lit("unknown")
+    for role, how, words, lacks in reversed(ROLE_RULES):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | (text.startswith(w) if how == "begins" else text.contains(w))
+        out = F.when(hit & ~text.contains(lacks) if lacks else hit, role).otherwise(out)
+    return out
 
 
 def find_header_pair(grid: list[list[object]], rows: int = 16) -> int | None:

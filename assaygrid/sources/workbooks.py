@@ -132,3 +132,30 @@ def declared_roles(path: str) -> tables.Roles:
     store, _ = open_store(path)
     with store.open_input_stream(_files(path)[0]) as raw:
         return headed(raw.read(), "roles")[2]
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """RD2-RD7 of every workbook under a path: file, pair (row of roles, from 0), names, roles (filled forward), inputs, outputs, metadata, entity and
+    time; smart (the row that looks most like a header) and smart_names. Workbooks without a pair have nulls there."""
+    schema = "file string, pair int, names array<string>, roles array<string>, inputs array<string>, outputs array<string>, metadata array<string>, entity string, time string, smart int, smart_names array<string>"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grid = tables.xlsx_grid(content)
+                at, smart = tables.find_header_pair(grid[:40]), tables.infer_header(grid)
+                row = {"file": path.rsplit("/", 1)[-1], "smart": smart, "smart_names": tables.names_unified(grid[smart]) if grid else []}
+                if at is not None:
+                    names = tables.names_unified(grid[at + 1])
+                    r = tables.roles_from(names, grid[at])
+                    row |= {"pair": at, "names": names, "roles": tables.fill_roles(grid[at]), "inputs": r.inputs, "outputs": r.outputs, "metadata": r.metadata, "entity": r.entity, "time": r.time}
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(read, schema)
+
+
+_LIST = pa.list_(pa.string())
+ARROW = pa.schema([("file", pa.string()), ("pair", pa.int32()), ("names", _LIST), ("roles", _LIST), ("inputs", _LIST), ("outputs", _LIST), ("metadata", _LIST), ("entity", pa.string()), ("time", pa.string()), ("smart", pa.int32()), ("smart_names", _LIST)])
