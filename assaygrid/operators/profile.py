@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +34,8 @@ def safe_corr(a: Column, b: Column) -> Column:
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """AG1: a row for each column: dtype, n_unique, n_missing, missing_pct, min, max, mean, std, sample_values, is_numeric, is_categorical.
 
-    One aggregate over the table, unpivoted. sample_values: the least distinct values as strings, from a second pass.
+    One aggregate over the table, unpivoted; distinct values are counted column by column, each branch reading its column alone,
+    so no row is expanded. sample_values: the least distinct values as strings, from a further pass.
     """
     numeric = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
     kinds = dict(df.dtypes)
@@ -44,7 +47,6 @@ def profile(df: DataFrame, samples: int = 5) -> DataFrame:
             F.struct(
                 F.lit(c).alias("name"),
                 F.lit(kinds[c]).alias("dtype"),
-                F.count_distinct(x).alias("n_unique"),
                 (F.count(F.lit(1)) - F.count(x)).alias("n_missing"),
                 F.round(100 * F.try_divide((F.count(F.lit(1)) - F.count(x)).cast("double"), F.count(F.lit(1)).cast("double")), 2).alias("missing_pct"),
                 F.min(d).alias("min"),
@@ -56,6 +58,9 @@ def profile(df: DataFrame, samples: int = 5) -> DataFrame:
         )
     wide = df.agg(*parts)
     long = wide.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(parts))])).alias("p")).select("p.*")
+    each = [df.select(_col(c).alias("v")).where("v is not null").groupBy("v").agg(F.lit(1).alias("one")).agg(F.lit(c).alias("_column"), F.count("*").alias("n_unique")) for c in df.columns]
+    unique = reduce(DataFrame.unionByName, each)  # a row a column
+    long = long.join(F.broadcast(unique), F.col("name") == F.col("_column")).select("name", "dtype", "n_unique", *[c for c in long.columns if c not in ("name", "dtype")])
     out = long.withColumn("is_categorical", ~F.col("is_numeric") | (F.col("n_unique") < 15))
     if not samples:
         return out
@@ -79,11 +84,19 @@ def profile(df: DataFrame, samples: int = 5) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """AG2: a, b, r, n of all pairs, over rows that have both; one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    both = lambda a, b: _col(a).isNotNull() & _col(b).isNotNull()
-    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(_col(a), _col(b)).alias("r"), F.count_if(both(a, b)).alias("n")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
+    """AG2: a, b, r, n of all pairs, over rows that have both, from one pass of sums by the pattern of what rows lack; r is null where either is constant."""
+    from assaygrid.operators.screening import complete, gram
+
+    g = gram(df, columns)
+    rows = []
+    for a, b in combinations(columns, 2):
+        m = complete(g, [a, b])
+        n = m[0, 0]
+        c = m[1:, 1:] - (m[1:, :1] @ m[:1, 1:]) / n if n else m[1:, 1:]
+        spread = float(c[0, 0] * c[1, 1])
+        flat = n < 2 or c[0, 0] <= 1e-12 * n or c[1, 1] <= 1e-12 * n
+        rows.append((a, b, None if flat else float(c[0, 1]) / spread**0.5, int(round(n))))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long")
 
 
 def correlation_with_outcome(df: DataFrame, features: list[str], outcome: str, least: int = 3) -> DataFrame:

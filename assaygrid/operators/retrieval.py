@@ -252,11 +252,12 @@ def new_documents(found: DataFrame, known: DataFrame, key: str = "filename") ->
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """SC16 offline: a text's words hashed into a vector of unit length (or zeros)."""
-    w = tx.words(F.lower(text))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(w, lambda x: F.pmod(F.xxhash64(x), F.lit(width)) == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)).cast("float"))
+    """SC16 offline: a text's words hashed into a vector of unit length (or zeros); null texts are zeros. Words are hashed once each."""
+    places = F.transform(F.coalesce(tx.words(F.lower(text)), F.array().cast("array<string>")), lambda x: F.pmod(F.xxhash64(x), F.lit(width)))
+    # an array of one array, so that its hashes are not made anew for every place
+    counts = F.transform(F.array(places), lambda p: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))[0]
+    scaled = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.array(counts), lambda c: F.transform(c, lambda x: F.coalesce(F.try_divide(x, scaled(c)), F.lit(0.0)).cast("float")))[0]
 
 
 def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
