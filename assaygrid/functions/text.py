@@ -243,3 +243,55 @@ def score_level(score: Column) -> Column:
 
 def effect_size_label(eta2: Column) -> Column:
     return F.when(eta2 >= 0.14, "large").when(eta2 >= 0.06, "medium").when(eta2 >= 0.01, "small").otherwise("negligible")
+
+
+# Acronyms that stay in capitals, units that end a name, and what a title says when nothing is known (TX6).
+ACRONYMS = ("ph", "uv", "ntp", "cap")
+UNIT_ENDS = r"(?i)\s*(mg[_\s]l|ug[_\s]l|ng[_\s]l|mg[_\s]kg|ppm|ppb|pct|percent|min|sec|hrs?|degc|celsius)\s*$"
+NO_TITLE = "Key Predictors Identified for Degradation Outcome"
+
+
+def plain_name(name: Column) -> Column:
+    """A column's name in plain words, without a unit at its end, known acronyms in capitals."""
+    label = F.trim(F.regexp_replace(F.regexp_replace(name, "_", " "), UNIT_ENDS, ""))
+    return F.array_join(F.transform(words(label), lambda w: F.when(F.array_contains(_array(ACRONYMS), F.lower(w)), F.upper(w)).otherwise(w)), " ")
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first and small ones after."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), 0), F.initcap), "")
+
+
+def fallback_title(significant: Column, description: Column) -> Column:
+    """TX6: a title from a model's first two significant variables and the outcome that "predict ... in regime" names."""
+    outcome = title_case(plain_name(F.trim(F.regexp_extract(F.coalesce(description, F.lit("")), r"(?i)predict\s+(.+?)\s+in\s+regime", 1))))
+    names = F.array_join(F.transform(F.slice(F.coalesce(significant, F.array().cast("array<string>")), 1, 2), lambda v: title_case(plain_name(v))), " and ")
+    some, known = F.coalesce(F.size(significant) > 0, F.lit(False)), outcome != ""
+    return F.when(some & known, F.concat(names, F.lit(" Drive "), outcome)).when(some, F.concat(names, F.lit(" Are Key Predictors"))).when(known, F.concat(F.lit("Multiple Factors Drive "), outcome)).otherwise(F.lit(NO_TITLE))
+
+
+def fallback_rationale(significant: Column, coefficients: Column, r_squared: Column, adjusted: Column, passed: Column, citations: Column) -> Column:
+    """TX6: a rationale from a model's numbers: up to five significant variables with their coefficients, the fit, whether it was validated, two titles."""
+    known = F.filter(F.slice(F.coalesce(significant, F.array().cast("array<string>")), 1, 5), lambda v: F.try_element_at(coefficients, v).isNotNull())
+    sign = lambda v: F.concat(v, F.lit(" ("), F.when(F.try_element_at(coefficients, v) >= 0, "+").otherwise(""), F.format_string("%.3f", F.try_element_at(coefficients, v)), F.lit(")"))
+    first = F.concat(F.lit("The strongest statistical signal involves "), F.array_join(F.transform(known, sign), ", "), F.lit(", suggesting these predictors align most closely with the fitted response. "))
+    fit = F.format_string("In-sample fit is moderate (R²=%.3f, adj. R²=%.3f) and validation %s.", r_squared, adjusted, F.when(passed, "passed").otherwise("did not fully pass"))
+    titles = F.array_join(F.transform(F.slice(F.coalesce(citations, F.array().cast("array<string>")), 1, 2), lambda t: F.substring(t, 1, 120)), "; ")
+    return F.concat(F.when(F.size(known) > 0, first).otherwise(""), fit, F.when(F.coalesce(F.size(citations) > 0, F.lit(False)), F.concat(F.lit(" Corpus matches include: "), titles, F.lit("."))).otherwise(""))
+
+
+def fallback_summary(experiments: Column, observations: Column, group: Column, rounds: Column, converged: Column, score: Column, effects: Column, responses: Column, key_variables: Column, sources: Column, system: str = "The system") -> Column:
+    """TX6: a report's summary from its numbers."""
+    status = F.when(converged, "converged").otherwise("reached maximum rounds")
+    text = F.format_string(
+        f"{system} analyzed %d experiments (%d observations) from a %s dataset across %d rounds of autonomous hypothesis testing. The pipeline %s with a match score of %.2f. %d statistically significant parameter effects were identified across %d response variables. ",
+        experiments, observations, group, rounds, status, score, effects, responses,
+    )
+    keys = F.when(F.coalesce(F.size(key_variables) > 0, F.lit(False)), F.concat(F.lit("Key variables: "), F.array_join(key_variables, ", "), F.lit(". "))).otherwise("")
+    return F.concat(text, keys, F.format_string("Results were grounded against %d literature sources.", sources))
+
+
+def fallback_finding(variable: Column, direction: Column, outputs: Column, score: Column) -> Column:
+    """TX6: what a variable's effects on several outputs have in common."""
+    where = F.when(F.coalesce(F.size(outputs) > 0, F.lit(False)), F.array_join(outputs, ", ")).otherwise("the outcome")
+    return F.concat(variable, F.lit(" showed a "), direction, F.lit(" and statistically significant effect on "), where, F.format_string(", consistent across %.0f%% of tested outputs.", score * 100))

@@ -124,7 +124,7 @@ def random_effects(df: DataFrame, y: str, x: list[str], entity: str) -> Fit | No
     r2 = 1 - sse / sst if sst > 0 else 0.0
     p = [t_sf2(float(v / e) if e > 0 else math.inf, n - k) for v, e in zip(b, se, strict=True)]
     as_map = lambda v: dict(zip(names, [float(q) for q in v], strict=True))
-    return Fit(y, tuple(x), n, as_map(b), as_map(se), as_map(p), r2, 1 - (1 - r2) * (n - 1) / max(n - k, 1), math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, sse, k - 1, inv * s2)
+    return Fit(y, tuple(x), n, as_map(b), as_map(se), as_map(p), r2, 1 - (1 - r2) * (n - 1) / max(n - k, 1), math.nan, math.nan, math.nan, math.nan, math.nan, math.nan, sse, k - 1, inv)
 
 
 def hausman(fe: PanelFit, re: Fit) -> tuple[float, float] | None:
@@ -132,7 +132,8 @@ def hausman(fe: PanelFit, re: Fit) -> tuple[float, float] | None:
     common = [c for c in fe.x if c in re.coefficients]
     i, j = [fe.x.index(c) for c in common], [list(re.coefficients).index(c) for c in common]
     d = np.array([fe.coefficients[c] - re.coefficients[c] for c in common])
-    stat = float(d @ np.linalg.pinv(fe.covariance[np.ix_(i, i)] - re.inverse[np.ix_(j, j)]) @ d)
+    covariance = re.inverse * re.sse / max(re.n - re.rank - 1, 1)
+    stat = float(d @ np.linalg.pinv(fe.covariance[np.ix_(i, i)] - covariance[np.ix_(j, j)]) @ d)
     return (stat, chi2_sf(stat, len(common))) if stat >= 0 else None
 
 

@@ -400,3 +400,23 @@ def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = F.when(F.col("doc_id") % 3 == 1, F.lit(None)).otherwise(F.array(F.lit(1.0))).cast(T.ArrayType(T.DoubleType()))
     chunks = d.select("doc_id", "text", F.col("source").alias("user_sub"), vector.alias("embedding"), F.when(F.col("doc_id") % 3 == 2, "old").otherwise("m1").alias("embedding_model"))
     return retrieval.stale_chunks(chunks, "m1", "src0").select("doc_id")
+
+
+_NAMED = "WITH m AS (SELECT o_orderkey AS id, list_filter(['temp_degc', 'uv_dose', o_orderpriority], lambda x: NOT (o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND x = 'uv_dose'))) AS sig, (o_orderkey % 1000 - 500) / 8.0 AS b, o_totalprice / 1e6 AS r2, o_orderkey % 3 = 0 AS passed, CASE WHEN o_orderkey % 5 = 0 THEN 'We predict ph_removal in regime 2' WHEN o_orderkey % 5 = 1 THEN 'nothing' END AS description FROM orders) "
+
+
+@query(
+    _NAMED
+    + """SELECT id, CASE WHEN len(sig) > 0 THEN 'The strongest statistical signal involves ' || array_to_string(list_transform(list_filter(sig, lambda v: v <> 'uv_dose'), lambda v: v || ' (' || CASE WHEN CASE WHEN v = 'temp_degc' THEN b ELSE 0.5 END >= 0 THEN '+' ELSE '' END || printf('%.3f', CASE WHEN v = 'temp_degc' THEN b ELSE 0.5 END) || ')'), ', ') || ', suggesting these predictors align most closely with the fitted response. ' ELSE '' END
+|| 'In-sample fit is moderate (R²=' || printf('%.3f', r2) || ', adj. R²=' || printf('%.3f', r2 / 2) || ') and validation ' || CASE WHEN passed THEN 'passed' ELSE 'did not fully pass' END || '.' || CASE WHEN id % 2 = 0 THEN ' Corpus matches include: first; second.' ELSE '' END AS rationale,
+CASE WHEN len(sig) > 0 THEN CASE WHEN id % 4 = 1 THEN 'Temp and ' || replace(substring(sig[2], 1, 3) || lower(substring(sig[2], 4)), ' s', ' S') ELSE 'Temp and Uv Dose' END || CASE WHEN id % 5 = 0 THEN ' Drive Ph Removal' ELSE ' Are Key Predictors' END WHEN id % 5 = 0 THEN 'Multiple Factors Drive Ph Removal' ELSE 'Key Predictors Identified for Degradation Outcome' END AS title FROM m"""
+)
+def fallback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rationales and titles of all models from their numbers alone."""
+    k = F.col("o_orderkey")
+    names = F.filter(F.array(F.lit("temp_degc"), F.lit("uv_dose"), F.col("o_orderpriority")), lambda x: ~((k % 4 == 0) | ((k % 4 == 1) & (x == "uv_dose"))))
+    b = F.create_map(F.lit("temp_degc"), (k % 1000 - 500) / 8.0, F.col("o_orderpriority"), F.lit(0.5))
+    cited = F.when(k % 2 == 0, F.array(F.lit("first"), F.lit("second"), F.lit("third")))
+    r2 = F.col("o_totalprice") / 1e6
+    told = F.when(k % 5 == 0, "We predict ph_removal in regime 2").when(k % 5 == 1, "nothing")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), tx.fallback_rationale(names, b, r2, r2 / 2, k % 3 == 0, cited).alias("rationale"), tx.fallback_title(names, told).alias("title"))

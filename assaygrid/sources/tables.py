@@ -204,10 +204,10 @@ def read_smart(spark: SparkSession, path: str) -> DataFrame:
     return trim_strings(drop_empty(_from_grid(spark, names_unified(grid[at]), grid[at + 1 :])))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", row_id: bool = True, multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", row_id: bool = True, multi_line: bool = False) -> DataFrame:
     """SC1, SC2: a CSV or TSV as trimmed strings (types are for the profile to tell), with its line order as row_id.
 
-    multi_line: cells may hold line ends; a file is then read by one task. Without, large files are split.
+    Large files are split. multi_line: quoted cells may hold line ends; a file is then read by one task.
     """
     raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
     df = raw.toDF(*names_unified(raw.columns))
@@ -224,8 +224,8 @@ def legacy_layout(columns: list[str], inputs: tuple[int, int] = (2, 37), outputs
 
 
 def content_key(spark: SparkSession, path: str) -> str:
-    """SK1: the name of a file's cached table."""
-    return hashlib.sha256(read_bytes(spark, path)).hexdigest()[:16]
+    """SK1: the name of a file's cached table; an executor makes the digest, and only that reaches the driver."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0][:16]
 
 
 def cached(spark: SparkSession, path: str, cache: str, read) -> DataFrame:

@@ -62,3 +62,22 @@ def test_titles_and_answers(spark):
     assert not one(spark, tx.is_reference_chunk, "")
     assert one(spark, tx.keyword_terms, "uv_intensity of the uv lamp rate") == ["intensity", "the", "lamp"]
     assert one(spark, tx.is_clean_domain, "Domain: advanced water treatment") and not one(spark, tx.is_clean_domain, "unknown dataset")
+
+
+def test_fallback_texts(spark):
+    from pyspark.sql import functions as F
+
+    from assaygrid.functions import text as tx
+
+    one = lambda *columns: spark.range(1).select(*columns).first()
+    words = lambda *v: F.array(*[F.lit(x) for x in v])
+    none = F.lit(None).cast("array<string>")
+    assert one(tx.fallback_title(words("uv_dose_mg_l", "max_ph", "x"), F.lit("We Predict yield_pct in regime 3.")))[0] == "Uv Dose And Max Ph Drive Yield".replace(" And ", " and ")
+    assert one(tx.fallback_title(none, F.lit("predict a in regime b")), tx.fallback_title(words("a_b"), F.lit(None)), tx.fallback_title(none, F.lit("no"))) == ("Multiple Factors Drive A", "A B Are Key Predictors", tx.NO_TITLE)
+    b = F.create_map(F.lit("a"), F.lit(-1.23456), F.lit("b"), F.lit(2.0))
+    got = one(tx.fallback_rationale(words("a", "gone", "b"), b, F.lit(0.5), F.lit(0.25), F.lit(False), words("T" * 200, "u", "v")))[0]
+    assert got == f"The strongest statistical signal involves a (-1.235), b (+2.000), suggesting these predictors align most closely with the fitted response. In-sample fit is moderate (R²=0.500, adj. R²=0.250) and validation did not fully pass. Corpus matches include: {'T' * 120}; u."
+    assert one(tx.fallback_rationale(none, b, F.lit(0.5), F.lit(0.25), F.lit(True), none))[0] == "In-sample fit is moderate (R²=0.500, adj. R²=0.250) and validation passed."
+    n = [F.lit(x) for x in (12, 340)]
+    assert one(tx.fallback_summary(*n, F.lit("batch"), F.lit(3), F.lit(True), F.lit(0.876), F.lit(4), F.lit(2), words("a", "b"), F.lit(7)))[0] == "The system analyzed 12 experiments (340 observations) from a batch dataset across 3 rounds of autonomous hypothesis testing. The pipeline converged with a match score of 0.88. 4 statistically significant parameter effects were identified across 2 response variables. Key variables: a, b. Results were grounded against 7 literature sources."
+    assert one(tx.fallback_finding(F.lit("dose"), F.lit("positive"), none, F.lit(0.5)))[0] == "dose showed a positive and statistically significant effect on the outcome, consistent across 50% of tested outputs."
