@@ -16,7 +16,9 @@ _LETTERS = "[" + ", ".join(f"CAST(length(lower({{0}})) - length(replace(lower({{
 
 
 def letter_counts(text: Column) -> Column:
-    return F.array(*[F.regexp_count(F.lower(text), F.lit(c)).cast("double") for c in LETTERS])
+    # an array of one text, so that it is made lower case once
+    counts = lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return F.transform(F.array(F.lower(text)), counts)[0]
 
 
 @query(f"SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({_COS}, 4) + 0.0 AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, d.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings d QUALIFY rank <= 4")
