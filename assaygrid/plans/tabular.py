@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from assaygrid.operators import clean, models, order, panel, profile, quantiles, screening
 from assaygrid.plans.registry import query, table
 
-#: Events a user a day as a composition of event types; the type names are the test table's.
-TYPES = "click", "error", "login", "purchase", "view"
 
 
 def r6(c, digits: int = 6):
