@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assaygrid.functions.stats import t_sf2
 from assaygrid.operators.order import numbered
 
 #: What a missing input counts as in a derived entity.
@@ -85,9 +88,14 @@ def entropy(df: DataFrame, columns: list[str], name: str = "entropy") -> DataFra
     return df.withColumn(name, entropy_of(_vector(columns)))
 
 
+def _beside_first(df: DataFrame, value: Column, entity: str, time: str, row_id: str, name: str) -> DataFrame:
+    """df with the value of each entity's first row in order of time: one aggregate and a join, so that rows of a large entity stay where they are."""
+    firsts = df.where(_col(entity).isNotNull()).groupBy(_col(entity).alias("_e")).agg(F.min_by(value, F.struct(_col(time), _col(row_id))).alias(name))
+    return df.join(firsts, _col(entity) == F.col("_e"), "left").drop("_e")
+
+
 def kl_from_initial(df: DataFrame, columns: list[str], entity: str, time: str, row_id: str, name: str = "kl") -> DataFrame:
     """PN8: Kullback-Leibler divergence from the entity's first composition, with 1e-12 added to shares; 0 without an entity."""
-    first = F.first(_vector(columns)).over(Window.partitionBy(_col(entity)).orderBy(_col(time), _col(row_id)))
     tiny = 1e-12
 
     def shares(v: Column) -> Column:
@@ -96,20 +104,23 @@ def kl_from_initial(df: DataFrame, columns: list[str], entity: str, time: str, r
         return F.transform(raised, lambda x: x / (1 + tiny * len(columns) - F.when(total > 0, 0.0).otherwise(1.0)))
 
     kl = F.aggregate(F.zip_with(shares(_vector(columns)), shares(F.col("_q")), lambda p, q: p * F.ln(p / q)), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn("_q", first).withColumn(name, F.when(_col(entity).isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), kl))).drop("_q")
+    begun = _beside_first(df, _vector(columns), entity, time, row_id, "_q")
+    return begun.withColumn(name, F.when(_col(entity).isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), kl))).drop("_q")
 
 
 def rate_constants(df: DataFrame, column: str, entity: str, time: str, row_id: str) -> DataFrame:
-    """PN9: entity, n, k, r_squared, half_life, t99, se of a first-order decay ln(C / C0) on time, where it decays.
+    """PN9: entity, n, k, r_squared, half_life, t99, se, p_value of a first-order decay ln(C / C0) on time, where it decays.
 
-    C0 is the entity's first value in order of time, which must be 1e-12 or more; three or more rows; k > 0.
+    C0 is the entity's first value in order of time, which must be 1e-12 or more; three or more rows; k > 0. Rows without
+    an entity, a value or a time take no part. p_value is that of the slope, two-sided.
     """
-    rows = df.where(_col(column).isNotNull() & _col(time).isNotNull())
-    c0 = F.first(_col(column)).over(Window.partitionBy(_col(entity)).orderBy(_col(time), _col(row_id)))
-    logs = rows.withColumn("_c0", c0).where(F.col("_c0") >= 1e-12).withColumn("_l", F.ln(F.greatest(_col(column) / F.col("_c0"), F.lit(1e-12)))).withColumn("_t", _col(time).cast("double"))
+    rows = df.where(_col(column).isNotNull() & _col(time).isNotNull() & _col(entity).isNotNull())
+    begun = _beside_first(rows, _col(column).cast("double"), entity, time, row_id, "_c0").where(F.col("_c0") >= 1e-12)
+    logs = begun.withColumn("_l", F.ln(F.greatest(_col(column) / F.col("_c0"), F.lit(1e-12)))).withColumn("_t", _col(time).cast("double"))
     fit = logs.groupBy(_col(entity).alias("entity")).agg(F.count("*").alias("n"), F.regr_slope("_l", "_t").alias("slope"), F.regr_r2("_l", "_t").alias("r2"), F.regr_sxx("_l", "_t").alias("sxx"), F.regr_syy("_l", "_t").alias("syy"))
     good = fit.where((F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("slope") < 0))
-    k = -F.col("slope")
+    k, free = -F.col("slope"), F.col("n") - 2
+    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy") / (free * F.col("sxx"))))
     return good.select(
         "entity",
         "n",
@@ -117,10 +128,17 @@ def rate_constants(df: DataFrame, column: str, entity: str, time: str, row_id: s
         F.round("r2", 4).alias("r_squared"),
         F.round(F.lit(0.6931471805599453) / k, 2).alias("half_life"),
         F.round(F.lit(4.605170185988092) / k, 2).alias("t99"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy") / ((F.col("n") - 2) * F.col("sxx")))), 6).alias("se"),
+        F.round(se, 6).alias("se"),
+        F.round(F.when(se > 0, _two_sided(k / se, free)).otherwise(0.0), 6).alias("p_value"),
     )
 
 
+@F.arrow_udf(T.DoubleType())
+def _two_sided(t: pa.Array, df: pa.Array) -> pa.Array:
+    pairs = zip(t.to_pylist(), df.to_pylist(), strict=True)
+    return pa.array([None if a is None or b is None else t_sf2(a, b) for a, b in pairs], pa.float64())
+
+
 def head_tail_means(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """WN5: column, n, top (the greatest value), head and tail: means of the first and last three values in order.
 
@@ -183,6 +201,36 @@ def active_outputs(df: DataFrame, columns: list[str], least: float = 0.1) -> Dat
     return long.where((F.col("positive") > least) & (F.col("variance") > 1e-6))
 
 
+def modelable_outputs(df: DataFrame, outcome: str, columns: list[str], parent: str | None = None, time: str | None = None, is_panel: bool = False) -> DataFrame:
+    """PN11: what can be modelled: name, kind, approach, sources, n_nonzero, variance; from one aggregate.
+
+    The outcome and the sum of three or more components are listed if more than a tenth of all rows is above zero and they
+    vary by more than 1e-6. Entropy and, given a time, divergence follow from three or more components; a rate from a
+    parent in a panel. These derived ones are not computed here: they count as every row, of variance 1.
+    """
+    has = len(columns) >= 3
+    total = sum((F.coalesce(_col(c).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0))
+    regression = "panel_regression" if is_panel else "cross_sectional"
+    strings = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+
+    def row(name: str, kind: str, approach: str, sources: list[str], nonzero: Column, variance: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(approach).alias("approach"), strings(sources).alias("sources"), nonzero.alias("n_nonzero"), variance.alias("variance"))
+
+    every, one = F.count("*"), F.lit(1.0)
+    measured = [("outcome", _col(outcome).cast("double"))] if outcome in df.columns else []
+    measured += [("total", total)] if has else []
+    found = [row(outcome if kind == "outcome" else "total_composition_concentration", {"outcome": "direct"}.get(kind, "derived_total"), regression, [outcome] if kind == "outcome" else columns, F.count_if(v > 0), F.var_samp(v)) for kind, v in measured]
+    derived = [row("shannon_entropy", "derived_entropy", regression, columns, every, one)] if has else []
+    derived += [row("kl_divergence", "derived_kl", regression, columns, every, one)] if has and time else []
+    derived += [row("degradation_rate_k", "derived_rate", "first_order_decay", [parent, time], every, one)] if parent and time and is_panel else []
+    if not found + derived:
+        return df.limit(0).select(F.explode(F.array(row("", "", "", [], F.lit(0).cast("long"), one))).alias("p")).select("p.*")
+    parts = [p.alias(f"p{i}") for i, p in enumerate(found + derived)]
+    long = df.agg(every.alias("_n"), *parts).select("_n", F.explode(F.array(*[F.col(f"p{i}") for i in range(len(parts))])).alias("p")).select("_n", "p.*")
+    active = (F.col("n_nonzero") > F.col("_n") * 0.1) & (F.col("variance") > 1e-6)
+    return long.where(~F.col("kind").isin("direct", "derived_total") | active).drop("_n")
+
+
 def augment(df: DataFrame, columns: list[str], entity: str, time: str, row_id: str) -> DataFrame:
     """PN10: entropy and divergence if there are three or more components, and the parent's rate."""
     if len(columns) >= 3:

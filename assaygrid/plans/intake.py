@@ -134,6 +134,47 @@ def augmented_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.augment(d, panel.composition_columns(d.columns), "user_id", "day", "total").select("user_id", "day", r6(F.col("metric_entropy")).alias("metric_entropy"))
 
 
+_TINY = "1e-12"
+_P = lambda c, s: f"(({c} / {s} + {_TINY}) / (1 + 5 * {_TINY}))"
+_KL = " + ".join(f"{_P(f'c{i}', 's')} * ln({_P(f'c{i}', 's')} / {_P(f'f{i}', 'fs')})" for i in range(1, 6))
+_ENDS = lambda i, way: f"(SELECT avg(c{i}) FROM (SELECT c{i} FROM daily ORDER BY day {way}, total {way} LIMIT 3))"
+
+
+@query(
+    DAILY
+    + ", falls AS ("
+    + " UNION ALL ".join(f"SELECT 'c{i}' AS name, ({_ENDS(i, 'ASC')} - {_ENDS(i, 'DESC')}) / ({_ENDS(i, 'ASC')} + 1e-9) AS d FROM daily HAVING count(*) >= 4 AND max(c{i}) >= 0.01" for i in range(1, 6))
+    + "), parent AS (SELECT name FROM falls ORDER BY d DESC, name LIMIT 1), "
+    + "p AS (SELECT *, c1 + c2 + c3 + c4 + c5 AS s, CASE name WHEN 'c1' THEN c1 WHEN 'c2' THEN c2 WHEN 'c3' THEN c3 WHEN 'c4' THEN c4 ELSE c5 END AS c FROM daily, parent), "
+    + "w AS (SELECT *, first(c) OVER u AS c0, " + ", ".join(f"first(c{i}) OVER u AS f{i}" for i in range(1, 6)) + ", first(s) OVER u AS fs FROM p WINDOW u AS (PARTITION BY user_id ORDER BY day)), "
+    + "r AS (SELECT user_id, count(*) AS n, regr_slope(ln(greatest(c / c0, 1e-12)), day) AS b FROM w WHERE c0 >= 1e-12 GROUP BY 1) "
+    + f"SELECT user_id, day, round({_SHARES}, 6) + 0.0 AS entropy, round(greatest(0, {_KL}), 6) + 0.0 AS divergence, coalesce(CASE WHEN n >= 3 AND b < 0 THEN round(-b, 6) END, 0.0) + 0.0 AS rate FROM w LEFT JOIN r USING (user_id)"
+)
+def panel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy, divergence from each user's first day and the rate of the component that falls most; users whose component does not decay have 0."""
+    d = daily(spark, sf_dir)
+    out = panel.augment(d, panel.composition_columns(d.columns), "user_id", "day", "total")
+    return out.select("user_id", "day", r6(F.col("metric_entropy")).alias("entropy"), r6(F.col("metric_kl")).alias("divergence"), (F.coalesce("metric_rate", F.lit(0.0)) + 0.0).alias("rate"))
+
+
+_SUM5 = "c1 + c2 + c3 + c4 + c5"
+
+
+@query(
+    DAILY
+    + "SELECT 'total' AS name, 'direct' AS kind, 'panel_regression' AS approach, 'total' AS sources, count(*) FILTER (WHERE total > 0) AS n_nonzero, round(var_samp(total), 3) + 0.0 AS variance FROM daily HAVING avg(CAST(total > 0 AS INTEGER)) > 0.1 AND var_samp(total) > 1e-6 "
+    + f"UNION ALL SELECT 'total_composition_concentration', 'derived_total', 'panel_regression', 'c1,c2,c3,c4,c5', count(*) FILTER (WHERE {_SUM5} > 0), round(var_samp({_SUM5}), 3) + 0.0 FROM daily HAVING avg(CAST({_SUM5} > 0 AS INTEGER)) > 0.1 AND var_samp({_SUM5}) > 1e-6 "
+    + "UNION ALL SELECT 'shannon_entropy', 'derived_entropy', 'panel_regression', 'c1,c2,c3,c4,c5', count(*), 1.0 FROM daily "
+    + "UNION ALL SELECT 'kl_divergence', 'derived_kl', 'panel_regression', 'c1,c2,c3,c4,c5', count(*), 1.0 FROM daily "
+    + "UNION ALL SELECT 'degradation_rate_k', 'derived_rate', 'first_order_decay', 'c1,day', count(*), 1.0 FROM daily"
+)
+def modelable_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the users' days can be modelled: measured and derived outputs."""
+    d = daily(spark, sf_dir)
+    out = panel.modelable_outputs(d, "total", panel.composition_columns(d.columns), "c1", "day", True)
+    return out.select("name", "kind", "approach", F.array_join("sources", ",").alias("sources"), "n_nonzero", r6(F.col("variance"), 3).alias("variance"))
+
+
 # feeds
 
 
