@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from assaygrid.operators.order import in_blocks, numbered
 from assaygrid.operators.panel import first_values
 from assaygrid.operators.profile import safe_corr
 from assaygrid.operators.screening import Fit, Gram, complete, gram, solve
+from assaygrid.shared import written
 
 
 def _d(c: str):
@@ -293,39 +294,47 @@ def elastic_net(df: DataFrame, y: str, x: list[str], alpha: float = 0.01, l1: fl
 
 
 def _profiles(residual: DataFrame, n_times: int) -> DataFrame:
-    """e, features: the means of u by entity over all times (ti: 0 to n_times - 1); missing ones take the time's mean."""
-    import pyarrow as pa
+    """e, features: the means of u by entity and time (ti: 0 to n_times - 1), less the mean of the time's means.
+
+    A missing time takes the time's mean, which is zero here; so profiles are sparse and an entity holds its own times alone.
+    """
+    cells = residual.groupBy("e", "ti").agg(F.avg("u").alias("u"))
+    means = cells.groupBy(F.col("ti").alias("_ti")).agg(F.avg("u").alias("_m"))
+    centred = cells.join(means, F.col("ti") == F.col("_ti")).select("e", F.struct(F.col("ti").cast("int").alias("ti"), (F.col("u") - F.col("_m")).alias("u")).alias("c"))
+    sparse = F.udf(lambda at, u: Vectors.sparse(n_times, at, u), VectorUDT())
+    return centred.groupBy("e").agg(F.array_sort(F.collect_list("c")).alias("c")).select("e", sparse("c.ti", "c.u").alias("features"))
 
-    means = np.zeros(n_times)
-    for r in residual.groupBy("ti").agg(F.avg("u").alias("m")).collect():  # a number a time
-        means[r["ti"]] = r["m"]
-    cells = residual.groupBy("e", "ti").agg(F.avg("u").alias("u")).groupBy("e").agg(F.collect_list("ti").alias("ti"), F.collect_list("u").alias("u"))
 
-    def dense(batches):
-        for batch in batches:
-            at, u = batch.column(1), batch.column(2)
-            v = np.tile(means, (batch.num_rows, 1))
-            v[np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = u.flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], ["e", "p"])
+def _clusters(data: DataFrame, k: int, seed: int, starts: int) -> DataFrame:
+    """e, g: the k-means of least cost over several starts."""
 
-    wide = cells.mapInArrow(dense, T.StructType([residual.schema["e"], T.StructField("p", T.ArrayType(T.DoubleType()))]))
-    return wide.select("e", array_to_vector("p").alias("features"))
+    def start(i: int):
+        model = KMeans(k=k, seed=seed + i).fit(data)
+        return model.summary.trainingCost, i, model
 
+    with ThreadPoolExecutor(starts) as pool:  # they wait for the driver most of the time
+        _, _, model = min(pool.map(start, range(starts)), key=lambda f: f[:2])
+    return model.transform(data).select("e", F.col("prediction").alias("g"))
 
-def grouped_fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, time: str, most: int = 5, rounds: int = 20, seed: int = 42) -> dict:
+
+def grouped_fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, time: str, most: int = 5, rounds: int = 20, seed: int = 42, starts: int = 10) -> dict:
     """MD16: entities in K groups with time effects of their own: fit, cluster residual profiles, fit with group and time means, until groups stay.
 
-    K of 2 to most by the least BIC. Profiles are means by entity and time, over all times; missing times take the time's mean.
+    K of 2 to most by the least BIC; each clustering is the best of several starts. Times are numbered in ranges, profiles
+    are sparse, group and time means are aggregates joined back: no task or driver holds the times of all entities.
+    Centres of clusters hold K numbers a time. Returns k, bic, aic, r_squared, sse, coefficients (of inputs as given),
+    standardized ones, n_times, converged, n_iterations, and two tables: assignments (entity, group) and effects (group,
+    time, effect), groups from 1.
     """
     rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{time}`").alias("t"), *[_d(c).alias(c) for c in (*x, y)]).na.drop()
-    times = rows.select("t").distinct()
-    # few values beside the rows: one task ranks them
-    rows = rows.join(F.broadcast(times.select("t", (F.row_number().over(Window.orderBy("t")) - 1).alias("ti"))), "t").persist()
+    times = numbered(rows.select("t").distinct(), ["t"], "ti")
+    rows = rows.join(times, "t").persist()
     n_times = times.count()
     entities = rows.select("e").distinct().count()
-    n = rows.count()
-    best: dict = {}
-    start = solve(gram(rows, [*x, y]), y, tuple(x))
+    g = gram(rows, [*x, y])
+    start = solve(g, y, tuple(x))
+    raw = rows.agg(F.count("*").alias("n"), (F.var_pop(y) * F.count("*")).alias("sst"), *[F.stddev_pop(c).alias(f"s_{c}") for c in x]).first()
+    n, best, groups = raw["n"], {}, None
     for k in range(2, min(most, entities - 1) + 1):
         fit = start
         if fit is None:
@@ -334,25 +343,46 @@ def grouped_fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, time
         for turn in range(1, rounds + 1):
             line = sum((F.lit(fit.coefficients[c]) * F.col(c) for c in x), F.lit(0.0))
             data = _profiles(rows.withColumn("u", F.col(y) - line), n_times).persist()
-            groups = KMeans(k=k, seed=seed).fit(data).transform(data).select("e", F.col("prediction").alias("g"))
+            groups = _clusters(data, k, seed, starts).persist()
             joined = rows.join(groups, "e")
-            over = Window.partitionBy("g", "t")
-            flat = joined.select(*[(F.col(c) - F.avg(c).over(over)).alias(c) for c in (*x, y)])
+            means = joined.groupBy("g", "ti").agg(*[F.avg(c).alias(f"_m_{c}") for c in (*x, y)])
+            flat = joined.join(means, ["g", "ti"]).select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in (*x, y)])
             fit = solve(gram(flat, [*x, y]), y, tuple(x))
             data.unpersist()
-            if fit is None:
-                break
             # equal groups give equal slopes
-            now = [round(v, 6) for v in fit.coefficients.values()]
-            settled = now == before
-            if settled:
+            now = [round(v, 6) for v in fit.coefficients.values()] if fit else None
+            settled = now is not None and now == before
+            if settled or fit is None or turn == rounds:
                 break
             before = now
+            groups.unpersist()
         if fit is None:
+            groups.unpersist()
+            continue
+        size = k * n_times + len(x)
+        fall = n * (math.log(2 * math.pi) + math.log(max(fit.sse, 1e-300) / n) + 1)
+        if best and best["bic"] <= fall + size * math.log(n):
+            groups.unpersist()
             continue
-        bic = n * math.log(max(fit.sse, 1e-300) / n) + (k * n_times + len(x) + entities) * math.log(n)
-        if not best or bic < best["bic"]:
-            best = {"k": k, "bic": bic, "coefficients": {c: fit.coefficients[c] for c in x}, "sse": fit.sse, "n_times": n_times, "converged": settled, "n_iterations": turn}
+        level = F.avg(F.col(y) - sum((F.lit(fit.coefficients[c]) * F.col(c) for c in x), F.lit(0.0)))
+        named = (F.col("g") + 1).alias("group")
+        best = {
+            "k": k,
+            "bic": fall + size * math.log(n),
+            "aic": fall + 2 * size,
+            "r_squared": 1 - fit.sse / raw["sst"] if raw["sst"] else 0.0,
+            "coefficients": {c: fit.coefficients[c] for c in x},
+            "standardized": {c: fit.coefficients[c] * raw[f"s_{c}"] for c in x},
+            "sse": fit.sse,
+            "n_times": n_times,
+            "converged": settled,
+            "n_iterations": turn,
+            "assignments": groups.select(F.col("e").alias("entity"), named),
+            "effects": rows.join(groups, "e").groupBy(named, F.col("t").alias("time")).agg(level.alias("effect")),
+        }
+    if best:
+        for name in ("assignments", "effects"):
+            best[name], _ = written(best[name], "groups")
     rows.unpersist()
     return best
 

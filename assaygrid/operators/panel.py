@@ -129,7 +129,7 @@ def rate_constants(df: DataFrame, column: str, entity: str, time: str, row_id: s
         F.round(F.lit(0.6931471805599453) / k, 2).alias("half_life"),
         F.round(F.lit(4.605170185988092) / k, 2).alias("t99"),
         F.round(se, 6).alias("se"),
-        F.round(F.when(se > 0, _two_sided(k / se, free)).otherwise(0.0), 6).alias("p_value"),
+        F.round(F.when(se > 0, _two_sided(F.try_divide(k, se), free)).otherwise(0.0), 6).alias("p_value"),
     )
 
 

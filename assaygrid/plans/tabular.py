@@ -523,7 +523,7 @@ def tree_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def grouped_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("week", F.floor(F.col("day") / 168))
-    f = models.grouped_fixed_effects(d, "total", ["c1", "c2"], "user_id", "week")
+    f = models.grouped_fixed_effects(d, "total", ["c1", "c2"], "user_id", "week", starts=1)
     return spark.createDataFrame([(f["k"], f["bic"], f["sse"], f["coefficients"])], "k int, bic double, sse double, coefficients map<string,double>")
 
 

@@ -175,9 +175,25 @@ def test_groups_that_differ_after_200_times(spark):
     # four groups that only differ at the last of 230 times
     rows = [(e, t, a, float(2 * a + (30 * (e % 4) if t >= 205 else 0) + rng.normal(0, 0.1))) for e in range(16) for t in range(230) for a in [float(rng.normal())] if (e + t) % 7]
     df = spark.createDataFrame(rows, "e long, t long, a double, y double")
-    f = models.grouped_fixed_effects(df, "y", ["a"], "e", "t", most=4, rounds=4)
+    f = models.grouped_fixed_effects(df, "y", ["a"], "e", "t", most=4, rounds=4, starts=3)
     assert f["n_times"] == 230 and f["k"] == 4 and f["converged"]
     assert abs(f["coefficients"]["a"] - 2) < 0.01 and f["sse"] < 0.02 * len(rows)
+    found = {r["entity"]: r["group"] for r in f["assignments"].collect()}
+    assert len(found) == 16 and set(found.values()) == {1, 2, 3, 4} and all(found[e] == found[e % 4] for e in found)
+    # least squares with a dummy for each group and time
+    cells = sorted({(found[e], t) for e, t, _, _ in rows})
+    at = {c: i for i, c in enumerate(cells)}
+    design = np.zeros((len(rows), 1 + len(cells)))
+    for i, (e, t, a, _) in enumerate(rows):
+        design[i, 0], design[i, 1 + at[found[e], t]] = a, 1.0
+    y = np.array([r[3] for r in rows])
+    b, *_ = np.linalg.lstsq(design, y, rcond=None)
+    sse, n = float(((y - design @ b) ** 2).sum()), len(rows)
+    assert f["coefficients"]["a"] == pytest.approx(b[0], rel=1e-8) and f["sse"] == pytest.approx(sse, rel=1e-6)
+    assert f["bic"] == pytest.approx(n * np.log(2 * np.pi * sse / n) + n + (1 + 4 * 230) * np.log(n), rel=1e-9)
+    assert f["r_squared"] == pytest.approx(1 - sse / ((y - y.mean()) ** 2).sum(), rel=1e-9)
+    effects = {(r["group"], r["time"]): r["effect"] for r in f["effects"].collect()}
+    assert set(effects) == set(cells) and all(effects[c] == pytest.approx(b[1 + at[c]], abs=1e-8) for c in cells)
 
 
 def test_candidates_are_scored_by_all_five_tests(spark):
