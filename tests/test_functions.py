@@ -26,6 +26,38 @@ def test_series_and_normality():
     assert stats.normal_test(500, 0.0, 0.0)[1] > 0.5 > stats.normal_test(500, 2.0, 6.0)[1]
 
 
+def test_shapiro_by_published_values():
+    """Known W and p: Shapiro and Wilk's weights of eleven men; speeds of fifty cars; three values in closed form."""
+    w, p = stats.shapiro(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
+    assert (round(w, 4), round(p, 4)) == (0.7888, 0.0067)
+    counts = {4: 2, 7: 2, 8: 1, 9: 1, 10: 3, 11: 2, 12: 4, 13: 4, 14: 4, 15: 3, 16: 2, 17: 3, 18: 4, 19: 3, 20: 5, 22: 1, 23: 1, 24: 4, 25: 1}
+    w, p = stats.shapiro(np.repeat(list(counts), list(counts.values())))
+    assert (round(w, 5), round(p, 4)) == (0.97765, 0.4576)
+    w, p = stats.shapiro(np.array([1.0, 2.0, 3.0]))
+    assert w == pytest.approx(1) and p == pytest.approx(1)
+    w, p = stats.shapiro(np.array([0.0, 0.0, 1.0]))
+    assert w == pytest.approx(0.75) and p == pytest.approx(0, abs=1e-6)
+    for n in (4, 5, 6, 11, 12):  # even quantiles look normal, one far value does not
+        even = np.array([stats.normal_quantile((i + 0.5) / n) for i in range(n)])
+        assert stats.shapiro(even)[1] > 0.5 > 0.01 > stats.shapiro(np.append(even[:-1], 1e3))[1]
+    assert all(math.isnan(stats.shapiro(np.array(v))[0]) for v in ([], [1.0, 2.0], [3.0] * 8))
+
+
+def test_embedding_of_words(spark):
+    import xxhash
+
+    from assaygrid.operators.retrieval import hashed_embedding
+
+    texts = ["Water and water, treated 2 ways", "", None, "one", " ".join(f"w{i}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", hashed_embedding(F.col("text")).alias("v")).collect():
+        want = np.zeros(64)
+        for word in (texts[r["i"]] or "").lower().split():
+            want[xxhash.xxh64_intdigest(word, 42) % 64] += 1
+        size = np.linalg.norm(want)
+        assert r["v"] == pytest.approx((want / size if size else want).tolist(), abs=1e-6)
+
+
 CASES = [
     ("The treatment reduces the outcome across all tested conditions.", True),
     ("we need to find what drives the outcome across conditions.", False),
