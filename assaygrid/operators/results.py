@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaygrid.functions import text as tx
+
 #: Columns of each table as DDL; maps and arrays hold what is nested.
 SCHEMAS = {
     "runs": "id string, user_sub string, run_name string, status string, created_at timestamp, outcome_variable string, selected_features array<string>, excluded_features array<string>, data_version_id string, n_rounds_completed int, final_match_score double, converged boolean, stop_reason string, error_message string, config_snapshot string",
@@ -250,6 +252,49 @@ def same_request(df: DataFrame, kind: str, regime: str | None, filename: str | N
     return df.where((F.col("kind") == kind) & F.col("regime").eqNullSafe(F.lit(regime)) & F.col("filename").eqNullSafe(F.lit(filename)))
 
 
+#: The phase of a run whose literature is complete.
+GROUNDED = "grounding_completed"
+
+
+def grounded_bundles(runs: DataFrame, hypotheses: DataFrame, models: DataFrame, validations: DataFrame, citations: DataFrame, user: str | None = None) -> DataFrame:
+    """§2.17: the saved grounding of runs that are grounded, of one user if given: a row for each hypothesis with a model.
+
+    run_id, id, round, description, rationale, primary_variables, model (its first by id, as a struct), validation_passed
+    (false without a validation; its first by id) and citations (structs by id; empty without any). Hypotheses that bear the
+    mark of the statistics phase are left out. Texts that are not clean give way to a fallback (description) or null
+    (rationale). Models and validations are reduced to one a hypothesis before anything is joined.
+    """
+    done = runs.where(F.get_json_object("config_snapshot", "$.screening_phase") == GROUNDED)
+    done = done if user is None else owned(done, user)
+    mark = lambda s: F.coalesce(F.get_json_object(s, "$._stats_meta"), F.lit(""))
+    marked = F.exists("rag_support", lambda s: ~mark(s).isin("", "null", "false", "0", "{}", "[]"))
+    mine = hypotheses.where(~F.coalesce(marked, F.lit(False))).join(done.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    first = models.groupBy(F.col("hypothesis_id").alias("_h")).agg(F.min_by(F.struct(*models.columns), "id").alias("model"))
+    judged = validations.groupBy(F.col("model_result_id").alias("_m")).agg(F.min_by("overall_passed", "id").alias("validation_passed"))
+    kept = [c for c in ("id", "source", "title", "url", "year", "similarity_score", "abstract_snippet", "variable") if c in citations.columns]
+    cited = citations.groupBy(F.col("model_result_id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("citations"))
+    out = mine.join(first, F.col("id") == F.col("_h")).join(judged, F.col("model.id") == F.col("_m"), "left").join(cited, F.col("model.id") == F.col("_c"), "left")
+    said = lambda c: tx.strip_label(tx.strip_thinking(F.trim(F.coalesce(c, F.lit("")))))
+    # columns of their own, so that what a text says is worked out once
+    out = out.withColumns({"_d": said(F.col("description")), "_r": said(F.col("rationale"))})
+    out = out.withColumns({"_dm": tx.sentence_marks(F.col("_d")), "_rm": tx.sentence_marks(F.col("_r"))})
+    sentence = F.when(tx.is_clean_sentence(F.col("_d"), marks=F.col("_dm")), F.col("_d"))
+    reason = F.when(tx.is_clean_sentence(F.col("_r"), marks=F.col("_rm")), F.col("_r"))  # clean paragraphs are among these
+    names = F.slice(F.coalesce("primary_variables", F.array().cast("array<string>")), 1, 3)
+    plain = F.concat(F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("Selected predictors"), F.lit(" are associated with the screened outcome in this regime."))
+    return out.select(
+        "run_id",
+        "id",
+        "round",
+        F.coalesce(sentence, plain).alias("description"),
+        reason.alias("rationale"),
+        "primary_variables",
+        "model",
+        F.coalesce("validation_passed", F.lit(False)).alias("validation_passed"),
+        F.coalesce("citations", F.array().cast(cited.schema["citations"].dataType)).alias("citations"),
+    )
+
+
 def key_coalesce(m: Column, key: Column) -> Column:
     """The value of a string-keyed map under a key as it is, or else as a whole number is written; null without."""
     text = key.cast("string")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaygrid.functions.sql import grams, register_statistics
-from assaygrid.operators import rollups
+from assaygrid.operators import results, rollups
 from assaygrid.plans.registry import query, table
 from assaygrid.plans.served import MODELS, store
 from assaygrid.plans.tabular import r6
@@ -128,3 +128,25 @@ def sql_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT user_id, size(v) AS n, adf_p(v) AS adf_p, shapiro_p(v) AS shapiro_p
       FROM (SELECT user_id, transform(array_sort(collect_list(struct(ts, value))), x -> CAST(x.value AS DOUBLE)) AS v FROM test_events GROUP BY user_id)""")
 
+
+_SAID = "The initial dose of the catalyst reduces the removal of every compound in these runs."
+
+
+@query(
+    MODELS
+    + f""", g AS (SELECT CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 3 <> 0 AND n_regionkey % 2 = 1), f AS (SELECT hypothesis_id, min(id) AS id FROM m GROUP BY 1), c AS (SELECT l_orderkey AS id, count(*) AS n, max(l_discount) AS top FROM lineitem GROUP BY 1)
+SELECT run_id, h.id, round, CASE WHEN h.id % 2 = 0 THEN '{_SAID}' WHEN h.id % 5 = 0 THEN 'Selected predictors are associated with the screened outcome in this regime.' ELSE 'price, key are associated with the screened outcome in this regime.' END AS description,
+CASE WHEN h.id % 2 = 0 THEN '{_SAID}' END AS rationale, f.id AS model_id, round(r_squared, 6) + 0.0 AS r_squared, coalesce(overall_passed, FALSE) AS validation_passed, coalesce(n, 0) AS n_citations, round(top, 4) + 0.0 AS top_similarity
+FROM h JOIN g ON g.id = run_id JOIN f ON f.hypothesis_id = h.id JOIN m ON m.id = f.id LEFT JOIN v ON model_result_id = f.id LEFT JOIN c ON c.id = f.id WHERE h.id % 7 <> 0"""
+)
+def saved_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's grounded runs read back: hypotheses with cleaned texts, their first models and citations."""
+    s = store(spark, sf_dir)
+    runs = s["runs"].withColumn("config_snapshot", F.to_json(F.struct(F.when(F.col("id").cast("int") % 3 == 0, "stats_completed").otherwise(results.GROUNDED).alias("screening_phase"))))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Output: "), F.lit(_SAID))).otherwise("???")
+    names = F.when(F.col("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("price"), F.lit("key")))
+    support = F.when(F.col("id") % 7 == 0, F.array(F.lit("a note"), F.lit('{"_stats_meta": {"n": 1}}'))).when(F.col("id") % 7 == 1, F.array(F.lit('{"_stats_meta": {}}')))
+    hypotheses = s["hypotheses"].withColumns({"description": text, "rationale": text, "primary_variables": names, "rag_support": support})
+    out = results.grounded_bundles(runs, hypotheses, s["model_results"], s["validation_results"].withColumn("id", F.col("model_result_id")), s["citations"], "user_1")
+    top = F.array_max(F.transform("citations", lambda c: c["similarity_score"]))
+    return out.select("run_id", "id", "round", "description", "rationale", F.col("model.id").alias("model_id"), r6(F.col("model.r_squared")).alias("r_squared"), "validation_passed", F.size("citations").cast("long").alias("n_citations"), r6(top, 4).alias("top_similarity"))

@@ -81,6 +81,24 @@ def one(spark, expr, value):
     return spark.createDataFrame([(value,)], "t string").select(expr(F.col("t")).alias("x")).first()["x"]
 
 
+def test_clean_paragraph(spark):
+    sentence = "The initial dose drives the removal of all compounds in these runs."
+    cases = [
+        (sentence, True),
+        (f"{sentence} A longer time leaves less of the parent compound behind.", True),
+        (f"{sentence} Done.", False),
+        (f"{sentence} Very good.", False),
+        (f"{sentence} It really helps.", True),
+        ("The dose matters: the time matters: the catalyst matters: all of them drive removal.", False),
+        ("The dose matters: the time matters: all of these inputs drive the removal here.", True),
+        ("???", False),
+        (None, False),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["ok"] for r in df.select("i", tx.is_clean_paragraph(F.col("t")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(cases))] == [ok for _, ok in cases]
+
+
 def test_titles_and_answers(spark):
     assert one(spark, tx.is_clean_title, "Initial Dose Drives Removal Of Compounds")
     assert not one(spark, tx.is_clean_title, "What Drives Removal Of These Compounds?")
