@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -262,6 +264,16 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), 0), F.initcap), "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits after the point, as C and Python write it: what the double holds is rounded (half to even), not its shortest decimal form."""
+    plain = F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
+    # Java takes the shortest form where a 5 is the first digit and the first to go
+    half, unit = 0.5 * 10.0**-digits, f"{10.0**-digits:.{digits}f}"
+    small = F.when(F.abs(x) > half if Fraction(half) <= Fraction(1, 2 * 10**digits) else F.abs(x) >= half, unit).otherwise(f"{0:.{digits}f}")
+    signed = F.concat(F.when((x < 0) | x.cast("string").startswith("-"), "-").otherwise(""), small)
+    return F.when(x.isNull(), "null").when(F.abs(x) < 10.0**-digits, signed).when(F.abs(x) < 1e15, plain).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
 def fallback_title(significant: Column, description: Column) -> Column:
     """TX6: a title from a model's first two significant variables and the outcome that "predict ... in regime" names."""
     outcome = title_case(plain_name(F.trim(F.regexp_extract(F.coalesce(description, F.lit("")), r"(?i)predict\s+(.+?)\s+in\s+regime", 1))))
@@ -273,9 +285,9 @@ def fallback_title(significant: Column, description: Column) -> Column:
 def fallback_rationale(significant: Column, coefficients: Column, r_squared: Column, adjusted: Column, passed: Column, citations: Column) -> Column:
     """TX6: a rationale from a model's numbers: up to five significant variables with their coefficients, the fit, whether it was validated, two titles."""
     known = F.filter(F.slice(F.coalesce(significant, F.array().cast("array<string>")), 1, 5), lambda v: F.try_element_at(coefficients, v).isNotNull())
-    sign = lambda v: F.concat(v, F.lit(" ("), F.when(F.try_element_at(coefficients, v) >= 0, "+").otherwise(""), F.format_string("%.3f", F.try_element_at(coefficients, v)), F.lit(")"))
+    sign = lambda v: F.concat(v, F.lit(" ("), F.when(F.try_element_at(coefficients, v) >= 0, "+").otherwise(""), fixed(F.try_element_at(coefficients, v), 3), F.lit(")"))
     first = F.concat(F.lit("The strongest statistical signal involves "), F.array_join(F.transform(known, sign), ", "), F.lit(", suggesting these predictors align most closely with the fitted response. "))
-    fit = F.format_string("In-sample fit is moderate (R²=%.3f, adj. R²=%.3f) and validation %s.", r_squared, adjusted, F.when(passed, "passed").otherwise("did not fully pass"))
+    fit = F.format_string("In-sample fit is moderate (R²=%s, adj. R²=%s) and validation %s.", fixed(r_squared, 3), fixed(adjusted, 3), F.when(passed, "passed").otherwise("did not fully pass"))
     titles = F.array_join(F.transform(F.slice(F.coalesce(citations, F.array().cast("array<string>")), 1, 2), lambda t: F.substring(t, 1, 120)), "; ")
     return F.concat(F.when(F.size(known) > 0, first).otherwise(""), fit, F.when(F.coalesce(F.size(citations) > 0, F.lit(False)), F.concat(F.lit(" Corpus matches include: "), titles, F.lit("."))).otherwise(""))
 
@@ -284,8 +296,8 @@ def fallback_summary(experiments: Column, observations: Column, group: Column, r
     """TX6: a report's summary from its numbers."""
     status = F.when(converged, "converged").otherwise("reached maximum rounds")
     text = F.format_string(
-        f"{system} analyzed %d experiments (%d observations) from a %s dataset across %d rounds of autonomous hypothesis testing. The pipeline %s with a match score of %.2f. %d statistically significant parameter effects were identified across %d response variables. ",
-        experiments, observations, group, rounds, status, score, effects, responses,
+        f"{system} analyzed %d experiments (%d observations) from a %s dataset across %d rounds of autonomous hypothesis testing. The pipeline %s with a match score of %s. %d statistically significant parameter effects were identified across %d response variables. ",
+        experiments, observations, group, rounds, status, fixed(score, 2), effects, responses,
     )
     keys = F.when(F.coalesce(F.size(key_variables) > 0, F.lit(False)), F.concat(F.lit("Key variables: "), F.array_join(key_variables, ", "), F.lit(". "))).otherwise("")
     return F.concat(text, keys, F.format_string("Results were grounded against %d literature sources.", sources))
@@ -294,4 +306,4 @@ def fallback_summary(experiments: Column, observations: Column, group: Column, r
 def fallback_finding(variable: Column, direction: Column, outputs: Column, score: Column) -> Column:
     """TX6: what a variable's effects on several outputs have in common."""
     where = F.when(F.coalesce(F.size(outputs) > 0, F.lit(False)), F.array_join(outputs, ", ")).otherwise("the outcome")
-    return F.concat(variable, F.lit(" showed a "), direction, F.lit(" and statistically significant effect on "), where, F.format_string(", consistent across %.0f%% of tested outputs.", score * 100))
+    return F.concat(variable, F.lit(" showed a "), direction, F.lit(" and statistically significant effect on "), where, F.format_string(", consistent across %s%% of tested outputs.", fixed(score * 100, 0)))

@@ -61,7 +61,7 @@ def ground_stored(models: DataFrame, corpus: DataFrame, chunks: DataFrame, run:
     order = [F.desc(F.col("lit_score") * F.col("r_squared")), F.desc("lit_score"), F.desc("r_squared"), F.col("id")]
     chosen = both.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(*order))).where(F.col("rank") <= top)
     chosen, _ = written(chosen.withColumn("hypothesis_id", F.concat(F.lit("H"), F.col("rank").cast("string"))).withColumn("query", citation_query(F.col("y_col"), F.col("x_cols"))), "chosen")
-    rationale = F.format_string("Automated screening fit (OLS or ridge fallback) with in-sample R² %.3f. Corpus embedding resemblance peak %.0f%% for a query built from this outcome and predictors.", "r_squared", F.col("lit_score") * 100)
+    rationale = F.format_string("Automated screening fit (OLS or ridge fallback) with in-sample R² %s. Corpus embedding resemblance peak %s%% for a query built from this outcome and predictors.", tx.fixed(F.col("r_squared"), 3), tx.fixed(F.col("lit_score") * 100, 0))
     bundles = chosen.select(
         run,
         "hypothesis_id",

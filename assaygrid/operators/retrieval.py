@@ -235,7 +235,7 @@ def merge_sources(sources: list[tuple[str, DataFrame]], title: str = "title", ke
 
 def pack_context(found: DataFrame, most: int = 4000) -> DataFrame:
     """Context of each query: chunks in rank order while their running length stays within most; a gap ends it."""
-    section = F.concat(F.lit("[Source: "), F.substring("title", 1, 80), F.lit(" | File: "), F.col("source_file"), F.lit(" | Similarity: "), F.format_string("%.2f", F.col("similarity")), F.lit("]\n"), F.col("text"))
+    section = F.concat(F.lit("[Source: "), F.substring("title", 1, 80), F.lit(" | File: "), F.col("source_file"), F.lit(" | Similarity: "), tx.fixed(F.col("similarity"), 2), F.lit("]\n"), F.col("text"))
     over = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = found.withColumn("section", section).withColumn("used", F.sum(F.length("section")).over(over)).where(F.col("used") <= most)
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section"))), lambda x: x["section"]), "\n\n---\n\n").alias("context"), F.count("*").alias("n_chunks"))

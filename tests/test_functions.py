@@ -131,3 +131,15 @@ def test_fallback_texts(spark):
     n = [F.lit(x) for x in (12, 340)]
     assert one(tx.fallback_summary(*n, F.lit("batch"), F.lit(3), F.lit(True), F.lit(0.876), F.lit(4), F.lit(2), words("a", "b"), F.lit(7)))[0] == "The system analyzed 12 experiments (340 observations) from a batch dataset across 3 rounds of autonomous hypothesis testing. The pipeline converged with a match score of 0.88. 4 statistically significant parameter effects were identified across 2 response variables. Key variables: a, b. Results were grounded against 7 literature sources."
     assert one(tx.fallback_finding(F.lit("dose"), F.lit("positive"), none, F.lit(0.5)))[0] == "dose showed a positive and statistically significant effect on the outcome, consistent across 50% of tested outputs."
+
+
+def test_numbers_are_rounded_as_c_does(spark):
+    from assaygrid.functions import text as tx
+
+    v = [0.2975, 0.0005, 0.0015, 2.5, -2.5, 0.125, -0.0001, 1e-9, 123456789.0625, 0.2985, 1.0005, -0.29750000000000004, 0.0]
+    got = spark.createDataFrame([(x,) for x in v], "x double").select("x", *[tx.fixed(F.col("x"), k) for k in (0, 2, 3)]).collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(f"{r[0]:.{k}f}" for k in (0, 2, 3)) for r in got]
+    assert spark.range(1).select(tx.fixed(F.lit(float("nan")), 3), tx.fixed(F.lit(None).cast("double"), 3)).first() == ("NaN", "null")
+    none = F.lit(None).cast("array<string>")
+    said = tx.fallback_rationale(none, F.create_map(F.lit("a"), F.lit(1.0)), F.lit(0.2975), F.lit(0.25), F.lit(True), none)
+    assert "(R²=0.297, adj. R²=0.250)" in spark.range(1).select(said).first()[0]
