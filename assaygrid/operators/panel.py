@@ -121,12 +121,14 @@ def rate_constants(df: DataFrame, column: str, entity: str, time: str, row_id: s
     good = fit.where((F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("slope") < 0))
     k, free = -F.col("slope"), F.col("n") - 2
     se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy") / (free * F.col("sxx"))))
+    # values that are powers of two apart have half-lives with few digits; what sums leave of them, in any order of rows, must not fall below a tie
+    near = 1 + F.try_divide(F.lit(1e-13), F.sqrt("r2"))
     return good.select(
         "entity",
         "n",
         F.round(k, 6).alias("k"),
         F.round("r2", 4).alias("r_squared"),
-        F.round(F.lit(0.6931471805599453) / k, 2).alias("half_life"),
+        F.round(F.lit(0.6931471805599453) / k * near, 2).alias("half_life"),
         F.round(F.lit(4.605170185988092) / k, 2).alias("t99"),
         F.round(se, 6).alias("se"),
         F.round(F.when(se > 0, _two_sided(F.try_divide(k, se), free)).otherwise(0.0), 6).alias("p_value"),
