@@ -73,3 +73,12 @@ def test_incremental_ingest(spark, tmp_path):
     spark.createDataFrame([(3, "gamma")], ddl).write.mode("append").parquet(src)
     ingest.ingest_new(spark, src, sink, mark, spark.createDataFrame([], ddl).schema)
     assert (first, spark.read.parquet(sink).count()) == (2, 3)
+
+
+def test_header_above_blank_rows_and_many_data_rows():
+    data = [[float(i), f"Supplier#{i}", float(i % 25), 100.5 + i] for i in range(5)]
+    names = ["Condition", "Supplier-Name", "Nation (key)", "Balance"]
+    above = [["Suppliers of a book", None, None, None], ["Metadata", "Independent", "", "Dependent"]]
+    for blank in ([], [[None] * 4], [[None] * 4, ["", " ", None, None]]):
+        assert tables.infer_header([*above, names, *blank, *data]) == 2
+        assert tables.infer_header([names, *blank, *data]) == 0
