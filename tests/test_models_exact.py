@@ -198,3 +198,22 @@ def test_half_lives_do_not_hang_on_the_order_of_rows(spark):
     df = spark.createDataFrame(rows, "e long, t double, c double").repartition(7)
     found = panel.rate_constants(df, "c", "e", "t", "t").collect()
     assert len(found) == 60 and {(r["n"], r["half_life"]) for r in found} == {(28, 3319.88)}
+
+
+def test_groups_are_fitted_from_one_pass_over_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(e, t, float(a), float(2 * a + 10 * (e % 3) * t + rng.normal(0, 0.1))) for e in range(30) for t in range(4) for a in rng.normal(size=3)]
+    df = spark.createDataFrame(rows, "e long, t long, a double, y double")
+    grams = []
+    monkeypatch.setattr(models, "gram", lambda *given: grams.append(1) or gram(*given))
+    f = models.grouped_fixed_effects(df, "y", ["a"], "e", "t", most=4, starts=4)
+    # turns of all K work on sums by entity and time
+    assert len(grams) == 1 and f["k"] == 3 and f["converged"] and abs(f["coefficients"]["a"] - 2) < 0.02
+    group = {r["entity"]: r["group"] for r in f["assignments"].collect()}
+    assert all(group[e] == group[e % 3] for e in group) and len(set(group.values())) == 3
+    y, a = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    cell = np.array([group[r[0]] * 10 + r[1] for r in rows])
+    mean = lambda v: np.array([v[cell == c].mean() for c in cell])
+    b = (a - mean(a)) @ (y - mean(y)) / ((a - mean(a)) @ (a - mean(a)))
+    assert f["sse"] == pytest.approx(((y - mean(y) - b * (a - mean(a))) ** 2).sum(), rel=1e-9)
+    assert {(r["group"] * 10 + r["time"], round(r["effect"], 9)) for r in f["effects"].collect()} == set(zip(cell.tolist(), np.round(mean(y) - b * mean(a), 9).tolist(), strict=True))
