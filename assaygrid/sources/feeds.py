@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaygrid.functions.text import strip_tags
 
@@ -41,6 +43,18 @@ def europe_pmc(df: DataFrame, column: str = "body") -> DataFrame:
     return r.select(F.lit("europe_pmc").alias("source"), F.coalesce(doi, pmc, pm, F.col("r.id")).alias("id"), F.col("r.title").alias("title"), F.col("r.abstractText").alias("abstract"), year.alias("year"), url.alias("url"), authors.alias("authors"))
 
 
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def to_inverted(words: pa.Array) -> pa.Array:
+    """{word: [places]} of each array of words, so that no word leaves its row's task."""
+    out = []
+    for row in words:
+        places: dict[str, list[int]] = {}
+        for at, word in enumerate(row.as_py() or ()):
+            places.setdefault(word, []).append(at)
+        out.append(list(places.items()) if row.is_valid else None)
+    return pa.array(out, pa.map_(pa.string(), pa.list_(pa.int32())))
+
+
 def from_inverted(index: Column) -> Column:
     """A text from {word: [places]}."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))

@@ -82,3 +82,11 @@ def test_header_above_blank_rows_and_many_data_rows():
     for blank in ([], [[None] * 4], [[None] * 4, ["", " ", None, None]]):
         assert tables.infer_header([*above, names, *blank, *data]) == 2
         assert tables.infer_header([names, *blank, *data]) == 0
+
+
+def test_words_find_their_places_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "k long, w array<string>")
+    index = df.select("k", feeds.to_inverted("w").alias("m"))
+    assert {r["k"]: r["m"] for r in index.collect()} == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: None}
+    assert [r["t"] for r in index.orderBy("k").select(feeds.from_inverted("m").alias("t")).collect()] == ["b a b", "", None]
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
