@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from assaygrid.functions.stats import adf, chi2_sf, f_sf, shapiro, t_sf2
 
-#: Slices that a group is cut into before its matrices are added up.
-SLICES = 64
-
-
 def _each(f: Callable[..., float], *columns: pa.Array) -> pa.Array:
     """f of each row; null where an argument is null or the result is no number."""
     rows = zip(*(c.to_pylist() for c in columns), strict=True)
@@ -35,13 +31,15 @@ def _test(f: Callable[[np.ndarray], tuple[float, float]], column: pa.Array) -> p
 
 def _outer(rows: pa.Array) -> list[float] | None:
     """The sum of outer products of arrays of equal length; arrays with a null or NaN are left out."""
-    total = None
-    for values in rows.to_pylist():
-        if values is None or any(x is None or math.isnan(x) for x in values):
-            continue
-        v = np.array(values, float)
-        total = np.outer(v, v) if total is None else total + np.outer(v, v)
-    return None if total is None else total.ravel().tolist()
+    known = rows.drop_null()
+    if not len(known):
+        return None
+    widths = np.unique(known.value_lengths().to_numpy())
+    if len(widths) > 1:
+        raise ValueError("arrays of different lengths")
+    v = known.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(known), widths[0])
+    v = v[~np.isnan(v).any(axis=1)]
+    return (v.T @ v).ravel().tolist() if len(v) else None
 
 
 def _added(rows: pa.Array) -> list[float] | None:
@@ -54,8 +52,8 @@ def register_statistics(spark: SparkSession) -> None:
     """t_sf(t, df) two-sided, f_sf(f, d1, d2), chi2_sf(x, df), adf_p(array), shapiro_p(array): p-values, by Arrow batches.
 
     gram(array) and gram_sum(array): aggregates. gram sums outer products, so of (1, x, ..., y) it gives all that a regression needs;
-    gram_sum adds such matrices. A whole group of gram goes to one task: group by a slice as well and add the slices' up, as
-    grams() does, where groups may be large.
+    gram_sum adds such matrices. A whole group of gram goes to one task: group by a slice as well and add the slices' up
+    where groups may be large, or use grams().
     """
 
     @F.arrow_udf("double")
@@ -91,9 +89,15 @@ def _aggregate(f: Callable[[pa.Array], list[float] | None]):
 def grams(df: DataFrame, by: list[str], values: list[str | Column]) -> DataFrame:
     """by and gram: the matrix of (1, values) of each group, row by row, over rows that have all values.
 
-    Groups are cut into SLICES by a hash of their values, so that a large one is summed by many tasks.
+    Products are summed where the rows lie; what is shuffled are matrices, whatever the size of a group.
     """
-    row = F.array(F.lit(1.0), *[(F.col(f"`{v}`") if isinstance(v, str) else v).cast("double") for v in values])
-    cut = df.select(*[F.col(f"`{b}`") for b in by], row.alias("_row")).withColumn("_slice", F.pmod(F.xxhash64("_row"), F.lit(SLICES)))
-    parts = cut.groupBy(*by, "_slice").agg(_aggregate(_outer)("_row").alias("gram"))
-    return parts.groupBy(*by).agg(_aggregate(_added)("gram").alias("gram"))
+    each = [F.lit(1.0), *[(F.col(f"`{v}`") if isinstance(v, str) else v).cast("double") for v in values]]
+    names = [f"_v{i}" for i in range(len(each))]
+    rows = df.select(*[F.col(f"`{b}`") for b in by], *[v.alias(name) for v, name in zip(each, names, strict=True)])
+    have = F.lit(True)
+    for name in names:
+        have = have & F.coalesce(~F.isnan(name), F.lit(False)) & F.col(name).isNotNull()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    parts = rows.withColumn("_have", have).groupBy(*by).agg(*[F.sum(F.when(F.col("_have"), F.col(names[i]) * F.col(names[j]))).alias(f"_p{i}_{j}") for i, j in pairs])
+    matrix = F.array(*[F.col(f"_p{min(i, j)}_{max(i, j)}") for i in range(len(names)) for j in range(len(names))])
+    return parts.select(*[F.col(f"`{b}`") for b in by], F.when(F.col("_p0_0").isNotNull(), matrix).alias("gram"))

@@ -124,3 +124,18 @@ def test_gram_matrices_in_sql(spark):
     for g in ("hot", None):
         z = np.array([(1.0, a, b) for k, a, b in values if k == g and b is not None])
         assert got[g] == pytest.approx(z.T @ z, rel=1e-9) and plain[g] == pytest.approx(z.T @ z, rel=1e-9)
+
+
+def test_grams_shuffle_matrices_not_rows(spark):
+    from assaygrid.functions import sql
+
+    rows = [(i % 3, float(i), float(i * i % 7) if i % 5 else None) for i in range(200)] + [(3, 1.0, None), (0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double").repartition(5)
+    found = sql.grams(df, ["k"], ["a", "b"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r["k"]: r["gram"] for r in found.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[3] is None
+    for k in range(3):
+        v = np.array([(1.0, a, b) for i, a, b in rows if i == k and b is not None and a == a])
+        assert got[k] == pytest.approx((v.T @ v).ravel().tolist())
