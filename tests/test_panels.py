@@ -113,3 +113,30 @@ def test_regimes_share_a_pass_and_keep_their_results(panel):
         alone = screening.residual_tests(panel.where(where), [f], "row_id")[0]
         numbers = lambda d: {k: v for k, v in d.items() if k not in ("fit", "x_cols", "y_col")}
         assert numbers(got) == pytest.approx(numbers(alone), rel=1e-9)
+
+
+def test_lags_of_a_block_are_summed_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from assaygrid.functions.stats import adf_rows
+    from assaygrid.operators import models
+
+    v = np.random.default_rng(5).normal(size=700).cumsum()
+    whole = adf_rows(v, 0, 9, 10)
+    widest = []
+    monkeypatch.setattr(models, "LAGGED", 1200)
+    monkeypatch.setattr(models, "adf_rows", lambda *given: widest.append(adf_rows(*given)) or widest[-1])
+    total = np.zeros(144)
+    for b in range(3):
+        low = max(b * 300 - 10, 0)
+        pdf = pd.DataFrame({"t": np.arange(low, min((b + 1) * 300, 700)), "most": 9})
+        pdf["v"] = v[pdf["t"]]
+        total += models._lag_sums(300)(("all", 0, b), pdf)["x"].to_numpy()
+    assert total == pytest.approx((whole.T @ whole).ravel()) and max(m.size for m in widest) <= 1200
+
+
+def test_a_test_without_variance_is_no_error():
+    from assaygrid.functions.stats import adf_of
+
+    gram = np.array([[1.0, 0.5, 0.0], [0.5, -1e-3, 0.0], [0.0, 0.0, 20.0]])
+    assert len(adf_of(gram, np.array([0.0, 1.0]), 22)) == 2
