@@ -10,19 +10,22 @@ from assaygrid.plans.tabular import r6
 from assaygrid.shared import fresh_path
 from assaygrid.streaming import activity, ingest, progress
 
-#: Files that a table is fed in.
+#: Batches of files that a table is fed in.
 FILES = 3
 
 
 def _fed_documents(spark: SparkSession, sf_dir: str, name: str | None = None) -> str:
-    """Ingests all documents in three file batches, each by a stream started anew; the last one repeats texts of the first under other ids."""
+    """Ingests all documents in three batches of files, each by a stream started anew; the last one repeats texts of the first under other ids.
+
+    A batch has a file a partition of the table as it is read, so no task holds more of it than that.
+    """
     base = fresh_path(spark, "ingest")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     again = d.where("doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
     for k in range(FILES):
         part = d.where(F.col("doc_id") % FILES == k)
-        (part.unionByName(again) if k == FILES - 1 else part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        ingest.ingest_new(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", d.schema, papers=f"{base}/papers", name=name)
+        (part.unionByName(again) if k == FILES - 1 else part).write.mode("append").parquet(f"{base}/in")
+        ingest.ingest_new(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", d.schema, papers=f"{base}/papers", name=name, files=1_000_000)
     return base
 
 

@@ -109,3 +109,19 @@ def test_a_failed_job_says_so(spark, tmp_path):
         raise ValueError("no such corpus")
     row = progress.progress(spark, log).first()
     assert not row["done"] and row["error"] == "no such corpus"
+
+
+def test_documents_are_fed_by_as_many_tasks_as_read_them(spark, tmp_path):
+    from assaygrid.plans import streams
+
+    spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, "1k")
+    try:
+        base = streams._fed_documents(spark, str(tmp_path))
+        assert spark.read.parquet(f"{base}/in").select("_metadata.file_name").distinct().count() > streams.FILES
+        assert spark.read.parquet(f"{base}/papers").select("content_hash").distinct().count() == 40 == spark.read.parquet(f"{base}/papers").count()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
