@@ -12,8 +12,8 @@ from assaygrid.operators.retrieval import QUERY_MIN, STRONG_MIN, hashed_embeddin
 from assaygrid.operators.screening import MIN_R2
 from assaygrid.shared import written
 
-#: Neighbours that a literature score looks at, and models that a grounding shows.
-NEIGHBOURS, SHOWN = 8, 6
+#: Models that a grounding shows.
+SHOWN = 6
 
 
 def _names(columns: Column, most: int) -> Column:
@@ -42,7 +42,7 @@ def search_texts(texts: DataFrame, corpus: DataFrame, k: int, floor: float = QUE
 def literature_scores(models: DataFrame, corpus: DataFrame, y: str = "y_col", x: str = "x_cols", embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """VR7 for many: models with lit_score, the similarity of the nearest text of the corpus, 0 if none is near enough. Models without an outcome or inputs score 0."""
     asked = models.withColumn("query", effect_query(F.col(y), F.col(x)))
-    texts, found = search_texts(asked, corpus, NEIGHBOURS, embed=embed)
+    texts, found = search_texts(asked, corpus, 1, embed=embed)  # a score is the similarity of the nearest
     scores = texts.join(literature_score(found), "query_id").select("query", "lit_score")
     return asked.join(scores, "query", "left").withColumn("lit_score", F.coalesce("lit_score", F.lit(0.0))).drop("query")
 
@@ -55,6 +55,7 @@ def ground_stored(models: DataFrame, corpus: DataFrame, chunks: DataFrame, run:
     lit_score, priority_score, validation_passed, rationale, warning. citations: run, hypothesis_id, source, title, url,
     similarity_score, snippet of the nearest chunk (doc_id, title, source_file, text) to each bundle's own text, if one is near enough.
     """
+    corpus, _ = written(corpus.select("doc_id", "embedding"), "vectors")  # searched twice, made once
     scored, _ = written(literature_scores(models, corpus, embed=embed), "scored")
     strong = scored.groupBy(F.col(run).alias("_run")).agg(F.count_if(F.col("lit_score") >= STRONG_MIN).alias("_strong"))
     both = scored.join(strong, F.col(run).eqNullSafe(F.col("_run"))).where((F.col("_strong") < 2) | (F.col("lit_score") >= STRONG_MIN))
@@ -76,7 +77,8 @@ def ground_stored(models: DataFrame, corpus: DataFrame, chunks: DataFrame, run:
         F.when(F.col("_strong") == 0, "Corpus similarity was weak for most fits; showing top statistical fits anyway.").alias("warning"),
     )
     texts, found = search_texts(chosen, corpus, 1, embed=embed)
-    best = chosen.select(run, "hypothesis_id", "query").join(texts, "query").join(found, "query_id").join(chunks, "doc_id")
-    snippet = F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 500))
-    citations = best.select(run, "hypothesis_id", F.lit("corpus").alias("source"), F.coalesce("title", "source_file").alias("title"), F.col("source_file").alias("url"), F.round("similarity", 4).alias("similarity_score"), snippet.alias("snippet"))
+    # cut before the join, which may shuffle them
+    shown = chunks.select("doc_id", "title", "source_file", F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 500)).alias("snippet"))
+    best = chosen.select(run, "hypothesis_id", "query").join(texts, "query").join(found, "query_id").join(shown, "doc_id")
+    citations = best.select(run, "hypothesis_id", F.lit("corpus").alias("source"), F.coalesce("title", "source_file").alias("title"), F.col("source_file").alias("url"), F.round("similarity", 4).alias("similarity_score"), "snippet")
     return bundles, citations

@@ -98,15 +98,16 @@ class _Nearest:
 
 
 def _units(ids: np.ndarray, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By number of components: ids and unit vectors of those with a length. Ids may repeat."""
-    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    """By number of components: ids and unit vectors of those with a length and finite components alone. Ids may repeat."""
+    sizes = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
     flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
     out = {}
     for width in np.unique(sizes[sizes > 0]).tolist():
         at = np.flatnonzero(sizes == width)
         v = flat[(ends[at] - width)[:, None] + np.arange(width)].astype(float)
         n = np.linalg.norm(v, axis=1)
-        out[width] = ids[at[n > 0]], v[n > 0] / n[n > 0, None]
+        ok = (n > 0) & np.isfinite(v).all(1)
+        out[width] = ids[at[ok]], v[ok] / n[ok, None]
     return out
 
 
@@ -137,11 +138,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 8, min_similarity: flo
     it shuffles them. Vectors that are null, have no length or hold null or non-finite components match nothing; others
     match those of their number of components. Queries that repeat an id are one query with all their rows. Null ids match nothing.
     """
-    sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kind = lambda df: df.schema[vector].dataType.elementType.typeName()
     typed = "array<float>" if kind(queries) == kind(corpus) == "float" else "array<double>"
-    named = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
-    base = corpus.select(F.col(doc_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where(F.col("id").isNotNull() & sound(F.col("v")))
+    named = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where("id is not null")
+    # unsound vectors are left out where vectors are read: a filter on v would make them anew for each of its terms
+    base = corpus.select(F.col(doc_id).cast("long").alias("id"), F.col(vector).cast(typed).alias("v")).where("id is not null")
     schema = "q long, d long, s double"
     size = named.agg(F.coalesce(F.sum(F.size("v") * F.lit(8) + 16), F.lit(0))).first()[0] if small else 1
     if size <= small:

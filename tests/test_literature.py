@@ -103,3 +103,25 @@ def test_every_pair_of_tiles_meets_once(spark):
 
     got = [(r["a"], r["b"]) for r in grid.met(left, right, "id", 4, 9).mapInArrow(pairs, "a long, b long").collect()]
     assert sorted(got) == [(a, b) for a in range(30) for b in range(100, 150)]
+
+
+def test_vectors_of_the_corpus_are_made_once(spark, corpus):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(text):
+        made.add(1)
+        return [float(len(text)), 1.0, 2.0]
+
+    docs = spark.range(40, numPartitions=2).selectExpr("id as doc_id", "repeat('a', cast(id as int) + 1) as text").select("doc_id", counted("text").alias("embedding"))
+    chunks = spark.range(40).selectExpr("id as doc_id", "'t' as title", "'f' as source_file", "repeat(' x', 400) as text")
+    models = spark.createDataFrame(MODELS, "run_id string, id long, y_col string, x_cols array<string>, r_squared double")
+    _, citations = literature.ground_stored(models, docs, chunks, embed=lambda t: F.array(F.length(t).cast("double"), F.lit(1.0), F.lit(2.0)))
+    assert {r["snippet"] for r in citations.collect()} == {("x " * 250)[:-1]} and made.value == 40
+
+
+def test_unsound_vectors_match_nothing(spark):
+    ask = spark.createDataFrame([(1, [1.0, 0.0]), (2, [None, 1.0]), (3, None), (4, [float("inf"), 1.0]), (5, [float("nan"), 1.0]), (6, [0.0, 0.0])], "query_id long, embedding array<double>")
+    docs = ask.withColumnRenamed("query_id", "doc_id")
+    for small in (1 << 20, 0):
+        assert [tuple(r) for r in retrieval.top_k(ask, docs, 3, small=small).collect()] == [(1, 1, 1.0, 1)]
