@@ -105,3 +105,21 @@ def test_few_rows_and_one_value(spark):
     assert boosting.boost(df.where("a > 99"), "y", ["a"], rounds=2) is None
     flat = boosting.boost(df, "y", ["a"], rounds=2)
     assert flat.r_squared == 0.0 and flat.importances() == {"a": 0.0}
+
+
+@pytest.mark.parametrize("share", [1.0, 0.7])
+def test_cells_grow_the_trees_that_rows_grow(spark, monkeypatch, share):
+    monkeypatch.setattr(boosting, "FRESH", 2)
+    rng = np.random.default_rng(3)
+    rows = [(float(a), None if b == 3 else float(b), float(a * 2 + (b == 3) * 4 + rng.normal())) for a, b in rng.integers(0, 6, (900, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    read = []
+    plain = boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda data, *more: (read.append(data.count()), plain(data, *more))[1])
+    by_cell = boosting.boost(df, "y", ["a", "b"], rounds=5, rows=share)
+    assert max(read) <= 36
+    monkeypatch.setattr(boosting, "SHARED", 10**9)
+    by_row = boosting.boost(df, "y", ["a", "b"], rounds=5, rows=share)
+    assert max(read) == 900 and by_cell.r_squared == pytest.approx(by_row.r_squared, rel=1e-9)
+    for t, u in zip(by_cell.trees, by_row.trees, strict=True):
+        same(nested(t), nested(u))
