@@ -125,3 +125,18 @@ def test_unsound_vectors_match_nothing(spark):
     docs = ask.withColumnRenamed("query_id", "doc_id")
     for small in (1 << 20, 0):
         assert [tuple(r) for r in retrieval.top_k(ask, docs, 3, small=small).collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_rows_of_a_grounded_screening_are_computed_once(spark, corpus):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return v
+
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, v), float(v[0] * 2 - v[1] + rng.normal())) for i, v in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "row_id long, dose double, clay double, removal double").withColumn("dose", counted("dose"))
+    out, _ = screening.screen_grounded(df, ["dose", "clay"], ["removal"], corpus[0], "run", "row_id", embed=letters)
+    assert out.count() == 1 and made.value == 120
