@@ -217,3 +217,16 @@ def test_groups_are_fitted_from_one_pass_over_rows(spark, monkeypatch):
     b = (a - mean(a)) @ (y - mean(y)) / ((a - mean(a)) @ (a - mean(a)))
     assert f["sse"] == pytest.approx(((y - mean(y) - b * (a - mean(a))) ** 2).sum(), rel=1e-9)
     assert {(r["group"] * 10 + r["time"], round(r["effect"], 9)) for r in f["effects"].collect()} == set(zip(cell.tolist(), np.round(mean(y) - b * mean(a), 9).tolist(), strict=True))
+
+
+def test_rounds_of_a_mixture_take_as_many_tasks_as_cores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(float(i % 3), float(a), float(b), float((2.0 if i % 2 else -2.0) * a + b + 0.1 * c)) for i, (a, b, c) in enumerate(rng.normal(size=(240, 3)))]
+    df = spark.createDataFrame(rows, "t double, a double, b double, y double").repartition(40)
+    seen, plain = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *level: seen.append(self.rdd.getNumPartitions()) or plain(self, *level))
+    straight = models.mixture(df, "y", ["a", "b"], "t", most=2, rounds=5)
+    assert seen == [spark.sparkContext.defaultParallelism]
+    monkeypatch.setattr(models, "GATHERED", 0)
+    shuffled = models.mixture(df, "y", ["a", "b"], "t", most=2, rounds=5)
+    assert abs(straight["log_likelihood"] - shuffled["log_likelihood"]) < 1e-6 and straight["n_iterations"] == shuffled["n_iterations"]
