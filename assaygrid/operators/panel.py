@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -113,28 +115,75 @@ def rate_constants(df: DataFrame, column: str, entity: str, time: str, row_id: s
 
     C0 is the entity's first value in order of time, which must be 1e-12 or more; three or more rows; k > 0. Rows without
     an entity, a value or a time take no part. p_value is that of the slope, two-sided.
+
+    Whether a slope that is zero but for rounding falls, and to which side a half-life on a tie is rounded, hangs on the order of
+    sums. So an entity's rows are summed one after the other in order of time, as SQL reads them: one shuffle and sort of
+    three numbers a row, and a task holds one entity's sums at a time.
     """
     rows = df.where(_col(column).isNotNull() & _col(time).isNotNull() & _col(entity).isNotNull())
-    begun = _beside_first(rows, _col(column).cast("double"), entity, time, row_id, "_c0").where(F.col("_c0") >= 1e-12)
-    logs = begun.withColumn("_l", F.ln(F.greatest(_col(column) / F.col("_c0"), F.lit(1e-12)))).withColumn("_t", _col(time).cast("double"))
-    fit = logs.groupBy(_col(entity).alias("entity")).agg(F.count("*").alias("n"), F.regr_slope("_l", "_t").alias("slope"), F.regr_r2("_l", "_t").alias("r2"), F.regr_sxx("_l", "_t").alias("sxx"), F.regr_syy("_l", "_t").alias("syy"))
-    good = fit.where((F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("slope") < 0))
-    k, free = -F.col("slope"), F.col("n") - 2
-    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy") / (free * F.col("sxx"))))
-    # values that are powers of two apart have half-lives with few digits; what sums leave of them, in any order of rows, must not fall below a tie
-    near = 1 + F.try_divide(F.lit(1e-13), F.sqrt("r2"))
+    rows = rows.select(_col(entity).alias("entity"), _col(time).alias("_time"), _col(row_id).alias("_row"), _col(time).cast("double").alias("t"), _col(column).cast("double").alias("c"))
+    kind = rows.schema["entity"].dataType.simpleString()
+    fit = rows.repartition("entity").sortWithinPartitions("entity", "_time", "_row").select("entity", "t", "c").mapInArrow(_in_order, f"entity {kind}, n long, tl double, tt double, ll double")
+    good = fit.where((F.col("n") >= 3) & (F.col("tt") > 0)).withColumn("k", -F.try_divide("tl", "tt")).where("k > 0")
+    corr = F.try_divide(F.col("tl"), F.sqrt("tt") * F.sqrt("ll"))
+    r2, k, n = F.coalesce(corr * corr, F.lit(1.0)), F.col("k"), F.col("n")
+    se = F.sqrt(F.greatest(F.lit(0.0), (1 - r2) * (F.col("ll") * n) / ((n - 2) * (F.col("tt") * n))))
     return good.select(
         "entity",
         "n",
-        F.round(k, 6).alias("k"),
-        F.round("r2", 4).alias("r_squared"),
-        F.round(F.lit(0.6931471805599453) / k * near, 2).alias("half_life"),
-        F.round(F.lit(4.605170185988092) / k, 2).alias("t99"),
-        F.round(se, 6).alias("se"),
-        F.round(F.when(se > 0, _two_sided(F.try_divide(k, se), free)).otherwise(0.0), 6).alias("p_value"),
+        _rounded(k, 6).alias("k"),
+        _rounded(r2, 4).alias("r_squared"),
+        _rounded(F.lit(math.log(2)) / k, 2).alias("half_life"),
+        _rounded(F.lit(math.log(100)) / k, 2).alias("t99"),
+        _rounded(se, 6).alias("se"),
+        _rounded(F.when(se > 0, _two_sided(F.try_divide(k, se), n - 2)).otherwise(0.0), 6).alias("p_value"),
     )
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as SQL engines in C do; F.round looks at the decimal digits, which lie on a tie more often."""
+    scale = F.lit(10.0**digits)
+    return F.round(x * scale) / scale
+
+
+def _product_and_sum(a: float, b: float, c: float) -> float:
+    """a * b + c, rounded once."""
+    try:
+        return math.fma(a, b, c)
+    except (ValueError, OverflowError):  # values that are not finite
+        return a * b + c
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (entity, t, c) by entity and time: n, covariance of time and ln(C / C0), and their variances, each summed row by row."""
+    now, n, first = None, 0, 0.0
+    t_mean = l_mean = tl = tt = ll = 0.0
+    for batch in batches:
+        kind, out = batch.schema.field(0).type, []
+        for entity, t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if entity != now:
+                if n:
+                    out.append((now, n, tl / n, tt / n, ll / n))
+                now, n, first = entity, 0, c
+                t_mean = l_mean = tl = tt = ll = 0.0
+            if not first >= 1e-12:
+                continue
+            n += 1
+            v = math.log(max(c / first, 1e-12))
+            t_was, l_was = t - t_mean, v - l_mean
+            t_mean, l_mean = t_mean + t_was / n, l_mean + l_was / n
+            tl, tt, ll = _product_and_sum(t_was, v - l_mean, tl), tt + (t - t_mean) * t_was, ll + (v - l_mean) * l_was
+        if out:
+            yield _fits(out, kind)
+    if n:
+        yield _fits([(now, n, tl / n, tt / n, ll / n)], kind)
+
+
+def _fits(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, pa.int64(), *[pa.float64()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["entity", "n", "tl", "tt", "ll"])
+
+
 @F.arrow_udf(T.DoubleType())
 def _two_sided(t: pa.Array, df: pa.Array) -> pa.Array:
     pairs = zip(t.to_pylist(), df.to_pylist(), strict=True)

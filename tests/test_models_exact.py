@@ -230,3 +230,21 @@ def test_rounds_of_a_mixture_take_as_many_tasks_as_cores(spark, monkeypatch):
     monkeypatch.setattr(models, "GATHERED", 0)
     shuffled = models.mixture(df, "y", ["a", "b"], "t", most=2, rounds=5)
     assert abs(straight["log_likelihood"] - shuffled["log_likelihood"]) < 1e-6 and straight["n_iterations"] == shuffled["n_iterations"]
+
+
+def test_rates_of_level_and_halving_series_as_in_sql(spark):
+    # few small whole numbers: slopes that are zero but for rounding, and half-lives on ties
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    rows = [(e, 24.0 * float(d), float(rng.integers(1, 4))) for e in range(3000) for d in rng.choice(30, int(rng.integers(3, 9)), replace=False)]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.register("given", pd.DataFrame(rows, columns=["e", "t", "c"]))
+    sql = """WITH r AS (SELECT e, t, c, first(c) OVER (PARTITION BY e ORDER BY t) AS c0 FROM given),
+    f AS (SELECT e, count(*) AS n, regr_slope(ln(c / c0), t) AS b, regr_r2(ln(c / c0), t) AS r2, regr_sxx(ln(c / c0), t) AS sxx, regr_syy(ln(c / c0), t) AS syy FROM r GROUP BY 1)
+    SELECT e, n, round(-b, 6) + 0.0, round(ln(2) / -b, 2) + 0.0, round(sqrt(greatest(0, (1 - r2) * syy / ((n - 2) * sxx))), 6) + 0.0 FROM f WHERE n >= 3 AND sxx > 0 AND b < 0 ORDER BY e"""
+    df = spark.createDataFrame(rows, "e long, t double, c double").repartition(5, "c", "t")
+    found = panel.rate_constants(df, "c", "e", "t", "t").select("entity", "n", "k", "half_life", "se").orderBy("entity").collect()
+    assert [tuple(r) for r in found] == con.execute(sql).fetchall()
