@@ -1,5 +1,7 @@
 """Boosted trees against a trainer in plain loops, split by split."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +125,33 @@ def test_cells_grow_the_trees_that_rows_grow(spark, monkeypatch, share):
     assert max(read) == 900 and by_cell.r_squared == pytest.approx(by_row.r_squared, rel=1e-9)
     for t, u in zip(by_cell.trees, by_row.trees, strict=True):
         same(nested(t), nested(u))
+
+
+def test_trees_from_held_cells_are_those_of_passes(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    rows = [(None if a == 3 else float(a), float(b), float(b * b - 2 * a + c)) for a, b, c in zip(rng.integers(0, 5, 3000).tolist(), rng.integers(0, 7, 3000).tolist(), rng.normal(size=3000).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").repartition(3)
+    found = [boosting.boost(df, "y", ["a", "b"], rounds=25)]
+    monkeypatch.setattr(boosting, "HELD", 0)
+    found.append(boosting.boost(df, "y", ["a", "b"], rounds=25))
+    monkeypatch.setattr(boosting, "SHARED", 10**6)  # rows, not cells
+    found.append(boosting.boost(df, "y", ["a", "b"], rounds=25))
+    for other in found[1:]:
+        assert abs(found[0].r_squared - other.r_squared) < 1e-9 and len(other.trees) == 25
+        assert other.importances() == pytest.approx(found[0].importances(), abs=1e-9)
+
+
+def test_boosted_trees_query_grows_every_tree(spark, monkeypatch):
+    from assaygrid.plans import panels
+
+    seen = []
+
+    def grown(df, y, x, **options):
+        seen.append(options)
+        return boosting.Boosted(x, 0.0, [[]] * len(x), [], 1, 0.0, 0.0)
+
+    whole = inspect.signature(boosting.boost).parameters
+    monkeypatch.setattr(panels.boosting, "boost", grown)
+    panels.boosted_trees(spark, "/root/testdata/sf0.001")
+    assert {k: v for k, v in seen[0].items() if v != whole[k].default} == {}
+    assert (whole["rounds"].default, whole["depth"].default, whole["step"].default) == (300, 3, 0.05)
