@@ -3,12 +3,16 @@
 Trees see bins alone, so rows of equal bins are one cell: of each fold its number of rows and the sum of y. Cells are
 written as blocks of arrays, and a level of all models' trees is one pass over them, whose histograms hang on models, nodes,
 inputs and bins alone. What a pass reads stops growing with the rows once all cells are filled.
+
+Where inputs are few, sums by bins of every as many inputs as a tree has levels fit the driver. They hold the histograms of all
+levels of a tree, so a tree of all models is one pass, which sums what the tree takes from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,10 @@ from assaygrid.shared import remove, written
 LISTED, RANKS = 10_000, 1_024
 #: Trees that are evaluated in every pass before their sums are written with the cells.
 FRESH = 10
+#: Sums by bins of several inputs that the driver may hold, of all models (16 MB), and bytes of them that tasks pass on in a pass.
+SUMS, PASSED = 2_000_000, 1 << 28
+#: Cells that a task sums at a time, as many as there are bins to sum them by and more.
+JOINED = 200_000
 
 
 @dataclass
@@ -44,6 +52,16 @@ class Tree:
             at = 2 * at + right
         return at
 
+    def box(self, node: int, level: int) -> dict[int, tuple[int, int]]:
+        """The bins (from, to) of each input that a node of a level is cut to."""
+        out: dict[int, tuple[int, int]] = {}
+        for above in range(level):
+            k = (1 << above) - 1 + (node >> (level - above))
+            right, f, b = node >> (level - above - 1) & 1, int(self.feature[k]), int(self.bin[k])
+            low, high = out.get(f, (0, 256))
+            out[f] = (max(low, b + 1), high) if right else (low, min(high, b + 1))
+        return out
+
     def values(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.place(bins, len(self.value).bit_length() - 1)]
 
@@ -167,6 +185,81 @@ def _histograms(data: DataFrame, width: int, size: int, fresh: list[list[Tree]],
     return out.reshape(shape)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins and further columns of some JOINED cells at a time."""
+    held, cells = [], 0
+    for batch in batches:
+        for n, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append([np.frombuffer(p, float if i else np.uint8).reshape(-1, n) for i, p in enumerate(parts)])
+            cells += n
+            if cells >= JOINED:
+                yield tuple(np.concatenate(a, axis=1) for a in zip(*held, strict=True))
+                held, cells = [], 0
+    if held:
+        yield tuple(np.concatenate(a, axis=1) for a in zip(*held, strict=True))
+
+
+class Cubes:
+    """Of every model: numbers of rows and sums of residuals by bins of each choice of so many inputs, on the driver."""
+
+    def __init__(self, data: DataFrame, sizes: list[int], ways: int, folds: int):
+        self.sizes, self.choices = sizes, list(combinations(range(len(sizes)), ways))
+        bytes_ = 8 * (folds + 1) * self.numbers(sizes, ways)
+        self.data = data.coalesce(max(1, min(data.sparkSession.sparkContext.defaultParallelism, PASSED // bytes_)))
+        first = self._summed(["n", "s"], lambda bins, n, s: [*n, *s], 2 * folds)
+        self.n, self.g = ([np.stack(list(_models(a[k * folds : (k + 1) * folds]))) for a in first] for k in (0, 1))
+
+    @staticmethod
+    def numbers(sizes: list[int], ways: int) -> int:
+        return sum(int(np.prod([sizes[c] for c in choice])) for choice in combinations(range(len(sizes)), ways))
+
+    def _summed(self, columns: list[str], weights, width: int) -> list[np.ndarray]:
+        """Of each choice (width, bins ...): sums over cells of what weights gives of their bins and columns by fold."""
+        sizes, choices = self.sizes, self.choices
+        shapes = [tuple(sizes[c] for c in choice) for choice in choices]
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros((width, int(np.prod(shape)))) for shape in shapes]
+            for bins, *sums in _joined(batches):
+                given, wide = weights(bins, *sums), bins.astype(np.intp)
+                for t, choice in zip(total, choices, strict=True):
+                    key = wide[choice[0]]
+                    for c in choice[1:]:
+                        key = key * sizes[c] + wide[c]
+                    for i, w in enumerate(given):
+                        t[i] += np.bincount(key, w, t.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in total], [f"t{k}" for k in range(len(total))])
+
+        out = [np.zeros((width, *shape)) for shape in shapes]
+        # PASSED bytes at most, in as many rows as there are tasks
+        for batch in self.data.select("cells", "b", *columns).mapInArrow(summed, ", ".join(f"t{k} binary" for k in range(len(shapes)))).toArrow().to_batches():
+            for k, o in enumerate(out):
+                for t in batch.column(k):
+                    o += np.frombuffer(t.as_buffer(), float).reshape(o.shape)
+        return out
+
+    def histograms(self, trees: list[Tree], level: int) -> np.ndarray:
+        """(2, models, nodes, inputs, bins), as _histograms gives them."""
+        out = np.zeros((2, len(trees), 1 << level, len(self.sizes), max(self.sizes)))
+        for i, tree in enumerate(trees):
+            for node in range(1 << level):
+                box = tree.box(node, level)
+                for c, size in enumerate(self.sizes):
+                    k = next(k for k, choice in enumerate(self.choices) if {*box, c} <= {*choice})
+                    at = tuple(slice(*box[f]) if f in box else slice(None) for f in self.choices[k])
+                    others = tuple(a for a, f in enumerate(self.choices[k]) if f != c)
+                    here = slice(*box[c]) if c in box else slice(0, size)
+                    for o, held in zip(out, (self.g, self.n), strict=True):
+                        o[i, node, c, :size][here] = held[k][i][at].sum(others)
+        return out
+
+    def move(self, trees: list[Tree]) -> None:
+        """Takes what trees give from the residuals."""
+        taken = self._summed(["n"], lambda bins, n: [count * tree.values(bins) for count, tree in zip(_models(n), trees, strict=True)], len(trees))
+        for g, t in zip(self.g, taken, strict=True):
+            g -= t
+
+
 def _advanced(data: DataFrame, fresh: list[list[Tree]]) -> DataFrame:
     """data with what fresh trees give added to the models' values."""
 
@@ -210,12 +303,14 @@ def boost_folds(rows: DataFrame, x: list[str], folds: int, rounds: int = 200, de
         x, used, cuts = x[:1], [0], [[]]
     data, path = written(_blocks(rows, [x[i] for i in used], [cuts[i] for i in used], folds, centre), "cells")
     size = max(len(c) for c in cuts) + 1
+    sizes, ways = [len(cuts[i]) + 1 for i in used], min(depth, len(used))
+    cubes = Cubes(data, sizes, ways, folds) if ways and Cubes.numbers(sizes, ways) * (folds + 1) <= SUMS else None
     fresh: list[list[Tree]] = []
     for number in range(rounds):
         weight = 2 * step if number else 1.0
         trees = [Tree(np.zeros((1 << depth) - 1, int), np.full((1 << depth) - 1, 255), np.zeros(1 << depth)) for _ in range(folds + 1)]
         for level in range(depth):
-            g, n = _histograms(data, len(used), size, fresh, trees, level)
+            g, n = cubes.histograms(trees, level) if cubes else _histograms(data, len(used), size, fresh, trees, level)
             left_g, left_n = np.cumsum(g, -1)[..., :-1], np.cumsum(n, -1)[..., :-1]
             total_g, total_n = g[:, :, :1].sum(-1, keepdims=True), n[:, :, :1].sum(-1, keepdims=True)
             worth = lambda a, b: a * a / np.maximum(b, 1)
@@ -235,7 +330,9 @@ def boost_folds(rows: DataFrame, x: list[str], folds: int, rounds: int = 200, de
                     for side, (a, k) in enumerate(parts):
                         tree.value[(2 * node + side) * span : (2 * node + side + 1) * span] = weight * a / k if k else 0.0
         fresh.append(trees)
-        if len(fresh) == FRESH and number < rounds - 1:
+        if cubes and number < rounds - 1:
+            cubes.move(trees)
+        elif not cubes and len(fresh) == FRESH and number < rounds - 1:
             before = path
             data, path = written(_advanced(data, fresh), "cells")
             remove(rows.sparkSession, before)

@@ -67,3 +67,17 @@ def test_nothing_to_split_on_and_nan(spark):
     assert flat["r_squared"] == pytest.approx(0.0) and flat["importances"] == {"a": 0.0}
     df = spark.createDataFrame([(float("nan") if i % 2 else None, float(i % 2)) for i in range(12)] + [(2.0, 5.0)] * 6, "a double, y double")
     assert models.tree_model(df, "y", ["a"], "gbt", maxIter=2)["r_squared"] > 0.9
+
+
+def test_a_tree_of_all_fits_is_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i % 3, float(a - b * c + d), *map(float, (a, b, c, d))) for i, (a, b, c, d) in enumerate(rng.integers(0, 5, (800, 4)).tolist())]
+    df = spark.createDataFrame(rows, "fold int, y double, a double, b double, c double, d double").repartition(3)
+    passes, plain = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: passes.append(1) or plain(self))
+    at_once = fold_boosting.boost_folds(df, ["a", "b", "c", "d"], 3, rounds=6, step=0.3)
+    assert len(passes) == 6  # of 18 levels
+    monkeypatch.setattr(fold_boosting, "SUMS", 0)
+    by_level = fold_boosting.boost_folds(df, ["a", "b", "c", "d"], 3, rounds=6, step=0.3)
+    assert len(passes) == 6 + 18
+    assert at_once.gains == pytest.approx(by_level.gains) and at_once.r_squared == pytest.approx(by_level.r_squared, abs=1e-12) and at_once.held == pytest.approx(by_level.held, abs=1e-12)
