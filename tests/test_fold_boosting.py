@@ -81,3 +81,25 @@ def test_a_tree_of_all_fits_is_one_pass(spark, monkeypatch):
     by_level = fold_boosting.boost_folds(df, ["a", "b", "c", "d"], 3, rounds=6, step=0.3)
     assert len(passes) == 6 + 18
     assert at_once.gains == pytest.approx(by_level.gains) and at_once.r_squared == pytest.approx(by_level.r_squared, abs=1e-12) and at_once.held == pytest.approx(by_level.held, abs=1e-12)
+
+
+def test_fits_of_many_rows_run_in_turn(spark, monkeypatch):
+    import threading
+
+    lock, now, most, plain = threading.Lock(), [0], [], models.RandomForestRegressor.fit
+
+    def fit(self, data):
+        with lock:
+            now[0] += 1
+            most.append(now[0])
+        try:
+            return plain(self, data)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", fit)
+    df = spark.createDataFrame([(float(i % 7), float(i % 7 + i % 3)) for i in range(60)], "a double, y double")
+    monkeypatch.setattr(models, "BESIDE", 59, raising=False)
+    found = models.tree_model(df, "y", ["a"], "forest", numTrees=2, maxDepth=2)
+    assert most == [1] * 6 and found["r_squared"] > 0.5
